@@ -52,41 +52,35 @@ def clean_panel(panel: DataFrame) -> DataFrame:
 
 
 def _stepped(panel: DataFrame, freq: fq.Freq, size: int) -> DataFrame:
-    """Panel rows with unit, step index `t`, remainder `r` and block."""
+    """Panel rows with step index `t`, remainder `r`, block, and place in the block."""
     ds = F.col("ds")
     unit = fq.units(ds, freq)
-    return (
-        clean_panel(panel)
-        .withColumn("unit", unit)
-        .withColumn("t", fq.floor_div(F.col("unit"), freq.stride))
-        .withColumn("r", F.when(fq.on_unit(ds, freq), F.pmod("unit", F.lit(freq.stride))).otherwise(-1))
-        .withColumn("block", fq.floor_div(F.col("t"), size))
-        .withColumn("at", F.pmod("t", F.lit(size)))
+    t = fq.floor_div(unit, freq.stride)
+    return clean_panel(panel).select(
+        "unique_id", "ds", "y", t.alias("t"),
+        F.when(fq.on_unit(ds, freq), F.pmod(unit, F.lit(freq.stride))).otherwise(-1).alias("r"),
+        fq.floor_div(t, size).alias("block"),
+        F.pmod(t, F.lit(size)).alias("at"),
     )
 
 
 def _with_bounds(summary: DataFrame, freq: fq.Freq) -> DataFrame:
-    """Add start, end, remainder `off` and length of each series' own grid.
+    """Add first and last step, remainder `off` and length of each series' own grid.
 
     `summary` holds `lo`, `hi` (and for weeks seven weekday counts) per row; the
     bounds are taken over all rows of a series.
     """
     whole = Window.partitionBy("unique_id")
-    start = F.min("lo").over(whole)
+    start = F.col("start")
+    bounds = {"start": F.min("lo").over(whole), "end": F.max("hi").over(whole)}
     if freq.base == "W":
-        days = [F.sum(f"wd{i}").over(whole) for i in range(7)]
-        summary = summary.withColumn("lo_all", start).withColumn("days", F.array(*days))
+        bounds["days"] = F.array(*[F.sum(f"wd{i}").over(whole) for i in range(7)])
         anchor = F.array_position("days", F.array_max("days")) - 1
-        ahead = F.pmod(anchor - fq.weekday(F.timestamp_seconds("lo_all")), F.lit(7))
-        start = F.col("lo_all") + ahead * 86400
-    return (
-        summary.withColumn("start", start)
-        .withColumn("end", F.max("hi").over(whole))
-        .withColumn("off", F.pmod("start", F.lit(freq.stride)))
-        .withColumn("t0", fq.floor_div(F.col("start"), freq.stride))
-        .withColumn("t1", fq.floor_div(F.col("end") - F.col("off"), freq.stride))
-        .withColumn("n", F.col("t1") - F.col("t0") + 1)
-    )
+        start = start + F.pmod(anchor - fq.weekday(F.timestamp_seconds("start")), F.lit(7)) * 86400
+    off = F.pmod(start, F.lit(freq.stride))
+    t0 = fq.floor_div(start, freq.stride)
+    t1 = fq.floor_div(F.col("end") - off, freq.stride)
+    return summary.withColumns(bounds).withColumns({"off": off, "t0": t0, "t1": t1, "n": t1 - t0 + 1})
 
 
 def _bound_aggregates(freq: fq.Freq) -> list[Column]:
@@ -146,18 +140,20 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
     by_block = whole.orderBy("block")
     summary = _with_bounds(summary, freq).where(F.col("r") == F.col("off"))
     total = F.sum("cnt").over(whole)
-    summary = (
-        summary.withColumn("y_mean", F.try_divide(F.sum(F.col("cnt") * F.col("avg")).over(whole), total))
-        .withColumn("spread", F.col("m2") + F.col("cnt") * (F.col("avg") - F.col("y_mean")) ** 2)
-        .withColumn("y_std", F.sqrt(F.sum("spread").over(whole) / F.when(total > 1, total - 1)))
-        .withColumn("b_lo", F.when(F.lag("block").over(by_block).isNull(), fq.floor_div(F.col("t0"), size))
-                    .otherwise(F.col("block")))
-        .withColumn("b_hi", F.coalesce(F.lead("block").over(by_block) - 1, fq.floor_div(F.col("t1"), size)))
-        .withColumn("b", F.explode_outer(F.sequence("b_lo", "b_hi")))
-    )
+    spread = F.col("m2") + F.col("cnt") * (F.col("avg") - F.col("y_mean")) ** 2
+    first_block = F.when(F.lag("block").over(by_block).isNull(), fq.floor_div(F.col("t0"), size)).otherwise(F.col("block"))
+    last_block = F.coalesce(F.lead("block").over(by_block) - 1, fq.floor_div(F.col("t1"), size))
+    summary = summary.withColumns({
+        "y_mean": F.try_divide(F.sum(F.col("cnt") * F.col("avg")).over(whole), total),
+        "covers": F.sequence(first_block, last_block),
+        "total": total,
+    })
     own = F.col("b") == F.col("block")
     held = ["last", "head_last", "first", "tail_first"]
     summary = summary.select(
+        "*", F.explode_outer("covers").alias("b"),
+        F.sqrt(F.sum(spread).over(whole) / F.when(F.col("total") > 1, F.col("total") - 1)).alias("y_std"),
+    ).select(
         "unique_id", F.col("b").alias("block"), "t0", "t1", "n", "off", "y_mean", "y_std",
         *[F.when(own, F.col(c)).alias(c) for c in held],
         *[F.when(own, F.col(c)).otherwise(0).alias(c) for c in ("cnt", "head_cnt")],
@@ -180,13 +176,11 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
         following = F.coalesce(F.lead("tail_first").over(by_block), F.first("first", True).over(after(2)))
     else:
         following = F.first("first", True).over(after(1))
-    return (
-        summary.withColumn("prev", previous)
-        .withColumn("next", following)
-        .withColumn("seen", count)
-        .withColumn("t_lo", F.greatest("t0", F.col("block") * size - back))
-        .withColumn("t_hi", F.least("t1", F.col("block") * size + (size - 1 + ahead)))
-    )
+    return summary.withColumns({
+        "prev": previous, "next": following, "seen": count,
+        "t_lo": F.greatest("t0", F.col("block") * size - back),
+        "t_hi": F.least("t1", F.col("block") * size + (size - 1 + ahead)),
+    })
 
 
 def dense(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
@@ -305,13 +299,31 @@ def standardize(df: DataFrame, value: str = "y", out: str = "y_scaled") -> DataF
     return df.withColumn(out, F.when(F.col("y_std") >= 1e-8, scaled).otherwise(F.col(value)))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read to the checkpoint folder, once.
+
+    The folder is the one of the session; a local session without one gets its own.
+    """
+    from panelmill.session import checkpoint_folder
+
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def tail(df: DataFrame, length: int) -> DataFrame:
     """Last `length` steps of every series of a dense panel."""
     return df.where(F.col("pos") >= F.col("n") - length)
 
 
+def attach(rows: DataFrame, per_series: DataFrame) -> DataFrame:
+    """Left join of a per-series table to block rows on `(unique_id, block)`, so a
+    long series stays spread over its blocks."""
+    keys = rows.select("unique_id", "block").distinct()
+    return rows.join(keys.join(per_series, "unique_id"), ["unique_id", "block"], "left")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 10_000) -> DataFrame:
-    """Exact linearly interpolated quantiles per series, `(unique_id, q0, q1, ...)`.
+    """Exact linearly interpolated quantiles per series of block rows, `(unique_id, q0, q1, ...)`.
 
     A mergeable sketch brackets each quantile; only the distinct values inside a
     bracket are ordered, so even a very long series never meets in one task.
@@ -322,21 +334,25 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int
         F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), accuracy).alias("edges"),
         F.count(value).alias("total"),
     )
-    joined = df.select("unique_id", F.col(value).alias("v")).where("v IS NOT NULL").join(bounds, "unique_id")
-    result = None
-    for i, p in enumerate(probs):
-        lo, hi = F.col("edges")[2 * i], F.col("edges")[2 * i + 1]
-        inside = joined.withColumn("lo", lo).groupBy(
-            "unique_id", "total", F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.col("v")).alias("v"),
-            (F.col("v") < lo).alias("below"),
-        ).count().where(F.col("v").isNotNull() | F.col("below"))
-        by_value = Window.partitionBy("unique_id").orderBy(F.col("v").asc_nulls_first())
-        rank = (F.col("total") - 1) * F.lit(p)
-        inside = inside.withColumn("upto", F.sum("count").over(by_value)).withColumn("rank", rank)
-        at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
-        low, high = F.floor("rank"), F.ceil("rank")
-        picked = inside.groupBy("unique_id").agg(
-            at(low).alias("a"), at(high).alias("b"), F.max(F.col("rank") - low).alias("w"))
-        picked = picked.select("unique_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias(f"q{i}"))
-        result = picked if result is None else result.join(picked, "unique_id")
-    return result
+    v = F.col("v")
+    # Each row counts once per quantile: by value inside the bracket, as NULL below it.
+    hits = F.array(*[
+        F.when(v < F.col("edges")[2 * i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
+        .when(v <= F.col("edges")[2 * i + 1], F.struct(F.lit(i).alias("i"), v.alias("v")))
+        for i in range(len(probs))])
+    counted = (
+        attach(df.select("unique_id", "block", F.col(value).alias("v")).where("v IS NOT NULL"), bounds)
+        .select("unique_id", "total", F.explode_outer(F.array_compact(hits)).alias("hit"))
+        .groupBy("unique_id", "total", "hit.i", "hit.v").count().where("i IS NOT NULL")
+    )
+    by_value = Window.partitionBy("unique_id", "i").orderBy(F.col("v").asc_nulls_first())
+    rank = F.array(*[(F.col("total") - 1) * F.lit(p) for p in probs])[F.col("i")]
+    ranked = counted.select("unique_id", "i", "v", F.sum("count").over(by_value).alias("upto"), rank.alias("rank"))
+
+    def at(i: int, r: Column) -> Column:
+        return F.min(F.when((F.col("i") == i) & (F.col("upto") > r), F.col("v")))
+
+    low, high = F.floor("rank"), F.ceil("rank")
+    return ranked.groupBy("unique_id").agg(*[
+        (at(i, low) + (at(i, high) - at(i, low)) * F.max(F.when(F.col("i") == i, F.col("rank") - low))).alias(f"q{i}")
+        for i in range(len(probs))])

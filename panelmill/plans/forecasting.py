@@ -42,7 +42,7 @@ def forecasts_of(df: DataFrame, task: str, season: int | None = None, model: str
 def metrics_of(spark, sf: str, task: str, season: int | None = None, model: str = "seasonal_naive") -> DataFrame:
     """Metrics of a seasonal naive model; the scaled error always uses the task's own season."""
     _, m, horizon, test_length, _ = TASKS[task]
-    df = task_panel(spark, sf, task, back=max(m, season or m))
+    df = grid.materialize(task_panel(spark, sf, task, back=max(m, season or m)))
     errors = metrics.seasonal_error(df, m, horizon, test_length)
     return metrics.evaluate(forecasts_of(df, task, season, model), labels_of(df, task), errors)
 

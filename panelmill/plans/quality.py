@@ -1,0 +1,532 @@
+"""Queries for calendars, quality checks and cleaning, with check SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelmill.functions import frequency as fq
+from panelmill.operators import cleanup, correlation, grid, panel as shape, quality
+from panelmill.plans.panels import FREQ, SQL, STEP, dense_sql, filled_sql, panel, read
+from panelmill.plans.registry import R, query, rounded
+
+
+def dense(spark, sf, name: str, **reach) -> DataFrame:
+    return grid.dense(panel(spark, sf, name), FREQ[name], **reach)
+
+
+def filled(spark, sf, name: str) -> DataFrame:
+    return grid.fill_forward_back_zero(dense(spark, sf, name)).where("core")
+
+
+# --- Calendar --------------------------------------------------------------
+
+@query("infer_freq", sql="""
+SELECT unique_id, CASE WHEN unique_id LIKE 'h%' THEN 'H' WHEN unique_id LIKE 'm%' THEN 'MS'
+                       WHEN unique_id LIKE 'w%' THEN 'W-MON' WHEN unique_id LIKE 'q%' THEN '6H' END AS freq
+FROM (SELECT 'h' AS unique_id UNION ALL SELECT 'm' UNION ALL SELECT 'w' UNION ALL SELECT 'q' UNION ALL SELECT 'x')
+WHERE EXISTS (SELECT 1 FROM events) AND EXISTS (SELECT 1 FROM orders)""")
+def infer_freq(spark, sf):
+    """Hourly, monthly, weekly and 6-hourly calendars of the tables, and a gappy one."""
+    def times(tag, name, fill=True):
+        p = panel(spark, sf, name)
+        p = grid.gap_fill(p, FREQ[name]) if fill else p
+        return p.select(F.lit(tag).alias("unique_id"), "ds").distinct()
+
+    every = times("h", "events_hourly").unionByName(times("m", "nation_monthly")).unionByName(
+        times("w", "supplier_weekly")).unionByName(times("q", "events_6h"))
+    holes = panel(spark, sf, "orders_daily").where("day(ds) % 3 <> 0").select(F.lit("x").alias("unique_id"), "ds").distinct()
+    return shape.infer_freq(every.unionByName(holes))
+
+
+_ALIASES = ["H", "6H", "D", "W", "15T", "B", "Q", "M", "A"]
+
+
+def _alias_values(column: str, fn) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS freq, {fn(a)} AS {column}" for a in _ALIASES)
+
+
+@query("min_length", sql=f"""
+WITH k AS ({_alias_values('min_length', lambda a: fq.min_length(a))}),
+c AS (SELECT o_orderpriority AS unique_id, o_orderkey % 9 AS i, count(*) AS n FROM orders GROUP BY 1, 2),
+a AS (SELECT unique_id, n, list_extract({_ALIASES}, CAST(i + 1 AS INT)) AS freq FROM c)
+SELECT unique_id, freq, n, CAST(min_length AS BIGINT) AS min_length, n >= min_length AS ok FROM a JOIN k USING (freq)""")
+def min_length(spark, sf):
+    """Row counts of the orders, split over nine frequencies, against the length table."""
+    aliases = F.array(*[F.lit(a) for a in _ALIASES])
+    groups = read(spark, sf, "orders").groupBy(
+        F.col("o_orderpriority").alias("unique_id"), (F.col("o_orderkey") % 9).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    tasks = groups.select("unique_id", aliases[F.col("i").cast("int")].alias("freq"), "n")
+    tasks = tasks.withColumn("min_length", fq.min_length_column(F.col("freq")))
+    return tasks.withColumn("ok", F.col("n") >= F.col("min_length"))
+
+
+_BANDS = " UNION ALL ".join(
+    f"SELECT '{name}' AS panel, {p} AS period, CAST({lo!r} AS DOUBLE) AS f_lo, CAST({hi!r} AS DOUBLE) AS f_hi"
+    for name in ("events_hourly", "lineitem_daily") for p, lo, hi in fq.period_bands(FREQ[name]))
+
+
+@query("candidate_periods", sql=f"""
+WITH {dense_sql('events_hourly')},
+k AS ({_BANDS}), s AS (SELECT DISTINCT unique_id, n FROM f)
+SELECT unique_id, n, CAST(period AS BIGINT) AS period, {R('f_lo', 8)} AS f_lo, {R('f_hi', 8)} AS f_hi
+FROM s JOIN k ON panel = 'events_hourly' AND period < n""")
+def candidate_periods(spark, sf):
+    """The candidate periods each series is long enough for, with their bands."""
+    bounds = grid.series_bounds(panel(spark, sf, "events_hourly"), "H").select("unique_id", "n")
+    return shape.candidate_table(bounds, "H").select(
+        "unique_id", "n", "period", rounded("f_lo", 8).alias("f_lo"), rounded("f_hi", 8).alias("f_hi"))
+
+
+@query("date_grid", sql=f"""
+WITH p AS ({SQL['nation_monthly']})
+SELECT unique_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM p GROUP BY unique_id""")
+def date_grid(spark, sf):
+    return dense(spark, sf, "nation_monthly").select("unique_id", "ds")
+
+
+@query("date_grid_business", sql="""
+WITH b AS (SELECT o_orderpriority AS unique_id, min(date_trunc('day', o_orderdate)) AS lo,
+                  max(date_trunc('day', o_orderdate)) AS hi FROM orders GROUP BY 1),
+d AS (SELECT unique_id, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS ds FROM b)
+SELECT unique_id, ds FROM d WHERE isodow(ds) < 6""")
+def date_grid_business(spark, sf):
+    """Business days between the first and the last order of each priority."""
+    return grid.dense(panel(spark, sf, "orders_daily"), "B").select("unique_id", "ds")
+
+
+@query("weekly_anchor", sql="""
+WITH c AS (SELECT l_returnflag || l_linestatus AS unique_id, (isodow(l_shipdate) - 1) AS wd, count(*) AS c FROM lineitem
+           WHERE isodow(l_shipdate) <> 3 OR l_quantity > 25 GROUP BY 1, 2)
+SELECT unique_id, CAST(arg_max(wd, c * 10 - wd) AS BIGINT) AS weekday FROM c GROUP BY 1""")
+def weekly_anchor(spark, sf):
+    rows = read(spark, sf, "lineitem").where("weekday(l_shipdate) <> 2 OR l_quantity > 25").select(
+        F.concat("l_returnflag", "l_linestatus").alias("unique_id"), F.col("l_shipdate").alias("ds"))
+    return shape.weekly_anchor(rows)
+
+
+# --- Shape -----------------------------------------------------------------
+
+WIDE_SQL = """
+w AS (SELECT o_orderstatus AS series_name, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS timestamp, """ + ", ".join(
+    f"round(sum(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice END), 2) AS \"{p}\""
+    for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM orders GROUP BY 1, 2)"
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+LONG_SQL = WIDE_SQL + ", l AS (" + " UNION ALL ".join(
+    f"SELECT series_name, '{p}' AS variate_name, series_name || '_{p}' AS unique_id, timestamp AS ds, \"{p}\" AS y FROM w"
+    for p in PRIORITIES) + ")"
+
+
+def orders_wide(spark, sf) -> DataFrame:
+    """Series = order status, one column per priority, one row per day."""
+    orders = read(spark, sf, "orders")
+    sums = [F.round(F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))), 2).alias(p) for p in PRIORITIES]
+    return orders.groupBy(F.col("o_orderstatus").alias("series_name"),
+                          F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("timestamp")).agg(*sums)
+
+
+@query("to_panel", sql=f"WITH {LONG_SQL} SELECT unique_id, ds, y FROM l")
+def to_panel(spark, sf):
+    return shape.to_panel(orders_wide(spark, sf), ["series_name"], "timestamp").select("unique_id", "ds", "y")
+
+
+@query("uid_info", sql=f"WITH {LONG_SQL} SELECT DISTINCT unique_id, series_name, variate_name FROM l")
+def uid_info(spark, sf):
+    return shape.uid_info(shape.to_panel(orders_wide(spark, sf), ["series_name"], "timestamp"))
+
+
+for _name in ("events_hourly", "orders_daily", "supplier_weekly", "nation_monthly"):
+    query(f"gap_fill_{_name}", sql=f"WITH {dense_sql(_name)} SELECT unique_id, ds, y FROM f")(
+        lambda spark, sf, name=_name: grid.gap_fill(panel(spark, sf, name), FREQ[name]))
+
+
+@query("fill_forward_back_zero", sql=f"WITH {filled_sql('orders_daily')} SELECT unique_id, ds, yf AS y_filled FROM h")
+def fill_forward_back_zero(spark, sf):
+    return filled(spark, sf, "orders_daily").select("unique_id", "ds", "y_filled")
+
+
+LINEAR_SQL = """
+li AS (SELECT unique_id, ds, pos, n, y,
+         last_value(y IGNORE NULLS) OVER b AS fy, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS fp,
+         first_value(y IGNORE NULLS) OVER a AS ny, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS np
+       FROM f WINDOW b AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                     a AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+lin AS (SELECT unique_id, ds, pos, n, y, coalesce(y, fy + (ny - fy) * (pos - fp) / nullif(np - fp, 0), fy, ny) AS yl FROM li)"""
+
+
+@query("impute_linear", sql=f"""
+WITH {dense_sql('orders_daily')},{LINEAR_SQL} SELECT unique_id, ds, {R('coalesce(yl, 0.0)', 5)} AS y_linear FROM lin""")
+def impute_linear(spark, sf):
+    out = grid.impute_linear(dense(spark, sf, "orders_daily"))
+    return out.select("unique_id", "ds", rounded("y_linear", 5).alias("y_linear"))
+
+
+@query("standardize", sql=f"""
+WITH {dense_sql('lineitem_daily')}
+SELECT unique_id, ds, {R('(y - avg(y) OVER s) / stddev_samp(y) OVER s')} AS y_scaled
+FROM f WINDOW s AS (PARTITION BY unique_id)""")
+def standardize(spark, sf):
+    out = grid.standardize(dense(spark, sf, "lineitem_daily"))
+    return out.select("unique_id", "ds", rounded("y_scaled").alias("y_scaled"))
+
+
+# --- Checks ----------------------------------------------------------------
+
+@query("parse_timestamps", sql="""
+WITH t AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 5 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN d WHEN 1 THEN date_trunc('minute', d) WHEN 2 THEN CAST(date_trunc('day', d) AS TIMESTAMP)
+       WHEN 3 THEN date_trunc('minute', d) END AS ds FROM t""")
+def parse_timestamps(spark, sf):
+    """Order dates written in four layouts and one unreadable one, read back."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    text = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+        .when(k == 1, F.date_format(d, "dd.MM.yyyy HH:mm"))
+        .when(k == 2, F.date_format(d, "dd.MM.yyyy"))
+        .when(k == 3, F.date_format(d, "MM/dd/yyyy HH:mm"))
+        .otherwise(F.lit("n/a"))
+    )
+    return read(spark, sf, "orders").select("o_orderkey", shape.parse_timestamps(text).alias("ds"))
+
+
+@query("check_length", sql=f"""
+WITH p AS ({SQL['nation_monthly']})
+SELECT unique_id, count(*) AS n_raw, CAST(120 AS BIGINT) AS min_length, count(*) >= 120 AS ok FROM p GROUP BY 1""")
+def check_length(spark, sf):
+    return quality.check_length(panel(spark, sf, "nation_monthly"), "MS")
+
+
+@query("check_monotonic", sql="""
+WITH o AS (SELECT event_type AS unique_id, ts < lag(ts) OVER (PARTITION BY event_type ORDER BY
+             CASE WHEN event_type = 'click' THEN -event_id ELSE event_id END) AS back FROM events)
+SELECT unique_id, count(CASE WHEN back THEN 1 END) AS n_backward, count(CASE WHEN back THEN 1 END) = 0 AS monotonic
+FROM o GROUP BY 1""")
+def check_monotonic(spark, sf):
+    """Events in file order, with one type read backwards."""
+    number = F.when(F.col("event_type") == "click", -F.col("event_id")).otherwise(F.col("event_id"))
+    raw = read(spark, sf, "events").select(
+        F.col("event_type").alias("unique_id"), F.col("ts").cast("timestamp").alias("ds"), number.alias("ordinal"))
+    return quality.check_monotonic(raw, block_rows=1024)
+
+
+@query("timestamp_report", sql="""
+WITH r AS (SELECT l_returnflag || l_linestatus AS unique_id, CASE WHEN l_orderkey % 97 = 0 THEN l_shipdate + INTERVAL 5 HOUR
+             ELSE l_shipdate END AS ds FROM lineitem),
+b AS (SELECT unique_id, min(ds) AS lo, max(ds) AS hi FROM r GROUP BY 1),
+k AS (SELECT r.unique_id, r.ds, lo, hi, (epoch(r.ds) - epoch(lo)) % 86400 = 0 AS on_grid FROM r JOIN b USING (unique_id))
+SELECT unique_id, count(*) AS n_raw, count(*) - count(DISTINCT ds) AS n_duplicates,
+       count(CASE WHEN NOT on_grid THEN 1 END) AS n_off_grid,
+       CAST(floor((epoch(max(hi)) - epoch(max(lo))) / 86400) AS BIGINT) + 1 - count(DISTINCT CASE WHEN on_grid THEN ds END) AS n_filled
+FROM k GROUP BY 1""")
+def timestamp_report(spark, sf):
+    """Shipping days of all line items, some moved off the daily grid."""
+    day = F.col("l_shipdate").cast("timestamp")
+    moved = F.when(F.col("l_orderkey") % 97 == 0, day + F.expr("INTERVAL 5 HOUR")).otherwise(day)
+    rows = read(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("unique_id"), moved.alias("ds"))
+    return quality.timestamp_report(rows, "D")
+
+
+@query("missing_rate", sql=f"""
+WITH {dense_sql('orders_daily')}, m AS (SELECT unique_id, avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END) AS r, count(*) AS n,
+  count(y) AS n_obs FROM f GROUP BY 1)
+SELECT unique_id, {R('r')} AS missing_rate, n, n_obs, r <= 0.2 AS ok_strict, r <= 0.3 AS ok FROM m""")
+def missing_rate(spark, sf):
+    out = quality.missing_rate(dense(spark, sf, "orders_daily"))
+    r = F.col("missing_rate")
+    return out.select("unique_id", rounded(r).alias("missing_rate"), "n", "n_obs", (r <= 0.2).alias("ok_strict"),
+                      (r <= 0.3).alias("ok"))
+
+
+def concentration_sql(value: str = "yf") -> str:
+    """CTE `con` over CTE `h`."""
+    return f"""
+vc AS (SELECT unique_id, {value} AS v, count(*) AS c FROM h GROUP BY 1, 2),
+vr AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY c DESC) AS rk,
+              sum(c) OVER (PARTITION BY unique_id) AS tot, count(*) OVER (PARTITION BY unique_id) AS k FROM vc),
+con AS (SELECT unique_id, CAST(sum(CASE WHEN rk <= 5 THEN c END) AS DOUBLE) / max(tot) AS dominance,
+               CASE WHEN max(k) > 1 THEN -sum(c / tot * ln(c / tot + 1e-12)) / ln(max(k)) ELSE 0.0 END AS entropy
+        FROM vr GROUP BY 1)"""
+
+
+@query("topk_dominance", sql=f"""
+WITH {filled_sql('lineitem_daily')},{concentration_sql()} SELECT unique_id, {R('dominance')} AS dominance, dominance < 0.5 AS ok FROM con""")
+def topk_dominance(spark, sf):
+    out = quality.value_concentration(filled(spark, sf, "lineitem_daily"))
+    return out.select("unique_id", rounded("dominance").alias("dominance"), (F.col("dominance") < 0.5).alias("ok"))
+
+
+@query("value_entropy", sql=f"""
+WITH {filled_sql('supplier_weekly')},{concentration_sql()} SELECT unique_id, {R('entropy')} AS entropy, entropy > 0.1 AS ok FROM con""")
+def value_entropy(spark, sf):
+    out = quality.value_concentration(filled(spark, sf, "supplier_weekly"))
+    return out.select("unique_id", rounded("entropy").alias("entropy"), (F.col("entropy") > 0.1).alias("ok"))
+
+
+def noise_sql() -> str:
+    """CTE `noi` over CTE `h`: smallest Ljung-Box p-value."""
+    lags = ", ".join(f"lag(d, {k}) OVER (PARTITION BY unique_id ORDER BY pos) AS d{k}" for k in range(1, 21))
+    sums = ", ".join(f"sum(d * d{k}) AS s{k}" for k in range(1, 21))
+
+    def tail(lags: int) -> str:
+        q = " + ".join(f"power(s{k} / s0, 2) / (m - {k})" for k in range(1, lags + 1))
+        x = f"(m * (m + 2) * ({q}) / 2)"
+        terms, factorial = [], 1
+        for i in range(lags // 2):
+            factorial *= max(i, 1)
+            terms.append(f"power({x}, {i}) / {factorial}")
+        return f"exp(-{x}) * ({' + '.join(terms)})"
+
+    return f"""
+t10 AS (SELECT unique_id, pos, yf FROM h WHERE pos >= n - 10000),
+cen AS (SELECT unique_id, pos, yf - avg(yf) OVER (PARTITION BY unique_id) AS d FROM t10),
+lgs AS (SELECT *, {lags} FROM cen),
+sms AS (SELECT unique_id, count(*) AS m, sum(d * d) AS s0, {sums} FROM lgs GROUP BY 1),
+noi AS (SELECT unique_id, least({tail(10)}, {tail(20)}) AS noise_p FROM sms WHERE m > 20)"""
+
+
+@query("ljung_box", sql=f"""
+WITH {filled_sql('events_hourly')},{noise_sql()} SELECT unique_id, {R('noise_p')} AS noise_p, noise_p <= 0.05 AS ok FROM noi""")
+def ljung_box(spark, sf):
+    out = quality.ljung_box(filled(spark, sf, "events_hourly"))
+    return out.select("unique_id", rounded("noise_p").alias("noise_p"), (F.col("noise_p") <= 0.05).alias("ok"))
+
+
+def outlier_sql(window: str) -> str:
+    """CTE `flg` over CTE `h`: flags with a window that is a constant or an expression of n."""
+    frame = (f"PARTITION BY unique_id ORDER BY pos ROWS BETWEEN CAST(({window}) // 2 AS BIGINT) PRECEDING "
+             f"AND CAST((({window}) - 1) // 2 AS BIGINT) FOLLOWING")
+    return f"""
+rol AS (SELECT *, quantile_cont(yf, 0.5) OVER ({frame}) AS med,
+               quantile_cont(yf, 0.75) OVER ({frame}) - quantile_cont(yf, 0.25) OVER ({frame}) AS iqr0 FROM h),
+glo AS (SELECT unique_id, coalesce(nullif(quantile_cont(yf, 0.75) - quantile_cont(yf, 0.25), 0), 1.35 * stddev_samp(yf)) AS fb,
+               max(yf) > min(yf) AS varies FROM h GROUP BY 1),
+dev AS (SELECT rol.*, varies, abs(yf - med) / (CASE WHEN iqr0 = 0 THEN fb ELSE iqr0 END) AS dv FROM rol JOIN glo USING (unique_id)),
+flg AS (SELECT *, coalesce(dv > 3 AND dv < 9, false) AS transient, coalesce(dv >= 9, false) AS extreme FROM dev)"""
+
+
+_STATS = """SELECT unique_id, round(avg(CASE WHEN transient THEN 1.0 ELSE 0.0 END) * 100, 2) AS transient_spike_ratio,
+       round(avg(CASE WHEN extreme THEN 1.0 ELSE 0.0 END) * 100, 2) AS extreme_outlier_ratio,
+       avg(CASE WHEN extreme THEN 1.0 ELSE 0.0 END) <= 0.05 AS keep FROM flg GROUP BY 1"""
+BY_LENGTH = "greatest(20, n // 10)"
+
+
+@query("rolling_outlier_stats", sql=f"WITH {filled_sql('lineitem_daily')},{outlier_sql('29')} {_STATS}")
+def rolling_outlier_stats(spark, sf):
+    df = dense(spark, sf, "lineitem_daily", back=14, ahead=14)
+    return quality.outlier_stats(quality.flag_outliers(quality.rolling_stats(df, 29)))
+
+
+@query("rolling_outlier_stats_by_length", sql=f"WITH {filled_sql('events_hourly')},{outlier_sql(BY_LENGTH)} {_STATS}")
+def rolling_outlier_stats_by_length(spark, sf):
+    return quality.outlier_stats(quality.flag_outliers(quality.rolling_stats_by_length(dense(spark, sf, "events_hourly"))))
+
+
+@query("clean_outliers", sql=f"""
+WITH {filled_sql('supplier_weekly')},{outlier_sql('21')},
+gd AS (SELECT *, CASE WHEN NOT extreme THEN yf END AS good, avg(CASE WHEN extreme THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY unique_id) AS ratio FROM flg)
+SELECT unique_id, ds, y, CASE WHEN y IS NULL THEN NULL WHEN ratio > 0.05 THEN y ELSE coalesce(
+  last_value(good IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(good IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS y_clean
+FROM gd""")
+def clean_outliers(spark, sf):
+    df = dense(spark, sf, "supplier_weekly", back=10, ahead=10)
+    return quality.clean_outliers(quality.flag_outliers(quality.rolling_stats(df, 21)))
+
+
+def report_sql(source: str, smallest: int, missing: float = 0.3) -> str:
+    """CTE `rep` from CTEs `p`, `f`, `h`: the whole cascade."""
+    return f"""{source},{concentration_sql()},{noise_sql()},{outlier_sql(BY_LENGTH)},
+rat AS (SELECT unique_id, avg(CASE WHEN transient THEN 1.0 ELSE 0.0 END) AS tr, avg(CASE WHEN extreme THEN 1.0 ELSE 0.0 END) AS ex,
+               bool_or(varies) AS varies FROM flg GROUP BY 1),
+mis AS (SELECT unique_id, avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END) AS mr, count(*) AS n, count(y) AS n_obs FROM f GROUP BY 1),
+raw AS (SELECT unique_id, count(*) AS n_raw FROM p GROUP BY 1),
+rep0 AS (SELECT *, concat_ws(' | ', CASE WHEN n_raw < {smallest} THEN 'length' END, CASE WHEN mr > {missing} THEN 'missing_rate' END) AS early
+         FROM raw JOIN mis USING (unique_id) JOIN con USING (unique_id) LEFT JOIN noi USING (unique_id) JOIN rat USING (unique_id)),
+rep AS (SELECT *, CASE WHEN early <> '' THEN early WHEN dominance >= 0.5 OR entropy <= 0.1 THEN 'constant'
+                       WHEN noise_p > 0.05 THEN 'white_noise' WHEN NOT varies THEN 'constant_or_empty'
+                       WHEN ex > 0.05 THEN 'extreme_outliers' ELSE '' END AS reasons FROM rep0)"""
+
+
+_REPORT = f"""SELECT unique_id, reasons = '' AS predictable, reasons, n_raw, n, n_obs, {R('mr')} AS missing_rate,
+  {R('dominance')} AS dominance, {R('entropy')} AS entropy, {R('noise_p')} AS noise_p, {R('tr')} AS transient_ratio,
+  {R('ex')} AS extreme_ratio FROM rep"""
+
+
+def _report_columns(report: DataFrame) -> DataFrame:
+    numbers = ("missing_rate", "dominance", "entropy", "noise_p", "transient_ratio", "extreme_ratio")
+    return report.select("unique_id", "predictable", F.array_join("checks", " | ").alias("reasons"), "n_raw", "n", "n_obs",
+                         *[rounded(c).alias(c) for c in numbers])
+
+
+for _name, _limit in (("events_hourly", 0.3), ("orders_daily", 0.2), ("supplier_weekly", 0.3), ("nation_monthly", 0.3)):
+    _need = fq.min_length(FREQ[_name])
+    query(f"quality_report_{_name}", sql=f"WITH {report_sql(filled_sql(_name), _need, _limit)} {_REPORT}")(
+        lambda spark, sf, name=_name, limit=_limit: _report_columns(
+            quality.quality_report(panel(spark, sf, name), FREQ[name], missing_limit=limit)))
+
+
+# --- Correlation -----------------------------------------------------------
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def events_wide(spark, sf) -> DataFrame:
+    events = read(spark, sf, "events")
+    sums = [F.round(F.sum(F.when(F.col("event_type") == e, F.col("value"))), 2).alias(e) for e in EVENT_TYPES]
+    return events.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("timestamp")).agg(*sums).withColumn(
+        "series_name", F.lit("events"))
+
+
+_EV_WIDE = "w AS (SELECT 'events' AS series_name, date_trunc('hour', ts) AS timestamp, " + ", ".join(
+    f"round(sum(CASE WHEN event_type = '{e}' THEN value END), 2) AS \"{e}\"" for e in EVENT_TYPES) + " FROM events GROUP BY 2)"
+
+
+def _pairs_sql(names: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT series_name AS series, '{a}' AS a, '{b}' AS b, corr(\"{a}\", \"{b}\") AS r FROM w GROUP BY 1"
+        for i, a in enumerate(names) for b in names[i + 1:])
+
+
+@query("correlated_pairs", sql=f"""
+WITH {_EV_WIDE}, c AS ({_pairs_sql(EVENT_TYPES)})
+SELECT series, a, b, round(r, 4) AS r, abs(r) > 0.95 AS duplicate FROM c WHERE abs(r) > 0.02""")
+def correlated_pairs(spark, sf):
+    pairs = correlation.variate_correlation(events_wide(spark, sf), "series_name", EVENT_TYPES)
+    strict = F.abs("r") > 0.95
+    return correlation.correlated_pairs(pairs, 0.02).withColumn("duplicate", strict)
+
+
+@query("correlation_matrix", sql=f"""
+WITH {WIDE_SQL}, c AS ({_pairs_sql(PRIORITIES)}),
+m AS (SELECT series, a, b, r FROM c UNION ALL SELECT series, b, a, r FROM c UNION ALL
+      SELECT DISTINCT series_name, q, q, 1.0 FROM w, (SELECT unnest({PRIORITIES}) AS q))
+SELECT series, a, b, {R('r')} AS r FROM m""")
+def correlation_matrix(spark, sf):
+    wide = orders_wide(spark, sf)
+    pairs = correlation.variate_correlation(wide, "series_name", PRIORITIES)
+    full = correlation.correlation_matrix(pairs, wide, "series_name", PRIORITIES)
+    return full.select("series", "a", "b", rounded("r").alias("r"))
+
+
+@query("cross_series_correlation", sql=f"""
+WITH {dense_sql('events_6h')}
+SELECT x.unique_id AS a, z.unique_id AS b, {R('corr(x.y, z.y)')} AS r
+FROM f x JOIN f z ON x.pos = z.pos AND x.unique_id < z.unique_id
+WHERE (SELECT count(DISTINCT n) FROM f) = 1 GROUP BY 1, 2""")
+def cross_series_correlation(spark, sf):
+    out = correlation.cross_series_correlation(dense(spark, sf, "events_6h"))
+    return out.select("a", "b", rounded("r").alias("r"))
+
+
+# --- Summaries and removals --------------------------------------------------
+
+ORDERS_MIN = 600
+_WIDE_DENSE = LONG_SQL + """,
+p AS (SELECT unique_id, ds, y FROM l),
+g AS (SELECT unique_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS ds FROM p GROUP BY 1),
+f AS (SELECT unique_id, ds, p.y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS pos,
+             count(*) OVER (PARTITION BY unique_id) AS n FROM g LEFT JOIN p USING (unique_id, ds)),
+h AS (SELECT *, coalesce(
+        last_value(y IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(y IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS yf
+      FROM f)"""
+# A threshold that splits the fifteen (status, priority) series.
+ORDERS_MISSING = 0.6588
+VARIATE_SQL = report_sql(_WIDE_DENSE, ORDERS_MIN, ORDERS_MISSING) + """,
+vr0 AS (SELECT series_name, variate_name, rep.*, reasons = '' AS predictable
+        FROM rep JOIN (SELECT DISTINCT unique_id, series_name, variate_name FROM l) USING (unique_id))"""
+
+
+def variate_report(spark, sf) -> DataFrame:
+    long = shape.to_panel(orders_wide(spark, sf), ["series_name"], "timestamp")
+    report = quality.quality_report(long.select("unique_id", "ds", "y"), "D", ORDERS_MISSING, ORDERS_MIN)
+    return report.join(shape.uid_info(long), "unique_id")
+
+
+def _meta_sql(source: str) -> str:
+    return f"""SELECT series_name, max(n) AS n_rows, count(*) AS n_cols,
+  string_agg(variate_name, ',' ORDER BY variate_name) AS original_columns,
+  coalesce(string_agg(CASE WHEN predictable THEN variate_name END, ',' ORDER BY variate_name), '') AS kept_columns,
+  coalesce(string_agg(CASE WHEN NOT predictable THEN variate_name END, ',' ORDER BY variate_name), '') AS recommended_drop_columns,
+  CAST(sum(n_obs) AS BIGINT) AS num_observations FROM {source} GROUP BY 1"""
+
+
+def _joined(meta: DataFrame) -> DataFrame:
+    lists = ("original_columns", "kept_columns", "recommended_drop_columns")
+    return meta.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in meta.columns])
+
+
+@query("series_meta", sql=f"WITH {VARIATE_SQL} {_meta_sql('vr0')}")
+def series_meta(spark, sf):
+    return _joined(cleanup.series_meta(variate_report(spark, sf)))
+
+
+def _summary_sql(source: str) -> str:
+    return f"""SELECT count(*) AS num_series, count(*) AS success_count, CAST(sum(num_observations) AS BIGINT) AS num_observations,
+  max(n_rows) AS max_series_length, min(n_rows) AS min_series_length, round(avg(n_rows), 2) AS avg_series_length
+FROM ({_meta_sql(source)})"""
+
+
+@query("dataset_summary", sql=f"WITH {VARIATE_SQL} {_summary_sql('vr0')}")
+def dataset_summary(spark, sf):
+    return cleanup.dataset_summary(cleanup.series_meta(variate_report(spark, sf)))
+
+
+_VARIATES = """SELECT variate_name, count(*) AS total, count(CASE WHEN predictable THEN 1 END) AS kept,
+  round(count(CASE WHEN predictable THEN 1 END) / count(*), 4) AS kept_ratio FROM vr0 GROUP BY 1"""
+
+
+@query("variate_summary", sql=f"WITH {VARIATE_SQL} {_VARIATES}")
+def variate_summary(spark, sf):
+    return cleanup.variate_summary(variate_report(spark, sf))
+
+
+@query("dropped_series", sql=f"WITH {VARIATE_SQL} SELECT variate_name, series_name, reasons AS reason FROM vr0 WHERE NOT predictable")
+def dropped_series(spark, sf):
+    return cleanup.dropped_series(variate_report(spark, sf))
+
+
+@query("cleanup_plan", sql=f"""
+WITH {VARIATE_SQL}, vs AS ({_VARIATES}), sh AS (SELECT *, 1 - kept / total AS share FROM vs)
+SELECT 'drop_variate' AS action, variate_name AS target, 'mostly_failed' AS cause FROM sh WHERE share >= 0.5
+UNION SELECT 'drop_series', series_name, 'partly_failed' FROM vr0 JOIN sh USING (variate_name)
+  WHERE NOT predictable AND share > 0 AND share < 0.5
+UNION SELECT 'drop_series', series_name, 'all_failed' FROM vr0 GROUP BY series_name HAVING NOT bool_or(predictable)""")
+def cleanup_plan(spark, sf):
+    return cleanup.cleanup_plan(variate_report(spark, sf))
+
+
+def _orders_long(spark, sf) -> DataFrame:
+    return shape.to_panel(orders_wide(spark, sf), ["series_name"], "timestamp").drop("unique_id")
+
+
+@query("drop_variate", sql=f"WITH {LONG_SQL} SELECT series_name, variate_name, ds, y FROM l WHERE variate_name <> '5-LOW'")
+def drop_variate(spark, sf):
+    return cleanup.drop_variate(_orders_long(spark, sf), ["5-LOW"])
+
+
+@query("drop_series", sql=f"WITH {LONG_SQL} SELECT series_name, variate_name, ds, y FROM l WHERE series_name <> 'P'")
+def drop_series(spark, sf):
+    return cleanup.drop_series(_orders_long(spark, sf), ["P"])
+
+
+@query("drop_marked", sql=f"""
+WITH {VARIATE_SQL} SELECT series_name, variate_name, ds, y FROM l
+WHERE NOT EXISTS (SELECT 1 FROM vr0 v WHERE v.unique_id = l.unique_id AND NOT predictable)""")
+def drop_marked(spark, sf):
+    return cleanup.drop_marked(_orders_long(spark, sf), variate_report(spark, sf))
+
+
+@query("recompute_after_drop", sql=f"""
+WITH {VARIATE_SQL}, red AS (SELECT * FROM vr0 WHERE variate_name <> '5-LOW' AND series_name <> 'P') {_summary_sql('red')}""")
+def recompute_after_drop(spark, sf):
+    report = cleanup.drop_series(cleanup.drop_variate(variate_report(spark, sf), ["5-LOW"]), ["P"])
+    return cleanup.recompute(report)[1]
+
+
+@query("cleanup_dry_run", sql=f"""
+WITH {VARIATE_SQL}, hit AS (SELECT * FROM vr0 WHERE variate_name = '5-LOW' OR NOT predictable)
+SELECT count(DISTINCT series_name) AS series_touched, count(*) AS pairs_removed,
+       CAST(coalesce(sum(n_obs), 0) AS BIGINT) AS observations_removed FROM hit""")
+def cleanup_dry_run(spark, sf):
+    return cleanup.dry_run(variate_report(spark, sf), variates=["5-LOW"], marked=True)

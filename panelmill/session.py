@@ -19,20 +19,33 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`.
 
-    A machine-local folder is used only where the session runs in local mode
-    and no shared folder is configured.
+    A machine-local folder is used only where the session runs in local mode and
+    none is configured.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="panelmill-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure checkpoints have a folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
