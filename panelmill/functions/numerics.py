@@ -1,0 +1,337 @@
+"""Numerics of one series as numpy arrays: decomposition and tests.
+
+Everything here is sequential along a series and cannot be written as columns.
+The functions are called inside grouped tasks; Spark partitions the series.
+"""
+
+from __future__ import annotations
+
+import math
+from statistics import NormalDist
+
+import numpy as np
+
+# --- Fixed values ------------------------------------------------------------
+STL_SEASONAL_SPAN = 13
+STL_INNER_LOOPS = 5
+SMOOTHER_SPANS = (0.05, 0.2, 0.5)
+# Royston (1995): polynomial coefficients of the two largest weights.
+SHAPIRO_LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
+SHAPIRO_NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
+# MacKinnon (1994): p-value surface of the Dickey-Fuller statistic with constant
+# and trend; below the switch point the small-p polynomial applies.
+ADF_MAX, ADF_MIN, ADF_SWITCH = 0.70, -16.18, -2.89
+ADF_SMALL = (3.2512, 1.6047, 0.049588)
+ADF_LARGE = (2.5261, 0.61654, -0.37956, -0.060285)
+# -----------------------------------------------------------------------------
+
+
+def _tricube(distance: np.ndarray, reach: np.ndarray | float) -> np.ndarray:
+    """Local weights; the innermost 0.1 % count fully, the outermost not at all."""
+    share = distance / reach
+    return np.where(share <= 0.001, 1.0, np.where(share <= 0.999, (1 - share ** 3) ** 3, 0.0))
+
+
+def _local_linear(at: np.ndarray, left: np.ndarray, span: int, n: int, extra: float) -> np.ndarray:
+    """Row of smoothing weights per evaluation point, over `span` points from `left`."""
+    points = left[:, None] + np.arange(span)[None, :]
+    distance = np.abs(points - at[:, None])
+    reach = np.maximum(at - left, left + span - 1 - at)[:, None] + extra
+    w = _tricube(distance, reach)
+    w /= w.sum(1, keepdims=True)
+    centre = (w * points).sum(1, keepdims=True)
+    spread = (w * (points - centre) ** 2).sum(1, keepdims=True)
+    tilt = (at[:, None] - centre) / np.where(spread > 0, spread, 1.0)
+    sloped = w * (1 + tilt * (points - centre))
+    return np.where(np.sqrt(spread) > 0.001 * (n - 1.0), sloped, w)
+
+
+def loess(rows: np.ndarray, span: int, extend: int = 0) -> np.ndarray:
+    """Local linear smoothing of each row at its own points, and `extend` beyond both ends.
+
+    Away from the ends all points share one symmetric window, where a local line
+    equals a weighted mean; only the points near the ends need their own weights.
+    """
+    n = rows.shape[1]
+    if n == 1:
+        return np.repeat(rows, 1 + 2 * extend, axis=1)
+    width = min(span, n)
+    extra = float((span - n) // 2) if span > n else 0.0
+    half = (width + 1) // 2
+    out = np.empty((rows.shape[0], n + 2 * extend))
+    at = np.arange(-extend, n + extend)
+    left = np.clip(at - (half - 1), 0, n - width)
+    inner = (at - left == half - 1) & (width % 2 == 1) & (extra == 0)
+    if inner.any():
+        weights = _tricube(np.abs(np.arange(width) - (half - 1.0)), half - 1.0)
+        weights /= weights.sum()
+        first, last = at[inner][0] - (half - 1), at[inner][-1] + half
+        stretch = rows[:, first:last]
+        if width > 256:
+            size = 1 << (stretch.shape[1] + width).bit_length()
+            product = np.fft.irfft(np.fft.rfft(stretch, size, axis=1) * np.fft.rfft(weights, size), size, axis=1)
+            out[:, inner] = product[:, width - 1:stretch.shape[1]]
+        else:
+            windows = np.lib.stride_tricks.sliding_window_view(stretch, width, axis=1)
+            out[:, inner] = windows @ weights
+    edge = np.flatnonzero(~inner)
+    for part in np.array_split(edge, max(1, edge.size * width // 4_000_000)):
+        if part.size:
+            weights = _local_linear(at[part].astype(float), left[part].astype(float), width, n, extra)
+            gather = left[part][:, None] + np.arange(width)[None, :]
+            out[:, part] = np.einsum("rpw,pw->rp", rows[:, gather], weights)
+    return out
+
+
+def _moving_mean(x: np.ndarray, width: int) -> np.ndarray:
+    total = np.cumsum(np.concatenate([[0.0], x]))
+    return (total[width:] - total[:-width]) / width
+
+
+def stl_spans(period: int, seasonal: int = STL_SEASONAL_SPAN) -> tuple[int, int]:
+    """Trend and low-pass spans: the next odd numbers above their lower limits."""
+    trend = math.ceil(1.5 * period / (1 - 1.5 / seasonal))
+    low = period + 1
+    return trend + (trend % 2 == 0), low + (low % 2 == 0)
+
+
+def stl_reach(period: int, seasonal: int = STL_SEASONAL_SPAN) -> int:
+    """How far, in steps, a point of the decomposition depends on its neighbours."""
+    trend, low = stl_spans(period, seasonal)
+    one_loop = (seasonal // 2 + 1) * period + period + 2 + low // 2 + 1 + trend // 2 + 1
+    return (STL_INNER_LOOPS + 1) * one_loop
+
+
+def stl(y: np.ndarray, period: int, seasonal: int = STL_SEASONAL_SPAN,
+        loops: int = STL_INNER_LOOPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trend, season and remainder by Cleveland et al. (1990), without robustness weights."""
+    n = len(y)
+    if period < 2 or n <= period:
+        raise ValueError("a season needs a period of 2 or more and a longer series")
+    trend_span, low_span = stl_spans(period, seasonal)
+    trend = np.zeros(n)
+    season = np.zeros(n)
+    for _ in range(loops):
+        flat = y - trend
+        cycle = np.empty(n + 2 * period)
+        for length in {(n - phase + period - 1) // period for phase in range(period)}:
+            phases = [p for p in range(period) if (n - p + period - 1) // period == length]
+            rows = np.stack([flat[p::period] for p in phases])
+            smooth = loess(rows, seasonal, extend=1)
+            for p, row in zip(phases, smooth):
+                cycle[p::period][:length + 2] = row
+        low = _moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3)
+        low = loess(low[None, :], low_span)[0]
+        season = cycle[period:period + n] - low
+        trend = loess((y - season)[None, :], trend_span)[0]
+    return trend, season, y - trend - season
+
+
+def mstl_spans(count: int) -> list[int]:
+    return [7 + 4 * (i + 1) for i in range(count)]
+
+
+def mstl(y: np.ndarray, periods: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Several seasons, refined in two passes (Bandara et al. 2021); seasons are summed."""
+    spans = mstl_spans(len(periods))
+    seasons = [np.zeros(len(y)) for _ in periods]
+    rest, trend = y.astype(float), np.zeros(len(y))
+    for _ in range(1 if len(periods) == 1 else 2):
+        for i, period in enumerate(periods):
+            rest = rest + seasons[i]
+            trend, seasons[i], _ = stl(rest, period, spans[i])
+            rest = rest - seasons[i]
+    season = np.sum(seasons, axis=0)
+    return trend, season, y - trend - season
+
+
+def _running_line(x: np.ndarray, y: np.ndarray, span: float, residuals: bool = False):
+    """Local line over the nearest `span` share of points; optionally also the
+    absolute cross-validated residual."""
+    n = len(y)
+    half = max(int(0.5 * span * n + 0.5), 2)
+    lo = np.clip(np.arange(n) - half, 0, max(n - 2 * half - 1, 0))
+    hi = np.minimum(lo + 2 * half + 1, n)
+    shift = x.mean()
+    u = x - shift
+
+    def window(v):
+        total = np.concatenate([[0.0], np.cumsum(v)])
+        return total[hi] - total[lo]
+
+    size = (hi - lo).astype(float)
+    mean_x, mean_y = window(u) / size, window(y) / size
+    var = np.maximum(window(u * u) - size * mean_x ** 2, 0)
+    cov = window(u * y) - size * mean_x * mean_y
+    slope = np.where(var > 1e-12, cov / np.where(var > 1e-12, var, 1), 0.0)
+    fit = mean_y + slope * (u - mean_x)
+    if not residuals:
+        return fit
+    leverage = 1 / size + np.where(var > 1e-12, (u - mean_x) ** 2 / np.where(var > 1e-12, var, 1), 0.0)
+    return fit, np.abs(y - fit) / np.maximum(1 - leverage, 1e-8)
+
+
+def super_smoother(y: np.ndarray) -> np.ndarray:
+    """Friedman (1984): per point the span with the smallest smoothed residual."""
+    n = len(y)
+    if n < 5:
+        return np.full(n, y.mean())
+    x = np.arange(1, n + 1, dtype=float)
+    fits, errors = [], []
+    for span in SMOOTHER_SPANS:
+        fit, error = _running_line(x, y, span, residuals=True)
+        fits.append(fit)
+        errors.append(_running_line(x, error, SMOOTHER_SPANS[1]))
+    best = np.array(SMOOTHER_SPANS)[np.argmin(np.stack(errors), axis=0)]
+    best = np.clip(_running_line(x, best, SMOOTHER_SPANS[1]), SMOOTHER_SPANS[0], SMOOTHER_SPANS[-1])
+    stacked = np.stack(fits)
+    upper = np.clip(np.searchsorted(SMOOTHER_SPANS, best), 1, len(SMOOTHER_SPANS) - 1)
+    spans = np.array(SMOOTHER_SPANS)
+    share = (best - spans[upper - 1]) / (spans[upper] - spans[upper - 1])
+    at = np.arange(n)
+    mixed = stacked[upper - 1, at] * (1 - share) + stacked[upper, at] * share
+    return _running_line(x, mixed, SMOOTHER_SPANS[0])
+
+
+def magnitudes(y: np.ndarray) -> np.ndarray:
+    """|FFT| at the non-negative frequencies k / n, with the mean left out."""
+    size = np.abs(np.fft.rfft(y - y.mean()))
+    size[0] = 0.0
+    return size
+
+
+def entropy_of_power(power: np.ndarray, n: int) -> float:
+    """Bits of the one-sided periodogram; inner bins count twice."""
+    doubled = power.copy()
+    doubled[1:(n - 1) // 2 + 1] *= 2
+    total = doubled.sum()
+    if not total > 0:
+        return math.nan
+    p = doubled[doubled > 0] / total
+    return float(-(p * np.log2(p)).sum())
+
+
+def spectral_entropy(y: np.ndarray) -> float:
+    return entropy_of_power(magnitudes(y) ** 2, len(y))
+
+
+def adf_pvalue(y: np.ndarray) -> float:
+    """Augmented Dickey-Fuller test with constant and trend, lags chosen by AIC."""
+    n = len(y)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3)
+    if most < 0 or np.ptp(y) == 0:
+        raise ValueError("too short or constant")
+    dy = np.diff(y)
+
+    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        target = dy[skip:]
+        m = len(target)
+        columns = [y[skip:skip + m]]
+        columns += [dy[skip - k:skip - k + m] for k in range(1, lags + 1)]
+        columns += [np.ones(m), np.arange(1.0, m + 1)]
+        return np.stack(columns, 1), target
+
+    full, target = design(most, most)
+    scores = []
+    for lags in range(most + 1):
+        x = np.delete(full, np.arange(lags + 1, most + 1), axis=1)
+        beta = np.linalg.lstsq(x, target, rcond=None)[0]
+        ssr = ((target - x @ beta) ** 2).sum()
+        m = len(target)
+        scores.append(m * (np.log(2 * np.pi) + np.log(ssr / m) + 1) + 2 * x.shape[1])
+    lags = int(np.argmin(scores))
+    x, target = design(lags, lags)
+    beta = np.linalg.lstsq(x, target, rcond=None)[0]
+    rest = target - x @ beta
+    variance = (rest @ rest) / (len(target) - x.shape[1])
+    tau = beta[0] / math.sqrt(variance * np.linalg.inv(x.T @ x)[0, 0])
+    if tau > ADF_MAX:
+        return 1.0
+    if tau < ADF_MIN:
+        return 0.0
+    surface = ADF_SMALL if tau <= ADF_SWITCH else ADF_LARGE
+    return NormalDist().cdf(sum(c * tau ** i for i, c in enumerate(surface)))
+
+
+def stationarity(y: np.ndarray) -> int:
+    """1 where the unit root is rejected at 5 %, or the test cannot run."""
+    try:
+        return int(adf_pvalue(y) <= 0.05)
+    except (ValueError, np.linalg.LinAlgError, ZeroDivisionError):
+        return 1
+
+
+def normal_scores(n: int) -> np.ndarray:
+    """Blom's approximation of the expected normal order statistics."""
+    inverse = NormalDist().inv_cdf
+    lower = np.array([inverse((i - 0.375) / (n + 0.25)) for i in range(1, n // 2 + 1)])
+    return np.concatenate([lower, np.zeros(n % 2), -lower[::-1]])
+
+
+def shapiro_w(values: np.ndarray) -> float:
+    """Shapiro-Wilk W by Royston (1995); NaN for fewer than 3 points or no spread."""
+    n = len(values)
+    x = np.sort(values)
+    if n < 3 or x[-1] - x[0] <= 0:
+        return math.nan
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        m = normal_scores(n)
+        u = 1 / math.sqrt(n)
+        c = m / math.sqrt(m @ m)
+        last = np.polyval((*SHAPIRO_LAST, c[-1]), u)
+        if n > 5:
+            following = np.polyval((*SHAPIRO_NEXT, c[-2]), u)
+            phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last ** 2 - 2 * following ** 2)
+            a = m / math.sqrt(phi)
+            a[[0, 1, -2, -1]] = -last, -following, following, last
+        else:
+            phi = (m @ m - 2 * m[-1] ** 2) / (1 - 2 * last ** 2)
+            a = m / math.sqrt(phi)
+            a[[0, -1]] = -last, last
+    centred = x - x.mean()
+    return float((a @ x) ** 2 / (centred @ centred))
+
+
+def hurst(values: np.ndarray) -> float:
+    """Slope of the log rescaled range on log length over all prefixes.
+
+    The range of a prefix is the spread of i -> S(i) - i * mean over its points,
+    that is the extent of their convex hull in one direction. Both hulls grow
+    from left to right, so each prefix costs one binary search.
+    """
+    n = len(values)
+    if n < 3:
+        return math.nan
+    t = np.arange(1, n + 1)
+    total = np.cumsum(values)
+    mean = total / t
+    shifted = values - mean[-1]
+    first, second = np.cumsum(shifted) / t, np.cumsum(shifted ** 2) / t
+    deviation = np.sqrt(np.maximum(second - first ** 2, 0))
+    reach = np.empty(n)
+    hulls: list[list[tuple[float, float]]] = [[], []]
+    for i in range(n):
+        extremes = []
+        for sign, hull in zip((1.0, -1.0), hulls):
+            point = (float(t[i]), sign * float(total[i]))
+            while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (point[0] - hull[-2][0]) <= \
+                    (point[1] - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
+                hull.pop()
+            hull.append(point)
+            slope = sign * mean[i]
+            lo, hi = 0, len(hull) - 1
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if hull[mid + 1][1] - hull[mid][1] > slope * (hull[mid + 1][0] - hull[mid][0]):
+                    lo = mid + 1
+                else:
+                    hi = mid
+            extremes.append(hull[lo][1] - slope * hull[lo][0])
+        reach[i] = extremes[0] + extremes[1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.log(reach / deviation)[1:]
+    if not np.isfinite(ratio).all():
+        return math.nan
+    return float(np.polyfit(np.log(t)[1:], ratio, 1)[0])

@@ -76,8 +76,8 @@ def overall_leaderboard(ranked: DataFrame, metric: str = "MASE", baseline: str =
     means = normalized.groupBy("model").agg(
         geometric_mean("MASE").alias("MASE (norm.)"), geometric_mean("CRPS").alias("CRPS (norm.)"))
     board = means.join(average_rank(ranked, normalized), "model", "left").select(
-        "model", *[F.round(c, 3).alias(c) for c in ("MASE (norm.)", "CRPS (norm.)", "MASE_rank", "CRPS_rank")])
-    return board.orderBy(F.col(f"{metric} (norm.)").asc_nulls_last(), "model")
+        "model", *[F.round(f"`{c}`", 3).alias(c) for c in ("MASE (norm.)", "CRPS (norm.)", "MASE_rank", "CRPS_rank")])
+    return board.orderBy(F.col(f"`{metric} (norm.)`").asc_nulls_last(), "model")
 
 
 def has_baseline(results: DataFrame, baseline: str = BASELINE) -> bool:

@@ -153,7 +153,8 @@ def fallback_scale(filled: DataFrame) -> DataFrame:
 
 
 def _filled_with_scale(df: DataFrame) -> DataFrame:
-    filled = df if "y_filled" in df.columns else grid.fill_forward_back_zero(df)
+    """Filled rows with the fallback scale; the filled panel has three readers."""
+    filled = df if "y_filled" in df.columns else grid.materialize(grid.fill_forward_back_zero(df))
     return grid.attach(filled, fallback_scale(filled))
 
 
@@ -232,7 +233,8 @@ def clean_outliers(flagged: DataFrame) -> DataFrame:
     many extreme points is left as it is. Returns `(unique_id, ds, y, y_clean)`.
     """
     good = F.when(~F.col("extreme"), F.col("y_filled"))
-    rows = flagged.withColumn("good", good)
+    # Read twice below: the sliding quantiles should not run again.
+    rows = grid.materialize(flagged.withColumn("good", good))
     at = F.when(F.col("good").isNotNull(), F.col("pos"))
     across = Window.partitionBy("unique_id").orderBy("block")
     edges = rows.groupBy("unique_id", "block").agg(

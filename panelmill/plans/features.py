@@ -1,0 +1,360 @@
+"""Queries for the feature operators, with check SQL.
+
+Formulas on components are checked on a decomposition that SQL can also build: a
+centred moving average, the mean of each phase, and the rest.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelmill.functions import frequency as fq
+from panelmill.operators import features as ft
+from panelmill.operators import grid
+from panelmill.operators import panel as shape
+from panelmill.plans.panels import FREQ, dense_sql, panel
+from panelmill.plans.quality import LINEAR_SQL, dense, orders_wide
+from panelmill.plans.registry import R, query, rounded
+
+PERIOD = 7
+
+
+def prepared(spark, sf, name: str) -> DataFrame:
+    return ft.prepared(dense(spark, sf, name))
+
+
+def prepared_sql(name: str) -> str:
+    """CTE `z`: interpolated and scaled."""
+    return f"""{dense_sql(name)},{LINEAR_SQL},
+mu AS (SELECT unique_id, avg(y) AS m, stddev_samp(y) AS s FROM f GROUP BY 1),
+z AS (SELECT unique_id, pos, n, (yl - m) / s AS y FROM lin JOIN mu USING (unique_id))"""
+
+
+def moving_components(rows: DataFrame, m: int = PERIOD) -> DataFrame:
+    half = m // 2
+    halo = grid.reblock(rows.drop("block"), "pos", F.lit(grid.BLOCK_STEPS), F.lit(half), F.lit(half))
+    smooth = F.avg("y").over(grid.ordered().rowsBetween(-half, half))
+    smoothed = halo.withColumn("trend", smooth).where("core").withColumn("phase", F.pmod("pos", F.lit(m)))
+    phases = smoothed.groupBy("unique_id", "phase").agg(F.avg(F.col("y") - F.col("trend")).alias("seasonal"))
+    return smoothed.join(phases, ["unique_id", "phase"]).select(
+        "unique_id", "block", "pos", "n", F.lit(m).cast("bigint").alias("m"), "y", "trend", "seasonal",
+        (F.col("y") - F.col("trend") - F.col("seasonal")).alias("remainder"))
+
+
+def components_sql(name: str = "lineitem_daily", m: int = PERIOD) -> str:
+    """CTE `c`: the same components."""
+    half = m // 2
+    return f"""{prepared_sql(name)},
+tr AS (SELECT *, avg(y) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS trend FROM z),
+se AS (SELECT *, avg(y - trend) OVER (PARTITION BY unique_id, pos % {m}) AS seasonal FROM tr),
+c AS (SELECT *, y - trend - seasonal AS remainder, {m} AS m FROM se)"""
+
+
+def components(spark, sf) -> DataFrame:
+    return moving_components(prepared(spark, sf, "lineitem_daily"))
+
+
+# --- Raw series ---------------------------------------------------------------
+
+@query("basic_stats", sql=f"""
+WITH {dense_sql('orders_daily')}
+SELECT unique_id, {R('avg(y)', 3)} AS mean, {R('stddev_pop(y)', 3)} AS std,
+       {R('avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END)')} AS missing_rate, count(*) AS length FROM f GROUP BY 1""")
+def basic_stats(spark, sf):
+    out = ft.basic_stats(dense(spark, sf, "orders_daily"))
+    return out.select("unique_id", rounded("mean", 3).alias("mean"), rounded("std", 3).alias("std"),
+                      rounded("missing_rate").alias("missing_rate"), "length")
+
+
+@query("interpolate_scaled", sql=f"WITH {prepared_sql('orders_daily')} SELECT unique_id, pos, {R('y')} AS y FROM z")
+def interpolate_scaled(spark, sf):
+    return prepared(spark, sf, "orders_daily").select("unique_id", "pos", rounded("y").alias("y"))
+
+
+def acf_sql(source: str, value: str, prefix: str) -> str:
+    """CTE `ac` over a source with unique_id, pos."""
+    def lags(name: str) -> str:
+        return ", ".join(f"lag({name}, {k}) OVER w AS {name}{k}" for k in range(1, 11))
+
+    def acf(name: str, k: int) -> str:
+        return f"(sum(({name} - m{name}) * ({name}{k} - m{name})) / ((count({name}) - {k}) * max(v{name})))"
+
+    return f"""
+a0 AS (SELECT unique_id, pos, {value} AS x, {value} - lag({value}) OVER (PARTITION BY unique_id ORDER BY pos) AS d FROM {source}),
+a1 AS (SELECT unique_id, avg(x) AS mx, var_pop(x) AS vx, avg(d) AS md, var_pop(d) AS vd FROM a0 GROUP BY 1),
+a2 AS (SELECT unique_id, pos, x, d, {lags('x')}, {lags('d')} FROM a0 WINDOW w AS (PARTITION BY unique_id ORDER BY pos)),
+ac AS (SELECT unique_id, {acf('x', 1)} AS {prefix}_acf1, {' + '.join(f"power({acf('x', k)}, 2)" for k in range(1, 11))} AS {prefix}_acf10,
+              {acf('d', 1)} AS {prefix}_diff1_acf1, {' + '.join(f"power({acf('d', k)}, 2)" for k in range(1, 11))} AS {prefix}_diff1_acf10
+       FROM a2 JOIN a1 USING (unique_id) GROUP BY 1)"""
+
+
+def _acf_select(prefix: str) -> str:
+    return ", ".join(f"{R(f'{prefix}_{c}')} AS {prefix}_{c}" for c in ("acf1", "acf10", "diff1_acf1", "diff1_acf10"))
+
+
+def _rounded_all(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[rounded(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@query("acf_features", sql=f"WITH {prepared_sql('supplier_weekly')},{acf_sql('z', 'y', 'x')} SELECT unique_id, {_acf_select('x')} FROM ac")
+def acf_features(spark, sf):
+    return _rounded_all(ft.acf_features(prepared(spark, sf, "supplier_weekly")))
+
+
+def _pacf_sql(source: str) -> str:
+    steps = [f"""
+b0 AS (SELECT unique_id, pos, y AS x0, y - lag(y) OVER w AS x1, y - 2 * lag(y) OVER w + lag(y, 2) OVER w AS x2 FROM {source}
+       WINDOW w AS (PARTITION BY unique_id ORDER BY pos)),
+bl AS (""" + " UNION ALL ".join(f"SELECT unique_id, {d} AS d, pos, x{d} AS x FROM b0 WHERE pos >= {d}" for d in range(3)) + """),
+bc AS (SELECT unique_id, d, pos, x - avg(x) OVER (PARTITION BY unique_id, d) AS x FROM bl),
+bp AS (SELECT unique_id, d, x, """ + ", ".join(f"lag(x, {k}) OVER w AS l{k}" for k in range(1, 6)) + """ FROM bc
+       WINDOW w AS (PARTITION BY unique_id, d ORDER BY pos)),
+s0 AS (SELECT unique_id, d, """ + ", ".join(f"sum(x * l{k}) / sum(x * x) AS r{k}" for k in range(1, 6)) + " FROM bp GROUP BY 1, 2)"]
+    for k in range(1, 6):
+        top = f"(r{k}" + "".join(f" - f{k - 1}_{j} * r{k - j}" for j in range(1, k)) + ")"
+        low = "(1.0" + "".join(f" - f{k - 1}_{j} * r{j}" for j in range(1, k)) + ")"
+        steps.append(f"t{k} AS (SELECT *, {top} / {low} AS f{k}_{k} FROM s{k - 1})")
+        more = "".join(f", f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} AS f{k}_{j}" for j in range(1, k))
+        steps.append(f"s{k} AS (SELECT *{more} FROM t{k})")
+    steps.append("pc AS (SELECT unique_id, d, " + " + ".join(f"power(f{k}_{k}, 2)" for k in range(1, 6)) + " AS p FROM s5)")
+    return ",\n".join(steps)
+
+
+@query("pacf_features", sql=f"""
+WITH {prepared_sql('supplier_weekly')},{_pacf_sql('z')}
+SELECT unique_id, {R('max(CASE WHEN d = 0 THEN p END)')} AS x_pacf5, {R('max(CASE WHEN d = 1 THEN p END)')} AS diff1x_pacf5,
+       {R('max(CASE WHEN d = 2 THEN p END)')} AS diff2x_pacf5 FROM pc GROUP BY 1""")
+def pacf_features(spark, sf):
+    return _rounded_all(ft.pacf_features(prepared(spark, sf, "supplier_weekly")))
+
+
+@query("kurtosis", sql=f"WITH {prepared_sql('supplier_weekly')} SELECT unique_id, {R('kurtosis_pop(y)')} AS kurtosis FROM z GROUP BY 1")
+def kurtosis(spark, sf):
+    return prepared(spark, sf, "supplier_weekly").groupBy("unique_id").agg(rounded(F.kurtosis("y")).alias("kurtosis"))
+
+
+def block_sql(source: str, value: str, width: str) -> str:
+    return f"""
+bk AS (SELECT unique_id, pos // {width} AS b, avg({value}) AS mean, var_samp({value}) AS var FROM {source}
+       WHERE (pos // {width} + 1) * {width} <= n GROUP BY 1, 2),
+bv AS (SELECT unique_id, var_samp(mean) AS stability, var_samp(var) AS lumpiness FROM bk GROUP BY 1)"""
+
+
+@query("stability", sql=f"WITH {prepared_sql('supplier_weekly')},{block_sql('z', 'y', '13')} SELECT unique_id, {R('stability')} AS stability FROM bv")
+def stability(spark, sf):
+    out = ft.block_features(prepared(spark, sf, "supplier_weekly"), "y", F.lit(13).cast("bigint"))
+    return _rounded_all(out.drop("lumpiness"))
+
+
+@query("lumpiness", sql=f"WITH {prepared_sql('lineitem_daily')},{block_sql('z', 'y', '10')} SELECT unique_id, {R('lumpiness')} AS lumpiness FROM bv")
+def lumpiness(spark, sf):
+    out = ft.block_features(prepared(spark, sf, "lineitem_daily"), "y", ft.block_width(F.lit(1)))
+    return _rounded_all(out.drop("stability"))
+
+
+@query("crossing_points", sql=f"""
+WITH {prepared_sql('supplier_weekly')}, md AS (SELECT unique_id, quantile_cont(y, 0.5) AS md FROM z GROUP BY 1),
+lw AS (SELECT unique_id, pos, y <= md AS low FROM z JOIN md USING (unique_id)),
+ch AS (SELECT unique_id, low <> lag(low) OVER (PARTITION BY unique_id ORDER BY pos) AS c FROM lw)
+SELECT unique_id, count(CASE WHEN c THEN 1 END) AS crossing_points FROM ch GROUP BY 1""")
+def crossing_points(spark, sf):
+    return ft.crossing_points(grid.materialize(prepared(spark, sf, "supplier_weekly")))
+
+
+@query("flat_spots", sql=f"""
+WITH {dense_sql('supplier_weekly')},{LINEAR_SQL},
+bn AS (SELECT unique_id, pos, greatest(1, ceil((yl - min(yl) OVER s) / (max(yl) OVER s - min(yl) OVER s) * 10)) AS bin FROM lin
+       WINDOW s AS (PARTITION BY unique_id)),
+rn AS (SELECT unique_id, bin, pos - row_number() OVER (PARTITION BY unique_id, bin ORDER BY pos) AS isle FROM bn),
+ln AS (SELECT unique_id, count(*) AS c FROM rn GROUP BY unique_id, bin, isle)
+SELECT unique_id, max(c) AS flat_spots FROM ln GROUP BY 1""")
+def flat_spots(spark, sf):
+    linear = grid.impute_linear(dense(spark, sf, "supplier_weekly"), "v", empty=None)
+    return ft.flat_spots(linear.select("unique_id", "block", "pos", "n", "v"), "v")
+
+
+# --- Spectrum -------------------------------------------------------------------
+
+def spectrum_sql() -> str:
+    """CTE `sp`: discrete Fourier magnitudes of the 120-step series."""
+    return f"""{prepared_sql('events_6h')},
+sp0 AS (SELECT unique_id, n, k, sqrt(power(sum(y * cos(2 * pi() * k * pos / n)), 2) + power(sum(y * sin(2 * pi() * k * pos / n)), 2)) AS a
+        FROM z, range(0, 61) AS q(k) WHERE k <= n // 2 GROUP BY 1, 2, 3),
+sp AS (SELECT unique_id, n, CAST(k AS BIGINT) AS k, k / n AS f, CASE WHEN k = 0 THEN 0.0 ELSE a END AS magnitude FROM sp0)"""
+
+
+@query("spectrum", sql=f"WITH {spectrum_sql()} SELECT unique_id, k, {R('magnitude')} AS magnitude FROM sp")
+def spectrum(spark, sf):
+    return ft.spectrum(prepared(spark, sf, "events_6h")).select("unique_id", "k", rounded("magnitude").alias("magnitude"))
+
+
+def strength_sql() -> str:
+    """CTE `ps`: share of the magnitude in each band."""
+    bands = " UNION ALL ".join(f"SELECT {i} AS i, {p} AS period, CAST({lo!r} AS DOUBLE) AS lo, CAST({hi!r} AS DOUBLE) AS hi"
+                               for i, (p, lo, hi) in enumerate(fq.period_bands("6H")))
+    return f"""{spectrum_sql()}, bd AS ({bands}),
+ps AS (SELECT unique_id, i, period, coalesce(sum(CASE WHEN f BETWEEN lo AND hi THEN magnitude END), 0) / sum(magnitude) AS strength
+       FROM sp, bd WHERE k < n // 2 AND period < n GROUP BY 1, 2, 3)"""
+
+
+@query("period_strength", sql=f"WITH {strength_sql()} SELECT unique_id, CAST(period AS BIGINT) AS period, {R('strength')} AS strength FROM ps")
+def period_strength(spark, sf):
+    out = ft.period_strength(ft.spectrum(prepared(spark, sf, "events_6h")), "6H")
+    return out.select("unique_id", F.explode("bands").alias("b")).select(
+        "unique_id", "b.period", rounded("b.strength").alias("strength"))
+
+
+def top_sql() -> str:
+    ranks = ", ".join(f"max(CASE WHEN rk = {i} THEN CAST(period AS BIGINT) END) AS period{i}, "
+                      f"max(CASE WHEN rk = {i} THEN round(strength, 3) END) AS p_strength{i}" for i in (1, 2, 3))
+    return f"""{strength_sql()},
+pr AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY strength DESC, i) AS rk FROM ps),
+tp AS (SELECT unique_id, {ranks} FROM pr GROUP BY 1)"""
+
+
+def top_periods_of(spark, sf) -> DataFrame:
+    return ft.top_periods(ft.period_strength(ft.spectrum(prepared(spark, sf, "events_6h")), "6H"))
+
+
+@query("top_periods", sql=f"WITH {top_sql()} SELECT * FROM tp")
+def top_periods(spark, sf):
+    return top_periods_of(spark, sf)
+
+
+@query("per_series_params", sql=f"""
+WITH {top_sql()} SELECT unique_id, period1, count(*) AS n, count(*) // period1 AS cycles FROM z JOIN tp USING (unique_id) GROUP BY 1, 2""")
+def per_series_params(spark, sf):
+    """Every series with its own period."""
+    rows = grid.materialize(prepared(spark, sf, "events_6h"))
+    periods = ft.top_periods(ft.period_strength(ft.spectrum(rows), "6H"))
+    return grid.attach(rows, periods).groupBy("unique_id", "period1").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "cycles", F.floor(F.col("n") / F.col("period1")).cast("bigint"))
+
+
+@query("spectral_entropy", sql=f"""
+WITH {spectrum_sql()}, pw AS (SELECT unique_id, magnitude * magnitude * (CASE WHEN k BETWEEN 1 AND (n - 1) // 2 THEN 2.0 ELSE 1.0 END) AS p FROM sp),
+pn AS (SELECT unique_id, p / sum(p) OVER (PARTITION BY unique_id) AS p FROM pw)
+SELECT unique_id, {R('-sum(p * log2(p))')} AS x_entropy FROM pn WHERE p > 0 GROUP BY 1""")
+def spectral_entropy(spark, sf):
+    return _rounded_all(ft.spectral_entropy(ft.spectrum(prepared(spark, sf, "events_6h"))))
+
+
+@query("hurst", sql=f"""
+WITH {prepared_sql('events_6h')},
+cs AS (SELECT unique_id, pos + 1 AS t, sum(y) OVER w AS s, avg(y) OVER w AS m, stddev_pop(y) OVER w AS sd FROM z
+       WINDOW w AS (PARTITION BY unique_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+rg AS (SELECT a.unique_id, a.t, max(b.s - b.t * a.m) - min(b.s - b.t * a.m) AS r, any_value(a.sd) AS sd
+       FROM cs a JOIN cs b ON a.unique_id = b.unique_id AND b.t <= a.t WHERE a.t > 1 GROUP BY 1, 2)
+SELECT unique_id, {R('regr_slope(ln(r / sd), ln(t))')} AS hurst FROM rg GROUP BY 1""")
+def hurst(spark, sf):
+    return _rounded_all(ft.hurst(prepared(spark, sf, "events_6h")))
+
+
+# --- Features of components ---------------------------------------------------------
+
+def _component_query(column: str, sql: str, digits: int = 6) -> None:
+    @query(column, sql=f"WITH {components_sql()} SELECT unique_id, {R(sql, digits)} AS {column} FROM c GROUP BY 1")
+    def run(spark, sf):
+        return _rounded_all(ft.component_features(components(spark, sf)).select("unique_id", column), digits)
+
+
+_component_query("trend_strength", "greatest(0, least(1, 1 - var_samp(remainder) / var_samp(y - seasonal)))")
+_component_query("seasonal_strength", "greatest(0, least(1, 1 - var_samp(remainder) / var_samp(remainder + seasonal)))")
+_T = "(pos - (n - 1) / 2)"
+_S2 = f"sum({_T} * {_T})"
+_component_query("linearity", f"sum(trend * {_T}) / sqrt({_S2})")
+_component_query("curvature", f"(sum(trend * {_T} * {_T}) - {_S2} / count(*) * sum(trend)) / "
+                              f"sqrt(sum(power({_T}, 4)) - {_S2} * {_S2} / count(*))")
+
+
+@query("spike", sql=f"""
+WITH {components_sql()},
+q AS (SELECT unique_id, n, power(remainder - avg(remainder) OVER s, 2) AS d, var_samp(remainder) OVER s AS v FROM c
+      WINDOW s AS (PARTITION BY unique_id))
+SELECT unique_id, {R('var_samp((v * (n - 1) - d) / (n - 2))', 12)} AS spike FROM q GROUP BY 1""")
+def spike(spark, sf):
+    return _rounded_all(ft.component_features(components(spark, sf)).select("unique_id", "spike"), 12)
+
+
+@query("residual_acf", sql=f"WITH {components_sql()},{acf_sql('c', 'remainder', 'e')} SELECT unique_id, {_acf_select('e')} FROM ac")
+def residual_acf(spark, sf):
+    return _rounded_all(ft.acf_features(components(spark, sf), "remainder", "e"))
+
+
+@query("seasonal_corr", sql=f"""
+WITH {components_sql()},
+cy AS (SELECT unique_id, pos // 7 AS c, pos % 7 AS ph, seasonal + 0.3 * trend AS v FROM c WHERE (pos // 7 + 1) * 7 <= n),
+pr AS (SELECT a.unique_id, a.c, b.c AS c2, corr(a.v, b.v) AS r FROM cy a JOIN cy b ON a.unique_id = b.unique_id AND a.ph = b.ph AND a.c < b.c
+       GROUP BY 1, 2, 3)
+SELECT unique_id, {R('avg(r)')} AS seasonal_corr FROM pr GROUP BY 1""")
+def seasonal_corr(spark, sf):
+    """On a season mixed with some trend, since a pure phase mean repeats exactly."""
+    mixed = components(spark, sf).withColumn("seasonal", F.col("seasonal") + 0.3 * F.col("trend"))
+    return _rounded_all(ft.seasonal_corr(mixed))
+
+
+# --- Decomposition and sequential features: rows only -----------------------------------
+
+def _decomposed(spark, sf, name: str, method: str) -> DataFrame:
+    rows = grid.materialize(prepared(spark, sf, name))
+    periods = ft.top_periods(ft.period_strength(ft.spectrum(rows), FREQ[name]))
+    return ft.decompose(rows, periods, FREQ[name], method)
+
+
+query("stl")(lambda spark, sf: _decomposed(spark, sf, "lineitem_daily", "stl"))
+query("mstl")(lambda spark, sf: _decomposed(spark, sf, "events_hourly", "mstl"))
+
+
+@query("trend_smooth")
+def trend_smooth(spark, sf):
+    """Series without a season: the super-smoother on each nation's months."""
+    rows = prepared(spark, sf, "nation_monthly")
+    none = rows.groupBy("unique_id").agg(*[F.lit(None).cast("bigint").alias(f"period{i}") for i in (1, 2, 3)])
+    return ft.decompose(rows, none, "MS")
+
+
+@query("gram_features")
+def gram_features(spark, sf):
+    """ARCH statistic of the remainder and nonlinearity of the trend."""
+    return ft.gram_features(grid.materialize(components(spark, sf)))
+
+
+@query("sequential_features")
+def sequential_features(spark, sf):
+    """Stationarity, W, entropies and Hurst, with a user function alongside."""
+    return ft.sequential_features(components(spark, sf), {"peak": lambda y: y.max()})
+
+
+def orders_features(spark, sf, method: str) -> tuple[DataFrame, DataFrame]:
+    long = shape.to_panel(orders_wide(spark, sf), ["series_name"], "timestamp")
+    return ft.features(long.select("unique_id", "ds", "y"), "D", method), shape.uid_info(long)
+
+
+@query("features_stl")
+def features_stl(spark, sf):
+    table, info = orders_features(spark, sf, "stl")
+    return ft.complete(ft.assemble(table, info, "orders/D"))
+
+
+@query("features_mstl")
+def features_mstl(spark, sf):
+    return ft.features(panel(spark, sf, "events_hourly"), "H", "mstl", test_length=500)
+
+
+@query("assemble_features", sql=f"""
+WITH {top_sql()},
+st AS (SELECT unique_id, avg(y) AS mean, stddev_pop(y) AS std, avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END) AS missing_rate,
+              count(*) AS length FROM f GROUP BY 1)
+SELECT 'events/6H' AS dataset_id, 'events' AS series_name, unique_id AS variate_name, unique_id, {R('mean')} AS mean,
+       {R('std', 4)} AS std, missing_rate, length, period1, period2, period3, p_strength1, p_strength2, p_strength3
+FROM st JOIN tp USING (unique_id) WHERE unique_id <> 'view'""")
+def assemble_features(spark, sf):
+    """Statistics and periods with identifiers; one series lacks a mean and is dropped."""
+    df = grid.materialize(dense(spark, sf, "events_6h"))
+    stats = ft.basic_stats(df).withColumn("mean", F.when(F.col("unique_id") != "view", F.col("mean")))
+    periods = ft.top_periods(ft.period_strength(ft.spectrum(ft.prepared(df)), "6H"))
+    info = df.select("unique_id").distinct().select(
+        "unique_id", F.lit("events").alias("series_name"), F.col("unique_id").alias("variate_name"))
+    table = ft.complete(ft.assemble(stats.join(periods, "unique_id", "left"), info, "events/6H"))
+    return table.withColumn("mean", rounded("mean")).withColumn("std", rounded("std", 4))

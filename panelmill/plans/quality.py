@@ -21,22 +21,26 @@ def filled(spark, sf, name: str) -> DataFrame:
 
 # --- Calendar --------------------------------------------------------------
 
-@query("infer_freq", sql="""
-SELECT unique_id, CASE WHEN unique_id LIKE 'h%' THEN 'H' WHEN unique_id LIKE 'm%' THEN 'MS'
-                       WHEN unique_id LIKE 'w%' THEN 'W-MON' WHEN unique_id LIKE 'q%' THEN '6H' END AS freq
-FROM (SELECT 'h' AS unique_id UNION ALL SELECT 'm' UNION ALL SELECT 'w' UNION ALL SELECT 'q' UNION ALL SELECT 'x')
-WHERE EXISTS (SELECT 1 FROM events) AND EXISTS (SELECT 1 FROM orders)""")
+_CALENDARS = {"events_hourly": "events", "events_6h": "quarters", "supplier_weekly": "weeks", "nation_monthly": "months"}
+
+
+@query("infer_freq", sql="WITH " + ", ".join(
+    f"c_{n} AS (WITH {dense_sql(n)} SELECT DISTINCT '{tag}' AS unique_id, ds FROM f)" for n, tag in _CALENDARS.items()) + f""",
+c_orders AS ({SQL['orders_daily']}),
+al AS (SELECT unique_id, ds FROM c_orders UNION ALL """ + " UNION ALL ".join(f"SELECT unique_id, ds FROM c_{n}" for n in _CALENDARS) + """),
+df AS (SELECT unique_id, ds, epoch(ds) - epoch(lag(ds) OVER w) AS s, date_diff('month', lag(ds) OVER w, ds) AS m FROM al
+       WINDOW w AS (PARTITION BY unique_id ORDER BY ds))
+SELECT unique_id, CASE WHEN min(m) = 1 AND max(m) = 1 AND bool_and(day(ds) = 1) THEN 'MS' WHEN min(s) <> max(s) THEN NULL
+                       WHEN min(s) = 604800 THEN 'W-' || upper(strftime(min(ds), '%a')) WHEN min(s) = 3600 THEN 'H'
+                       WHEN min(s) % 3600 = 0 AND min(s) < 86400 THEN CAST(CAST(min(s) / 3600 AS BIGINT) AS VARCHAR) || 'H' END AS freq
+FROM df GROUP BY 1""")
 def infer_freq(spark, sf):
-    """Hourly, monthly, weekly and 6-hourly calendars of the tables, and a gappy one."""
-    def times(tag, name, fill=True):
-        p = panel(spark, sf, name)
-        p = grid.gap_fill(p, FREQ[name]) if fill else p
-        return p.select(F.lit(tag).alias("unique_id"), "ds").distinct()
-
-    every = times("h", "events_hourly").unionByName(times("m", "nation_monthly")).unionByName(
-        times("w", "supplier_weekly")).unionByName(times("q", "events_6h"))
-    holes = panel(spark, sf, "orders_daily").where("day(ds) % 3 <> 0").select(F.lit("x").alias("unique_id"), "ds").distinct()
-    return shape.infer_freq(every.unionByName(holes))
+    """Regular calendars of the tables, and the gappy order days of each priority."""
+    every = panel(spark, sf, "orders_daily").select("unique_id", "ds")
+    for name, tag in _CALENDARS.items():
+        full = grid.gap_fill(panel(spark, sf, name), FREQ[name])
+        every = every.unionByName(full.select(F.lit(tag).alias("unique_id"), "ds").distinct())
+    return shape.infer_freq(every)
 
 
 _ALIASES = ["H", "6H", "D", "W", "15T", "B", "Q", "M", "A"]
@@ -96,11 +100,10 @@ def date_grid_business(spark, sf):
 
 
 @query("weekly_anchor", sql="""
-WITH c AS (SELECT l_returnflag || l_linestatus AS unique_id, (isodow(l_shipdate) - 1) AS wd, count(*) AS c FROM lineitem
-           WHERE isodow(l_shipdate) <> 3 OR l_quantity > 25 GROUP BY 1, 2)
+WITH c AS (SELECT l_returnflag || l_linestatus AS unique_id, (isodow(l_shipdate) - 1) AS wd, count(*) AS c FROM lineitem GROUP BY 1, 2)
 SELECT unique_id, CAST(arg_max(wd, c * 10 - wd) AS BIGINT) AS weekday FROM c GROUP BY 1""")
 def weekly_anchor(spark, sf):
-    rows = read(spark, sf, "lineitem").where("weekday(l_shipdate) <> 2 OR l_quantity > 25").select(
+    rows = read(spark, sf, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("unique_id"), F.col("l_shipdate").alias("ds"))
     return shape.weekly_anchor(rows)
 

@@ -1,0 +1,47 @@
+"""Wide CSV files in, cleaned tables and diagnostics out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelmill.operators.panel import normalize_timestamp_column, parse_timestamps
+
+
+def read_wide_csv(spark: SparkSession, path: str, pattern: str = "*.csv",
+                  schema: T.StructType | None = None) -> DataFrame:
+    """All matching files of a folder, `series_name` = file name without extension.
+
+    Spark raises if nothing matches. Give a schema for large inputs; without one
+    the types are inferred, which costs another pass.
+    """
+    reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    df = reader.csv(path)
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[^.]*$", "")
+    named = df.select("*", F.url_decode(name).alias("series_name"))
+    timed = normalize_timestamp_column(named)
+    if dict(timed.dtypes)["timestamp"] == "string":
+        timed = timed.withColumn("timestamp", parse_timestamps(F.col("timestamp")))
+    rest = [f"`{c}`" for c in timed.columns if c not in ("series_name", "timestamp")]
+    return timed.select("series_name", F.col("timestamp").cast("timestamp").alias("timestamp"), *rest)
+
+
+def write_cleaned(df: DataFrame, path: str, dataset: str, freq: str, fmt: str = "parquet") -> None:
+    """Cleaned long or wide table below `dataset=.../freq=...`."""
+    df.withColumns({"dataset": F.lit(dataset), "freq": F.lit(freq)}).write.mode("append").partitionBy(
+        "dataset", "freq").format(fmt).save(path)
+
+
+def write_diagnostics(report: DataFrame, path: str, dataset: str, freq: str) -> None:
+    """Quality report as JSON lines, one per series, without the series itself."""
+    write_cleaned(report, path, dataset, freq, fmt="json")
+
+
+def write_features(df: DataFrame, path: str, dataset: str, freq: str, decomposition: str = "stl",
+                   split: str = "test") -> str:
+    """Feature table at a path of its key; left alone when it exists already."""
+    target = f"{path}/{decomposition}_features/{dataset}/{freq}/{split}"
+    df.write.mode("ignore").parquet(target)
+    return target
