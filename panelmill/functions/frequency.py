@@ -209,5 +209,5 @@ def min_length_column(alias: Column) -> Column:
     table = F.create_map(*[F.lit(v) for a, b in ALIASES.items() for v in (a, MIN_LENGTH[b])])
     base = F.try_element_at(table, F.when(name != "", name).otherwise("?"))
     n = F.when(count == "", F.lit("1")).otherwise(count).cast("bigint")
-    scaled = F.greatest(F.lit(1), F.floor(base / n))
+    scaled = F.when(base.isNotNull(), F.greatest(F.lit(1), F.floor(base / n)))
     return F.coalesce(scaled, F.lit(DEFAULT_MIN_LENGTH)).cast("bigint")

@@ -46,13 +46,16 @@ def _local_linear(at: np.ndarray, left: np.ndarray, span: int, n: int, extra: fl
     return np.where(np.sqrt(spread) > 0.001 * (n - 1.0), sloped, w)
 
 
-def loess(rows: np.ndarray, span: int, extend: int = 0) -> np.ndarray:
+def loess(rows: np.ndarray, span: int, extend: int = 0, total: int | None = None) -> np.ndarray:
     """Local linear smoothing of each row at its own points, and `extend` beyond both ends.
 
     Away from the ends all points share one symmetric window, where a local line
     equals a weighted mean; only the points near the ends need their own weights.
+    Where the points of a window lie within 0.1 % of the whole series, a line is
+    not fitted; `total` is the length of that series if the rows are a part of it.
     """
     n = rows.shape[1]
+    total = total or n
     if n == 1:
         return np.repeat(rows, 1 + 2 * extend, axis=1)
     width = min(span, n)
@@ -77,7 +80,7 @@ def loess(rows: np.ndarray, span: int, extend: int = 0) -> np.ndarray:
     edge = np.flatnonzero(~inner)
     for part in np.array_split(edge, max(1, edge.size * width // 4_000_000)):
         if part.size:
-            weights = _local_linear(at[part].astype(float), left[part].astype(float), width, n, extra)
+            weights = _local_linear(at[part].astype(float), left[part].astype(float), width, total, extra)
             gather = left[part][:, None] + np.arange(width)[None, :]
             out[:, part] = np.einsum("rpw,pw->rp", rows[:, gather], weights)
     return out
@@ -102,28 +105,35 @@ def stl_reach(period: int, seasonal: int = STL_SEASONAL_SPAN) -> int:
     return (STL_INNER_LOOPS + 1) * one_loop
 
 
-def stl(y: np.ndarray, period: int, seasonal: int = STL_SEASONAL_SPAN,
-        loops: int = STL_INNER_LOOPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trend, season and remainder by Cleveland et al. (1990), without robustness weights."""
+def stl(y: np.ndarray, period: int, seasonal: int = STL_SEASONAL_SPAN, start: int = 0,
+        total: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trend, season and remainder by Cleveland et al. (1990), without robustness weights.
+
+    `y` may be a stretch, from position `start`, of a series of `total` values.
+    """
     n = len(y)
+    total = total or n
     if period < 2 or n <= period:
         raise ValueError("a season needs a period of 2 or more and a longer series")
     trend_span, low_span = stl_spans(period, seasonal)
     trend = np.zeros(n)
     season = np.zeros(n)
-    for _ in range(loops):
+    for _ in range(STL_INNER_LOOPS):
         flat = y - trend
         cycle = np.empty(n + 2 * period)
-        for length in {(n - phase + period - 1) // period for phase in range(period)}:
-            phases = [p for p in range(period) if (n - p + period - 1) // period == length]
-            rows = np.stack([flat[p::period] for p in phases])
-            smooth = loess(rows, seasonal, extend=1)
+        alike: dict[tuple[int, int], list[int]] = {}
+        for phase in range(period):
+            here = (n - phase + period - 1) // period
+            whole = (total - (start + phase) % period + period - 1) // period
+            alike.setdefault((here, whole), []).append(phase)
+        for (here, whole), phases in alike.items():
+            smooth = loess(np.stack([flat[p::period] for p in phases]), seasonal, extend=1, total=whole)
             for p, row in zip(phases, smooth):
-                cycle[p::period][:length + 2] = row
+                cycle[p::period][:here + 2] = row
         low = _moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3)
-        low = loess(low[None, :], low_span)[0]
+        low = loess(low[None, :], low_span, total=total)[0]
         season = cycle[period:period + n] - low
-        trend = loess((y - season)[None, :], trend_span)[0]
+        trend = loess((y - season)[None, :], trend_span, total=total)[0]
     return trend, season, y - trend - season
 
 
@@ -131,7 +141,7 @@ def mstl_spans(count: int) -> list[int]:
     return [7 + 4 * (i + 1) for i in range(count)]
 
 
-def mstl(y: np.ndarray, periods: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mstl(y: np.ndarray, periods: list[int], start: int = 0, total: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Several seasons, refined in two passes (Bandara et al. 2021); seasons are summed."""
     spans = mstl_spans(len(periods))
     seasons = [np.zeros(len(y)) for _ in periods]
@@ -139,7 +149,7 @@ def mstl(y: np.ndarray, periods: list[int]) -> tuple[np.ndarray, np.ndarray, np.
     for _ in range(1 if len(periods) == 1 else 2):
         for i, period in enumerate(periods):
             rest = rest + seasons[i]
-            trend, seasons[i], _ = stl(rest, period, spans[i])
+            trend, seasons[i], _ = stl(rest, period, spans[i], start, total)
             rest = rest - seasons[i]
     season = np.sum(seasons, axis=0)
     return trend, season, y - trend - season

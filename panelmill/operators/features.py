@@ -286,6 +286,7 @@ def decompose(rows: DataFrame, periods: DataFrame, freq: str, method: str = "stl
         group = group.sort_values("pos")
         y = group["y"].to_numpy(dtype=float)
         seasons = [int(p) for p in group["usable"].iloc[0]]
+        place = int(group["pos"].iloc[0]), int(group["n"].iloc[0])
         try:
             if not np.isfinite(y).all():
                 raise ValueError("missing values")
@@ -293,9 +294,9 @@ def decompose(rows: DataFrame, periods: DataFrame, freq: str, method: str = "stl
                 trend = numerics.super_smoother(y)
                 parts = trend, np.zeros(len(y)), y - trend
             elif method == "mstl":
-                parts = numerics.mstl(y, seasons)
+                parts = numerics.mstl(y, seasons, *place)
             else:
-                parts = numerics.stl(y, seasons[0])
+                parts = numerics.stl(y, seasons[0], numerics.STL_SEASONAL_SPAN, *place)
         except ValueError:
             parts = tuple(np.full(len(y), None, dtype=object) for _ in range(3))
         group["trend"], group["seasonal"], group["remainder"] = parts

@@ -330,8 +330,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int
     """
     slack = 2.0 / accuracy
     edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
+    # The sketch errs by total / accuracy and interpolation needs one more neighbour;
+    # a short series is bracketed by its extremes.
+    short = F.count(value) <= 4 * accuracy
     bounds = df.where(F.col(value).isNotNull()).groupBy("unique_id").agg(
-        F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), accuracy).alias("edges"),
+        F.when(short, F.array(*[f(value) for _ in probs for f in (F.min, F.max)]))
+        .otherwise(F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), accuracy)).alias("edges"),
         F.count(value).alias("total"),
     )
     v = F.col("v")
