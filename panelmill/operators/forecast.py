@@ -32,12 +32,13 @@ def seasonal_naive(df: DataFrame, season: int, horizon: int, test_length: int,
     """
     count = windows.num_windows(test_length, horizon)
     start = F.col("n") - test_length
-    history = grid.fill_backward(grid.fill_forward(df, "_f"), "_b")
-    first = F.when(F.col("y").isNotNull(), F.col("pos"))
-    history = history.withColumn("_first", F.coalesce(F.first(first, True).over(grid.from_here()), F.col("next_pos")))
-    filled = F.coalesce("_f", "_b", F.lit(0.0))
-    history = history.withColumn("h", filled).withColumn(
-        "res", F.col("h") - F.lag("h", season).over(grid.ordered())).where("core")
+    seen_at = F.when(F.col("y").isNotNull(), F.col("pos"))
+    history = grid.fill_forward(df.withColumn("seen_at", seen_at), "_f").withColumns({
+        "_first": grid.first_ahead("seen_at", "next_pos"),
+        "h": F.coalesce("_f", grid.first_ahead("y", "next_y"), F.lit(0.0)),
+    })
+    residual = F.col("h") - F.lag("h", season).over(grid.ordered())
+    history = history.select("unique_id", "pos", "n", "core", "_f", "_first", "h", residual.alias("res")).where("core")
 
     segment = F.when(F.col("pos") < start, -1).otherwise(floor_div(F.col("pos") - start, horizon))
     so_far = Window.partitionBy("unique_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)

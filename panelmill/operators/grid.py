@@ -39,7 +39,10 @@ def up_to_here() -> WindowSpec:
 
 
 def from_here() -> WindowSpec:
-    return ordered().rowsBetween(0, Window.unboundedFollowing)
+    """This row and all later ones, walked backwards: a frame that is unbounded
+    ahead would be evaluated anew for every row. The nearest value is the `last`."""
+    return Window.partitionBy("unique_id", "block").orderBy(F.col("pos").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
 
 
 def clean_panel(panel: DataFrame) -> DataFrame:
@@ -163,7 +166,7 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
         return by_block.rowsBetween(Window.unboundedPreceding, -k)
 
     def after(k: int):
-        return by_block.rowsBetween(k, Window.unboundedFollowing)
+        return whole.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -k)
 
     if back:
         previous = F.coalesce(F.lag("head_last").over(by_block), F.last("last", True).over(before(2)))
@@ -173,9 +176,9 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
         previous = F.last("last", True).over(before(1))
         count = F.coalesce(F.sum("cnt").over(before(1)), F.lit(0))
     if ahead:
-        following = F.coalesce(F.lead("tail_first").over(by_block), F.first("first", True).over(after(2)))
+        following = F.coalesce(F.lead("tail_first").over(by_block), F.last("first", True).over(after(2)))
     else:
-        following = F.first("first", True).over(after(1))
+        following = F.last("first", True).over(after(1))
     return summary.withColumns({
         "prev": previous, "next": following, "seen": count,
         "t_lo": F.greatest("t0", F.col("block") * size - back),
@@ -268,13 +271,23 @@ def fill_forward(df: DataFrame, out: str = "y_ffill") -> DataFrame:
 
 def fill_backward(df: DataFrame, out: str = "y_bfill") -> DataFrame:
     """Next observation; NULL after the last one."""
-    return df.withColumn(out, F.coalesce(F.first("y", True).over(from_here()), F.col("next_y")))
+    return df.withColumn(out, F.coalesce(F.last("y", True).over(from_here()), F.col("next_y")))
+
+
+def whole_block() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def first_ahead(column: str, following: str) -> Column:
+    """Next observation of a row that has none before it: then it is simply the
+    first of its block, or the first after the block."""
+    return F.coalesce(F.first(column, True).over(whole_block()), F.col(following))
 
 
 def fill_forward_back_zero(df: DataFrame, out: str = "y_filled") -> DataFrame:
     """Forward fill, then backward fill, then 0."""
-    filled = fill_backward(fill_forward(df, "_f"), "_b")
-    return filled.withColumn(out, F.coalesce("_f", "_b", F.lit(0.0))).drop("_f", "_b")
+    before = F.coalesce(F.last("y", True).over(up_to_here()), F.col("prev_y"))
+    return df.withColumn(out, F.coalesce(before, first_ahead("y", "next_y"), F.lit(0.0)))
 
 
 def impute_linear(df: DataFrame, out: str = "y_linear", empty: float | None = 0.0) -> DataFrame:
@@ -284,7 +297,7 @@ def impute_linear(df: DataFrame, out: str = "y_linear", empty: float | None = 0.
     df = (
         fill_backward(fill_forward(df, "_f"), "_b")
         .withColumn("_fp", F.coalesce(F.last(at, True).over(up_to_here()), F.col("prev_pos")))
-        .withColumn("_bp", F.coalesce(F.first(at, True).over(from_here()), F.col("next_pos")))
+        .withColumn("_bp", F.coalesce(F.last(at, True).over(from_here()), F.col("next_pos")))
     )
     line = F.col("_f") + (F.col("_b") - F.col("_f")) * (F.col("pos") - F.col("_fp")) / F.nullif(
         F.col("_bp") - F.col("_fp"), F.lit(0))

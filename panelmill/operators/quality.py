@@ -244,12 +244,12 @@ def clean_outliers(flagged: DataFrame) -> DataFrame:
     edges = edges.select(
         "unique_id", "block",
         F.last("last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last("first", True).over(whole.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
         (F.sum("hits").over(whole) / F.sum("rows").over(whole)).alias("ratio"))
     rows = rows.join(edges, ["unique_id", "block"])
     value = F.coalesce(
         F.last("good", True).over(grid.up_to_here()), F.col("before"),
-        F.first("good", True).over(grid.from_here()), F.col("after"))
+        grid.first_ahead("good", "after"))
     value = F.when(F.col("ratio") > EXTREME_SHARE, F.col("y")).otherwise(value)
     return rows.select("unique_id", "ds", "y", F.when(F.col("y").isNotNull(), value).alias("y_clean"))
 
