@@ -242,7 +242,7 @@ def forecast_with_mean(spark, sf):
 # --- Metrics ---------------------------------------------------------------
 
 # Decimals by the size of the values.
-_DIGITS = {"MSE": 2, "MAE": 4, "RMSE": 4}
+_DIGITS = {"MSE": 0, "MAE": 6, "RMSE": 4}
 
 
 def _metric_query(name: str, task: str, columns: list[str]) -> None:

@@ -343,22 +343,22 @@ def board(spark, sf) -> DataFrame:
 @query("write_read_results", sql=f"""
 WITH {fc.metrics_sql('supplier_weekly')}
 SELECT 'seasonal_naive' AS model, 'supplier_weekly' AS dataset, 'W-MON' AS freq, 'short' AS horizon, unique_id, window_idx,
-       {R('"MAE"', 4)} AS "MAE" FROM met""")
+       {R('"MAE"')} AS "MAE" FROM met""")
 def write_read_results(spark, sf):
     folder = work_folder(spark, "results")
     scored = fc.metrics_of(spark, sf, "supplier_weekly")
     results.write_results(scored, folder, "supplier_weekly", "W-MON", "short")
     back = results.read_results(spark, folder, "seasonal_naive")
-    return back.select("model", "dataset", "freq", "horizon", "unique_id", "window_idx", rounded("MAE", 4).alias("MAE"))
+    return back.select("model", "dataset", "freq", "horizon", "unique_id", "window_idx", rounded("MAE").alias("MAE"))
 
 
 @query("dataset_level_results", sql=f"""
 WITH {LEVEL_SQL} SELECT model, dataset, freq, horizon, dataset_id, {R('"MASE"')} AS "MASE", {R('"CRPS"')} AS "CRPS",
-  {R('"MAE"', 4)} AS "MAE", {R('"MSE"', 2)} AS "MSE" FROM dl""")
+  {R('"MAE"')} AS "MAE", {R('"MSE"', 0)} AS "MSE" FROM dl""")
 def dataset_level_results(spark, sf):
     out = leaderboard.dataset_level_results(window_metrics(spark, sf))
     return out.select("model", "dataset", "freq", "horizon", "dataset_id", rounded("MASE").alias("MASE"), rounded("CRPS").alias("CRPS"),
-                      rounded("MAE", 4).alias("MAE"), rounded("MSE", 2).alias("MSE"))
+                      rounded("MAE").alias("MAE"), rounded("MSE", 0).alias("MSE"))
 
 
 @query("union_results", sql=f"WITH {LEVEL_SQL} SELECT model, dataset_id, horizon, {R('\"MASE\"')} AS \"MASE\" FROM dl")
