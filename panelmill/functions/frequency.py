@@ -142,7 +142,7 @@ def weekday(ds: Column) -> Column:
     return F.weekday(ds).cast("bigint")
 
 
-def _days(ds: Column) -> Column:
+def days_of(ds: Column) -> Column:
     return F.unix_date(ds.cast("date")).cast("bigint")
 
 
@@ -155,7 +155,7 @@ def units(ds: Column, freq: Freq) -> Column:
     if freq.base in SECONDS:
         return F.unix_seconds(ds)
     if freq.base == "B":
-        monday = _days(ds) + 3
+        monday = days_of(ds) + 3
         return floor_div(monday, 7) * 5 + F.least(F.pmod(monday, F.lit(7)), F.lit(4))
     return (F.year(ds) * 12 + F.month(ds) - 1).cast("bigint")
 
@@ -174,7 +174,7 @@ def units_at_or_after(ds: Column, freq: Freq) -> Column:
 def units_at_or_before(ds: Column, freq: Freq) -> Column:
     """Last unit that starts at or before `ds`."""
     if freq.base in MONTHS and freq.month_end:
-        return units(ds, freq) - F.when(_days(ds) == F.unix_date(F.last_day(ds)), 0).otherwise(1)
+        return units(ds, freq) - F.when(days_of(ds) == F.unix_date(F.last_day(ds)), 0).otherwise(1)
     return units(ds, freq)
 
 

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
 from panelmill.functions import numerics
-from panelmill.functions.frequency import floor_div
 from panelmill.operators import grid
 
 # Fixed values.

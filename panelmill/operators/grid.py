@@ -67,7 +67,7 @@ def _stepped(panel: DataFrame, freq: fq.Freq, size: int) -> DataFrame:
     )
 
 
-def _with_bounds(summary: DataFrame, freq: fq.Freq) -> DataFrame:
+def with_bounds(summary: DataFrame, freq: fq.Freq) -> DataFrame:
     """Add first and last step, remainder `off` and length of each series' own grid.
 
     `summary` holds `lo`, `hi` (and for weeks seven weekday counts) per row; the
@@ -86,7 +86,7 @@ def _with_bounds(summary: DataFrame, freq: fq.Freq) -> DataFrame:
     return summary.withColumns(bounds).withColumns({"off": off, "t0": t0, "t1": t1, "n": t1 - t0 + 1})
 
 
-def _bound_aggregates(freq: fq.Freq) -> list[Column]:
+def bound_aggregates(freq: fq.Freq) -> list[Column]:
     ds = F.col("ds")
     aggregates = [
         F.min(fq.units_at_or_after(ds, freq)).alias("lo"),
@@ -102,9 +102,9 @@ def series_bounds(panel: DataFrame, freq: str) -> DataFrame:
     """`(unique_id, start, end, n, n_raw)`: each series' own grid, not materialised."""
     f = fq.parse_freq(freq)
     totals = clean_panel(panel).groupBy("unique_id").agg(
-        *_bound_aggregates(f), F.count(F.lit(1)).alias("n_raw")
+        *bound_aggregates(f), F.count(F.lit(1)).alias("n_raw")
     )
-    return _with_bounds(totals, f).select(
+    return with_bounds(totals, f).select(
         "unique_id",
         fq.unit_time(F.col("t0") * f.stride + F.col("off"), f).alias("start"),
         fq.unit_time(F.col("t1") * f.stride + F.col("off"), f).alias("end"),
@@ -129,7 +129,7 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
     t, y, at = F.col("t"), F.col("y"), F.col("at")
     seen, head, tail = y.isNotNull(), at < size - back, at >= ahead
     summary = rows.groupBy("unique_id", "r", "block").agg(
-        *_bound_aggregates(freq),
+        *bound_aggregates(freq),
         _last(t, y, seen).alias("last"),
         _last(t, y, seen & head).alias("head_last"),
         _first(t, y, seen).alias("first"),
@@ -141,7 +141,7 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
     )
     whole = Window.partitionBy("unique_id")
     by_block = whole.orderBy("block")
-    summary = _with_bounds(summary, freq).where(F.col("r") == F.col("off"))
+    summary = with_bounds(summary, freq).where(F.col("r") == F.col("off"))
     total = F.sum("cnt").over(whole)
     spread = F.col("m2") + F.col("cnt") * (F.col("avg") - F.col("y_mean")) ** 2
     first_block = F.when(F.lag("block").over(by_block).isNull(), fq.floor_div(F.col("t0"), size)).otherwise(F.col("block"))

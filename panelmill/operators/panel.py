@@ -65,7 +65,7 @@ def infer_freq(times: DataFrame, block_days: int = 3650) -> DataFrame:
     stretches compared among themselves.
     """
     ds = F.col("ds").cast("timestamp")
-    rows = times.select("unique_id", ds.alias("ds"), fq.floor_div(fq._days(ds), block_days).alias("block"))
+    rows = times.select("unique_id", ds.alias("ds"), fq.floor_div(fq.days_of(ds), block_days).alias("block"))
     inside = Window.partitionBy("unique_id", "block").orderBy("ds")
     across = Window.partitionBy("unique_id").orderBy("block")
     before = rows.groupBy("unique_id", "block").agg(F.max("ds").alias("last")).select(

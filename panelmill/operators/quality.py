@@ -67,10 +67,10 @@ def timestamp_report(panel: DataFrame, freq: str) -> DataFrame:
         F.count(F.lit(1)).alias("c"))
     remainder = F.when(fq.on_unit(ds, f), F.pmod(fq.units(ds, f), F.lit(f.stride))).otherwise(-1)
     parts = once.groupBy("unique_id", remainder.alias("r")).agg(
-        *grid._bound_aggregates(f), F.sum("c").alias("rows"), F.sum(F.col("c") - 1).alias("repeats"),
+        *grid.bound_aggregates(f), F.sum("c").alias("rows"), F.sum(F.col("c") - 1).alias("repeats"),
         F.count(F.lit(1)).alias("times"))
     off_grid = F.col("r") != F.col("off")
-    return grid._with_bounds(parts, f).groupBy("unique_id").agg(
+    return grid.with_bounds(parts, f).groupBy("unique_id").agg(
         F.sum("rows").alias("n_raw"),
         F.sum("repeats").alias("n_duplicates"),
         F.sum(F.when(off_grid, F.col("rows")).otherwise(0)).alias("n_off_grid"),

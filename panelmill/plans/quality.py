@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
 from panelmill.operators import cleanup, correlation, grid, panel as shape, quality
-from panelmill.plans.panels import FREQ, SQL, STEP, dense_sql, filled_sql, panel, read
+from panelmill.plans.panels import FREQ, SQL, dense_sql, filled_sql, panel, read
 from panelmill.plans.registry import R, query, rounded
 
 

@@ -9,8 +9,8 @@ from panelmill.operators import features as ft
 from panelmill.operators import grid, leaderboard, metrics, quality, windows
 from panelmill.operators import panel as shape
 from panelmill.plans import forecasting as fc
-from panelmill.plans.panels import FREQ, SQL, dense_sql, panel, read
-from panelmill.plans.quality import LONG_SQL, PRIORITIES, WIDE_SQL, dense, orders_wide
+from panelmill.plans.panels import FREQ, SQL, dense_sql, panel
+from panelmill.plans.quality import LONG_SQL, PRIORITIES, dense, orders_wide
 from panelmill.plans.registry import R, query, rounded
 from panelmill.session import work_folder
 from panelmill.sources import nested, results, tasks, wide
