@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
@@ -64,10 +65,11 @@ def write_archives(pages: DataFrame, records: int = RECORDS) -> str:
     """Write WARC files to the shared folder; the path of their folder.
 
     Spark's text writer puts the record end between records, so any file system that Spark
-    writes to will do.
+    writes to will do. Each file is gzipped as a whole.
     """
     path = work_folder(pages.sparkSession, "archives")
-    _records(classified(pages)).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+    _records(classified(pages)).write.option("lineSep", END).option("maxRecordsPerFile", records).text(
+        path, compression="gzip")
     return path
 
 
@@ -112,7 +114,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             run = []
-            for headers, block, offset in parse_archive(data):
+            for headers, block, offset in parse_archive(gzip.decompress(data)):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 kind = headers["warc-type"]
                 own = re.search(r":(\d+|-\d+|none)>", headers["warc-record-id"])[1]
