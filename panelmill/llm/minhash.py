@@ -14,7 +14,8 @@ from panelmill.llm.common import components, stored, table
 from panelmill.llm.registry import query
 
 BANDS, ROWS = 28, 4  # a pair at similarity 0.8 shares no band with probability 4e-7
-DIRECT = 32  # buckets up to this size list their pairs; larger ones verify inside the join
+DIRECT = 32  # buckets up to this size list their pairs; larger ones are compared block by block
+BLOCK = 1024
 SEED = 20_240_801
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CHUNK = 1 << 15
@@ -106,8 +107,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 def _similar(percent: int) -> str:
     """SQL: the full sets a.shingles and b.shingles are similar enough."""
-    both = "size(array_intersect(a.shingles, b.shingles))"
-    return f"100 * {both} >= {percent} * (size(a.shingles) + size(b.shingles) - {both})"
+    both = "array(size(array_intersect(a.shingles, b.shingles)))"
+    return f"exists({both}, x -> 100 * x >= {percent} * (size(a.shingles) + size(b.shingles) - x))"
 
 
 def _agree(percent: int) -> str:
@@ -133,8 +134,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     2. Within a bucket (equal band) all are compared with the smallest: a star, not all pairs.
        Candidates are confirmed on the full sets; large-star/small-star joins them.
     3. Only members of one bucket that are still in different components remain. Small buckets
-       list those pairs; in large ones the full sets are compared inside the join, so that only
-       links leave it. So no shared bucket goes unexamined.
+       list those pairs; in large ones blocks of the members outside the largest component meet
+       blocks of all members, and only links leave. So no shared bucket goes unexamined.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing.
     Repeated rows of one doc_id count as one document with the larger set. A null doc_id is
@@ -170,13 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = (small.alias("a").join(small.alias("b"), F.expr(
         f"a.key = b.key and a.rep < b.rep and a.component <> b.component and {_agree(percent)}"))
         .select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct())
-    large = (open_.where(f"size > {DIRECT}").join(sets, "rep").join(reps.select("rep", "bands"), "rep"))
-    # a pair counts in the first band that it shares
-    inside = (large.alias("a").join(large.alias("b"), F.expr(
-        f"a.key = b.key and a.rep < b.rep and a.component <> b.component and {_agree(percent)}"
-        " and array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = a.band + 1"
-        f" and {_similar(percent)}"))
-        .select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")))
+    inside = _across(open_.where(f"size > {DIRECT}"), sets, percent)
     stars_of_first = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = components(stars_of_first.union(_confirmed(pairs, sets, percent)).union(inside))
 
@@ -186,6 +181,68 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
 
 
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links `(u, v)` between components within large buckets, found on the full sets.
+
+    Of a bucket, the members outside its largest component are compared with all members:
+    every pair across components has such a member. Both sides are cut into blocks of about
+    `BLOCK` by hash, and a task holds one block of each.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    sizes = sizes.select("key", F.col("top.component").alias("main"),
+                         F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("lines"))
+    rows = rows.join(sizes, "key").select("key", "rep", "component", "main", "columns", "lines", F.xxhash64("rep").alias("h"))
+    asked = rows.where("component <> main").select(
+        "key", "rep", "component", F.expr("pmod(h, lines)").alias("line"),
+        F.explode(F.expr("sequence(0, columns - 1)")).alias("column"), F.lit(True).alias("asks"))
+    held = rows.select("key", "rep", "component", F.explode(F.expr("sequence(0, lines - 1)")).alias("line"),
+                       F.expr("pmod(h, columns)").alias("column"), F.lit(False).alias("asks"))
+    group = ["key", "line", "column"]
+    blocks = asked.unionByName(held).join(sets, "rep").select(*group, "asks", "rep", "component", "shingles")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (blocks.repartition(parts, *group).sortWithinPartitions(*group, "asks")
+            .mapInArrow(lambda it: _block_links(it, percent), "u long, v long").distinct())
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each block, per asking document and component of others, one link if there is any."""
+    last, held, asked = None, [], []
+
+    def found():
+        if not held or not asked:
+            return
+        owner = np.repeat(np.arange(len(held)), [len(s) for _, _, s in held])
+        values = np.concatenate([s for _, _, s in held])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        reps, comps = (np.array([h[i] for h in held]) for i in (0, 1))
+        sizes = np.array([len(s) for _, _, s in held])
+        links = []
+        for rep, comp, own in asked:
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(held))
+            near = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (comps != comp))
+            _, first = np.unique(comps[near], return_index=True)
+            links += [(rep, other) for other in reps[near[first]].tolist()]
+        if links:
+            u, v = np.array(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        asks, reps, comps = (batch.column(i).to_pylist() for i in (3, 4, 5))
+        ends, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+        for i, key in enumerate(keys):
+            if key != last:
+                yield from found()
+                last, held, asked = key, [], []
+            (asked if asks[i] else held).append((reps[i], comps[i], values[ends[i]:ends[i + 1]].copy()))
+    yield from found()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs `(u, v)` that are similar on their full sets."""
     one = pairs.join(sets.withColumnRenamed("rep", "u"), "u").alias("a")
