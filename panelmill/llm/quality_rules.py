@@ -67,9 +67,11 @@ def signals(docs: DataFrame) -> DataFrame:
 
 
 def _log_factorial(x: Column) -> Column:
-    """ln x! by Stirling's series, shifted by ten so that its error is below 1e-15."""
+    """ln x! by Stirling's series, shifted by ten so that its error is below 1e-14."""
     z = x + 11.0
-    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi)
+    for power, divisor in ((1, 12), (3, -360), (5, 1260), (7, -1680), (9, 1188)):
+        series = series + 1 / (divisor * F.pow(z, F.lit(power)))
     for k in range(1, 11):
         series = series - F.ln(x + float(k))
     return series
