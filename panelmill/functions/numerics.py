@@ -10,6 +10,8 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # --- Fixed values ------------------------------------------------------------
 STL_SEASONAL_SPAN = 13
@@ -105,6 +107,15 @@ def stl_reach(period: int, seasonal: int = STL_SEASONAL_SPAN) -> int:
     return (STL_INNER_LOOPS + 1) * one_loop
 
 
+def stl_reach_column(period: Column, seasonal: int = STL_SEASONAL_SPAN) -> Column:
+    """`stl_reach` of a column of periods."""
+    trend = F.ceil(period * 1.5 / (1 - 1.5 / seasonal))
+    trend = trend + F.when(trend % 2 == 0, 1).otherwise(0)
+    low = period + 1 + F.when(period % 2 == 1, 1).otherwise(0)
+    one_loop = period * (seasonal // 2 + 2) + F.floor(low / 2) + F.floor(trend / 2) + 4
+    return (one_loop * (STL_INNER_LOOPS + 1)).cast("bigint")
+
+
 def stl(y: np.ndarray, period: int, seasonal: int = STL_SEASONAL_SPAN, start: int = 0,
         total: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trend, season and remainder by Cleveland et al. (1990), without robustness weights.

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CORRELATION_LIMIT = 0.95
+HELD = 2_000_000  # moments a task holds before it passes them on
 PARTIAL = ("n double, mean_a double, mean_b double, m_aa double, m_bb double, m_ab double")
 
 
@@ -36,20 +37,31 @@ def _moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     return n, mean_x + shift_x[:, None], mean_y + shift_y[None, :], m_xx, m_yy, m_xy
 
 
+FIELDS = ("n", "mean_a", "mean_b", "m_aa", "m_bb", "m_ab")
+
+
+def _joined(s: Column, x: Column) -> Column:
+    """Two moment structs as one."""
+    n = s["n"] + x["n"]
+    da, db = x["mean_a"] - s["mean_a"], x["mean_b"] - s["mean_b"]
+    share = F.try_divide(x["n"], n)
+    weight = s["n"] * share
+    values = (n, s["mean_a"] + da * share, s["mean_b"] + db * share, s["m_aa"] + x["m_aa"] + da * da * weight,
+              s["m_bb"] + x["m_bb"] + db * db * weight, s["m_ab"] + x["m_ab"] + da * db * weight)
+    return F.struct(*[v.alias(f) for v, f in zip(values, FIELDS)])
+
+
 def _merge(partials: DataFrame, keys: list[str]) -> DataFrame:
-    """Combine partial moments exactly and turn them into r; NULL for a constant side."""
-    pair = Window.partitionBy(*keys)
-    total = F.sum("n").over(pair)
+    """Combine partial moments exactly and turn them into r; NULL for a constant side.
+
+    A pair has one partial per task or stretch, so what meets here is small.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(f) for f in FIELDS])
+    each = F.array_sort(F.collect_list(F.struct(*FIELDS)))
     merged = (
-        partials.withColumn("total_a", F.sum(F.col("n") * F.col("mean_a")).over(pair) / total)
-        .withColumn("total_b", F.sum(F.col("n") * F.col("mean_b")).over(pair) / total)
-        .withColumn("da", F.col("mean_a") - F.col("total_a"))
-        .withColumn("db", F.col("mean_b") - F.col("total_b"))
-        .groupBy(*keys)
-        .agg(F.sum("n").alias("n"), F.max("total_a").alias("mean_a"), F.max("total_b").alias("mean_b"),
-             F.sum(F.col("m_aa") + F.col("n") * F.col("da") * F.col("da")).alias("saa"),
-             F.sum(F.col("m_bb") + F.col("n") * F.col("db") * F.col("db")).alias("sbb"),
-             F.sum(F.col("m_ab") + F.col("n") * F.col("da") * F.col("db")).alias("sab"))
+        partials.groupBy(*keys).agg(F.aggregate(each, zero, _joined).alias("s"))
+        .select(*keys, F.col("s.n").alias("n"), F.col("s.mean_a").alias("mean_a"), F.col("s.mean_b").alias("mean_b"),
+                F.col("s.m_aa").alias("saa"), F.col("s.m_bb").alias("sbb"), F.col("s.m_ab").alias("sab"))
     )
 
     def varies(s: str, mean: str):
@@ -60,6 +72,16 @@ def _merge(partials: DataFrame, keys: list[str]) -> DataFrame:
     return merged.withColumn("r", r).select(*keys, "r")
 
 
+def _added(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The same for rows of moments of many pairs."""
+    n = s[0] + x[0]
+    da, db = x[1] - s[1], x[2] - s[2]
+    share = x[0] / np.maximum(n, 1)
+    weight = s[0] * share
+    return np.stack([n, s[1] + da * share, s[2] + db * share, s[3] + x[3] + da * da * weight,
+                     s[4] + x[4] + db * db * weight, s[5] + x[5] + da * db * weight])
+
+
 def variate_correlation(wide: DataFrame, series: str, variates: list[str]) -> DataFrame:
     """`(series, a, b, r)` for all variate pairs a < b over pairwise-complete rows.
 
@@ -70,14 +92,24 @@ def variate_correlation(wide: DataFrame, series: str, variates: list[str]) -> Da
     first, second = np.array(names)[at_i], np.array(names)[at_j]
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby("series", sort=False):
-                values = part[names].to_numpy(dtype=float)
-                n, mean_a, mean_b, aa, bb, ab = (m[at_i, at_j] for m in _moments(values, values))
+        held: dict[str, np.ndarray] = {}
+
+        def rows():
+            for key, (n, mean_a, mean_b, aa, bb, ab) in held.items():
                 keep = n > 0
                 yield pd.DataFrame({
                     "series": key, "a": first[keep], "b": second[keep], "n": n[keep], "mean_a": mean_a[keep],
                     "mean_b": mean_b[keep], "m_aa": aa[keep], "m_bb": bb[keep], "m_ab": ab[keep]})
+            held.clear()
+
+        for batch in batches:
+            for key, part in batch.groupby("series", sort=False):
+                values = part[names].to_numpy(dtype=float)
+                new = np.stack([m[at_i, at_j] for m in _moments(values, values)])
+                held[key] = _added(held[key], new) if key in held else new
+            if len(held) * len(first) > HELD:
+                yield from rows()
+        yield from rows()
 
     rows = wide.select(F.col(series).alias("series"), *[F.col(c).cast("double").alias(c) for c in names])
     return _merge(rows.mapInPandas(partials, f"series string, a string, b string, {PARTIAL}"), ["series", "a", "b"])

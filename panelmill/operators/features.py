@@ -265,15 +265,13 @@ def decompose(rows: DataFrame, periods: DataFrame, freq: str, method: str = "stl
     that reach: inside a block the result is that of the whole series. A series
     without a season is smoothed in one piece by the super-smoother.
     """
-    candidates = sorted({p for p, _ in fq.candidate_periods(freq) if p > 1})
     chosen = F.array_compact(F.array("period1", "period2", "period3") if method == "mstl" else F.array("period1"))
     usable = F.array_sort(F.array_distinct(F.filter(
         chosen, lambda p: (p > 1) & ((2 * p <= F.col("n")) if method == "mstl" else F.lit(True)))))
     passes = 2 if method == "mstl" else 1
     widest = numerics.mstl_spans(3)[-1] if method == "mstl" else numerics.STL_SEASONAL_SPAN
-    reaches = {p: passes * numerics.stl_reach(p, widest) for p in candidates}
-    table = F.create_map(*[F.lit(v).cast("bigint") for p, r in reaches.items() for v in (p, r)]) if reaches else None
-    reach = F.aggregate("usable", F.lit(0).cast("bigint"), lambda acc, p: acc + table[p]) if reaches else F.lit(0)
+    reach = F.aggregate("usable", F.lit(0).cast("bigint"),
+                        lambda acc, p: acc + passes * numerics.stl_reach_column(p, widest))
     keyed = grid.attach(rows, periods).withColumn("usable", usable).withColumn("m", F.coalesce("period1", F.lit(1)))
     keyed = keyed.withColumn("reach", reach)
     size = F.when(F.size("usable") == 0, F.col("n")).otherwise(F.greatest(F.lit(block_steps), 4 * F.col("reach")))

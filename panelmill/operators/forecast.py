@@ -30,6 +30,7 @@ def seasonal_naive(df: DataFrame, season: int, horizon: int, test_length: int,
     its value to the steps it predicts, so no window holds a copy of its context;
     the residual variance at an origin is a sum over the segments before it.
     """
+    windows.check_horizon(horizon, test_length)
     count = windows.num_windows(test_length, horizon)
     start = F.col("n") - test_length
     seen_at = F.when(F.col("y").isNotNull(), F.col("pos"))

@@ -46,11 +46,12 @@ def from_here() -> WindowSpec:
 
 
 def clean_panel(panel: DataFrame) -> DataFrame:
-    """`(unique_id, ds, y)` with NaN turned into NULL, the only missing marker."""
+    """`(unique_id, ds, y)` with NaN and infinite values turned into NULL, the only missing marker."""
+    y = F.col("y").cast("double")
     return panel.select(
         "unique_id",
         F.col("ds").cast("timestamp").alias("ds"),
-        F.nanvl(F.col("y").cast("double"), F.lit(None).cast("double")).alias("y"),
+        F.when(~F.isnan(y) & (F.abs(y) < float("inf")), y).alias("y"),
     )
 
 

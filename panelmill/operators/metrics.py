@@ -63,11 +63,14 @@ def seasonal_error(df: DataFrame, season: int, horizon: int, test_length: int,
 
 
 def evaluate(forecasts: DataFrame, labels: DataFrame, errors: DataFrame,
-             levels: list[float] = LEVELS) -> DataFrame:
-    """All eight metrics per `(model, unique_id, window_idx)`.
+             levels: list[float] = LEVELS, models: list[str] | None = None) -> DataFrame:
+    """All eight metrics per `(model, unique_id, window_idx)`, and `missing_steps`.
 
     `labels` has `(unique_id, window_idx, step, y)`, `errors` the seasonal error
-    per `(unique_id, window_idx)`.
+    per `(unique_id, window_idx)`. Every labelled window has a row: one with steps that a
+    model does not forecast counts these and has NULL metrics. Name the `models` to get the
+    windows of which one of them forecasts nothing; otherwise only windows that nobody
+    forecasts are added, with a NULL model.
     """
     if 0.5 not in levels:
         raise ValueError("the levels must include 0.5")
@@ -84,6 +87,7 @@ def evaluate(forecasts: DataFrame, labels: DataFrame, errors: DataFrame,
     known = F.col("y").isNotNull()
     e, size = F.abs("e"), F.when(known, F.abs("y"))
     sums = scored.groupBy("model", *window).agg(
+        F.count(F.lit(1)).alias("found"),
         F.avg(F.col("e") * F.col("e")).alias("MSE"),
         F.avg(e).alias("MAE"),
         F.avg(F.try_divide(e, F.abs("y"))).alias("MAPE"),
@@ -92,13 +96,19 @@ def evaluate(forecasts: DataFrame, labels: DataFrame, errors: DataFrame,
         F.nullif(F.sum(size), F.lit(0.0)).alias("abs_truth"),
         F.sum("loss").alias("loss"),
     )
+    expected = labels.groupBy(*window).agg(F.count(F.lit(1)).alias("steps"))
+    if models:
+        expected = expected.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    sums = expected.join(sums, (["model"] if models else []) + window, "left")
+    missing = F.col("steps") - F.coalesce("found", F.lit(0))
     scale = F.when(F.col("seasonal_error") > 0, F.col("seasonal_error"))
+    values = {
+        "MSE": F.col("MSE"), "MAE": F.col("MAE"), "RMSE": F.sqrt("MSE"), "MAPE": F.col("MAPE"), "sMAPE": F.col("sMAPE"),
+        "MASE": F.col("MAE") / scale, "ND": F.col("abs_error") / F.col("abs_truth"),
+        "CRPS": F.col("loss") / len(levels) / F.col("abs_truth"),
+    }
     return sums.join(errors, window, "left").select(
-        "model", *window, "MSE", "MAE", F.sqrt("MSE").alias("RMSE"), "MAPE", "sMAPE",
-        (F.col("MAE") / scale).alias("MASE"),
-        (F.col("abs_error") / F.col("abs_truth")).alias("ND"),
-        (F.col("loss") / len(levels) / F.col("abs_truth")).alias("CRPS"),
-    )
+        "model", *window, *[F.when(missing == 0, values[m]).alias(m) for m in METRICS], missing.alias("missing_steps"))
 
 
 def metric_summary(metrics: DataFrame, keys: list[str]) -> DataFrame:

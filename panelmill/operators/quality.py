@@ -15,7 +15,6 @@ from panelmill.operators import grid
 TOP_VALUES = 5
 DOMINANCE_LIMIT = 0.5
 ENTROPY_LIMIT = 0.1
-NOISE_TAIL = 10_000
 NOISE_LAGS = (10, 20)
 NOISE_LEVEL = 0.05
 TRANSIENT, EXTREME = 3.0, 9.0
@@ -120,16 +119,17 @@ def chi2_tail(x: Column, df: int) -> Column:
 
 
 def ljung_box(df: DataFrame, value: str = "y_filled") -> DataFrame:
-    """Smallest Ljung-Box p-value over lags 10 and 20 of the last 10,000 steps.
+    """Smallest Ljung-Box p-value over lags 10 and 20 of the whole series.
 
-    NULL where the series is too short or constant for the test.
+    Products of neighbours are summed per block, each with the steps before it that the
+    lags reach; a series is never in one task. NULL where it is too short or constant.
     """
-    last = grid.tail(df.where("core"), NOISE_TAIL).select("unique_id", "pos", F.col(value).alias("v"))
-    series = Window.partitionBy("unique_id")
-    in_order = series.orderBy("pos")
-    centred = last.withColumn("d", F.col("v") - F.avg("v").over(series))
+    rows = df.where("core").select("unique_id", "block", "pos", "n", F.col(value).alias("v"))
+    means = rows.groupBy("unique_id").agg(F.avg("v").alias("mean"))
+    centred = grid.attach(rows, means).select("unique_id", "pos", "n", (F.col("v") - F.col("mean")).alias("d"))
     top = max(NOISE_LAGS)
-    lagged = centred.select("unique_id", "d", *[F.lag("d", k).over(in_order).alias(f"d{k}") for k in range(1, top + 1)])
+    halo = grid.reblock(centred, "pos", F.lit(max(grid.BLOCK_STEPS, 2 * top)), F.lit(top), F.lit(0))
+    lagged = halo.withColumns({f"d{k}": F.lag("d", k).over(grid.ordered()) for k in range(1, top + 1)}).where("core")
     sums = lagged.groupBy("unique_id").agg(
         F.count("d").alias("m"), F.sum(F.col("d") * F.col("d")).alias("s0"),
         *[F.sum(F.col("d") * F.col(f"d{k}")).alias(f"s{k}") for k in range(1, top + 1)])

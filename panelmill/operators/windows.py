@@ -22,9 +22,20 @@ def num_windows_column(length: Column, horizon: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(length / horizon)).cast("bigint")
 
 
+def check_horizon(horizon: int, length: int) -> None:
+    """A horizon must fit into the part that it is to be scored on."""
+    if horizon > length:
+        raise ValueError(f"a horizon of {horizon} steps does not fit into a part of {length}")
+
+
+def short_series(df: DataFrame, length: int) -> DataFrame:
+    """Series of a dense panel with fewer than `length` steps, `(unique_id, n)`: they have no windows there."""
+    return df.where(F.col("core") & (F.col("n") < length)).select("unique_id", "n").distinct()
+
+
 def _windows(df: DataFrame, start: Column, horizon: int, count: int) -> DataFrame:
     offset = F.col("pos") - start
-    return df.where((offset >= 0) & (offset < horizon * count)).select(
+    return df.where((start >= 0) & (offset >= 0) & (offset < horizon * count)).select(
         "unique_id",
         floor_div(offset, horizon).alias("window_idx"),
         (F.pmod(offset, F.lit(horizon)) + 1).alias("step"),
@@ -35,13 +46,19 @@ def _windows(df: DataFrame, start: Column, horizon: int, count: int) -> DataFram
 def test_windows(df: DataFrame, horizon: int, test_length: int) -> DataFrame:
     """Labels of the test windows of a dense panel, steps counted from 1.
 
-    Points after the last whole window are not part of any window.
+    Points after the last whole window are not part of any window. A series shorter than
+    the test part has none at all, see `short_series`.
     """
+    check_horizon(horizon, test_length)
     return _windows(df, F.col("n") - test_length, horizon, num_windows(test_length, horizon))
 
 
 def val_windows(df: DataFrame, horizon: int, test_length: int, val_length: int) -> DataFrame:
-    """Labels of the validation windows, which lie just before the test part."""
+    """Labels of the validation windows, which lie just before the test part.
+
+    A series shorter than both parts has none, see `short_series`.
+    """
+    check_horizon(horizon, val_length)
     return _windows(df, F.col("n") - (test_length + val_length), horizon, num_windows(val_length, horizon))
 
 
@@ -59,9 +76,9 @@ def validation_split(df: DataFrame, horizon: int, test_length: int) -> DataFrame
     return df.where(F.col("pos") < F.col("n") - horizon * num_windows(test_length, horizon))
 
 
-def effective_split(tasks: DataFrame, split: str = "test", smallest: int = 500) -> DataFrame:
-    """Add `split`: a test part below `smallest` points means the full series."""
-    short = F.col("test_length") < smallest
+def effective_split(tasks: DataFrame, split: str = "test", smallest: int | None = None) -> DataFrame:
+    """Add `split` as given; with `smallest`, a test part below so many points means the full series."""
+    short = F.col("test_length") < smallest if smallest is not None else F.lit(False)
     return tasks.withColumn("split", F.when(F.lit(split) == "test", F.when(short, "full").otherwise("test"))
                             .otherwise(F.lit(split)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelmill.operators import features as ft
 from panelmill.operators import grid, leaderboard, metrics, quality, windows
@@ -106,7 +107,7 @@ SELECT dataset_id, unique_id, term, CASE WHEN test_length < 500 THEN 'full' ELSE
        CASE WHEN test_length < 500 THEN n ELSE test_length END AS used
 FROM tk JOIN ln USING (dataset_id)""")
 def effective_split(spark, sf):
-    split = windows.effective_split(task_frame(spark)).join(all_lengths(spark, sf), "dataset_id")
+    split = windows.effective_split(task_frame(spark), smallest=500).join(all_lengths(spark, sf), "dataset_id")
     return split.select("dataset_id", "unique_id", "term", "split",
                         F.when(F.col("split") == "full", F.col("n")).otherwise(F.col("test_length")).alias("used"))
 
@@ -255,10 +256,39 @@ def read_wide_csv(spark, sf):
     folder = work_folder(spark, "wide")
     named = orders_wide(spark, sf).withColumnsRenamed({"timestamp": "order_date", "series_name": "status"})
     named.write.option("header", True).csv(folder)
-    back = wide.read_wide_csv(spark, folder).drop("series_name")
+    back = wide.read_wide_csv(spark, folder, schema=T.StructType([T.StructField("status", T.StringType())])).drop("series_name")
     return shape.to_panel(back, ["status"], "timestamp").select("unique_id", "ds", "y")
 
 
+@query("read_wide_csv_headers", sql=f"""WITH {LONG_SQL}
+SELECT unique_id, ds, y FROM l WHERE unique_id LIKE 'F_%' AND unique_id <> 'F_1-URGENT' OR unique_id IN ('O_1-URGENT', 'O_5-LOW')""")
+def read_wide_csv_headers(spark, sf):
+    """Two sets of files with different columns in different order, read by one call."""
+    folder = work_folder(spark, "wide")
+    rows = orders_wide(spark, sf).withColumnsRenamed({"timestamp": "order_date", "series_name": "status"})
+    for status, columns in (("F", PRIORITIES[1:]), ("O", [PRIORITIES[-1], PRIORITIES[0]])):
+        rows.where(F.col("status") == status).select("order_date", "status", *[f"`{c}`" for c in columns]).write.option(
+            "header", True).csv(f"{folder}/{status}")
+    back = wide.read_wide_csv(spark, f"{folder}/*", schema=T.StructType([T.StructField("status", T.StringType())]))
+    long = shape.to_panel(back.drop("series_name"), ["status"], "timestamp").select("unique_id", "ds", "y")
+    # columns that a file does not have come as NULL rows of its series
+    return long.where("unique_id LIKE 'F_%' AND unique_id <> 'F_1-URGENT' OR unique_id IN ('O_1-URGENT', 'O_5-LOW')")
+
+
+@query("short_series_windows", sql=f"""
+WITH {dense_sql("events_6h")}
+SELECT unique_id, CAST(n AS BIGINT) AS n, CAST(count(CASE WHEN n >= 119 AND (pos - n + 119) BETWEEN 0 AND 95 THEN 1 END) AS BIGINT) AS steps
+FROM f GROUP BY 1, 2""")
+def short_series_windows(spark, sf):
+    """Test windows per series, and none where the test part does not fit."""
+    df = dense(spark, sf, "events_6h")
+    labels = windows.test_windows(df.where("core"), 24, 119).groupBy("unique_id").agg(F.count(F.lit(1)).alias("steps"))
+    short = windows.short_series(df, 119).withColumn("steps", F.lit(0).cast("bigint"))
+    long = df.where("core AND n >= 119").select("unique_id", "n").distinct().join(labels, "unique_id")
+    return long.select("unique_id", F.col("n").cast("bigint").alias("n"), "steps").unionByName(
+        short.select("unique_id", F.col("n").cast("bigint").alias("n"), "steps"))
+
+
 @query("write_cleaned", sql=f"WITH p AS ({SQL['orders_daily']}) SELECT unique_id, ds, y, 'orders' AS dataset, 'D' AS freq FROM p")
 def write_cleaned(spark, sf):
     folder = work_folder(spark, "cleaned")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,25 +17,44 @@ def read_wide_csv(spark: SparkSession, path: str, pattern: str = "*.csv",
                   schema: T.StructType | None = None) -> DataFrame:
     """All matching files of a folder, `series_name` = file name without extension.
 
-    Spark raises if nothing matches. Give a schema for large inputs; without one
-    the types are inferred, which costs another pass.
+    Columns go by the header of each file: files with the same header are read together, and
+    a column that a file lacks is NULL in its rows. Without a schema the time column is
+    parsed and all others become DOUBLE, NULL where a value is no number; with one, a column
+    has the type that the schema gives to its name. Headers are found in one pass over the
+    text; only the headers and file names come to the driver.
     """
-    reader = spark.read.option("header", True).option("pathGlobFilter", pattern)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[^.]*$", "")
-    named = df.select("*", F.url_decode(name).alias("series_name"))
-    timed = normalize_timestamp_column(named)
+    text = spark.read.option("pathGlobFilter", pattern).text(path)
+    first = text.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    heads = first.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(
+        F.collect_list("file").alias("files")).orderBy("head").collect()
+    if not heads:
+        raise ValueError(f"no file with a header matches {pattern} in {path}")
+    parts = [_with_header(spark, next(csv.reader([row.head])), [unquote(f) for f in row.files], schema) for row in heads]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _with_header(spark: SparkSession, names: list[str], files: list[str], schema: T.StructType | None) -> DataFrame:
+    """Files that all have this header."""
+    plain = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    df = spark.read.option("header", True).option("enforceSchema", False).schema(plain).csv(files)
+    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[^.]*$", "")
+    kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    df = df.select("*", F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("series_name"))
+    typed = {n: F.col(f"`{n}`").try_cast(kinds[n]) for n in names if n in kinds}
+    timed = normalize_timestamp_column(df.withColumns(typed) if typed else df)
     if dict(timed.dtypes)["timestamp"] == "string":
         timed = timed.withColumn("timestamp", parse_timestamps(F.col("timestamp")))
-    rest = [f"`{c}`" for c in timed.columns if c not in ("series_name", "timestamp")]
-    return timed.select("series_name", F.col("timestamp").cast("timestamp").alias("timestamp"), *rest)
+    rest = [c for c in timed.columns if c not in ("series_name", "timestamp")]
+    return timed.select(
+        "series_name", F.col("timestamp").cast("timestamp").alias("timestamp"),
+        *[F.col(f"`{c}`") if c in kinds else F.col(f"`{c}`").try_cast("double").alias(c) for c in rest])
 
 
 def write_cleaned(df: DataFrame, path: str, dataset: str, freq: str, fmt: str = "parquet") -> None:
-    """Cleaned long or wide table below `dataset=.../freq=...`."""
-    df.withColumns({"dataset": F.lit(dataset), "freq": F.lit(freq)}).write.mode("append").partitionBy(
-        "dataset", "freq").format(fmt).save(path)
+    """Cleaned long or wide table below `dataset=.../freq=...`; a rerun replaces that part and no other."""
+    df.withColumns({"dataset": F.lit(dataset), "freq": F.lit(freq)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("dataset", "freq").format(fmt).save(path)
 
 
 def write_diagnostics(report: DataFrame, path: str, dataset: str, freq: str) -> None:

@@ -91,6 +91,19 @@ def test_blocked_decomposition_is_the_whole_one(prepared, spark, method):
     assert (c.seasonal == 0).all() and (c.m == 1).all()
 
 
+def test_any_period_has_its_halo(prepared, spark):
+    """17 hours is no candidate period; blocks still give the result of the whole series."""
+    series, rows = prepared
+    periods = spark.createDataFrame([("a", 17), ("b", None), ("c", None)], "unique_id string, period1 bigint").withColumns(
+        {"period2": F.lit(None).cast("bigint"), "period3": F.lit(None).cast("bigint")})
+    part = ft.decompose(rows.where("unique_id = 'a'"), periods, "H", block_steps=400).toPandas().sort_values("pos")
+    assert part.block.nunique() > 1
+    for name, values in zip(("trend", "seasonal", "remainder"), numerics.stl(scaled(series["a"]), 17)):
+        np.testing.assert_allclose(part[name], values, atol=1e-9)
+    reach = spark.range(2, 600).select(numerics.stl_reach_column(F.col("id"), 11).alias("r")).collect()
+    assert [r.r for r in reach] == [numerics.stl_reach(p, 11) for p in range(2, 600)]
+
+
 @pytest.fixture(scope="module")
 def parts(prepared, spark):
     _, rows = prepared

@@ -107,6 +107,8 @@ def test_windows_and_splits(make):
     assert windows.train_split(df, 4, 10).count() == 30 - 4 * 3
     assert windows.validation_split(df, 4, 10).count() == 30 - 4 * 2
     assert windows.num_windows(3, 4) == 1
+    with pytest.raises(ValueError):
+        windows.test_windows(None, 60, 48)
 
 
 def test_contexts(make, spark):

@@ -23,6 +23,24 @@ def test_wide_csv(spark, tmp_path):
         wide.read_wide_csv(spark, str(tmp_path / "missing"))
 
 
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,x,y\n2024-01-01 00:00:00,1,2\n")
+    (tmp_path / "b+c.csv").write_text('timestamp,y,"z, w"\n2024-01-01 00:00:00,3,4\n2024-01-01 01:00:00,n/a,5\n')
+    (tmp_path / "d.csv").write_text("timestamp,x,y\n2024-01-01 00:00:00,7,8\n")
+    df = wide.read_wide_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"series_name": "string", "timestamp": "timestamp", "x": "double", "y": "double", "z, w": "double"}
+    got = sorted((r.series_name, r.timestamp.hour, r.x, r.y, r["z, w"]) for r in df.collect())
+    assert got == [("a", 0, 1.0, 2.0, None), ("b+c", 0, None, 3.0, 4.0), ("b+c", 1, None, None, 5.0), ("d", 0, 7.0, 8.0, None)]
+
+
+def test_rewriting_replaces_its_part(spark, tmp_path):
+    rows = spark.range(3)
+    for dataset in ("p", "q", "p"):
+        wide.write_cleaned(rows, str(tmp_path), dataset, "D")
+    assert {(r.dataset, r["count"]) for r in spark.read.parquet(str(tmp_path)).groupBy("dataset").count().collect()} == {
+        ("p", 3), ("q", 3)}
+
+
 def test_nested_round_trip(make, spark):
     panel = make({"a": [1.0, None, 3.0, 4.0, 5.0], "b": [None, 2.0]}, freq="MS")
     for chunk in (100, 2):
@@ -56,7 +74,7 @@ def test_tasks(spark):
         tasks.split_dataset_id("a")
     table = tasks.task_table(spark, config)
     assert table.count() == 6
-    split = {r.dataset_id: r.split for r in windows.effective_split(table.withColumn("test_length", F.col("test_length") * 4)).collect()}
+    split = {r.dataset_id: r.split for r in windows.effective_split(table.withColumn("test_length", F.col("test_length") * 4), smallest=500).collect()}
     assert split["events_hourly/H"] == "test" and split["nation_monthly/MS"] == "full"
 
 
