@@ -236,6 +236,9 @@ def spectral_entropy(y: np.ndarray) -> float:
     return entropy_of_power(magnitudes(y) ** 2, len(y))
 
 
+STRETCH = 1 << 16
+
+
 def adf_pvalue(y: np.ndarray) -> float:
     """Augmented Dickey-Fuller test with constant and trend, lags chosen by AIC."""
     n = len(y)
@@ -244,28 +247,36 @@ def adf_pvalue(y: np.ndarray) -> float:
         raise ValueError("too short or constant")
     dy = np.diff(y)
 
-    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        target = dy[skip:]
-        m = len(target)
-        columns = [y[skip:skip + m]]
-        columns += [dy[skip - k:skip - k + m] for k in range(1, lags + 1)]
-        columns += [np.ones(m), np.arange(1.0, m + 1)]
-        return np.stack(columns, 1), target
-
-    full, target = design(most, most)
+    def products(lags: int) -> tuple[np.ndarray, int]:
+        """Cross products of level, lagged differences, constant, time and target, summed over stretches."""
+        m = len(dy) - lags
+        total = np.zeros((lags + 4, lags + 4))
+        for at in range(0, m, STRETCH):
+            size = min(STRETCH, m - at)
+            start = lags + at
+            columns = [y[start:start + size]]
+            columns += [dy[start - k:start - k + size] for k in range(1, lags + 1)]
+            columns += [np.ones(size), np.arange(at + 1.0, at + size + 1) / m, dy[start:start + size]]
+            part = np.stack(columns)
+            total += part @ part.T
+        return total, m
+
+    def fitted(total: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, float]:
+        use = [*range(lags + 1), len(total) - 3, len(total) - 2]
+        square, right = total[np.ix_(use, use)], total[use, -1]
+        beta = np.linalg.lstsq(square, right, rcond=None)[0]
+        return square, beta, float(total[-1, -1] - right @ beta)
+
+    total, m = products(most)
     scores = []
     for lags in range(most + 1):
-        x = np.delete(full, np.arange(lags + 1, most + 1), axis=1)
-        beta = np.linalg.lstsq(x, target, rcond=None)[0]
-        ssr = ((target - x @ beta) ** 2).sum()
-        m = len(target)
-        scores.append(m * (np.log(2 * np.pi) + np.log(ssr / m) + 1) + 2 * x.shape[1])
+        ssr = max(fitted(total, lags)[2], np.finfo(float).tiny)
+        scores.append(m * (np.log(2 * np.pi) + np.log(ssr / m) + 1) + 2 * (lags + 3))
     lags = int(np.argmin(scores))
-    x, target = design(lags, lags)
-    beta = np.linalg.lstsq(x, target, rcond=None)[0]
-    rest = target - x @ beta
-    variance = (rest @ rest) / (len(target) - x.shape[1])
-    tau = beta[0] / math.sqrt(variance * np.linalg.inv(x.T @ x)[0, 0])
+    total, m = products(lags)
+    square, beta, ssr = fitted(total, lags)
+    variance = max(ssr, 0.0) / (m - len(beta))
+    tau = beta[0] / math.sqrt(variance * np.linalg.inv(square)[0, 0])
     if tau > ADF_MAX:
         return 1.0
     if tau < ADF_MIN:

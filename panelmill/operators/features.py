@@ -24,7 +24,6 @@ from panelmill.functions import numerics
 from panelmill.operators import grid
 
 # Fixed values.
-ADF_TAIL = 10_000
 ACF_LAGS = 10
 ARCH_LAGS = 12
 FEATURE_ORDER = [
@@ -440,7 +439,7 @@ def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray]
     def compute(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         y = group["y"].to_numpy(dtype=float)
-        row = {"unique_id": group["unique_id"].iloc[0], "stationarity": numerics.stationarity(y[-ADF_TAIL:]),
+        row = {"unique_id": group["unique_id"].iloc[0], "stationarity": numerics.stationarity(y),
                "x_entropy": numerics.spectral_entropy(y)}
         trend, seasonal, rest = (group[c].to_numpy(dtype=float) for c in ("trend", "seasonal", "remainder"))
         if np.isfinite(rest).all():
