@@ -69,12 +69,35 @@ def cleanup_plan(report: DataFrame) -> DataFrame:
     return heavy.unionByName(partly).unionByName(empty).distinct()
 
 
-def drop_variate(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.where(~F.col("variate_name").isin(names))
+def targets(plan: DataFrame, action: str) -> DataFrame:
+    """What one action of a cleanup plan names; feeds the removals without passing the driver."""
+    return plan.where(F.col("action") == action).select("target").distinct()
 
 
-def drop_series(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.where(~F.col("series_name").isin(names))
+def _named(names: DataFrame, column: str) -> DataFrame:
+    """The first column of a frame of names, as `column`."""
+    return names.select(F.col(names.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
+
+
+def _without(df: DataFrame, column: str, names: list[str] | DataFrame) -> DataFrame:
+    if isinstance(names, DataFrame):
+        return df.join(_named(names, column), column, "left_anti").select(df.columns)
+    return df.where(~F.col(column).isin(names))
+
+
+def drop_variate(df: DataFrame, names: list[str] | DataFrame) -> DataFrame:
+    """Rows of all other variates; `names` is a list, or a frame whose first column holds the names."""
+    return _without(df, "variate_name", names)
+
+
+def drop_series(df: DataFrame, names: list[str] | DataFrame) -> DataFrame:
+    """Rows of all other series; `names` as in `drop_variate`."""
+    return _without(df, "series_name", names)
+
+
+def apply_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows left when all removals of a cleanup plan are done."""
+    return drop_series(drop_variate(df, targets(plan, "drop_variate")), targets(plan, "drop_series"))
 
 
 def drop_marked(df: DataFrame, report: DataFrame) -> DataFrame:
@@ -83,11 +106,17 @@ def drop_marked(df: DataFrame, report: DataFrame) -> DataFrame:
     return df.join(failed, ["series_name", "variate_name"], "left_anti")
 
 
-def dry_run(report: DataFrame, variates: list[str] = (), series: list[str] = (), marked: bool = False) -> DataFrame:
+def dry_run(report: DataFrame, variates: list[str] | DataFrame = (), series: list[str] | DataFrame = (),
+            marked: bool = False) -> DataFrame:
     """What a removal would touch: series changed, pairs removed, observations lost."""
-    hit = F.col("variate_name").isin(list(variates)) | F.col("series_name").isin(list(series))
-    if marked:
-        hit = hit | ~F.col("predictable")
+    hit = ~F.col("predictable") if marked else F.lit(False)
+    for column, names in (("variate_name", variates), ("series_name", series)):
+        if isinstance(names, DataFrame):
+            flag = f"_{column}"
+            report = report.join(_named(names, column).withColumn(flag, F.lit(True)), column, "left")
+            hit = hit | F.col(flag).isNotNull()
+        else:
+            hit = hit | F.col(column).isin(list(names))
     return report.agg(
         F.count_distinct(F.when(hit, F.col("series_name"))).alias("series_touched"),
         F.count(F.when(hit, 1)).alias("pairs_removed"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 CORRELATION_LIMIT = 0.95
 HELD = 2_000_000  # moments a task holds before it passes them on
+SPLIT = 256  # groups in which the partial moments of a pair meet first
 PARTIAL = ("n double, mean_a double, mean_b double, m_aa double, m_bb double, m_ab double")
 
 
@@ -54,21 +55,23 @@ def _joined(s: Column, x: Column) -> Column:
 def _merge(partials: DataFrame, keys: list[str]) -> DataFrame:
     """Combine partial moments exactly and turn them into r; NULL for a constant side.
 
-    A pair has one partial per task or stretch, so what meets here is small.
+    A pair has one partial per task or stretch. They meet in `SPLIT` groups, and the
+    results of those meet again, so that one pair of a very long table is no single group.
     """
     zero = F.struct(*[F.lit(0.0).alias(f) for f in FIELDS])
-    each = F.array_sort(F.collect_list(F.struct(*FIELDS)))
-    merged = (
-        partials.groupBy(*keys).agg(F.aggregate(each, zero, _joined).alias("s"))
-        .select(*keys, F.col("s.n").alias("n"), F.col("s.mean_a").alias("mean_a"), F.col("s.mean_b").alias("mean_b"),
-                F.col("s.m_aa").alias("saa"), F.col("s.m_bb").alias("sbb"), F.col("s.m_ab").alias("sab"))
-    )
+
+    def met(df: DataFrame, by: list[str]) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct(*FIELDS)))
+        return df.groupBy(*by).agg(F.aggregate(each, zero, _joined).alias("s")).select(*by, "s.*")
+
+    dealt = partials.withColumn("part", F.pmod(F.xxhash64(*FIELDS), F.lit(SPLIT)))
+    merged = met(met(dealt, [*keys, "part"]), keys)
 
     def varies(s: str, mean: str):
         return F.col(s) > F.col("n") * F.col(mean) * F.col(mean) * 1e-24
 
-    r = F.when((F.col("n") > 1) & varies("saa", "mean_a") & varies("sbb", "mean_b"),
-               F.try_divide("sab", F.sqrt("saa") * F.sqrt("sbb")))
+    r = F.when((F.col("n") > 1) & varies("m_aa", "mean_a") & varies("m_bb", "mean_b"),
+               F.try_divide("m_ab", F.sqrt("m_aa") * F.sqrt("m_bb")))
     return merged.withColumn("r", r).select(*keys, "r")
 
 
@@ -129,24 +132,24 @@ def correlation_matrix(pairs: DataFrame, wide: DataFrame, series: str, variates:
     return pairs.unionByName(swapped).unionByName(diagonal)
 
 
-def cross_series_correlation(df: DataFrame, tile: int = 400, cells: int = 4_000_000) -> DataFrame:
+def cross_series_correlation(df: DataFrame, tile: int = 400, cells: int = 4_000_000,
+                             limit: float | None = None) -> DataFrame:
     """`(a, b, r)` between univariate series of equal length, aligned by position.
 
     Empty unless all series have the same length. Series are hashed into tiles of
     about `tile`; a task multiplies one pair of tiles over one stretch of
     positions, so its size does not depend on the number or length of the series.
+    With `limit`, only the pairs with |r| above it; without, every pair.
     """
     lengths = df.where("core").groupBy("unique_id").agg(F.max("n").alias("n"))
     equal = lengths.agg((F.count_distinct("n") == 1) & (F.count("n") > 1))
-    n_series = df.agg(F.approx_count_distinct("unique_id")).first()[0]
-    tiles = max(1, -(-n_series // tile))
+    tiles = lengths.agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / tile)))
     stretch = max(1, cells // (2 * tile))
-    home = F.pmod(F.xxhash64("unique_id"), F.lit(tiles))
-    others = F.sequence(F.lit(0), F.lit(tiles - 1))
     rows = (
-        df.where("core").select(F.col("unique_id").alias("id"), "pos", "y", home.alias("home"))
+        df.where("core").select(F.col("unique_id").alias("id"), "pos", "y", tiles.scalar().alias("tiles"))
         .where(equal.scalar())
-        .withColumn("other", F.explode(others))
+        .withColumn("home", F.pmod(F.xxhash64("id"), F.col("tiles")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
         .select("id", "pos", "y", "home", F.least("home", "other").alias("tile_a"),
                 F.greatest("home", "other").alias("tile_b"), F.floor(F.col("pos") / stretch).alias("stretch"))
     )
@@ -171,4 +174,5 @@ def cross_series_correlation(df: DataFrame, tile: int = 400, cells: int = 4_000_
             "mean_b": mean_b[keep], "m_aa": aa[keep], "m_bb": bb[keep], "m_ab": ab[keep]})
 
     partials = rows.groupBy("stretch", "tile_a", "tile_b").applyInPandas(multiply, f"a string, b string, {PARTIAL}")
-    return _merge(partials, ["a", "b"])
+    found = _merge(partials, ["a", "b"])
+    return found if limit is None else found.where(F.abs("r") > limit)

@@ -58,19 +58,26 @@ def weekly_anchor(panel: DataFrame) -> DataFrame:
     return days.groupBy("unique_id").agg(F.max_by("weekday", F.col("c") * 10 - F.col("weekday")).alias("weekday"))
 
 
-def infer_freq(times: DataFrame, block_days: int = 3650) -> DataFrame:
+def infer_freq(times: DataFrame, block_days: int = 3650, stretch_seconds: int = 65_536) -> DataFrame:
     """Alias of a regular series from its spacing; NULL where it is irregular.
 
-    Distances are taken inside stretches of `block_days`, with the edges of the
-    stretches compared among themselves.
+    Distances are taken inside stretches of `stretch_seconds`. The edges of stretches are
+    compared within blocks of `block_days`, those of blocks among themselves, so no window
+    holds more than a stretch of a per-second series, or the stretches of one block.
     """
     ds = F.col("ds").cast("timestamp")
-    rows = times.select("unique_id", ds.alias("ds"), fq.floor_div(fq.days_of(ds), block_days).alias("block"))
-    inside = Window.partitionBy("unique_id", "block").orderBy("ds")
+    rows = times.select("unique_id", ds.alias("ds"), fq.floor_div(fq.days_of(ds), block_days).alias("block"),
+                        fq.floor_div(F.unix_seconds(ds), stretch_seconds).alias("stretch"))
+    inside = Window.partitionBy("unique_id", "block", "stretch").orderBy("ds")
+    within = Window.partitionBy("unique_id", "block").orderBy("stretch")
     across = Window.partitionBy("unique_id").orderBy("block")
-    before = rows.groupBy("unique_id", "block").agg(F.max("ds").alias("last")).select(
-        "unique_id", "block", F.lag("last").over(across).alias("edge"))
-    rows = rows.join(before, ["unique_id", "block"]).withColumn("previous", F.coalesce(F.lag("ds").over(inside), F.col("edge")))
+    ends = rows.groupBy("unique_id", "block", "stretch").agg(F.max("ds").alias("last"))
+    before = ends.groupBy("unique_id", "block").agg(F.max("last").alias("last")).select(
+        "unique_id", "block", F.lag("last").over(across).alias("before"))
+    ends = ends.join(before, ["unique_id", "block"]).select(
+        "unique_id", "block", "stretch", F.coalesce(F.lag("last").over(within), F.col("before")).alias("edge"))
+    rows = rows.join(ends, ["unique_id", "block", "stretch"]).withColumn(
+        "previous", F.coalesce(F.lag("ds").over(inside), F.col("edge")))
     months = (F.year("ds") - F.year("previous")) * 12 + F.month("ds") - F.month("previous")
     first, last = F.day("ds") == 1, F.col("ds").cast("date") == F.last_day("ds")
     gap = F.unix_seconds("ds") - F.unix_seconds("previous")

@@ -421,6 +421,17 @@ def cross_series_correlation(spark, sf):
     return out.select("a", "b", rounded("r").alias("r"))
 
 
+@query("cross_series_correlated", sql=f"""
+WITH {dense_sql('events_6h')}, c AS (
+  SELECT x.unique_id AS a, z.unique_id AS b, corr(x.y, z.y) AS r
+  FROM f x JOIN f z ON x.pos = z.pos AND x.unique_id < z.unique_id
+  WHERE (SELECT count(DISTINCT n) FROM f) = 1 GROUP BY 1, 2)
+SELECT a, b, {R('r')} AS r FROM c WHERE abs(r) > 0.02""")
+def cross_series_correlated(spark, sf):
+    out = correlation.cross_series_correlation(dense(spark, sf, "events_6h"), limit=0.02)
+    return out.select("a", "b", rounded("r").alias("r"))
+
+
 # --- Summaries and removals --------------------------------------------------
 
 ORDERS_MIN = 600
@@ -489,14 +500,38 @@ def dropped_series(spark, sf):
     return cleanup.dropped_series(variate_report(spark, sf))
 
 
-@query("cleanup_plan", sql=f"""
-WITH {VARIATE_SQL}, vs AS ({_VARIATES}), sh AS (SELECT *, 1 - kept / total AS share FROM vs)
-SELECT 'drop_variate' AS action, variate_name AS target, 'mostly_failed' AS cause FROM sh WHERE share >= 0.5
+_PLAN = """SELECT 'drop_variate' AS action, variate_name AS target, 'mostly_failed' AS cause FROM sh WHERE share >= 0.5
 UNION SELECT 'drop_series', series_name, 'partly_failed' FROM vr0 JOIN sh USING (variate_name)
   WHERE NOT predictable AND share > 0 AND share < 0.5
-UNION SELECT 'drop_series', series_name, 'all_failed' FROM vr0 GROUP BY series_name HAVING NOT bool_or(predictable)""")
+UNION SELECT 'drop_series', series_name, 'all_failed' FROM vr0 GROUP BY series_name HAVING NOT bool_or(predictable)"""
+_PLAN_SQL = f"{VARIATE_SQL}, vs AS ({_VARIATES}), sh AS (SELECT *, 1 - kept / total AS share FROM vs)"
+
+
+@query("cleanup_plan", sql=f"WITH {_PLAN_SQL} {_PLAN}")
 def cleanup_plan(spark, sf):
-    return cleanup.cleanup_plan(variate_report(spark, sf))
+    return cleanup.cleanup_plan(grid.materialize(variate_report(spark, sf)))
+
+
+@query("cleanup_plan_dry_run", sql=f"""
+WITH {_PLAN_SQL}, plan AS ({_PLAN}),
+hit AS (SELECT * FROM vr0 WHERE variate_name IN (SELECT target FROM plan WHERE action = 'drop_variate')
+        OR series_name IN (SELECT target FROM plan WHERE action = 'drop_series'))
+SELECT count(DISTINCT series_name) AS series_touched, count(*) AS pairs_removed,
+       CAST(coalesce(sum(n_obs), 0) AS BIGINT) AS observations_removed FROM hit""")
+def cleanup_plan_dry_run(spark, sf):
+    report = grid.materialize(variate_report(spark, sf))  # a row per variate and series, read by every step of the plan
+    plan = cleanup.cleanup_plan(report)
+    return cleanup.dry_run(report, cleanup.targets(plan, "drop_variate"), cleanup.targets(plan, "drop_series"))
+
+
+@query("apply_cleanup_plan", sql=f"""
+WITH {_PLAN_SQL}, plan AS ({_PLAN})
+SELECT series_name, variate_name, ds, y FROM l
+WHERE variate_name NOT IN (SELECT target FROM plan WHERE action = 'drop_variate')
+  AND series_name NOT IN (SELECT target FROM plan WHERE action = 'drop_series')""")
+def apply_cleanup_plan(spark, sf):
+    report = grid.materialize(variate_report(spark, sf))
+    return cleanup.apply_plan(_orders_long(spark, sf), cleanup.cleanup_plan(report))
 
 
 def _orders_long(spark, sf) -> DataFrame:

@@ -15,6 +15,7 @@ from panelmill.functions.frequency import floor_div
 from panelmill.operators import grid
 
 CHUNK_STEPS = 1_000_000
+ROW_VALUES = 16_000_000  # values of all variates in one row
 
 
 def item_ids(info: DataFrame) -> DataFrame:
@@ -48,9 +49,11 @@ def build_univariate(panel: DataFrame, freq: str, chunk_steps: int = CHUNK_STEPS
 
 
 def build_multivariate(long: DataFrame, freq: str, chunk_steps: int = CHUNK_STEPS,
-                       past_features: int = 0) -> DataFrame:
+                       past_features: int = 0, row_values: int = ROW_VALUES) -> DataFrame:
     """Long rows `(series_name, variate_name, ds, y)` to one row per series with the
-    variates as rows of `target`, in name order, on the grid of the whole series."""
+    variates as rows of `target`, in name order, on the grid of the whole series.
+
+    A chunk has at most `chunk_steps` steps, and `row_values` values over all variates."""
     parts = long.select(F.concat_ws("\u0001", "series_name", "variate_name").alias("unique_id"),
                         "series_name", "variate_name", "ds", "y")
     # Every variate gets the first and last timestamp of its series, so all share one grid.
@@ -58,7 +61,13 @@ def build_multivariate(long: DataFrame, freq: str, chunk_steps: int = CHUNK_STEP
     names = parts.select("series_name", "variate_name", "unique_id").distinct()
     frame = names.join(edges, "series_name").select(
         "unique_id", F.explode(F.array("lo", "hi")).alias("ds"), F.lit(None).cast("double").alias("y"))
-    chunked = _chunks(parts.select("unique_id", "ds", "y").unionByName(frame), freq, chunk_steps)
+    widths = names.groupBy("series_name").agg(F.count(F.lit(1)).alias("width"))
+    steps = names.join(widths, "series_name").select("unique_id", F.least(
+        F.lit(chunk_steps).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.floor(row_values / F.col("width")))
+    ).alias("steps"))
+    df = grid.dense(parts.select("unique_id", "ds", "y").unionByName(frame), freq,
+                    block_steps=min(grid.BLOCK_STEPS, chunk_steps)).where("core")
+    chunked = grid.attach(df, steps).withColumn("chunk", F.floor(F.col("pos") / F.col("steps")))
     keyed = chunked.withColumns({
         "item_id": F.element_at(F.split("unique_id", "\u0001"), 1),
         "variate": F.element_at(F.split("unique_id", "\u0001"), 2),

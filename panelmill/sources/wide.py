@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import unquote
 
@@ -62,9 +63,16 @@ def write_diagnostics(report: DataFrame, path: str, dataset: str, freq: str) ->
     write_cleaned(report, path, dataset, freq, fmt="json")
 
 
-def write_features(df: DataFrame, path: str, dataset: str, freq: str, decomposition: str = "stl",
-                   split: str = "test") -> str:
-    """Feature table at a path of its key; left alone when it exists already."""
+def write_features(df: DataFrame | Callable[[], DataFrame], path: str, dataset: str, freq: str,
+                   decomposition: str = "stl", split: str = "test") -> str:
+    """Feature table at a path of its key; left alone when it exists already.
+
+    Building features runs jobs. Given a function that returns the table, nothing of it
+    runs when the table exists.
+    """
     target = f"{path}/{decomposition}_features/{dataset}/{freq}/{split}"
-    df.write.mode("ignore").parquet(target)
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        (df() if callable(df) else df).write.mode("ignore").parquet(target)
     return target

@@ -71,7 +71,11 @@ def test_infer_freq(spark):
     rows += [("x", d.to_pydatetime()) for d in pd.date_range("2024-01-01", periods=30, freq="h").delete(4)]
     got = {r.unique_id: r.freq for r in shape.infer_freq(
         spark.createDataFrame(rows, "unique_id string, ds timestamp"), block_days=7).collect()}
-    assert got == {"h": "H", "q": "6H", "b": "B", "ms": "MS", "me": "ME", "qs": "QS", "w": "W-SUN", "t": "15T", "x": None}
+    want = {"h": "H", "q": "6H", "b": "B", "ms": "MS", "me": "ME", "qs": "QS", "w": "W-SUN", "t": "15T", "x": None}
+    assert got == want
+    times = spark.createDataFrame(rows, "unique_id string, ds timestamp")
+    for days, seconds in ((7, 5000), (1, 100_000), (3650, 7200)):  # stretches that end within blocks, and the reverse
+        assert {r.unique_id: r.freq for r in shape.infer_freq(times, days, seconds).collect()} == want
 
 
 def test_timestamp_report(spark):

@@ -145,6 +145,8 @@ def test_cross_series(make, rng, tile, cells):
     assert len(got) == 21
     for (a, b), r in got.items():
         assert a < b and r == pytest.approx(want.loc[a, b])
+    over = correlation.cross_series_correlation(grid.dense(make(data), "H"), tile, cells, limit=0.1)
+    assert {(r.a, r.b) for r in over.collect()} == {k for k, r in got.items() if abs(r) > 0.1}
     data["s0"] = data["s0"][:50]
     assert correlation.cross_series_correlation(grid.dense(make(data), "H")).isEmpty()
 
@@ -161,6 +163,13 @@ def test_cleanup_plan(spark):
     assert {(r.variate_name, r.kept_ratio) for r in variates.collect()} == {("odd", 1.0), ("ok", 1.0)}
     dry = cleanup.dry_run(report, ["bad"], ["f3"]).first()
     assert (dry.series_touched, dry.pairs_removed, dry.observations_removed) == (5, 7, 56)
+    made = cleanup.cleanup_plan(report)
+    assert sorted(cleanup.apply_plan(report, made).collect()) == sorted(left.collect())
+    assert cleanup.apply_plan(report, made).columns == report.columns
+    dry = cleanup.dry_run(report, cleanup.targets(made, "drop_variate"), cleanup.targets(made, "drop_series")).first()
+    assert (dry.series_touched, dry.pairs_removed, dry.observations_removed) == (5, 9, 72)
+    none = made.where("action = 'none'").select("target")
+    assert cleanup.drop_variate(report, none).count() == 15 and cleanup.dry_run(report, none).first().pairs_removed == 0
     assert cleanup.drop_marked(report, report).count() == report.where("predictable").count()
 
 

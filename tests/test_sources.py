@@ -61,6 +61,8 @@ def test_multivariate(spark):
     assert row.past_feat_dynamic_real == [[None] * 3] * 2
     flat = {r.item_id: r.target for r in nested.to_univariate(nested.build_multivariate(long, "D")).collect()}
     assert flat == {"s_dim0": [1.0, None, 3.0], "s_dim1": [None, 5.0, None]}
+    bound = {r.chunk: (r.start, r.target) for r in nested.build_multivariate(long, "D", row_values=5).collect()}
+    assert bound == {0: (at(1), [[1.0, None], [None, 5.0]]), 1: (at(3), [[3.0], [None]])}
 
 
 def test_tasks(spark):
@@ -88,6 +90,16 @@ def test_results(spark, tmp_path):
     assert got == {"m1": (9.0, "15T"), "m2": (2.0, "15T")}
     assert results.read_results(spark, path, "m2").count() == 1
     assert results.result_config(df, {"seasonality": 24}).count() == 2
+    for _ in range(2):
+        results.write_config(df, str(tmp_path / "c"), "d", "15T", "short", {"seasonality": 24})
+    config = spark.read.json(str(tmp_path / "c")).where("model = 'm1'").collect()
+    assert [(c.num_series, c.num_variates, c.num_windows, c.seasonality, c.dataset) for c in config] == [(1, 1, 1, 24, "d")]
+    two = df.withColumn("variate_name", F.col("model")).withColumn("model", F.lit("m"))
+    assert results.result_config(two, {}).first().num_variates == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        results.read_results(spark, str(tmp_path / "bad")).count()
 
 
 def test_feature_files(spark, tmp_path):
@@ -95,5 +107,11 @@ def test_feature_files(spark, tmp_path):
     first = wide.write_features(df, str(tmp_path), "d", "H")
     wide.write_features(df.withColumn("mean", F.lit(2.0)), str(tmp_path), "d", "H")
     assert spark.read.parquet(first).first().mean == 1.0 and first.endswith("stl_features/d/H/test")
+
+    def never():
+        raise AssertionError("the table exists")
+    assert wide.write_features(never, str(tmp_path), "d", "H") == first
+    other = wide.write_features(lambda: df, str(tmp_path), "d", "H", split="full")
+    assert spark.read.parquet(other).count() == 1
     wide.write_diagnostics(df, str(tmp_path / "j"), "d", "H")
     assert spark.read.json(str(tmp_path / "j")).first().dataset == "d"
