@@ -216,6 +216,56 @@ def forecast_with(df: DataFrame, fn: Callable[[list[np.ndarray], int], np.ndarra
         F.lit(model).alias("model"), "unique_id", "window_idx", "step", "quantiles")
 
 
+def forecast_multivariate(df: DataFrame, info: DataFrame, fn: Callable[[list[np.ndarray], int], list[np.ndarray]],
+                          horizon: int, test_length: int, context_length: int, levels: list[float] = LEVELS,
+                          impute: bool = True, max_variates: int = 16, batch_size: int = 32,
+                          model: str = "user") -> DataFrame:
+    """Run a forecaster that sees all variates of a series at once.
+
+    `info` names the `(unique_id, series_name, variate_name)` of the panel. `fn(contexts,
+    horizon)` gets a list of arrays `[variates, steps]`, variates in name order and steps
+    aligned at the end, and returns for each of them `[variates, horizon]` or quantiles in a
+    layout of `normalize_output`; another number of variates raises. A series with more than
+    `max_variates` is handed over in chunks of that many, which also bounds a row. Missing
+    steps, and those before the start of a shorter variate, are imputed or stay NaN.
+    """
+    contexts = windows.context_arrays(df, horizon, test_length, context_length)
+    order = Window.partitionBy("series_name").orderBy("variate_name")
+    placed = info.select("unique_id", "series_name", "variate_name").distinct().withColumn(
+        "chunk", floor_div(F.row_number().over(order) - 1, max_variates))
+    ordered = F.array_sort(F.collect_list(F.struct("variate_name", "unique_id", "context")))
+    groups = contexts.join(placed, "unique_id").groupBy("series_name", "window_idx", "chunk").agg(
+        ordered.alias("v")).select("window_idx", F.col("v.unique_id").alias("ids"), F.col("v.context").alias("contexts"))
+    n_levels = len(levels)
+
+    def stacked(rows) -> np.ndarray:
+        out = np.full((len(rows), max(len(r) for r in rows)), np.nan)
+        for line, row in zip(out, rows):
+            line[len(line) - len(row):] = np.asarray(row, dtype=float)
+        return np.array([interpolate_missing(line) for line in out]) if impute else out
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), batch_size):
+                part = batch.iloc[at:at + batch_size]
+                results = fn([stacked(rows) for rows in part["contexts"]], horizon)
+                if len(results) != len(part):
+                    raise ValueError(f"{len(results)} forecasts, expected {len(part)}")
+                for ids, window, one in zip(part["ids"], part["window_idx"], results):
+                    out = normalize_output(one, n_levels, horizon)
+                    if len(out) != len(ids):
+                        raise ValueError(f"forecast of {len(out)} variates, expected {len(ids)}")
+                    yield pd.DataFrame({
+                        "unique_id": np.repeat(np.asarray(ids), horizon),
+                        "window_idx": np.full(len(ids) * horizon, window),
+                        "step": np.tile(np.arange(1, horizon + 1), len(ids)),
+                        "quantiles": list(out.transpose(0, 2, 1).reshape(-1, n_levels)),
+                    })
+
+    return groups.mapInPandas(predict, FORECAST_SCHEMA).select(
+        F.lit(model).alias("model"), "unique_id", "window_idx", "step", "quantiles")
+
+
 def interpolate_missing(values: np.ndarray) -> np.ndarray:
     """Linear between neighbours, nearest at the ends, zeros without any value."""
     good = np.isfinite(values)

@@ -18,6 +18,7 @@ TASKS = {
     "supplier_weekly": ("supplier_weekly", 1, 13, 52, 13),
     "nation_monthly": ("nation_monthly", 12, 12, 24, 12),
 }
+MULTIVARIATE_CONTEXT = 48
 # The same z-values on both sides.
 Z = "[-1.2815515655446004, -0.8416212335729143, -0.5244005127080407, -0.2533471031357997, 0.0, " \
     "0.2533471031357997, 0.5244005127080407, 0.8416212335729143, 1.2815515655446004]"
@@ -253,6 +254,29 @@ def forecast_with_mean(spark, sf):
                       rounded(F.col("quantiles")[4]).alias("q50"))
 
 
+def half_way(contexts: list[np.ndarray], horizon: int) -> list[np.ndarray]:
+    """A multivariate user forecaster: half way between the last value and that of all variates."""
+    return [np.repeat((c[:, -1:] + c[:, -1].mean()) / 2, horizon, axis=1) for c in contexts]
+
+
+@query("forecast_multivariate", sql=f"""
+WITH {dense_sql('events_hourly')},
+org AS (SELECT unique_id, n, w AS window_idx, n - 168 + w * 24 AS o FROM (SELECT DISTINCT unique_id, n FROM f), range(7) AS q(w)),
+lst AS (SELECT org.unique_id, window_idx, coalesce(arg_max(y, pos) FILTER (WHERE y IS NOT NULL), 0.0) AS v
+        FROM org JOIN f ON f.unique_id = org.unique_id AND pos < o AND pos >= o - {MULTIVARIATE_CONTEXT} GROUP BY 1, 2),
+m AS (SELECT *, avg(v) OVER (PARTITION BY window_idx) AS g FROM lst)
+SELECT unique_id, CAST(window_idx AS BIGINT) AS window_idx, CAST(s AS BIGINT) AS step, {R('(v + g) / 2')} AS q50
+FROM m, range(1, 25) AS q(s)""")
+def forecast_multivariate(spark, sf):
+    """The event types as the variates of one series."""
+    _, _, horizon, test_length, _ = TASKS["events_hourly"]
+    df = task_panel(spark, sf, "events_hourly", 0)
+    info = panel(spark, sf, "events_hourly").select(
+        "unique_id", F.lit("events").alias("series_name"), F.col("unique_id").alias("variate_name")).distinct()
+    out = forecast.forecast_multivariate(df, info, half_way, horizon, test_length, MULTIVARIATE_CONTEXT, model="half_way")
+    return out.select("unique_id", "window_idx", "step", rounded(F.col("quantiles")[4]).alias("q50"))
+
+
 # --- Metrics ---------------------------------------------------------------
 
 # Decimals by the size of the values.

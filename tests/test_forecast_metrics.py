@@ -181,3 +181,31 @@ def test_bad_layout():
         forecast.normalize_output(np.zeros((1, 3, 5)), 9, 4)
     with pytest.raises(ValueError):
         metrics.evaluate(None, None, None, levels=[0.1, 0.9])
+
+
+@pytest.mark.parametrize("most", [16, 2])
+def test_multivariate_forecaster(make, spark, rng, most):
+    names = {"p_a": ("p", "a"), "p_b": ("p", "b"), "p_c": ("p", "c"), "q_a": ("q", "a")}
+    data = {u: rng.normal(size=40) for u in names}
+    data["p_b"][20:34] = np.nan
+    data["p_c"] = data["p_c"][:37]  # ends earlier: its windows are its own last steps
+    info = spark.createDataFrame([(u, *n) for u, n in names.items()], "unique_id string, series_name string, variate_name string")
+
+    def total(contexts, horizon):
+        return [np.repeat(c.sum() + c[:, -1:], horizon, axis=1) for c in contexts]
+    df = grid.dense(make(data), "H")
+    out = forecast.forecast_multivariate(df, info, total, 4, 8, 6, max_variates=most)
+    got = {(r.unique_id, r.window_idx, r.step): r.quantiles for r in out.collect()}
+    assert len(got) == 4 * 2 * 4
+    groups = [["p_a", "p_b", "p_c"], ["q_a"]] if most == 16 else [["p_a", "p_b"], ["p_c"], ["q_a"]]
+    for group in groups:
+        for w in (0, 1):
+            stack = [forecast.interpolate_missing(data[u][len(data[u]) - 8 + 4 * w - 6:][:6]) for u in group]
+            for u, own in zip(group, stack):
+                for step in range(1, 5):
+                    assert got[(u, w, step)] == pytest.approx([np.sum(stack) + own[-1]] * 9)
+
+    def short(contexts, horizon):
+        return [np.zeros((1, horizon)) for _ in contexts]
+    with pytest.raises(Exception, match="variates"):
+        forecast.forecast_multivariate(df, info, short, 4, 8, 6).collect()
