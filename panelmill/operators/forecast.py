@@ -109,12 +109,13 @@ def sample_from_quantiles(forecasts: DataFrame, samples: int = 100, seed: int =
                           levels: list[float] = LEVELS) -> DataFrame:
     """Sample paths by inverse CDF, one uniform draw per path shared by its steps.
 
-    The draw is a hash of series, window, path and seed, so a rerun of a lost task
-    yields the same samples.
+    The draw is the first 52 bits of the md5 of `series:window:path:seed`, so a rerun
+    of a lost task yields the same samples.
     """
-    bits = F.pmod(F.xxhash64("unique_id", "window_idx", "sample", F.lit(seed)), F.lit(2**53))
+    key = F.concat_ws(":", "unique_id", F.col("window_idx").cast("string"), F.col("sample").cast("string"), F.lit(str(seed)))
+    bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint")
     paths = forecasts.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn(
-        "u", bits / float(2**53))
+        "u", bits / float(2**52))
     return paths.select("model", "unique_id", "window_idx", "step", F.col("sample").cast("bigint").alias("sample"),
                         interpolate_quantiles(F.col("u"), F.col("quantiles"), levels).alias("y_hat"))
 

@@ -257,37 +257,70 @@ def clean_outliers(flagged: DataFrame) -> DataFrame:
 # --- Report ----------------------------------------------------------------
 
 def quality_report(panel: DataFrame, freq: str, missing_limit: float = MISSING_LIMIT,
-                   smallest: int | None = None, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
+                   smallest: int | None = None, block_steps: int = grid.BLOCK_STEPS, stop_early: bool = False) -> DataFrame:
     """One row per series: `predictable`, the ordered reasons, and the numbers.
 
     Length, timestamp order and missing rate are reported together; the later
     checks (constant, white noise, outliers) each end the list. Pass an `ordinal`
     column to have the timestamp order checked as well.
+
+    `n_duplicates` and `n_off_grid` count the rows that the dense panel leaves out,
+    `n_non_finite` the NaN and infinite values that count as missing. With `stop_early`
+    the white-noise test and the outliers are computed only for series that passed all
+    checks before; the others have NULL there. Verdict and reasons are the same.
+    """
+    return _report(panel, freq, missing_limit, smallest, block_steps, stop_early)[0]
+
+
+def preprocess(panel: DataFrame, freq: str, missing_limit: float = MISSING_LIMIT, smallest: int | None = None,
+               block_steps: int = grid.BLOCK_STEPS) -> tuple[DataFrame, DataFrame]:
+    """The report, and the cleaned panel `(unique_id, ds, y, y_clean)` of the predictable series.
+
+    The outliers of a series are found once, for its verdict and its cleaning, and only
+    where the checks before have passed.
     """
+    report, flagged = _report(panel, freq, missing_limit, smallest, block_steps, True, keep=True)
+    return report, clean_outliers(_only(flagged, report.where("predictable")))
+
+
+def _only(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """The block rows of some series."""
+    return grid.attach(rows, series.select("unique_id", F.lit(True).alias("chosen"))).where("chosen").drop("chosen")
+
+
+def _report(panel: DataFrame, freq: str, missing_limit: float, smallest: int | None, block_steps: int,
+            stop_early: bool, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The report and the flagged rows it rests on, which are written once with `keep`."""
     need = fq.min_length(freq) if smallest is None else smallest
     # Six branches read the filled panel, so it is written once.
     filled = grid.materialize(grid.fill_forward_back_zero(grid.dense(panel, freq, block_steps)).where("core"))
-    raw = grid.clean_panel(panel).groupBy("unique_id").agg(
+    value = F.col("y").cast("double")
+    raw = panel.groupBy("unique_id").agg(
         F.count(F.lit(1)).alias("n_raw"),
-        F.avg(F.when(F.col("y").isNull(), 1.0).otherwise(0.0)).alias("raw_missing"))
+        F.count(F.when(F.isnan(value) | (F.abs(value) == float("inf")), 1)).alias("n_non_finite"),
+        F.count(F.when(~F.isnan(value) & (F.abs(value) < float("inf")), 1)).alias("n_values"))
+    raw = raw.withColumn("raw_missing", 1 - F.col("n_values") / F.col("n_raw")).drop("n_values").join(
+        timestamp_report(panel, freq).select("unique_id", "n_duplicates", "n_off_grid"), "unique_id", "left")
     if "ordinal" in panel.columns:
         raw = raw.join(check_monotonic(panel), "unique_id")
     else:
         raw = raw.withColumn("monotonic", F.lit(True))
-    flagged = flag_outliers(rolling_stats_by_length(filled, block_steps))
-    table = (
-        raw.join(missing_rate(filled), "unique_id")
-        .join(value_concentration(filled), "unique_id")
-        .join(ljung_box(filled), "unique_id", "left")
-        .join(outlier_ratios(flagged), "unique_id")
-        .withColumn("missing_rate", F.when(F.col("monotonic"), F.col("missing_rate")).otherwise(F.col("raw_missing")))
-    )
+    first = raw.join(missing_rate(filled), "unique_id").join(value_concentration(filled), "unique_id").withColumn(
+        "missing_rate", F.when(F.col("monotonic"), F.col("missing_rate")).otherwise(F.col("raw_missing")))
     early = F.array_compact(F.array(
         F.when(F.col("n_raw") < need, "length"),
         F.when(~F.col("monotonic"), "not_monotonic"),
         F.when(F.col("missing_rate") > missing_limit, "missing_rate"),
     ))
     constant = (F.col("dominance") >= DOMINANCE_LIMIT) | (F.col("entropy") <= ENTROPY_LIMIT)
+    rest = filled
+    if stop_early:
+        first = grid.materialize(first)
+        rest = _only(filled, first.where((F.size(early) == 0) & ~constant))
+    flagged = flag_outliers(rolling_stats_by_length(rest, block_steps))
+    if keep:
+        flagged = grid.materialize(flagged)
+    table = first.join(ljung_box(rest), "unique_id", "left").join(outlier_ratios(flagged), "unique_id", "left")
     late = (
         F.when(constant, F.array(F.lit("constant")))
         .when(F.col("noise_p") > NOISE_LEVEL, F.array(F.lit("white_noise")))
@@ -295,9 +328,10 @@ def quality_report(panel: DataFrame, freq: str, missing_limit: float = MISSING_L
         .when(F.col("extreme_ratio") > EXTREME_SHARE, F.array(F.lit("extreme_outliers")))
         .otherwise(F.array().cast("array<string>"))
     )
-    return (
+    report = (
         table.withColumn("checks", F.when(F.size(early) > 0, early).otherwise(late))
         .withColumn("predictable", F.size("checks") == 0)
         .select("unique_id", "predictable", "checks", "n_raw", "n", "n_obs", "missing_rate", "dominance",
-                "entropy", "noise_p", "transient_ratio", "extreme_ratio")
+                "entropy", "noise_p", "transient_ratio", "extreme_ratio", "n_duplicates", "n_off_grid", "n_non_finite")
     )
+    return report, flagged

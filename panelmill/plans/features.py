@@ -306,18 +306,87 @@ query("stl")(lambda spark, sf: _decomposed(spark, sf, "lineitem_daily", "stl"))
 query("mstl")(lambda spark, sf: _decomposed(spark, sf, "events_hourly", "mstl"))
 
 
-@query("trend_smooth")
+def _line_sql(source: str, span: float | str, out: str) -> str:
+    """CTE `out`: a local line through column `v` of `source` over the nearest `span` share of points,
+    with the absolute cross-validated residual."""
+    return f"""
+{out}w AS (SELECT unique_id, pos, n, v, pos - (n - 1) / 2 AS u, greatest(floor(0.5e0 * {span} * n + 0.5e0), 2) AS half FROM {source}),
+{out}l AS (SELECT *, greatest(0, least(pos - half, greatest(n - 2 * half - 1, 0))) AS lo FROM {out}w),
+{out}s AS (SELECT a.unique_id, a.pos, any_value(a.n) AS n, any_value(a.v) AS v, any_value(a.u) AS u, count(*) AS c, avg(b.u) AS mu,
+                  avg(b.v) AS mv, regr_slope(b.v, b.u) AS slope, regr_sxx(b.v, b.u) AS sxx
+           FROM {out}l a JOIN {out}l b ON a.unique_id = b.unique_id AND b.pos >= a.lo AND b.pos < a.lo + 2 * a.half + 1 GROUP BY 1, 2),
+{out} AS (SELECT unique_id, pos, n, mv + slope * (u - mu) AS fit,
+                 abs(v - mv - slope * (u - mu)) / greatest(1 - 1 / c - (u - mu) * (u - mu) / sxx, 1e-8) AS err FROM {out}s)"""
+
+
+def smoother_sql() -> str:
+    """CTE `sm`: the super-smoother of CTE `z`."""
+    ctes = ["z0 AS (SELECT unique_id, pos, n, y AS v FROM z)"]
+    for i, span in enumerate((0.05, 0.2, 0.5)):
+        ctes += [_line_sql("z0", f"{span}e0", f"f{i}"), f"r{i} AS (SELECT unique_id, pos, n, err AS v FROM f{i})",
+                 _line_sql(f"r{i}", "0.2e0", f"e{i}")]
+    ctes += ["""
+best AS (SELECT unique_id, pos, e0.n, CASE WHEN e0.fit <= e1.fit AND e0.fit <= e2.fit THEN 0.05e0 WHEN e1.fit <= e2.fit THEN 0.2e0 ELSE 0.5e0 END AS v
+         FROM e0 JOIN e1 USING (unique_id, pos) JOIN e2 USING (unique_id, pos))""",
+             _line_sql("best", "0.2e0", "bs"), """
+mix AS (SELECT unique_id, pos, bs.n, greatest(0.05e0, least(0.5e0, bs.fit)) AS b, f0.fit AS a0, f1.fit AS a1, f2.fit AS a2
+        FROM bs JOIN f0 USING (unique_id, pos) JOIN f1 USING (unique_id, pos) JOIN f2 USING (unique_id, pos)),
+mx AS (SELECT unique_id, pos, n, CASE WHEN b <= 0.2e0 THEN a0 + (a1 - a0) * (b - 0.05e0) / (0.2e0 - 0.05e0)
+                                      ELSE a1 + (a2 - a1) * (b - 0.2e0) / (0.5e0 - 0.2e0) END AS v FROM mix)""",
+             _line_sql("mx", "0.05e0", "sm")]
+    return ",".join(ctes)
+
+
+@query("trend_smooth", sql=f"""
+WITH {prepared_sql('nation_monthly')},{smoother_sql()}
+SELECT unique_id, pos, z.n AS n, CAST(1 AS BIGINT) AS m, {R('y')} AS y, {R('sm.fit')} AS trend, 0.0::DOUBLE AS seasonal,
+       {R('y - sm.fit')} AS remainder FROM z JOIN sm USING (unique_id, pos)""")
 def trend_smooth(spark, sf):
     """Series without a season: the super-smoother on each nation's months."""
     rows = prepared(spark, sf, "nation_monthly")
     none = rows.groupBy("unique_id").agg(*[F.lit(None).cast("bigint").alias(f"period{i}") for i in (1, 2, 3)])
-    return ft.decompose(rows, none, "MS")
-
-
-@query("gram_features")
+    return _rounded_all(ft.decompose(rows, none, "MS").drop("block"))
+
+
+def _fitted_sql(source: str, target: str, columns: list[str], out: str) -> list[str]:
+    """CTEs `out0`, `out1`, ...: `target` and the columns not yet used, without their mean and what the first 0, 1, ...
+    columns explain."""
+    left = [target, *columns]
+    ctes = [f"{out}0 AS (SELECT unique_id, " + ", ".join(
+        f"{c} - avg({c}) OVER (PARTITION BY unique_id) AS {c}" for c in left) + f" FROM {source})"]
+    for i, used in enumerate(columns):
+        left = [c for c in left if c != used]
+        ctes.append(f"{out}{i + 1} AS (SELECT unique_id, " + ", ".join(
+            f"{c} - sum({c} * {used}) OVER (PARTITION BY unique_id) / sum({used} * {used}) OVER (PARTITION BY unique_id) * {used} AS {c}"
+            for c in left) + f" FROM {out}{i})")
+    return ctes
+
+
+def gram_sql() -> str:
+    lags = ", ".join(f"lag(zz, {k}) OVER (PARTITION BY unique_id ORDER BY pos) AS l{k}" for k in range(1, ft.ARCH_LAGS + 1))
+    names = [f"l{k}" for k in range(1, ft.ARCH_LAGS + 1)]
+    return ",\n".join([
+        components_sql(),
+        "zs AS (SELECT unique_id, pos, power(remainder - avg(remainder) OVER w, 2) AS zz, "
+        "(trend - avg(trend) OVER w) / stddev_samp(trend) OVER w AS x FROM c WINDOW w AS (PARTITION BY unique_id))",
+        f"al AS (SELECT unique_id, pos, zz, {lags} FROM zs)",
+        f"ar AS (SELECT * FROM al WHERE pos >= {ft.ARCH_LAGS})", *_fitted_sql("ar", "zz", names, "a_"),
+        "pl AS (SELECT unique_id, pos, x, lag(x) OVER (PARTITION BY unique_id ORDER BY pos) AS p1 FROM zs)",
+        "po AS (SELECT unique_id, x, p1, p1 * p1 AS p2, p1 * p1 * p1 AS p3 FROM pl WHERE pos >= 1)",
+        *_fitted_sql("po", "x", ["p1", "p2", "p3"], "b_"),
+        "aw AS (SELECT unique_id, sum(zz * zz) AS s FROM a_0 GROUP BY 1)",
+        f"ae AS (SELECT unique_id, sum(zz * zz) AS e FROM a_{ft.ARCH_LAGS} GROUP BY 1)",
+        "bl AS (SELECT unique_id, sum(x * x) AS s FROM b_1 GROUP BY 1)",
+        "bc AS (SELECT unique_id, sum(x * x) AS e FROM b_3 GROUP BY 1)"])
+
+
+@query("gram_features", sql=f"""
+WITH {gram_sql()}
+SELECT unique_id, {R('1 - ae.e / aw.s')} AS e_arch_lm, {R('10 * ln(bl.s / bc.e)')} AS trend_nonlinearity
+FROM aw JOIN ae USING (unique_id) JOIN bl USING (unique_id) JOIN bc USING (unique_id)""")
 def gram_features(spark, sf):
     """ARCH statistic of the remainder and nonlinearity of the trend."""
-    return ft.gram_features(grid.materialize(components(spark, sf)))
+    return _rounded_all(ft.gram_features(grid.materialize(components(spark, sf))))
 
 
 @query("sequential_features")
@@ -339,7 +408,7 @@ def features_stl(spark, sf):
 
 @query("features_mstl")
 def features_mstl(spark, sf):
-    return ft.features(panel(spark, sf, "events_hourly"), "H", "mstl", test_length=500)
+    return ft.features(panel(spark, sf, "events_hourly"), "H", "mstl")
 
 
 @query("assemble_features", sql=f"""

@@ -174,10 +174,22 @@ def explode_quantiles(spark, sf):
     return long.select("unique_id", "window_idx", "step", "q", rounded("y_hat", 4).alias("y_hat"))
 
 
-@query("sample_from_quantiles")
+def _inverse_sql() -> str:
+    """The value at `u` on the line through the quantiles `qs` of the nine levels."""
+    parts = [f"WHEN u <= {i}e0 / 10 THEN qs[{i - 1}] + (qs[{i}] - qs[{i - 1}]) * (u - {i - 1}e0 / 10) / ({i}e0 / 10 - {i - 1}e0 / 10)"
+             for i in range(2, 10)]
+    return f"CASE WHEN u <= 0.1::DOUBLE THEN qs[1] {' '.join(parts)} ELSE qs[9] END"
+
+
+@query("sample_from_quantiles", sql=f"""
+WITH {filled_sql('events_hourly')},{naive_sql('events_hourly')},
+pth AS (SELECT unique_id, window_idx, step, sample, list_transform({Z}, lambda z: point + z * spread) AS qs,
+               CAST('0x' || substr(md5(unique_id || ':' || window_idx || ':' || sample || ':7'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+        FROM fc, range(1, 101) AS k(sample))
+SELECT 'seasonal_naive' AS model, unique_id, window_idx, step, sample, {R(_inverse_sql(), 4)} AS y_hat FROM pth""")
 def sample_from_quantiles(spark, sf):
     fc = forecasts_of(task_panel(spark, sf, "events_hourly"), "events_hourly")
-    return forecast.sample_from_quantiles(fc, samples=100, seed=7)
+    return forecast.sample_from_quantiles(fc, samples=100, seed=7).withColumn("y_hat", rounded("y_hat", 4))
 
 
 _HOURS = "SELECT event_type, hour(ts) AS hour_of_day, value AS y_hat FROM events"

@@ -368,6 +368,34 @@ for _name, _limit in (("events_hourly", 0.3), ("orders_daily", 0.2), ("supplier_
             quality.quality_report(panel(spark, sf, name), FREQ[name], missing_limit=limit)))
 
 
+_PASSED = "early = '' AND dominance < 0.5 AND entropy > 0.1"
+
+
+@query("quality_report_stop_early", sql=f"""
+WITH {report_sql(filled_sql('supplier_weekly'), fq.min_length('W-MON'))}
+SELECT unique_id, reasons = '' AS predictable, reasons, n_raw, CASE WHEN {_PASSED} THEN {R('noise_p')} END AS noise_p,
+  CASE WHEN {_PASSED} THEN {R('ex')} END AS extreme_ratio, CAST(0 AS BIGINT) AS n_duplicates, CAST(0 AS BIGINT) AS n_off_grid,
+  CAST(0 AS BIGINT) AS n_non_finite FROM rep""")
+def quality_report_stop_early(spark, sf):
+    """The same verdicts with the costly checks on passing series only."""
+    report = quality.quality_report(panel(spark, sf, "supplier_weekly"), "W-MON", stop_early=True)
+    return report.select("unique_id", "predictable", F.array_join("checks", " | ").alias("reasons"), "n_raw",
+                         rounded("noise_p").alias("noise_p"), rounded("extreme_ratio").alias("extreme_ratio"),
+                         "n_duplicates", "n_off_grid", "n_non_finite")
+
+
+@query("preprocess", sql=f"""
+WITH {report_sql(filled_sql('orders_daily'), fq.min_length('D'))},
+gd AS (SELECT flg.*, CASE WHEN NOT extreme THEN yf END AS good FROM flg JOIN rep USING (unique_id) WHERE reasons = '')
+SELECT unique_id, ds, y, CASE WHEN y IS NULL THEN NULL ELSE coalesce(
+  last_value(good IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(good IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS y_clean
+FROM gd""")
+def preprocess(spark, sf):
+    """Checked and cleaned in one go: the cleaned panel of the predictable series."""
+    return quality.preprocess(panel(spark, sf, "orders_daily"), "D")[1]
+
+
 # --- Correlation -----------------------------------------------------------
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]

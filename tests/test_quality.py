@@ -200,3 +200,35 @@ def test_geometric_mean(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 8.0), ("a", None), ("z", 0.0), ("z", 3.0), ("n", -1.0), ("n", 2.0), ("e", None)], "k string, v double")
     got = {r.k: r.g for r in df.groupBy("k").agg(leaderboard.geometric_mean("v").alias("g")).collect()}
     assert got["a"] == pytest.approx(4.0) and got["z"] == 0.0 and got["n"] is None and got["e"] is None
+
+
+def test_report_counts_what_the_grid_leaves_out(spark, rng):
+    ds = pd.date_range("2024-01-01", periods=400, freq="h")
+    good = pd.DataFrame({"unique_id": "good", "ds": ds, "y": ar(rng)})
+    odd = pd.DataFrame({"unique_id": "odd", "ds": ds, "y": ar(rng)})
+    odd.loc[[7, 8], "y"] = [np.inf, -np.inf]
+    twice = odd.iloc[[20, 20, 30]]
+    late = odd.iloc[[40]].assign(ds=lambda d: d["ds"] + pd.Timedelta(minutes=7))
+    panel = spark.createDataFrame(pd.concat([good, odd, twice, late]))
+    # pandas' NaN would arrive as NULL
+    nan = (F.col("unique_id") == "odd") & (F.col("ds") == F.lit(ds[9]))
+    panel = panel.withColumn("y", F.when(nan, float("nan")).otherwise(F.col("y")))
+    rows = {r.unique_id: r for r in quality.quality_report(panel, "H").collect()}
+    assert (rows["good"].n_duplicates, rows["good"].n_off_grid, rows["good"].n_non_finite) == (0, 0, 0)
+    assert (rows["odd"].n_duplicates, rows["odd"].n_off_grid, rows["odd"].n_non_finite) == (3, 1, 3)
+    assert rows["odd"].n_obs == 397
+
+
+def test_early_stop_and_preprocess(make, series):
+    panel = make(series)
+    whole = {r.unique_id: r for r in quality.quality_report(panel, "H").collect()}
+    report, cleaned = quality.preprocess(panel, "H")
+    short = {r.unique_id: r for r in report.collect()}
+    assert {k: r.checks for k, r in whole.items()} == {k: r.checks for k, r in short.items()}
+    stopped = {k for k, r in short.items() if r.noise_p is None}
+    assert stopped and all(not short[k].predictable for k in stopped)
+    got = cleaned.toPandas()
+    assert set(got["unique_id"]) == {k for k, r in short.items() if r.predictable}
+    for name, rows in got.groupby("unique_id"):
+        want = brute_outliers(series[name])[2]
+        np.testing.assert_allclose(rows.sort_values("ds")["y_clean"].to_numpy(float), want.to_numpy(float))
