@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
+from panelmill.functions import numerics
 from panelmill.operators import features as ft
 from panelmill.operators import grid
 from panelmill.operators import panel as shape
@@ -302,6 +303,64 @@ def _decomposed(spark, sf, name: str, method: str) -> DataFrame:
     return ft.decompose(rows, periods, FREQ[name], method)
 
 
+def _loess_sql(source: str, span: int, out: str, extend: int = 0) -> list[str]:
+    """CTE `out` `(unique_id, g, i, v)`: a local line with tricube weights over the nearest `span` points at every place `i`
+    of the groups `g` of `source` `(unique_id, g, i, v, m)`, which have m points, and `extend` places beyond both ends."""
+    beyond = "".join(f" UNION ALL SELECT DISTINCT unique_id, g, m, {place} FROM {source}"
+                     for k in range(1, extend + 1) for place in (f"-{k}", f"m + {k - 1}"))
+    return [f"{out}a AS MATERIALIZED (SELECT unique_id, g, m, i FROM {source}{beyond})",
+            f"{out}b AS (SELECT *, least({span}, m) AS width, greatest({span} - m, 0) // 2 AS extra, "
+            f"greatest(0, least(i - ((least({span}, m) + 1) // 2 - 1), m - least({span}, m))) AS lo FROM {out}a)",
+            f"{out}c AS (SELECT *, greatest(i - lo, lo + width - 1 - i) + extra AS reach, "
+            f"CAST(unnest(generate_series(CAST(lo AS BIGINT), CAST(lo + width - 1 AS BIGINT))) AS BIGINT) AS j FROM {out}b)",
+            f"{out}d AS (SELECT c.unique_id, c.g, c.i, c.m, c.j - c.i AS d, s.v, abs(c.j - c.i) / c.reach AS share "
+            f"FROM {out}c c JOIN {source} s ON c.unique_id = s.unique_id AND c.g = s.g AND c.j = s.i)",
+            f"{out}e AS (SELECT *, CASE WHEN share <= 0.001 THEN 1e0 WHEN share <= 0.999 THEN power(1 - power(share, 3), 3) ELSE 0e0 END AS w FROM {out}d)",
+            f"{out}f AS (SELECT unique_id, g, i, any_value(m) AS m, sum(w * v) / sum(w) AS a, sum(w * d) / sum(w) AS cd, "
+            f"sum(w * d * d) / sum(w) - power(sum(w * d) / sum(w), 2) AS spread, sum(w * d * v) / sum(w) AS dv FROM {out}e GROUP BY 1, 2, 3)",
+            f"{out} AS MATERIALIZED (SELECT unique_id, g, i, CASE WHEN sqrt(greatest(spread, 0)) > 0.001 * (m - 1) "
+            f"THEN a - cd / spread * (dv - cd * a) ELSE a END AS v FROM {out}f)"]
+
+
+def stl_sql(source: str, period: int, out: str, seasonal: int = numerics.STL_SEASONAL_SPAN) -> list[str]:
+    """CTE `out` `(unique_id, pos, n, y, trend, seasonal)`: the loops of STL, written out one after another."""
+    trend, low = numerics.stl_spans(period, seasonal)
+    ctes = [f"{out}t0 AS (SELECT unique_id, pos, n, y, 0e0 AS trend, 0e0 AS seasonal FROM {source})"]
+
+    def mean(table: str, width: int, name: str) -> str:
+        return (f"{name} AS (SELECT unique_id, i, v FROM (SELECT unique_id, i, avg(v) OVER w AS v, count(*) OVER w AS c FROM {table} "
+                f"WINDOW w AS (PARTITION BY unique_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)) WHERE c = {width})")
+
+    for k in range(numerics.STL_INNER_LOOPS):
+        o, was = f"{out}{k}", f"{out}t{k}"
+        ctes.append(f"{o}s AS MATERIALIZED (SELECT unique_id, pos % {period} AS g, pos // {period} AS i, y - trend AS v, "
+                    f"count(*) OVER (PARTITION BY unique_id, pos % {period}) AS m FROM {was})")
+        ctes += _loess_sql(f"{o}s", seasonal, f"{o}c", 1)
+        ctes.append(f"{o}y AS MATERIALIZED (SELECT unique_id, g + (i + 1) * {period} AS i, v FROM {o}c)")
+        ctes += [mean(f"{o}y", period, f"{o}m1"), mean(f"{o}m1", period, f"{o}m2"), mean(f"{o}m2", 3, f"{o}m3")]
+        ctes.append(f"{o}l AS MATERIALIZED (SELECT unique_id, 0 AS g, i, v, count(*) OVER (PARTITION BY unique_id) AS m FROM {o}m3)")
+        ctes += _loess_sql(f"{o}l", low, f"{o}w")
+        ctes.append(f"{o}p AS MATERIALIZED (SELECT t.unique_id, 0 AS g, t.pos AS i, t.n AS m, t.y, y.v - w.v AS seasonal, t.y - y.v + w.v AS v "
+                    f"FROM {was} t JOIN {o}y y ON t.unique_id = y.unique_id AND y.i = t.pos + {period} "
+                    f"JOIN {o}w w ON t.unique_id = w.unique_id AND w.i = t.pos)")
+        ctes += _loess_sql(f"{o}p", trend, f"{o}r")
+        ctes.append(f"{out}t{k + 1} AS MATERIALIZED (SELECT p.unique_id, p.i AS pos, p.m AS n, p.y, r.v AS trend, p.seasonal "
+                    f"FROM {o}p p JOIN {o}r r ON p.unique_id = r.unique_id AND p.i = r.i)")
+    return [*ctes, f"{out} AS (SELECT * FROM {out}t{numerics.STL_INNER_LOOPS})"]
+
+
+@query("stl_weekly", sql=f"""
+WITH {prepared_sql('lineitem_daily')}, {", ".join(stl_sql('z', PERIOD, 'd'))}
+SELECT unique_id, pos, n, CAST({PERIOD} AS BIGINT) AS m, {R('y')} AS y, {R('trend')} AS trend, {R('seasonal')} AS seasonal,
+       {R('y - trend - seasonal')} AS remainder FROM d""")
+def stl_weekly(spark, sf):
+    """A given period, the week, for every series."""
+    rows = prepared(spark, sf, "lineitem_daily")
+    week = rows.groupBy("unique_id").agg(
+        F.lit(PERIOD).cast("bigint").alias("period1"), *[F.lit(None).cast("bigint").alias(f"period{i}") for i in (2, 3)])
+    return _rounded_all(ft.decompose(rows, week, "D").drop("block"))
+
+
 query("stl")(lambda spark, sf: _decomposed(spark, sf, "lineitem_daily", "stl"))
 query("mstl")(lambda spark, sf: _decomposed(spark, sf, "events_hourly", "mstl"))
 
