@@ -361,6 +361,32 @@ def stl_weekly(spark, sf):
     return _rounded_all(ft.decompose(rows, week, "D").drop("block"))
 
 
+def mstl_sql(source: str, short: int, long: int) -> str:
+    """CTE `ms` `(unique_id, pos, n, y, trend, seasonal)`: two seasons in two rounds, each on what the other leaves."""
+    first, second = numerics.mstl_spans(2)
+    both = "FROM {0} x JOIN {1} o ON x.unique_id = o.unique_id AND x.pos = o.pos"
+    ctes = stl_sql(source, short, "ma", first)
+    ctes.append("qb AS MATERIALIZED (SELECT unique_id, pos, n, y - seasonal AS y FROM ma)")
+    ctes += stl_sql("qb", long, "mb", second)
+    for out, x, o, period, span in (("mc", "mb", "ma", short, first), ("md", "mc", "mb", long, second)):
+        ctes.append(f"q{out} AS MATERIALIZED (SELECT x.unique_id, x.pos, x.n, x.y - x.seasonal + o.seasonal AS y {both.format(x, o)})")
+        ctes += stl_sql(f"q{out}", period, out, span)
+    ctes.append(f"ms AS (SELECT z.unique_id, z.pos, z.n, z.y, x.trend, x.seasonal + o.seasonal AS seasonal "
+                f"{both.format('md', 'mc')} JOIN {source} z ON x.unique_id = z.unique_id AND x.pos = z.pos)")
+    return ", ".join(ctes)
+
+
+@query("mstl_day_and_week", sql=f"""
+WITH {prepared_sql('events_6h')}, {mstl_sql('z', 4, 28)}
+SELECT unique_id, pos, n, CAST(4 AS BIGINT) AS m, {R('y')} AS y, {R('trend')} AS trend, {R('seasonal')} AS seasonal,
+       {R('y - trend - seasonal')} AS remainder FROM ms""")
+def mstl_day_and_week(spark, sf):
+    """Two given periods for every series."""
+    rows = prepared(spark, sf, "events_6h")
+    both = rows.groupBy("unique_id").agg(*[F.lit(p).cast("bigint").alias(f"period{i + 1}") for i, p in enumerate((4, 28, None))])
+    return _rounded_all(ft.decompose(rows, both, "6H", "mstl").drop("block"))
+
+
 query("stl")(lambda spark, sf: _decomposed(spark, sf, "lineitem_daily", "stl"))
 query("mstl")(lambda spark, sf: _decomposed(spark, sf, "events_hourly", "mstl"))
 
