@@ -47,7 +47,10 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Words by sorted hash with their class and ln p(word | class); the same of the tail classes; ln p(class)."""
+    """Frequent words by sorted hash with their class and ln p(word | class); ln p(class).
+
+    `tail_within` is the ln p(word | class) of a tail word that is counted once; ln of its count comes on top.
+    """
 
     words: np.ndarray
     classes: np.ndarray
@@ -56,36 +59,84 @@ class Vocabulary:
     prior: np.ndarray
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.numbered(text)[:2]
+
+    def numbered(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class and ln p(word | class) of each word of a text, the latter without ln of the counts of the
+        tail words; the hashes of these."""
         hashes, tails = _hashes(text)
         if not len(self.words):
-            return (tails + CLASSES - TAILS).astype(np.uint8), self.tail_within[tails]
+            return (tails + CLASSES - TAILS).astype(np.uint8), self.tail_within[tails], hashes
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         known = self.words[at] == hashes
         return (np.where(known, self.classes[at], tails + CLASSES - TAILS).astype(np.uint8),
-                np.where(known, self.within[at], self.tail_within[tails]))
+                np.where(known, self.within[at], self.tail_within[tails]), hashes[~known])
+
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """How often each word of the corpus occurs, and the tail class it would have."""
+    return stored(docs.select("text").mapInArrow(_tallies, "word long, tail int, n long")
+                  .groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "word-counts")
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Word counts of the whole corpus; `VOCABULARY` words come to the driver, of the others sums by tail class."""
-    counts = stored(docs.select("text").mapInArrow(_tallies, "word long, tail int, n long")
-                    .groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "word-counts")
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """`VOCABULARY` words come to the driver, of the others sums by tail class; their own counts stay in `counts`."""
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     words, n = np.array([r.word for r in top], np.int64), np.array([r.n for r in top], np.float64)
     classes = np.arange(1, len(words) + 1)
     rest = np.cumsum(n[SINGLE:])
     if len(rest):
         classes[SINGLE:] = 1 + SINGLE + np.minimum((rest - n[SINGLE:]) / rest[-1] * BANDS, BANDS - 1).astype(np.int64)
-    mass, kinds = np.zeros(CLASSES), np.zeros(TAILS)
+    mass = np.zeros(CLASSES)
     np.add.at(mass, classes, n)
     within = np.log(n) - np.log(mass[classes])
-    for row in counts.groupBy("tail").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
-        mass[CLASSES - TAILS + row.tail], kinds[row.tail] = row.n, row.words
+    for row in counts.groupBy("tail").agg(F.sum("n").alias("n")).collect():
+        mass[CLASSES - TAILS + row.tail] = row.n
     for r in top:  # what has an entry is not in the tail
         mass[CLASSES - TAILS + r.tail] -= r.n
-        kinds[r.tail] -= 1
     prior = np.log((mass + 1) / (mass.sum() + CLASSES))
     order = np.argsort(words)
-    return Vocabulary(words[order], classes[order], within[order], -np.log(np.maximum(kinds, 1)), prior)
+    return Vocabulary(words[order], classes[order], within[order], -np.log(np.maximum(mass[CLASSES - TAILS:], 1)), prior)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        texts, line, within, rare, times = batch.column(1).cast(pa.binary()), [], [], [], []
+        for i in range(len(texts)):
+            classes, inside, hashes = vocab.numbered(texts[i].as_py())
+            line.append(classes.tobytes())
+            within.append(float(inside.sum()))
+            found, n = np.unique(hashes, return_counts=True)
+            rare.append(found)
+            times.append(n)
+        ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(row, row + len(texts))), batch.column(0), pa.array(line, pa.binary()), pa.array(within, pa.float64()),
+             *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (rare, times))],
+            names=["row", "doc_id", "classes", "within", "rare", "times"])
+        row += len(texts)
+
+
+def numbered(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Each text as classes, a byte a word, with the sum of ln p(word | class) as far as `vocab` knows it, and its tail words."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    return stored(docs.select("doc_id", "text").mapInArrow(
+        lambda it: _numbered(it, shared.value),
+        "row long, doc_id long, classes binary, within double, rare array<long>, times array<long>"), "numbered")
+
+
+def tail_sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Sum of ln count over the tail words of each text that has any: row, tail_sum.
+
+    The words that are frequent enough to crowd a task have an entry in the vocabulary and are not among them.
+    """
+    return texts.selectExpr("row", "inline(arrays_zip(rare, times))").join(
+        counts.select(F.col("word").alias("rare"), F.ln("n").alias("ln_n")), "rare").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("ln_n")).alias("tail_sum"))
 
 
 class WindowNetwork:
@@ -143,9 +194,9 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([line[at + d] for d in range(-SIDE, SIDE + 1) if d]), line[at]
 
 
-def _trained(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+def _trained(batches: Iterator[pa.RecordBatch], prior: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Weights after one pass over the texts of this task, times their number of words."""
-    net = WindowNetwork(WindowNetwork.start(vocab.prior))
+    net = WindowNetwork(WindowNetwork.start(prior))
     squares, total, held, size = np.zeros_like(net.flat), 0, [], 0
 
     def learn():
@@ -154,9 +205,8 @@ def _trained(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[p
             net.train(around[:, i:i + STEP], target[i:i + STEP], squares)
 
     for batch in batches:
-        texts = batch.column(0).cast(pa.binary())
-        for i in range(len(texts)):
-            held.append(vocab(texts[i].as_py())[0])
+        for classes in batch.column(0):
+            held.append(np.frombuffer(classes.as_py(), np.uint8))
             size += len(held[-1])
             if size >= STEP:
                 learn()
@@ -170,13 +220,17 @@ def _trained(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[p
 
 
 def trained(docs: DataFrame, vocab: Vocabulary) -> WindowNetwork:
-    """The network after one pass over the whole corpus: every task trains on its part, weights are averaged by words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    parts = stored(docs.select("text").mapInArrow(lambda it: _trained(it, shared.value), "weights array<double>, words long"),
+    """The network after one pass over the whole corpus."""
+    return trained_on(numbered(docs, vocab), vocab.prior)
+
+
+def trained_on(texts: DataFrame, prior: np.ndarray) -> WindowNetwork:
+    """The network after one pass over numbered texts: every task trains on its part, weights are averaged by words."""
+    parts = stored(texts.select("classes").mapInArrow(lambda it: _trained(it, prior), "weights array<double>, words long"),
                    "network-parts")
     rows = parts.select("words", F.posexplode("weights").alias("place", "w")).groupBy("place").agg(
         (F.sum("w") / F.sum("words")).alias("w")).collect()  # one row per weight
-    weights = WindowNetwork.start(vocab.prior)
+    weights = WindowNetwork.start(prior)
     for row in rows:
         weights[row.place] = row.w
     return WindowNetwork(weights)
@@ -184,27 +238,29 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> WindowNetwork:
 
 def score(net: WindowNetwork, classes: np.ndarray, within: np.ndarray) -> float:
     """Sum of ln p(word | both sides) over a text."""
+    return float(within.sum()) + class_score(net, classes)
+
+
+def class_score(net: WindowNetwork, classes: np.ndarray) -> float:
+    """Sum of ln p(class | both sides) over a text."""
     if not len(classes):
         return 0.0
     around, target = windows([classes])
-    total = float(within.sum())
+    total = 0.0
     for i in range(0, len(target), STEP):
         _, scores = net.forward(around[:, i:i + STEP])
         total += float(scores[np.arange(scores.shape[0]), target[i:i + STEP]].sum(dtype=np.float64))
     return total
 
 
-def _scored(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     net = WindowNetwork(weights)
     for batch in batches:
-        n, sums = [], []
-        texts = batch.column(1).cast(pa.binary())
-        for i in range(len(texts)):
-            classes, within = vocab(texts[i].as_py())
-            n.append(len(classes))
-            sums.append(score(net, classes, within))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64())],
-                                         names=["doc_id", "n_tokens", "log_prob"])
+        lines = [np.frombuffer(x.as_py(), np.uint8) for x in batch.column(2)]
+        sums = [class_score(net, line) + within for line, within in zip(lines, batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(map(len, lines), pa.int64()), pa.array(sums, pa.float64())],
+            names=["row", "doc_id", "n_tokens", "known"])
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -212,18 +268,24 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
 
     p(word | both sides) = p(class | window) p(word | class). The classes and p(word | class) come
     from exact counts of all words of the corpus, p(class | window) from a network trained on
-    every position of every text. `log_prob` is the sum over all words.
+    every position of every text. `log_prob` is the sum over all words. Every word has the count
+    of its own: frequent ones from a table of `VOCABULARY` entries that every task holds, the
+    others by a join of the counted words with the tail words of the texts.
 
     A null or empty text has 0 words, log_prob 0 and no mean. Rows are scored one by one, so
     repeated or null doc_ids stay rows of their own. An empty corpus gives no rows. How the
     input is split into tasks changes the averaged weights slightly; the same split gives
     the same scores.
     """
-    vocab = vocabulary(docs)
-    weights = trained(docs, vocab).flat
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
-    scored = docs.select("doc_id", "text").mapInArrow(
-        lambda it: _scored(it, *shared.value), "doc_id long, n_tokens long, log_prob double")
+    counts = word_counts(docs)
+    vocab = vocabulary(docs, counts)
+    texts = numbered(docs, vocab)
+    weights = trained_on(texts, vocab.prior).flat
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    scored = texts.select("row", "doc_id", "classes", "within").mapInArrow(
+        lambda it: _scored(it, shared.value), "row long, doc_id long, n_tokens long, known double")
+    scored = scored.join(tail_sums(texts, counts), "row", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("tail_sum", F.lit(0.0))).alias("log_prob"))
     return scored.withColumn("mean_log_prob", F.try_divide("log_prob", "n_tokens"))
 
 

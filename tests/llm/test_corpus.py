@@ -459,6 +459,21 @@ def test_pseudo_likelihood(spark, docs):
     assert lm_scoring.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_every_word_has_its_count(spark, monkeypatch):
+    """Of tail words of one length in the same place, one that occurs five times as often is five times as likely."""
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 3)
+    texts = ["the cat sat twiggy the cat", "the cat sat gibber the cat"] + ["the cat sat"] * 20 + ["twiggy", "twiggy twiggy", "twiggy", None]
+    df = spark.createDataFrame([(i % 25, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(df).collect() if r.doc_id != 0 or r.n_tokens}
+    assert got[0].n_tokens == got[1].n_tokens == 6
+    assert got[0].log_prob - got[1].log_prob == pytest.approx(np.log(5), rel=1e-9)
+    counts = lm_scoring.word_counts(df)
+    vocab = lm_scoring.vocabulary(df, counts)
+    classes, within, rare = vocab.numbered(b"twiggy gibber")  # all words of their class
+    assert len(rare) == 2 and classes[0] == classes[1]
+    assert sum(np.exp(within + np.log([5, 1]))) == pytest.approx(1)
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
