@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their ids and their places in sequences."""
     return packing.packed(docs)
 
 

@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, deleted when the application ends."""
+    path = work_folder(spark, name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
@@ -23,10 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     them. The files go when the application ends.
     """
     spark = df.sparkSession
-    path = work_folder(spark, name)
+    path = passing_folder(spark, name)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
 
 

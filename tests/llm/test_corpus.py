@@ -335,6 +335,33 @@ def test_packing(spark, docs):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_sequences_hold_all_ids(spark, docs, tmp_path):
+    """Each document's ids come back whole from the files; files hold ranges of sequences."""
+    encode, folder = Encoder(vocabulary()).whole.encode, str(tmp_path / "sequences")
+    got = packing.packed(docs, folder=folder).collect()
+    rows = spark.read.parquet(folder).selectExpr("*", "_metadata.file_name AS file").collect()
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    found, spans = defaultdict(list), defaultdict(list)
+    for r in rows:
+        spans[r.file].append(r.sequence_id)
+        assert len(r.ids) == sum(r.lengths) <= 2048
+        at = 0
+        for doc, piece, n in zip(r.doc_ids, r.pieces, r.lengths):
+            found[doc].append((piece, r.sequence_id, at, r.ids[at:at + n]))
+            at += n
+    ends = sorted((min(x), max(x)) for x in spans.values())
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    def key(x):
+        return (x[0] is None, *x[1:]) if x[0] is None else x
+    assert sorted(((d, *x) for d in found if d is not None for x in found[d]), key=key) == sorted(
+        (r.doc_id, r.piece, r.sequence_id, r.offset, r.ids) for r in got if r.doc_id is not None)
+    for d in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect():
+        whole = [*encode(d.text or "", add_special_tokens=False).ids, 0]
+        once = {piece: ids for piece, _, _, ids in found[d.doc_id]}
+        assert [i for piece in sorted(once) for i in once[piece]] == whole
+    assert sum(map(len, found.values())) == len(got)
+
+
 def optimum(lengths, capacity):
     """Fewest sequences, by search."""
     lengths, best = sorted(lengths, reverse=True), [len(lengths)]
