@@ -41,6 +41,30 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE), "")
 
 
+def text_bytes(column):
+    """The UTF-8 bytes of a string array in a row, and where each text begins (its end last). Nulls are empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def by_bytes(batches, place: int, most: int):
+    """The batches cut so that the texts in column `place` have `most` bytes together, or one text is longer."""
+    import numpy as np
+
+    for batch in batches:
+        ends, at = text_bytes(batch.column(place))[1], 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the edges `(u, v)`: rows `(node, component)`.
 
