@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,19 @@ def text_bytes(column):
     return data, bounds - bounds[0]
 
 
+@contextmanager
+def without_cycles():
+    """No search for reference cycles meanwhile: a task that remembers millions of small objects
+    and makes no cycles would have them all walked through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def by_bytes(batches, place: int, most: int):
     """The batches cut so that the texts in column `place` have `most` bytes together, or one text is longer."""
     import numpy as np

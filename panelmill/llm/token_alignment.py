@@ -6,13 +6,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import by_bytes, stored, table
+from panelmill.llm.common import by_bytes, stored, table, without_cycles
 from panelmill.llm.registry import query
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -21,6 +23,7 @@ CHUNK = 2 << 20  # bytes of text that are aligned at once
 REMEMBERED = 48 << 20  # bytes of a memory's generation
 ENTRY = 300  # bytes of an entry besides its content
 PAIRS = 1 << 22  # pairs of a vocabulary slice that go to all tasks at once
+PLAIN, ODD, CHANGED = 0, 1, 2  # kinds of chunks; the largest of a text's decides
 _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
 
 ROWS = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, "
@@ -33,11 +36,17 @@ class Memory:
     def __init__(self):
         self.now, self.before, self.size = {}, {}, 0
 
-    def get(self, key):
-        found = self.now.get(key)
-        if found is None and (found := self.before.get(key)) is not None:
-            self.now[key] = found
-        return found
+    def get(self, keys: list) -> tuple[list, dict]:
+        """What is remembered of each key (None: nothing), and the places of each key that is not."""
+        found = list(map(self.now.get, keys))
+        missing: dict = {}
+        for i in [i for i, x in enumerate(found) if x is None]:
+            key = keys[i]
+            if (old := self.before.get(key)) is not None:
+                found[i] = self.now[key] = old
+            else:
+                missing.setdefault(key, []).append(i)
+        return found, missing
 
     def put(self, key, value, size: int) -> None:
         if size > REMEMBERED >> 8:
@@ -78,65 +87,101 @@ class Tokenizers:
         self.len_a, self.len_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in x]) for x in (self.bytes_a, self.bytes_b))
         self.chunks, self.windows = Memory(), Memory()
-
-    def encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """Ids (32 bit) of each chunk by both, and whether the tokens' bytes are a space and the chunk."""
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            missing = list({c for c, x in zip(chunks, found) if x is None})
-            known = {}
-            for i in range(0, len(missing), 20_000):
-                part = missing[i:i + 20_000]
-                for c, a, b in zip(part, self.a.encode_batch_fast([" " + c for c in part], add_special_tokens=False),
-                                   self.b.encode(part, num_threads=1)):
-                    want, a = (" " + c).encode(), a.ids
-                    same = (b"".join(map(self.bytes_a.__getitem__, a)) == want
-                            and b"".join(map(self.bytes_b.__getitem__, b)) == want)
-                    known[c] = value = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
-                    self.chunks.put(c, value, len(want) + len(value[0]) + len(value[1]))
-            found = [known[c] if x is None else x for c, x in zip(chunks, found)]
+        top = max(len(self.bytes_a), len(self.bytes_b))
+        digits = np.array([str(i).encode() for i in range(top)])
+        self.n_digits = np.char.str_len(digits)
+        self.digits = np.pad(digits.view(np.uint8).reshape(top, -1), ((0, 0), (0, 1)))  # and a place for what follows
+
+    def encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
+        """Ids (32 bit) of each chunk by both, and its kind: PLAIN, ODD (empty or with white space at
+        its end, so that a text is cut elsewhere) or CHANGED (the tokens' bytes are not a space and the chunk)."""
+        found, missing = self.chunks.get(chunks)
+        new = list(missing)
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            want = [(" " + c).encode() for c in part]
+            sides = []
+            for ids, names, sizes in (
+                    ([e.ids for e in self.a.encode_batch_fast([" " + c for c in part], add_special_tokens=False)],
+                     self.bytes_a, self.len_a),
+                    (self.b.encode(part, num_threads=1), self.bytes_b, self.len_b)):
+                stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]))
+                data = flat.tobytes()
+                upto = np.append(0, np.cumsum(sizes[flat]))[stops]
+                own = b"".join(map(names.__getitem__, flat.tolist()))
+                same = [own[i:j] == w for i, j, w in zip([0, *upto.tolist()], upto.tolist(), want)]
+                stops = (4 * stops).tolist()
+                sides.append(([data[i:j] for i, j in zip([0, *stops], stops)], same))
+            (a, same_a), (b, same_b) = sides
+            for c, x, y, plain in zip(part, a, b, map(and_, same_a, same_b)):
+                value = x, y, ODD if not c or c[-1].isspace() else PLAIN if plain else CHANGED
+                self.chunks.put(c, value, len(c) + len(x) + len(y))
+                for i in missing[c]:
+                    found[i] = value
         return found
 
-    def tokens(self, text: str) -> list[tuple[bytes, bytes, bool]] | None:
-        """The ids of a whole text by its chunks; None where its bytes cannot be had from both.
+    def texts(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of whole texts; None where the bytes of a space and the text cannot be had from both.
 
         Neither tokenizer has a token across a space that follows something else than white
-        space, so the text may be cut there. Most texts are cut at every space; those with
-        white space before a space, or at their ends, are cut more carefully.
+        space, so a text may be cut there. Most texts are cut at every space; those with white
+        space before a space, or at their ends, are cut more carefully.
         """
-        chunks = text.split(" ")
-        if any(not c or c[-1].isspace() for c in chunks):
-            chunks = _CUT.split(text)
-        found = self.encoded(chunks)
-        if not all(x[2] for x in found):
-            want = (" " + text).encode()
-            for own, names in ((0, self.bytes_a), (1, self.bytes_b)):
-                ids = np.frombuffer(b"".join(x[own] for x in found), np.int32).tolist()
-                if b"".join(map(names.__getitem__, ids)) != want:
-                    return None
-        return found
-
-    def window(self, key: bytes, cut: int) -> tuple[bytes, bytes, int]:
-        """Links (codes `a * vocabulary of b + b`, 32 bit), groups as text and their number, for the ids of a window."""
-        ids = np.frombuffer(key, np.int32).tolist()
-        a, b = ids[:cut], ids[cut + 1:]
-        size_a, size_b, wide = self.len_a, self.len_b, len(self.bytes_b)
-        links, groups = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = int(size_a[a[0]]), int(size_b[b[0]])
-        while True:
-            links.append(a[i] * wide + b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-                if i == len(a):
-                    return np.array(links, np.int32).tobytes(), ";".join(groups).encode(), len(groups)
-            if step_a:
-                end_a += int(size_a[a[i]])
-            if step_b:
-                end_b += int(size_b[b[j]])
+        chunks = [t.split(" ") for t in texts]
+        stops = np.cumsum([len(c) for c in chunks])
+        a, b, kinds = zip(*self.encoded(list(chain.from_iterable(chunks))))
+        kind = np.maximum.reduceat(np.frombuffer(bytes(kinds), np.uint8), np.append(0, stops[:-1]))
+        out = []
+        for text, k, i, j in zip(texts, kind.tolist(), [0, *stops.tolist()], stops.tolist()):
+            ids = b"".join(a[i:j]), b"".join(b[i:j])
+            if k == ODD:
+                found = self.encoded(_CUT.split(text))
+                ids = tuple(b"".join(x[own] for x in found) for own in (0, 1))
+            if k != PLAIN:
+                want = (" " + text).encode()
+                for own, names in zip(ids, (self.bytes_a, self.bytes_b)):
+                    if b"".join(map(names.__getitem__, np.frombuffer(own, np.int32).tolist())) != want:
+                        ids = None
+                        break
+            out.append(ids)
+        return out
+
+    def windows_of(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[bytes, bytes, int]]:
+        """Links (codes `a * vocabulary of b + b`, 32 bit), groups as text and their number, of windows that lie in a row."""
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        side = np.zeros(int(ends_a[-1]) + 1, np.int8)
+        side[ends_a] = 1
+        side[ends_b] += 2
+        side = side[np.flatnonzero(side)]  # stretches between ends: each is the overlap of one token of A and one of B
+        in_a, in_b = side & 1, side >> 1
+        at_a, at_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        links = a[at_a] * np.int32(len(self.bytes_b)) + b[at_b]
+        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+        upto = np.flatnonzero(in_a) + 1
+        n_links = np.diff(upto[stop_a - 1], prepend=0)
+        both = side == 3
+        group = np.cumsum(both) - both
+        group_a, group_b = group[np.flatnonzero(in_a)], group[np.flatnonzero(in_b)]
+        # as text: a group's tokens of A, then those of B
+        size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+        place_a = np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(size_a)[group_b]
+        ids, after = np.empty(len(a) + len(b), np.int32), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        after[place_a[np.cumsum(size_a) - 1]] = ord("|")
+        last = place_b[np.cumsum(size_b) - 1]
+        after[last] = ord(";")
+        after[place_b[stop_b - 1]] = 0
+        digits, n = self.digits[ids], self.n_digits[ids]
+        digits[np.arange(len(ids)), n] = after
+        n = n + (after > 0)
+        text = digits[np.arange(digits.shape[1]) < n[:, None]].tobytes()
+        text_stops = np.cumsum(n)[place_b[stop_b - 1]].tolist()
+        groups = np.diff(group_b[stop_b - 1] + 1, prepend=0).tolist()
+        data, stops = links.tobytes(), (4 * np.cumsum(n_links)).tolist()
+        return zip((data[i:j] for i, j in zip([0, *stops], stops)),
+                   (text[i:j] for i, j in zip([0, *text_stops], text_stops)), groups)
 
     def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[bytes, bytes, int]], np.ndarray]:
         """The windows of texts that lie in a row, and the byte at which each ends."""
@@ -159,14 +204,15 @@ class Tokenizers:
         stops = (4 * (to_a + to_b + number + 1)).tolist()
         data = keys.tobytes()
         keys = [data[i:j] for i, j in zip([0, *stops], stops)]
-        found = list(map(self.windows.get, keys))
-        if None in found:
-            known = {}
-            for k, (key, value) in enumerate(zip(keys, found)):
-                if value is None and key not in known:
-                    known[key] = value = self.window(key, int(n_a[k]))
-                    self.windows.put(key, value, len(key) + len(value[0]) + len(value[1]))
-            found = [known[k] if x is None else x for k, x in zip(keys, found)]
+        found, missing = self.windows.get(keys)
+        if missing:
+            here = np.array([places[0] for places in missing.values()])  # in ascending order
+            new = np.zeros(len(keys), bool)
+            new[here] = True
+            for (key, places), value in zip(missing.items(), self.windows_of(a[new[of_a]], b[new[of_b]], n_a[here], n_b[here])):
+                self.windows.put(key, value, len(key) + len(value[0]) + len(value[1]))
+                for i in places:
+                    found[i] = value
         return found, ends_a[to_a - 1]
 
 
@@ -177,31 +223,37 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
 
 def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, with_groups: bool) -> Iterator[pa.RecordBatch]:
     both = tokenizers(path_a, path_b)
-    none = np.zeros(0, np.int32)
     for batch in by_bytes(batches, 1, CHUNK):
-        whole = [(k, found, text) for k, text in enumerate(batch.column(1).to_pylist())
-                 if text and (found := both.tokens(text)) is not None]
-        rows = [(0, 0, 0, 0, "", "", none, none)] * batch.num_rows
-        if whole:
-            a, b = ([b"".join(x[own] for x in found) for _, found, _ in whole] for own in (0, 1))
-            windows, ends = both.aligned(*(np.frombuffer(b"".join(x), np.int32) for x in (a, b)))
-            until = np.cumsum([1 + len(text.encode()) for _, _, text in whole])
-            stops = (np.searchsorted(ends, until) + 1).tolist()
-            for (k, _, _), ids_a, ids_b, i, j in zip(whole, a, b, [0, *stops], stops):
-                links, groups, n = zip(*windows[i:j])
-                codes = np.frombuffer(b"".join(links), np.int32)
-                pairs, times = np.unique(codes, return_counts=True)
-                text = b";".join(groups)
-                rows[k] = (len(ids_a) // 4, len(ids_b) // 4, sum(n), len(codes), hashlib.sha256(text).hexdigest(),
-                           text.decode() if with_groups else None, pairs, times.astype(np.int32))
-        n_a, n_b, n_groups, n_links, digest, groups, pairs, times = zip(*rows)
-        bounds = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
-        zeros = pa.array(np.zeros(len(rows), np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)), pa.array(digest, pa.string()),
-             pa.array(groups, pa.string()), *(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(x)))
-                                              for x in (pairs, times)), zeros, zeros],
-            names=[c.split()[0] for c in ROWS.split(", ")])
+        with without_cycles():
+            rows = _rows(batch, both, with_groups)
+        yield rows
+
+
+def _rows(batch: pa.RecordBatch, both: Tokenizers, with_groups: bool) -> pa.RecordBatch:
+    none = np.zeros(0, np.int32)
+    texts = [(k, text) for k, text in enumerate(batch.column(1).to_pylist()) if text]
+    rows = [(0, 0, 0, 0, "", "", none, none)] * batch.num_rows
+    whole = [(k, *ids, text) for (k, text), ids in zip(texts, both.texts([t for _, t in texts])) if ids] if texts else []
+    if whole:
+        _, a, b, _ = zip(*whole)
+        windows, ends = both.aligned(*(np.frombuffer(b"".join(x), np.int32) for x in (a, b)))
+        until = np.cumsum([1 + len(text.encode()) for *_, text in whole])
+        stops = (np.searchsorted(ends, until) + 1).tolist()
+        for (k, ids_a, ids_b, _), i, j in zip(whole, [0, *stops], stops):
+            links, groups, n = zip(*windows[i:j])
+            codes = np.frombuffer(b"".join(links), np.int32)
+            pairs, times = np.unique(codes, return_counts=True)
+            text = b";".join(groups)
+            rows[k] = (len(ids_a) // 4, len(ids_b) // 4, sum(n), len(codes), hashlib.sha256(text).hexdigest(),
+                       text.decode() if with_groups else None, pairs, times.astype(np.int32))
+    n_a, n_b, n_groups, n_links, digest, groups, pairs, times = zip(*rows)
+    bounds = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
+    zeros = pa.array(np.zeros(len(rows), np.int64))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)), pa.array(digest, pa.string()),
+         pa.array(groups, pa.string()), *(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(x)))
+                                          for x in (pairs, times)), zeros, zeros],
+        names=[c.split()[0] for c in ROWS.split(", ")])
 
 
 def _documents_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -103,8 +104,6 @@ def test_whole_texts_of_the_tables(spark, whole):
     """The ids of real texts are those of the libraries on the whole text."""
     both = token_alignment.tokenizers(*map(public_tokenizers.path, (VOCABULARY_A, VOCABULARY_B)))
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
-        found = both.tokens(r.text) if r.text else None
-        for own, side in enumerate(f(r.text) for f in whole) if found else ():
-            import numpy as np
-
-            assert np.frombuffer(b"".join(x[own] for x in found), np.int32).tolist() == [i for i, _ in side]
+        found = both.texts([r.text])[0] if r.text else None
+        for own, side in zip(found, (f(r.text) for f in whole)) if found else ():
+            assert np.frombuffer(own, np.int32).tolist() == [i for i, _ in side]
