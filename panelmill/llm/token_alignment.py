@@ -11,6 +11,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,10 @@ from panelmill.llm.registry import query
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 2 << 20  # bytes of text that are aligned at once
+CHUNK = 4 << 20  # bytes of text that are aligned at once
 REMEMBERED = 48 << 20  # bytes of a memory's generation
 ENTRY = 300  # bytes of an entry besides its content
 PAIRS = 1 << 22  # pairs of a vocabulary slice that go to all tasks at once
-PLAIN, ODD, CHANGED = 0, 1, 2  # kinds of chunks; the largest of a text's decides
 _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
 
 ROWS = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, "
@@ -37,7 +37,7 @@ class Memory:
         self.now, self.before, self.size = {}, {}, 0
 
     def get(self, keys: list) -> tuple[list, dict]:
-        """What is remembered of each key (None: nothing), and the places of each key that is not."""
+        """What is remembered of each of distinct keys (None: nothing), and the places of those that are not."""
         found = list(map(self.now.get, keys))
         missing: dict = {}
         for i in [i for i, x in enumerate(found) if x is None]:
@@ -45,7 +45,7 @@ class Memory:
             if (old := self.before.get(key)) is not None:
                 found[i] = self.now[key] = old
             else:
-                missing.setdefault(key, []).append(i)
+                missing[key] = i
         return found, missing
 
     def put(self, key, value, size: int) -> None:
@@ -92,11 +92,10 @@ class Tokenizers:
         self.n_digits = np.char.str_len(digits)
         self.digits = np.pad(digits.view(np.uint8).reshape(top, -1), ((0, 0), (0, 1)))  # and a place for what follows
 
-    def encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
-        """Ids (32 bit) of each chunk by both, and its kind: PLAIN, ODD (empty or with white space at
-        its end, so that a text is cut elsewhere) or CHANGED (the tokens' bytes are not a space and the chunk)."""
-        found, missing = self.chunks.get(chunks)
-        new = list(missing)
+    def encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Ids (32 bit) of each chunk by both, and whether the bytes of either are a space and the chunk."""
+        found, missing = self.chunks.get(chunks)  # the chunks are distinct
+        new, put = list(missing), self.chunks.put
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             want = [(" " + c).encode() for c in part]
@@ -115,36 +114,69 @@ class Tokenizers:
                 sides.append(([data[i:j] for i, j in zip([0, *stops], stops)], same))
             (a, same_a), (b, same_b) = sides
             for c, x, y, plain in zip(part, a, b, map(and_, same_a, same_b)):
-                value = x, y, ODD if not c or c[-1].isspace() else PLAIN if plain else CHANGED
-                self.chunks.put(c, value, len(c) + len(x) + len(y))
-                for i in missing[c]:
-                    found[i] = value
+                found[missing[c]] = value = x, y, plain
+                put(c, value, len(c) + len(x) + len(y))
         return found
 
-    def texts(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of whole texts; None where the bytes of a space and the text cannot be had from both.
+    def chunks_of(self, texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+        """Distinct chunks of whole texts, and each text as a row of these. Chunk by chunk, a text's ids are those of the whole.
 
         Neither tokenizer has a token across a space that follows something else than white
         space, so a text may be cut there. Most texts are cut at every space; those with white
         space before a space, or at their ends, are cut more carefully.
         """
-        chunks = [t.split(" ") for t in texts]
-        stops = np.cumsum([len(c) for c in chunks])
-        a, b, kinds = zip(*self.encoded(list(chain.from_iterable(chunks))))
-        kind = np.maximum.reduceat(np.frombuffer(bytes(kinds), np.uint8), np.append(0, stops[:-1]))
-        out = []
-        for text, k, i, j in zip(texts, kind.tolist(), [0, *stops.tolist()], stops.tolist()):
-            ids = b"".join(a[i:j]), b"".join(b[i:j])
-            if k == ODD:
-                found = self.encoded(_CUT.split(text))
-                ids = tuple(b"".join(x[own] for x in found) for own in (0, 1))
-            if k != PLAIN:
-                want = (" " + text).encode()
-                for own, names in zip(ids, (self.bytes_a, self.bytes_b)):
-                    if b"".join(map(names.__getitem__, np.frombuffer(own, np.int32).tolist())) != want:
-                        ids = None
-                        break
-            out.append(ids)
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        odd = np.array([not c or c[-1].isspace() for c in chunks], bool)
+        rows = np.split(codes, np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        odd_texts = np.add.reduceat(odd[codes].astype(np.int64), np.append(0, np.cumsum(lists.value_lengths().to_numpy())[:-1]))
+        place = {c: i for i, c in enumerate(chunks)} if odd_texts.any() else {}
+        for k in np.flatnonzero(odd_texts).tolist():
+            parts = _CUT.split(texts[k].as_py())
+            rows[k] = np.array([place.setdefault(c, len(place)) for c in parts])
+        return chunks + list(place)[len(chunks):], rows
+
+    def align(self, texts: pa.Array) -> list[tuple | None]:
+        """Per text (not empty): tokens of A, of B, groups, links and groups as text; None where the
+        bytes of a space and the text cannot be had from both."""
+        chunks, rows = self.chunks_of(texts)
+        found = self.encoded(chunks)
+        whole = np.array([x[2] for x in found])
+        for k in [] if whole.all() else [k for k, r in enumerate(rows) if not whole[r].all()]:  # judged by all their bytes
+            rows[k] = np.array([len(chunks)])
+            chunks.append(texts[k].as_py())
+            found += self.encoded(chunks[-1:])  # a chunk of its own, so it may be there twice
+        whole = np.array([x[2] for x in found])
+        known = np.zeros(len(chunks), bool)
+        for r in rows:
+            known[r] |= whole[r[0]]
+        used = np.flatnonzero(known)
+        if not len(used):
+            return [None] * len(rows)
+        number = np.cumsum(known) - 1
+        a, b = ([found[c][own] for c in used.tolist()] for own in (0, 1))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in (a, b))
+        windows, ends = self.aligned(*(np.frombuffer(b"".join(x), np.int32) for x in (a, b)))
+        until = np.cumsum([1 + len(chunks[c].encode()) for c in used.tolist()])
+        stops = np.searchsorted(ends, until) + 1  # a chunk is one window or several
+        links, groups, n = zip(*windows)
+        n_links = np.add.reduceat(np.fromiter(map(len, links), np.int64, len(links)) // 4, np.append(0, stops[:-1]))
+        n_groups = np.add.reduceat(np.array(n), np.append(0, stops[:-1]))
+        codes = np.frombuffer(b"".join(links), np.int32)
+        if len(windows) > len(used):
+            groups = [b";".join(groups[i:j]) for i, j in zip([0, *stops.tolist()], stops.tolist())]
+        starts, out = np.cumsum(n_links) - n_links, []
+        for r in rows:
+            if not whole[r[0]]:
+                out.append(None)
+                continue
+            r = number[r]
+            size = n_links[r]
+            before = np.cumsum(size) - size
+            own = codes[np.repeat(starts[r] - before, size) + np.arange(int(size.sum()))]
+            out.append((int(n_a[r].sum()), int(n_b[r].sum()), int(n_groups[r].sum()), own,
+                        b";".join(map(groups.__getitem__, r.tolist()))))
         return out
 
     def windows_of(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[bytes, bytes, int]]:
@@ -204,16 +236,19 @@ class Tokenizers:
         stops = (4 * (to_a + to_b + number + 1)).tolist()
         data = keys.tobytes()
         keys = [data[i:j] for i, j in zip([0, *stops], stops)]
-        found, missing = self.windows.get(keys)
+        place: dict = {}
+        own = [place.setdefault(k, len(place)) for k in keys]
+        found, missing = self.windows.get(list(place))
         if missing:
-            here = np.array([places[0] for places in missing.values()])  # in ascending order
+            first = np.unique(np.array(own), return_index=True)[1]
+            here = first[list(missing.values())]  # in ascending order
             new = np.zeros(len(keys), bool)
             new[here] = True
-            for (key, places), value in zip(missing.items(), self.windows_of(a[new[of_a]], b[new[of_b]], n_a[here], n_b[here])):
-                self.windows.put(key, value, len(key) + len(value[0]) + len(value[1]))
-                for i in places:
-                    found[i] = value
-        return found, ends_a[to_a - 1]
+            put = self.windows.put
+            for (key, i), value in zip(missing.items(), self.windows_of(a[new[of_a]], b[new[of_b]], n_a[here], n_b[here])):
+                found[i] = value
+                put(key, value, len(key) + len(value[0]) + len(value[1]))
+        return [found[i] for i in own] if len(place) < len(keys) else found, ends_a[to_a - 1]
 
 
 @cache
@@ -231,20 +266,14 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, with_g
 
 def _rows(batch: pa.RecordBatch, both: Tokenizers, with_groups: bool) -> pa.RecordBatch:
     none = np.zeros(0, np.int32)
-    texts = [(k, text) for k, text in enumerate(batch.column(1).to_pylist()) if text]
     rows = [(0, 0, 0, 0, "", "", none, none)] * batch.num_rows
-    whole = [(k, *ids, text) for (k, text), ids in zip(texts, both.texts([t for _, t in texts])) if ids] if texts else []
-    if whole:
-        _, a, b, _ = zip(*whole)
-        windows, ends = both.aligned(*(np.frombuffer(b"".join(x), np.int32) for x in (a, b)))
-        until = np.cumsum([1 + len(text.encode()) for *_, text in whole])
-        stops = (np.searchsorted(ends, until) + 1).tolist()
-        for (k, ids_a, ids_b, _), i, j in zip(whole, [0, *stops], stops):
-            links, groups, n = zip(*windows[i:j])
-            codes = np.frombuffer(b"".join(links), np.int32)
+    texts = batch.column(1)
+    given = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    for k, found in zip(given.tolist(), both.align(texts.take(pa.array(given))) if len(given) else ()):
+        if found is not None:
+            n_a, n_b, n_groups, codes, text = found
             pairs, times = np.unique(codes, return_counts=True)
-            text = b";".join(groups)
-            rows[k] = (len(ids_a) // 4, len(ids_b) // 4, sum(n), len(codes), hashlib.sha256(text).hexdigest(),
+            rows[k] = (n_a, n_b, n_groups, len(codes), hashlib.sha256(text).hexdigest(),
                        text.decode() if with_groups else None, pairs, times.astype(np.int32))
     n_a, n_b, n_groups, n_links, digest, groups, pairs, times = zip(*rows)
     bounds = np.cumsum([0, *map(len, pairs)]).astype(np.int32)

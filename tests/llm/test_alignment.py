@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from panelmill.llm import token_alignment
@@ -101,9 +102,11 @@ def test_empty_table(spark):
 
 
 def test_whole_texts_of_the_tables(spark, whole):
-    """The ids of real texts are those of the libraries on the whole text."""
+    """The ids of real texts, chunk by chunk, are those of the libraries on the whole text."""
     both = token_alignment.tokenizers(*map(public_tokenizers.path, (VOCABULARY_A, VOCABULARY_B)))
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
-        found = both.texts([r.text])[0] if r.text else None
-        for own, side in zip(found, (f(r.text) for f in whole)) if found else ():
-            assert np.frombuffer(own, np.int32).tolist() == [i for i, _ in side]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    chunks, rows = both.chunks_of(pa.array([*texts, *filter(None, ODD)]))
+    ids = both.encoded(chunks)
+    for text, row in zip([*texts, *filter(None, ODD)], rows):
+        for own, side in enumerate(f(text) for f in whole):
+            assert np.frombuffer(b"".join(ids[c][own] for c in row), np.int32).tolist() == [i for i, _ in side]
