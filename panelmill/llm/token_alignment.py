@@ -20,8 +20,8 @@ from panelmill.llm.registry import query
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 4 << 20  # bytes of text that are aligned at once
-REMEMBERED = 48 << 20  # bytes of a memory's generation
+CHUNK = 3 << 19  # bytes of text that are aligned at once
+REMEMBERED = 40 << 20  # bytes of a memory's generation
 ENTRY = 300  # bytes of an entry besides its content
 PAIRS = 1 << 22  # pairs of a vocabulary slice that go to all tasks at once
 _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
