@@ -9,7 +9,7 @@ from panelmill.plans.registry import Query
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 MODULES = ("lm_scoring", "token_files", "captures", "packing", "embedding_dedup", "quality_rules", "mixing", "minhash",
-           "personal_data", "piece_counts", "token_alignment", "source_divergence")
+           "personal_data", "piece_counts", "toxicity", "token_alignment", "source_divergence")
 
 
 def query(name: str, sql: str | None = None):
