@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -84,19 +85,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(positive):
         return []
     before = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before the start, sum at the end
+    # start, end, sum before the start, sum at the end, and the last earlier one that begins lower
+    found: list[tuple[int, int, float, float, int]] = []
     for i, left, right in zip(positive.tolist(), before[positive].tolist(), before[positive + 1].tolist()):
-        start, end = i, i + 1
+        start, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:  # the last candidate that begins lower
-                j -= 1
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]  # those between begin no lower
             if j < 0 or found[j][3] >= right:
-                found.append((start, end, left, right))
                 break
-            start, left = found[j][0], found[j][2]
+            start, _, left, _, lower = found[j]
             del found[j:]
-    return [(a, b, r - left) for a, b, left, r in found]
+            j = lower
+        found.append((start, i + 1, left, right, j))
+    return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
 def decay(histogram: np.ndarray) -> float:
@@ -238,36 +240,41 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    rate, size, exponent = model.calibration
-    base = model.documents[1] / model.documents.sum()
     known: dict[str, float] = {}
     for batch in by_bytes(batches, 1, CHUNK):
         with without_cycles():
-            rows = []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").lower().split()
-                found = list(map(known.get, words))
-                if None in found:
-                    new = list({w for w, s in zip(words, found) if s is None})
-                    scored = dict(zip(new, token_scores(model, *cells([w.strip(STRIPPED) for w in new])).tolist()))
-                    found = [scored[w] if s is None else s for w, s in zip(words, found)]
-                    if len(known) > KEPT:
-                        known.clear()
-                    if len(new) < KEPT:
-                        known.update((w, s) for w, s in scored.items() if len(w) < 100)
-                passages = segments(np.array(found, float))
-                chance, evalues = log_p(len(words), np.array([s for *_, s in passages]), rate, size)
-                real = [(a, b, e) for (a, b, _), e in zip(passages, evalues.tolist()) if e <= SIGNIFICANT]
-                rows.append((len(words), chance, [a for a, *_ in real], [b for _, b, _ in real], [e for *_, e in real]))
-            n, chances, starts, ends, evalues = zip(*rows)
-            scores = probability(np.array(chances), base, exponent)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(n, pa.int64()), pa.array(scores),
-                 pa.array(np.array(chances)), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
-                 pa.array(evalues, pa.list_(pa.float64()))], names=[c.split()[0] for c in SCORED.split(", ")])
+            out = _scores(batch, model, known)
         yield out
 
 
+def _scores(batch: pa.RecordBatch, model: Model, known: dict[str, float]) -> pa.RecordBatch:
+    """A scored batch; `known` remembers the scores of words."""
+    rate, size, exponent = model.calibration
+    texts = [(text or "").lower().split() for text in batch.column(1).to_pylist()]
+    words = list(chain.from_iterable(texts))
+    found = list(map(known.get, words))
+    new = list({w for w, s in zip(words, found) if s is None})
+    if new:
+        if len(known) > KEPT:
+            known.clear()
+        scored = dict(zip(new, token_scores(model, *cells([w.strip(STRIPPED) for w in new])).tolist()))
+        found = [scored[w] if s is None else s for w, s in zip(words, found)]
+        known.update((w, s) for w, s in scored.items() if len(w) < 100)
+    found = np.array(found, float)
+    stops, rows = np.cumsum([len(t) for t in texts]).tolist(), []
+    for i, j in zip([0, *stops], stops):
+        passages = segments(found[i:j])
+        chance, evalues = log_p(j - i, np.array([s for *_, s in passages]), rate, size)
+        real = [(a, b, e) for (a, b, _), e in zip(passages, evalues.tolist()) if e <= SIGNIFICANT]
+        rows.append((j - i, chance, [a for a, *_ in real], [b for _, b, _ in real], [e for *_, e in real]))
+    n, chances, starts, ends, evalues = zip(*rows)
+    scores = probability(np.array(chances), model.documents[1] / model.documents.sum(), exponent)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(n, pa.int64()), pa.array(scores),
+         pa.array(np.array(chances)), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
+         pa.array(evalues, pa.list_(pa.float64()))], names=[c.split()[0] for c in SCORED.split(", ")])
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4: labels of these rows are not learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
