@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,33 +189,41 @@ def forecast_with(df: DataFrame, fn: Callable[[list[np.ndarray], int], np.ndarra
     """Run a user forecaster over all test windows in batches.
 
     `fn(contexts, horizon)` gets a list of 1-D arrays of at most `context_length`
-    values and returns one of the layouts of `normalize_output`. It is called in
-    Arrow batches of `(series, window)` rows; a callable object may open its model
-    lazily, once per Python worker. With `impute` missing points are filled
-    linearly inside each context; with `pad` short contexts are filled on the left.
+    values and returns one of the layouts of `normalize_output`. It is called with up to
+    `batch_size` windows of one task; a callable object may open its model lazily, once
+    per Python worker. With `impute` missing points are filled linearly inside each
+    context; with `pad` short contexts are filled on the left. The arrays are views that
+    overlapping windows share: copy one before changing it.
+
+    The panel is shuffled by slices (`windows.context_slices`), a row twice at most.
     """
-    contexts = windows.context_arrays(df, horizon, test_length, context_length)
     n_levels = len(levels)
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at:at + batch_size]
-                arrays = [np.asarray(c, dtype=float) for c in part["context"]]
-                if impute:
-                    arrays = [interpolate_missing(a) for a in arrays]
-                if pad is not None:
-                    arrays = [np.concatenate([np.full(context_length - len(a), pad), a]) for a in arrays]
-                out = normalize_output(fn(arrays, horizon), n_levels, horizon)
-                yield pd.DataFrame({
-                    "unique_id": np.repeat(part["unique_id"].to_numpy(), horizon),
-                    "window_idx": np.repeat(part["window_idx"].to_numpy(), horizon),
-                    "step": np.tile(np.arange(1, horizon + 1), len(part)),
-                    "quantiles": list(out.transpose(0, 2, 1).reshape(-1, n_levels)),
-                })
-
-    return contexts.mapInPandas(predict, FORECAST_SCHEMA).select(
-        F.lit(model).alias("model"), "unique_id", "window_idx", "step", "quantiles")
+    count, per_slice = windows.slicing(horizon, test_length, context_length)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = windows.cut_contexts(batches, 2, horizon, context_length, count, per_slice)
+        while rows := list(islice(cut, batch_size)):
+            keys, numbers, arrays = zip(*rows)
+            arrays = [interpolate_missing(a) for a in arrays] if impute else list(arrays)
+            if pad is not None:
+                arrays = [np.concatenate([np.full(context_length - len(a), pad), a]) for a in arrays]
+            out = normalize_output(fn(arrays, horizon), n_levels, horizon)
+            yield _forecast_batch([i for i, _ in keys], np.array(numbers), out)
+
+    slices = windows.context_slices(df, horizon, test_length, context_length)
+    return slices.repartition("unique_id", "slice").sortWithinPartitions("unique_id", "slice", "at").mapInArrow(
+        predict, FORECAST_SCHEMA).select(F.lit(model).alias("model"), "unique_id", "window_idx", "step", "quantiles")
+
+
+def _forecast_batch(ids: list[str], numbers: np.ndarray, out: np.ndarray) -> pa.RecordBatch:
+    """Rows of `FORECAST_SCHEMA` from forecasts `(window, level, step)`."""
+    count, n_levels, horizon = out.shape
+    stops = np.arange(0, count * horizon * n_levels + 1, n_levels, dtype=np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.string()).take(pa.array(np.repeat(np.arange(count), horizon))),
+         pa.array(np.repeat(numbers, horizon), pa.int64()), pa.array(np.tile(np.arange(1, horizon + 1), count), pa.int64()),
+         pa.ListArray.from_arrays(pa.array(stops), pa.array(out.transpose(0, 2, 1).ravel()))],
+        names=["unique_id", "window_idx", "step", "quantiles"])
 
 
 def forecast_multivariate(df: DataFrame, info: DataFrame, fn: Callable[[list[np.ndarray], int], list[np.ndarray]],
@@ -230,40 +239,48 @@ def forecast_multivariate(df: DataFrame, info: DataFrame, fn: Callable[[list[np.
     `max_variates` is handed over in chunks of that many, which also bounds a row. Missing
     steps, and those before the start of a shorter variate, are imputed or stay NaN.
     """
-    contexts = windows.context_arrays(df, horizon, test_length, context_length)
     order = Window.partitionBy("series_name").orderBy("variate_name")
-    placed = info.select("unique_id", "series_name", "variate_name").distinct().withColumn(
-        "chunk", floor_div(F.row_number().over(order) - 1, max_variates))
-    ordered = F.array_sort(F.collect_list(F.struct("variate_name", "unique_id", "context")))
-    groups = contexts.join(placed, "unique_id").groupBy("series_name", "window_idx", "chunk").agg(
-        ordered.alias("v")).select("window_idx", F.col("v.unique_id").alias("ids"), F.col("v.context").alias("contexts"))
+    placed = info.select("unique_id", "series_name", "variate_name").distinct().select(
+        "unique_id", "series_name", F.row_number().over(order).alias("number"))
+    slices = windows.context_slices(df, horizon, test_length, context_length).join(placed, "unique_id").select(
+        "series_name", floor_div(F.col("number") - 1, max_variates).alias("chunk"), "number", "unique_id", "slice", "at", "value")
     n_levels = len(levels)
+    count, per_slice = windows.slicing(horizon, test_length, context_length)
 
     def stacked(rows) -> np.ndarray:
         out = np.full((len(rows), max(len(r) for r in rows)), np.nan)
         for line, row in zip(out, rows):
-            line[len(line) - len(row):] = np.asarray(row, dtype=float)
+            line[len(line) - len(row):] = row
         return np.array([interpolate_missing(line) for line in out]) if impute else out
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at:at + batch_size]
-                results = fn([stacked(rows) for rows in part["contexts"]], horizon)
-                if len(results) != len(part):
-                    raise ValueError(f"{len(results)} forecasts, expected {len(part)}")
-                for ids, window, one in zip(part["ids"], part["window_idx"], results):
-                    out = normalize_output(one, n_levels, horizon)
-                    if len(out) != len(ids):
-                        raise ValueError(f"forecast of {len(out)} variates, expected {len(ids)}")
-                    yield pd.DataFrame({
-                        "unique_id": np.repeat(np.asarray(ids), horizon),
-                        "window_idx": np.full(len(ids) * horizon, window),
-                        "step": np.tile(np.arange(1, horizon + 1), len(ids)),
-                        "quantiles": list(out.transpose(0, 2, 1).reshape(-1, n_levels)),
-                    })
-
-    return groups.mapInPandas(predict, FORECAST_SCHEMA).select(
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+        """The stacked variates of a series, chunk and window."""
+        found = windows.cut_contexts(batches, 5, horizon, context_length, count, per_slice)
+        for _, group in groupby(found, lambda x: (*x[0][:2], x[0][4])):  # the windows of a slice, variate by variate
+            by_window: dict[int, list[tuple[str, np.ndarray]]] = {}
+            for key, window, values in group:
+                by_window.setdefault(window, []).append((key[3], values))
+            for window, rows in sorted(by_window.items()):
+                ids, values = zip(*rows)
+                yield window, list(ids), stacked(values)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = together(batches)
+        while part := list(islice(found, batch_size)):
+            numbers, ids, contexts = zip(*part)
+            results = fn(list(contexts), horizon)
+            if len(results) != len(part):
+                raise ValueError(f"{len(results)} forecasts, expected {len(part)}")
+            for own, number, one in zip(ids, numbers, results):
+                out = normalize_output(one, n_levels, horizon)
+                if len(out) != len(own):
+                    raise ValueError(f"forecast of {len(out)} variates, expected {len(own)}")
+                yield _forecast_batch(own, np.full(len(own), number), out)
+
+    # keys as `cut_contexts` wants them: the slice last
+    keyed = slices.select("series_name", "chunk", "number", "unique_id", "slice", "at", "value")
+    return keyed.repartition("series_name", "chunk", "slice").sortWithinPartitions(
+        "series_name", "chunk", "slice", "number", "at").mapInArrow(predict, FORECAST_SCHEMA).select(
         F.lit(model).alias("model"), "unique_id", "window_idx", "step", "quantiles")
 
 

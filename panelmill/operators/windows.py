@@ -1,17 +1,25 @@
 """Splits and rolling-origin windows.
 
 A window is named by columns, `(unique_id, window_idx, step)`, and found from the
-position of a row; contexts are never copied except where a forecaster asks for
-its last `length` points.
+position of a row. Contexts for a forecaster are cut as views from slices of a series
+that hold many windows; they are not copied on their way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions.frequency import floor_div
 
+SLICE_STEPS = 4_096  # steps that the origins of a slice span at least, where there are so many
+CONTEXT_VALUES = 1 << 20  # values in a batch of contexts
+
 
 def num_windows(length: int, horizon: int) -> int:
     """Number of whole windows in a test or validation part, at least one."""
@@ -100,12 +108,90 @@ def context_windows(df: DataFrame, horizon: int, test_length: int, length: int)
     )
 
 
+def slicing(horizon: int, test_length: int, length: int) -> tuple[int, int]:
+    """Test windows, and how many of them in a row are cut from one slice of a series.
+
+    A slice spans at least one context, so a row lies in two slices at most.
+    """
+    count = num_windows(test_length, horizon)
+    return count, min(count, max(-(-length // horizon), -(-SLICE_STEPS // horizon)))
+
+
+def context_slices(df: DataFrame, horizon: int, test_length: int, length: int, value: str = "y") -> DataFrame:
+    """The rows of a dense panel that contexts are cut from: `(unique_id, slice, at, value)`.
+
+    `at` counts from the first test origin. A slice holds the windows of some origins in a row
+    and every step that their contexts reach back to, so contexts that overlap share their
+    rows: a row is in two slices at most, however long contexts are against the horizon.
+    """
+    count, per_slice = slicing(horizon, test_length, length)
+    span = per_slice * horizon
+    at = F.col("pos") - (F.col("n") - test_length)
+    first = F.greatest(F.lit(0), floor_div(at + horizon, span))
+    last = F.least(F.lit(-(-count // per_slice) - 1), floor_div(at + length, span))
+    rows = df.where("core").select("unique_id", at.alias("at"), first.cast("bigint").alias("first"),
+                                   last.cast("bigint").alias("last"), F.col(value).alias("value"))
+    return rows.where(F.col("at") < horizon * (count - 1)).where("first <= last").select(
+        "unique_id", F.explode(F.sequence("first", "last")).alias("slice"), "at", "value")
+
+
+def cut_contexts(batches: Iterator[pa.RecordBatch], keys: int, horizon: int, length: int, count: int,
+                 per_slice: int) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """Contexts `(key values, window_idx, values)` from rows sorted by `keys` columns, then `at`, `value`; the last key is the slice.
+
+    The values are views of the slice's array, NaN where missing. A window that no row
+    precedes has no context. `count` and `per_slice` are those of `slicing`.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    key = None
+
+    def cut():
+        at, values = (np.concatenate(x) for x in zip(*held)) if len(held) > 1 else held[0]
+        origins = np.arange(key[-1] * per_slice, min(count, (key[-1] + 1) * per_slice))
+        starts, ends = np.searchsorted(at, origins * horizon - length), np.searchsorted(at, origins * horizon)
+        for window, i, j in zip(origins.tolist(), starts.tolist(), ends.tolist()):
+            if i < j:
+                yield key, window, values[i:j]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for column in batch.columns[:keys]:
+            codes = column.dictionary_encode().indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        at, values = batch.column(keys).to_numpy(), batch.column(keys + 1).to_numpy(zero_copy_only=False)
+        bounds = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for i, j in zip(bounds, bounds[1:]):
+            here = tuple(c[i].as_py() for c in batch.columns[:keys])
+            if here != key:
+                if held:
+                    yield from cut()
+                key, held = here, []
+            held.append((at[i:j], values[i:j].astype(float)))
+    if held:
+        yield from cut()
+
+
 def context_arrays(df: DataFrame, horizon: int, test_length: int, length: int, value: str = "y") -> DataFrame:
     """One row per window with its context in time order, at most `length` values."""
-    points = context_windows(df, horizon, test_length, length)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("age")).alias("at"), F.col(value).alias("v"))))
-    return points.groupBy("unique_id", "window_idx").agg(ordered.alias("pairs")).select(
-        "unique_id", "window_idx", F.col("pairs.v").alias("context"))
+    count, per_slice = slicing(horizon, test_length, length)
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cut_contexts(batches, 2, horizon, length, count, per_slice)
+        while rows := list(islice(cut, max(1, CONTEXT_VALUES // length))):
+            ids, numbers, values = zip(*rows)
+            stops = np.cumsum([0, *map(len, values)]).astype(np.int32)
+            flat = np.concatenate(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in ids], pa.string()), pa.array(numbers, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(stops), pa.array(flat, mask=np.isnan(flat)))],
+                names=["unique_id", "window_idx", "context"])
+
+    slices = context_slices(df, horizon, test_length, length, value).withColumn("value", F.col("value").cast("double"))
+    return slices.repartition("unique_id", "slice").sortWithinPartitions("unique_id", "slice", "at").mapInArrow(
+        arrays, "unique_id string, window_idx bigint, context array<double>")
 
 
 def truncate_context(context: Column, length: int) -> Column:

@@ -243,27 +243,31 @@ def running_mean(contexts: list[np.ndarray], horizon: int) -> np.ndarray:
     return np.repeat(np.array([[c.mean()] for c in contexts]), horizon, axis=1)
 
 
-@query("forecast_with_mean", sql=f"""
-WITH {filled_sql('supplier_weekly')},
-lin AS (SELECT unique_id, pos, n, y FROM f),
-org AS (SELECT unique_id, n, w AS window_idx, n - 52 + w * 13 AS o
-        FROM (SELECT DISTINCT unique_id, n FROM f), range(4) AS q(w)),
+def _mean_of_context(name: str, task: str, length: int) -> None:
+    _, _, horizon, test_length, _ = TASKS[task]
+
+    @query(name, sql=f"""
+WITH {filled_sql(task)},
+org AS (SELECT unique_id, n, w AS window_idx, n - {test_length} + w * {horizon} AS o
+        FROM (SELECT DISTINCT unique_id, n FROM f), range({test_length // horizon}) AS q(w)),
 ctx AS (SELECT org.unique_id, window_idx, pos, y, o,
                last_value(y IGNORE NULLS) OVER b AS fy, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS fp,
                first_value(y IGNORE NULLS) OVER a AS ny, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS bp
-        FROM org JOIN lin ON lin.unique_id = org.unique_id AND pos < o AND pos >= o - 60
+        FROM org JOIN f ON f.unique_id = org.unique_id AND pos < o AND pos >= o - {length}
         WINDOW b AS (PARTITION BY org.unique_id, window_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                a AS (PARTITION BY org.unique_id, window_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 imp AS (SELECT unique_id, window_idx, avg(coalesce(y, fy + (ny - fy) * (pos - fp) / nullif(bp - fp, 0), fy, ny, 0.0)) AS m
         FROM ctx GROUP BY 1, 2)
 SELECT unique_id, CAST(window_idx AS BIGINT) AS window_idx, CAST(s AS BIGINT) AS step, {R('m')} AS q10, {R('m')} AS q50
-FROM imp, range(1, 14) AS q(s)""")
-def forecast_with_mean(spark, sf):
-    _, _, horizon, test_length, _ = TASKS["supplier_weekly"]
-    df = task_panel(spark, sf, "supplier_weekly", 0)
-    out = forecast.forecast_with(df, running_mean, horizon, test_length, context_length=60, model="mean")
-    return out.select("unique_id", "window_idx", "step", rounded(F.col("quantiles")[0]).alias("q10"),
-                      rounded(F.col("quantiles")[4]).alias("q50"))
+FROM imp, range(1, {horizon + 1}) AS q(s)""")
+    def run(spark, sf):
+        out = forecast.forecast_with(task_panel(spark, sf, task, 0), running_mean, horizon, test_length, context_length=length, model="mean")
+        return out.select("unique_id", "window_idx", "step", rounded(F.col("quantiles")[0]).alias("q10"),
+                          rounded(F.col("quantiles")[4]).alias("q50"))
+
+
+_mean_of_context("forecast_with_mean", "supplier_weekly", 60)
+_mean_of_context("forecast_with_long_context", "events_hourly", 512)
 
 
 def half_way(contexts: list[np.ndarray], horizon: int) -> list[np.ndarray]:

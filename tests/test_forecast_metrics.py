@@ -209,3 +209,36 @@ def test_multivariate_forecaster(make, spark, rng, most):
         return [np.zeros((1, horizon)) for _ in contexts]
     with pytest.raises(Exception, match="variates"):
         forecast.forecast_multivariate(df, info, short, 4, 8, 6).collect()
+
+
+@pytest.mark.parametrize("steps, length, horizon, test_length", [(3, 10, 4, 33), (8, 3, 5, 25), (1000, 7, 2, 19), (2, 50, 3, 60)])
+def test_contexts_are_cut_from_slices(make, rng, monkeypatch, steps, length, horizon, test_length):
+    """Many slices or one, contexts longer and shorter than a slice, short series, windows without a context."""
+    monkeypatch.setattr(windows, "SLICE_STEPS", steps)
+    data = {"long": rng.normal(size=140), "exact": rng.normal(size=test_length), "short": rng.normal(size=test_length // 2)}
+    data["long"][60:90] = np.nan
+    df = grid.dense(make(data), "H", block_steps=16, back=3, ahead=2)
+    got = {(r.unique_id, r.window_idx): r.context for r in windows.context_arrays(df, horizon, test_length, length).collect()}
+    want = {}
+    for uid, values in data.items():
+        for w in range(test_length // horizon):
+            origin = len(values) - test_length + w * horizon
+            own = values[max(0, origin - length):max(0, origin)]
+            if len(own):
+                want[uid, w] = own
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        np.testing.assert_array_equal(np.array(got[key], float), values)
+    copies = windows.context_slices(df, horizon, test_length, length).groupBy("unique_id", "at").count()
+    assert copies.where("count > 2").isEmpty()
+
+
+def test_long_contexts_shuffle_no_row_more_than_twice(make, rng):
+    """Context 4,000 and horizon 24: each step lies in up to 167 contexts."""
+    df = grid.dense(make({"s": rng.normal(size=9000)}), "H")
+    slices = windows.context_slices(df, 24, 6000, 4000)
+    assert slices.count() <= 2 * 9000
+    out = forecast.forecast_with(df, lambda contexts, h: np.array([[len(c)] * h for c in contexts]), 24, 6000, 4000)
+    rows = out.where("step = 1").collect()
+    assert len(rows) == 250
+    assert [r.quantiles[0] for r in sorted(rows, key=lambda r: r.window_idx)] == [min(4000, 3000 + 24 * w) for w in range(250)]
