@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
+from panelmill.functions.frequency import floor_div
+from panelmill.functions.order_statistics import RangeSelect, frame_of, frame_parts, inner_ranks
 from panelmill.operators import grid
 
 # Fixed values of the checks.
@@ -172,30 +177,153 @@ def rolling_stats(df: DataFrame, window: int) -> DataFrame:
         q[1].alias("median"), (q[2] - q[0]).alias("iqr"))
 
 
+STATS_SCHEMA = ("unique_id string, block bigint, pos bigint, n bigint, ds timestamp, y double, y_filled double, "
+                "fallback double, median double, iqr double")
+QUARTILES = (0.25, 0.5, 0.75)
+MOST_BUCKETS = 10_000
+
+
 def rolling_stats_by_length(df: DataFrame, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
     """The same with a window of max(20, n // 10) steps for each series.
 
-    Sliding a frame that wide in SQL is quadratic, so blocks of at least one
-    window, with half a window on either side, go through pandas' rolling
-    quantile; the group size grows with the window, not with the series.
+    Windows of fewer than four blocks go through blocks with half a window on either side.
+    Longer ones never meet in a group, see `_long_windows`. The quantiles are the same.
     """
     size = F.greatest(F.lit(20), F.floor(F.col("n") / 10)).cast("bigint")
     rows = _filled_with_scale(df).where("core").withColumn("window", size)
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    long = F.col("window") >= 4 * block_steps
     window = F.col("window")
-    rows = grid.reblock(rows, "pos", F.greatest(F.lit(block_steps), window),
-                        F.floor(window / 2).cast("bigint"), F.floor((window - 1) / 2).cast("bigint"))
-    rows = rows.select("unique_id", "block", "core", "window", "pos", "n", "ds", "y", "y_filled", "fallback")
+    short = grid.reblock(rows.where(~long), "pos", F.greatest(F.lit(block_steps), window),
+                         F.floor(window / 2).cast("bigint"), F.floor((window - 1) / 2).cast("bigint"))
+    short = short.select("unique_id", "block", "core", "window", "pos", "n", "ds", "y", "y_filled", "fallback")
 
     def slide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        rolling = group["y_filled"].rolling(int(group["window"].iloc[0]), center=True, min_periods=1)
-        group["median"] = rolling.median()
-        group["iqr"] = rolling.quantile(0.75) - rolling.quantile(0.25)
-        return group[group["core"]].drop(columns=["core", "window"])
-
-    return rows.groupBy("unique_id", "block").applyInPandas(
-        slide, "unique_id string, block bigint, pos bigint, n bigint, ds timestamp, y double, y_filled double, "
-               "fallback double, median double, iqr double")
+        start, stop = frame_of(np.arange(len(group)), len(group), int(group["window"].iloc[0]))
+        core = group["core"].to_numpy()
+        select = RangeSelect(group["y_filled"].to_numpy())
+        low, middle, high = (select.quantile(start[core], stop[core], q) for q in QUARTILES)
+        return group[core].drop(columns=["core", "window"]).assign(median=middle, iqr=high - low)
+
+    stats = short.groupBy("unique_id", "block").applyInPandas(slide, STATS_SCHEMA)
+    if longest // 10 < 4 * block_steps:
+        return stats
+    return stats.unionByName(_long_windows(rows.where(long), block_steps, longest))
+
+
+def _long_windows(rows: DataFrame, size: int, longest: int) -> DataFrame:
+    """Rolling quartiles where a window spans many blocks of `size` steps, from order statistics of blocks.
+
+    The frames of one block of positions share all whole blocks between their ends; what they do
+    not share is at most four blocks. So a quartile of such a frame has one of a few blocks'
+    worth of ranks among the shared values, and only these need to reach the block:
+    * each block counts its values by range (ranges hold about a block of the series);
+    * the counts are summed over the shared blocks of each block of positions, and summed up
+      by range, which tells the ranges with those ranks;
+    * their values come from the runs `(value, count)` of the shared blocks, summed by value;
+    * with the steps at both ends in order of position around them, a frame is a range of one
+      array, and `RangeSelect` takes its quantiles.
+    No group grows with the series but by its number of blocks or ranges, which is n / size.
+    """
+    rows = rows.withColumn("block", floor_div(F.col("pos"), size))
+    per_series = rows.groupBy("unique_id").agg(F.max("n").alias("n"), F.max("window").alias("window"))
+    buckets = min(MOST_BUCKETS, -(-longest // size))
+    edges = rows.groupBy("unique_id").agg(F.percentile_approx(
+        "y_filled", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), max(10_000, 20 * buckets)).alias("edges"))
+    edges = rows.select("unique_id", "block").distinct().join(edges, "unique_id").select(
+        *(F.col(c).alias(c) for c in ("unique_id", "block", "edges")))  # columns of their own, for the cogroup
+
+    def runs(values: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        value, count = np.unique(values["y_filled"].to_numpy(), return_counts=True)
+        bucket = np.searchsorted(np.unique(own["edges"].iloc[0]), value, side="left")
+        return pd.DataFrame({"unique_id": values["unique_id"].iloc[0], "block": values["block"].iloc[0], "bucket": bucket,
+                             "value": value, "count": count})
+
+    keys = ["unique_id", "block"]
+    values = grid.materialize(rows.select(*keys, "y_filled").groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(
+        runs, "unique_id string, block bigint, bucket bigint, value double, count bigint"))
+
+    def shared(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
+        """The values of a range in the shared blocks of each block of positions."""
+        n, window = int(counts["n"].iloc[0]), int(counts["window"].iloc[0])
+        upto = np.zeros(-(-n // size) + 1, np.int64)
+        upto[counts["block"].to_numpy() + 1] = counts["count"].to_numpy()
+        upto = np.cumsum(upto)
+        block = np.arange(len(upto) - 1)
+        _, inner, outer, _ = frame_parts(block, n, window, size)
+        held = upto[-(-outer // size)] - upto[inner // size]
+        block, held = block[held > 0], held[held > 0]
+        return pd.DataFrame({"unique_id": key[0], "block": block, "bucket": key[1], "held": held, "n": n, "window": window})
+
+    counts = values.groupBy("unique_id", "bucket", "block").agg(F.sum("count").alias("count")).join(per_series, "unique_id")
+    counts = counts.groupBy("unique_id", "bucket").applyInPandas(
+        shared, "unique_id string, block bigint, bucket bigint, held bigint, n bigint, window bigint")
+
+    def needed(key: tuple, ranges: pd.DataFrame) -> pd.DataFrame:
+        """The ranges with the ranks that the quartiles of a block's frames can have, and their shared blocks."""
+        ranges = ranges.sort_values("bucket")
+        n, window = int(ranges["n"].iloc[0]), int(ranges["window"].iloc[0])
+        stop = ranges["held"].cumsum().to_numpy()
+        below = stop - ranges["held"].to_numpy()
+        use = np.zeros(len(ranges), bool)
+        for q in QUARTILES:
+            low, high = inner_ranks(key[1], n, window, size, q)
+            use |= (below <= high) & (stop > low)
+        _, inner, outer, _ = frame_parts(key[1], n, window, size)
+        return pd.DataFrame({"unique_id": key[0], "home": key[1], "bucket": ranges["bucket"].to_numpy()[use], "below": below[use],
+                             "low": int(inner) // size, "high": -(-int(outer) // size) - 1})
+
+    wanted = counts.groupBy("unique_id", "block").applyInPandas(
+        needed, "unique_id string, home bigint, bucket bigint, below bigint, low bigint, high bigint")
+    wanted = wanted.withColumn("block", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    candidates = wanted.join(values, ["unique_id", "bucket", "block"]).groupBy(
+        "unique_id", "home", "bucket", "below", "value").agg(F.sum("count").alias("count"))
+
+    schema = ("unique_id string, home bigint, core boolean, pos bigint, n bigint, window bigint, ds timestamp, y double, "
+              "y_filled double, fallback double")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row to its own block, and to those whose frames begin or end around it."""
+        for batch in batches:
+            pos, n, window = (batch.column(c).to_numpy() for c in ("pos", "n", "window"))
+            own, last = pos // size, -(-n // size) - 1
+            begins, ends = (pos + window // 2) // size, (pos - (window - 1) // 2) // size
+            for core, home in [(True, own), *((False, begins + d) for d in (-1, 0)), *((False, ends + d) for d in (-1, 0, 1))]:
+                here = (home >= 0) & (home <= last)
+                if not core:
+                    first, inner, outer, end = frame_parts(home, n, window, size)
+                    here &= ((pos >= first) & (pos < inner)) | ((pos >= outer) & (pos < end))
+                at = np.flatnonzero(here)
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("unique_id"), pa.array(home[at]), pa.array(np.full(len(at), core)),
+                     *(part.column(c) for c in ("pos", "n", "window", "ds", "y", "y_filled", "fallback"))],
+                    names=[c.split()[0] for c in schema.split(", ")])
+
+    def select(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        core, sides = rows[rows["core"]], rows[~rows["core"]].drop_duplicates("pos")
+        n, window = int(core["n"].iloc[0]), int(core["window"].iloc[0])
+        first, inner, outer, _ = (int(x) for x in frame_parts(key[1], n, window, size))
+        at, value = sides["pos"].to_numpy(), sides["y_filled"].to_numpy()
+        before, after = value[at < inner], value[at >= outer]
+        found = found.sort_values(["bucket", "value"])
+        rank = found["below"].to_numpy() + found.groupby("bucket")["count"].cumsum().to_numpy()
+        start, stop = frame_of(core["pos"].to_numpy(), n, window)
+        quartiles = []
+        for q in QUARTILES:
+            low, high = inner_ranks(key[1], n, window, size, q)
+            count = np.minimum(rank, high + 1) - np.maximum(rank - found["count"].to_numpy(), low)
+            middle = np.repeat(found["value"].to_numpy(), np.maximum(count, 0))
+            array = RangeSelect(np.concatenate([before, middle, after]))
+            quartiles.append(array.quantile(start - first, len(before) + len(middle) + stop - outer, q, stop - start, low))
+        out = core.drop(columns=["core", "window"]).rename(columns={"home": "block"})
+        return out.assign(median=quartiles[1], iqr=quartiles[2] - quartiles[0])
+
+    dealt_rows = rows.select("unique_id", "pos", "n", "window", "ds", "y", "y_filled", "fallback").mapInArrow(dealt, schema)
+    homes = ["unique_id", "home"]
+    return dealt_rows.groupBy(*homes).cogroup(candidates.groupBy(*homes)).applyInPandas(select, STATS_SCHEMA)
 
 
 def flag_outliers(stats: DataFrame) -> DataFrame:

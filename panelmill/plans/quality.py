@@ -324,6 +324,13 @@ def rolling_outlier_stats_by_length(spark, sf):
     return quality.outlier_stats(quality.flag_outliers(quality.rolling_stats_by_length(dense(spark, sf, "events_hourly"))))
 
 
+@query("rolling_outlier_stats_many_blocks", sql=f"WITH {filled_sql('events_hourly')},{outlier_sql(BY_LENGTH)} {_STATS}")
+def rolling_outlier_stats_many_blocks(spark, sf):
+    """The same with windows that span many blocks."""
+    df = dense(spark, sf, "events_hourly", block_steps=16)
+    return quality.outlier_stats(quality.flag_outliers(quality.rolling_stats_by_length(df, block_steps=16)))
+
+
 @query("clean_outliers", sql=f"""
 WITH {filled_sql('supplier_weekly')},{outlier_sql('21')},
 gd AS (SELECT *, CASE WHEN NOT extreme THEN yf END AS good, avg(CASE WHEN extreme THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY unique_id) AS ratio FROM flg)
