@@ -29,10 +29,13 @@ def parse_timestamps(text: Column) -> Column:
 
 
 def to_panel(wide: DataFrame, id_cols: list[str], time_col: str = "timestamp",
-             var_cols: list[str] | None = None) -> DataFrame:
-    """Wide to long, one row per variate and timestamp; missing cells are kept."""
+             var_cols: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """Wide to long, one row per variate and timestamp; missing cells are kept.
+
+    With `as_text` cells stay text, for `quality_report` to find variates that are not numeric.
+    """
     variates = var_cols or [c for c in wide.columns if c != time_col and c not in id_cols]
-    long = wide.select(*id_cols, time_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in variates]).unpivot(
+    long = wide.select(*id_cols, time_col, *[F.col(f"`{c}`").cast("string" if as_text else "double").alias(c) for c in variates]).unpivot(
         [*id_cols, time_col], variates, "variate_name", "y")
     return long.select(
         *id_cols, "variate_name", F.concat_ws("_", *id_cols, "variate_name").alias("unique_id"),

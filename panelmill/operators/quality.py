@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelmill.functions import frequency as fq
 from panelmill.functions.frequency import floor_div
@@ -392,6 +393,9 @@ def quality_report(panel: DataFrame, freq: str, missing_limit: float = MISSING_L
     checks (constant, white noise, outliers) each end the list. Pass an `ordinal`
     column to have the timestamp order checked as well.
 
+    `y` may be text, as `to_panel(as_text=True)` gives it: a series with a value that does not
+    read as a number (`n_text` counts them) has the reason `dtype` and no other.
+
     `n_duplicates` and `n_off_grid` count the rows that the dense panel leaves out,
     `n_non_finite` the NaN and infinite values that count as missing. With `stop_early`
     the white-noise test and the outliers are computed only for series that passed all
@@ -420,6 +424,10 @@ def _report(panel: DataFrame, freq: str, missing_limit: float, smallest: int | N
             stop_early: bool, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """The report and the flagged rows it rests on, which are written once with `keep`."""
     need = fq.min_length(freq) if smallest is None else smallest
+    number = F.expr("try_cast(y AS double)")
+    text = panel.groupBy("unique_id").agg(F.count(F.when(number.isNull(), F.col("y"))).alias("n_text"))
+    if isinstance(panel.schema["y"].dataType, StringType):
+        panel = panel.withColumn("y", number)
     # Six branches read the filled panel, so it is written once.
     filled = grid.materialize(grid.fill_forward_back_zero(grid.dense(panel, freq, block_steps)).where("core"))
     value = F.col("y").cast("double")
@@ -433,13 +441,14 @@ def _report(panel: DataFrame, freq: str, missing_limit: float, smallest: int | N
         raw = raw.join(check_monotonic(panel), "unique_id")
     else:
         raw = raw.withColumn("monotonic", F.lit(True))
-    first = raw.join(missing_rate(filled), "unique_id").join(value_concentration(filled), "unique_id").withColumn(
-        "missing_rate", F.when(F.col("monotonic"), F.col("missing_rate")).otherwise(F.col("raw_missing")))
-    early = F.array_compact(F.array(
+    first = raw.join(text, "unique_id").join(missing_rate(filled), "unique_id").join(
+        value_concentration(filled), "unique_id").withColumn("missing_rate", F.when(F.col("monotonic"), F.col("missing_rate")).otherwise(F.col("raw_missing")))
+    dtype = F.col("n_text") > 0
+    early = F.when(dtype, F.array(F.lit("dtype"))).otherwise(F.array_compact(F.array(
         F.when(F.col("n_raw") < need, "length"),
         F.when(~F.col("monotonic"), "not_monotonic"),
         F.when(F.col("missing_rate") > missing_limit, "missing_rate"),
-    ))
+    )))
     constant = (F.col("dominance") >= DOMINANCE_LIMIT) | (F.col("entropy") <= ENTROPY_LIMIT)
     rest = filled
     if stop_early:
@@ -460,6 +469,6 @@ def _report(panel: DataFrame, freq: str, missing_limit: float, smallest: int | N
         table.withColumn("checks", F.when(F.size(early) > 0, early).otherwise(late))
         .withColumn("predictable", F.size("checks") == 0)
         .select("unique_id", "predictable", "checks", "n_raw", "n", "n_obs", "missing_rate", "dominance",
-                "entropy", "noise_p", "transient_ratio", "extreme_ratio", "n_duplicates", "n_off_grid", "n_non_finite")
+                "entropy", "noise_p", "transient_ratio", "extreme_ratio", "n_duplicates", "n_off_grid", "n_non_finite", "n_text")
     )
     return report, flagged

@@ -378,6 +378,19 @@ for _name, _limit in (("events_hourly", 0.3), ("orders_daily", 0.2), ("supplier_
 _PASSED = "early = '' AND dominance < 0.5 AND entropy > 0.1"
 
 
+@query("quality_report_text_column", sql=f"""
+WITH {report_sql(filled_sql('supplier_weekly'), 104)}
+SELECT unique_id, reasons = '' AS predictable, reasons, CAST(0 AS BIGINT) AS n_text FROM rep
+UNION ALL SELECT 'label_' || unique_id, false, 'dtype', count(y) FROM p GROUP BY 1
+""")
+def quality_report_text_column(spark, sf):
+    """Series of numbers kept as text, and series of labels."""
+    numbers = panel(spark, sf, "supplier_weekly").select("unique_id", "ds", F.col("y").cast("string").alias("y"))
+    labels = numbers.select(F.concat(F.lit("label_"), "unique_id").alias("unique_id"), "ds", F.concat(F.lit("v"), "y").alias("y"))
+    report = quality.quality_report(numbers.union(labels), FREQ["supplier_weekly"])
+    return report.select("unique_id", "predictable", F.concat_ws(" | ", "checks").alias("reasons"), "n_text")
+
+
 @query("quality_report_stop_early", sql=f"""
 WITH {report_sql(filled_sql('supplier_weekly'), fq.min_length('W-MON'))}
 SELECT unique_id, reasons = '' AS predictable, reasons, n_raw, CASE WHEN {_PASSED} THEN {R('noise_p')} END AS noise_p,

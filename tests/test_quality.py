@@ -232,3 +232,20 @@ def test_early_stop_and_preprocess(make, series):
     for name, rows in got.groupby("unique_id"):
         want = brute_outliers(series[name])[2]
         np.testing.assert_allclose(rows.sort_values("ds")["y_clean"].to_numpy(float), want.to_numpy(float))
+
+
+def test_text_values_fail_as_dtype(spark):
+    """The first reason and the only one, also where length and missing rate would fail."""
+    from datetime import datetime, timedelta
+
+    from panelmill.operators import panel
+
+    start = datetime(2024, 1, 1)
+    wide = spark.createDataFrame(
+        [("f", start + timedelta(hours=i), str(i % 17 + i / 7), "x" if i == 3 else "1.5", None, f"{i}e0") for i in range(40)],
+        "series string, timestamp timestamp, number string, mixed string, empty string, exponent string")
+    long = panel.to_panel(wide, ["series"], as_text=True)
+    got = {r.unique_id: r for r in quality.quality_report(long, "H", smallest=100).collect()}
+    assert got["f_mixed"].checks == ["dtype"] and got["f_mixed"].n_text == 1 and not got["f_mixed"].predictable
+    assert got["f_number"].checks == got["f_exponent"].checks == ["length"] and got["f_exponent"].n_text == 0
+    assert got["f_empty"].checks == ["length", "missing_rate"]
