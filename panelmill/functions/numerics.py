@@ -221,21 +221,6 @@ def magnitudes(y: np.ndarray) -> np.ndarray:
     return size
 
 
-def entropy_of_power(power: np.ndarray, n: int) -> float:
-    """Bits of the one-sided periodogram; inner bins count twice."""
-    doubled = power.copy()
-    doubled[1:(n - 1) // 2 + 1] *= 2
-    total = doubled.sum()
-    if not total > 0:
-        return math.nan
-    p = doubled[doubled > 0] / total
-    return float(-(p * np.log2(p)).sum())
-
-
-def spectral_entropy(y: np.ndarray) -> float:
-    return entropy_of_power(magnitudes(y) ** 2, len(y))
-
-
 STRETCH = 1 << 16
 
 

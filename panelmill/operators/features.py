@@ -2,8 +2,9 @@
 
 Sums, lags and block statistics are DataFrame aggregations. Grouped pandas
 functions are left for what is sequential along a series: the decomposition
-(which runs on blocks, see `decompose`), the Fourier transform, the unit-root
-test, the rank-based W and the prefix scan of the Hurst exponent.
+(which runs on blocks, see `decompose`), the Fourier transform (in pieces, see
+`spectra`), the unit-root test, the rank-based W and the prefix scan of the
+Hurst exponent.
 
 Component rows are `(unique_id, block, pos, n, m, y, trend, seasonal, remainder)`
 with `m` the period of the series.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import frequency as fq
 from panelmill.functions import numerics
 from panelmill.operators import grid
+from panelmill.operators.spectra import spectrum
 
 # Fixed values.
 ACF_LAGS = 10
@@ -194,22 +196,6 @@ def flat_spots(rows: DataFrame, value: str = "y", bins: int = 10) -> DataFrame:
 
 # --- Spectrum ------------------------------------------------------------------
 
-def spectrum(rows: DataFrame, value: str = "y") -> DataFrame:
-    """`(unique_id, n, k, f, magnitude)` for the frequencies k / n up to one half.
-
-    The mean is left out. One series goes through one task.
-    """
-    def transform(group: pd.DataFrame) -> pd.DataFrame:
-        y = group.sort_values("pos")["v"].to_numpy(dtype=float)
-        n = len(y)
-        size = numerics.magnitudes(y) if np.isfinite(y).all() else np.full(n // 2 + 1, np.nan)
-        return pd.DataFrame({"unique_id": group["unique_id"].iloc[0], "n": n, "k": np.arange(len(size)),
-                             "f": np.arange(len(size)) / n, "magnitude": size})
-
-    return rows.select("unique_id", "pos", F.col(value).alias("v")).groupBy("unique_id").applyInPandas(
-        transform, "unique_id string, n bigint, k bigint, f double, magnitude double")
-
-
 def period_strength(spec: DataFrame, freq: str) -> DataFrame:
     """Share of the total magnitude in the band around each candidate period.
 
@@ -430,23 +416,25 @@ def gram_features(parts: DataFrame, block_steps: int = grid.BLOCK_STEPS) -> Data
     return summed.mapInPandas(solve, "unique_id string, e_arch_lm double, trend_nonlinearity double")
 
 
-def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray], float]] | None = None) -> DataFrame:
-    """What needs a whole series in order: entropies, unit root, W, Hurst, and any
-    further Python functions of the prepared values. One series per task."""
+def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray], float]] | None = None,
+                        spec: DataFrame | None = None, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
+    """What needs a whole series in order: entropies, unit root, W, Hurst, and any further
+    Python functions of the prepared values.
+
+    The entropies rest on the spectra of the three columns (that of the values may be given);
+    for the others a series goes through one task.
+    """
     extra = extra or {}
-    names = ["x_entropy", "e_entropy", "seasonal_entropy", "e_shapiro_w", "trend_hurst", *extra]
+    names = ["e_shapiro_w", "trend_hurst", *extra]
 
     def compute(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         y = group["y"].to_numpy(dtype=float)
-        row = {"unique_id": group["unique_id"].iloc[0], "stationarity": numerics.stationarity(y),
-               "x_entropy": numerics.spectral_entropy(y)}
-        trend, seasonal, rest = (group[c].to_numpy(dtype=float) for c in ("trend", "seasonal", "remainder"))
+        row = {"unique_id": group["unique_id"].iloc[0], "stationarity": numerics.stationarity(y)}
+        trend, rest = (group[c].to_numpy(dtype=float) for c in ("trend", "remainder"))
         if np.isfinite(rest).all():
-            row["e_entropy"] = numerics.spectral_entropy(rest)
             row["e_shapiro_w"] = numerics.shapiro_w(rest)
             row["trend_hurst"] = numerics.hurst(trend)
-            row["seasonal_entropy"] = numerics.spectral_entropy(seasonal) if group["m"].iloc[0] > 1 else np.nan
         for name, fn in extra.items():
             row[name] = float(fn(y))
         out = {c: row.get(c) for c in names}
@@ -455,7 +443,13 @@ def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray]
             {c: "float64" for c in names})
 
     schema = "unique_id string, stationarity bigint, " + ", ".join(f"`{c}` double" for c in names)
-    result = parts.groupBy("unique_id").applyInPandas(compute, schema)
+    result = parts.select("unique_id", "pos", "y", "trend", "remainder").groupBy("unique_id").applyInPandas(compute, schema)
+    longest = parts.agg(F.max("n")).first()[0] or 0
+    spec = spectrum(parts, "y", block_steps, longest) if spec is None else spec
+    for name, own in (("x_entropy", spec), ("e_entropy", spectrum(parts, "remainder", block_steps, longest)),
+                      ("seasonal_entropy", spectrum(parts.where("m > 1"), "seasonal", block_steps, longest))):
+        result = result.join(spectral_entropy(own, name), "unique_id", "left")
+    names = ["x_entropy", "e_entropy", "seasonal_entropy", *names]
     return result.select("unique_id", "stationarity", *[F.nanvl(F.col(c), F.lit(None)).alias(c) for c in names])
 
 
@@ -479,7 +473,10 @@ def features(panel: DataFrame, freq: str, decomposition: str = "stl", test_lengt
     # The statistics, the spectrum and the decomposition read the panel.
     df = grid.materialize(df)
     rows = prepared(df)
-    periods = grid.materialize(top_periods(period_strength(spectrum(rows), freq)))
+    longest = df.agg(F.max("n")).first()[0] or 0
+    # The candidate periods and the entropy read the spectrum.
+    spec = grid.materialize(spectrum(rows, "y", block_steps, longest))
+    periods = grid.materialize(top_periods(period_strength(spec, freq)))
     # Six feature sets read the components; the decomposition runs once.
     parts = grid.materialize(decompose(rows, periods, freq, decomposition, block_steps))
     width = block_width(F.col("m"))
@@ -492,7 +489,7 @@ def features(panel: DataFrame, freq: str, decomposition: str = "stl", test_lengt
         block_features(parts, "trend", width, "trend_").drop("trend_lumpiness"),
         block_features(parts, "seasonal", width, "seasonal_").drop("seasonal_stability"),
         gram_features(parts, block_steps),
-        sequential_features(parts, extra),
+        sequential_features(parts, extra, spec, block_steps),
     ):
         table = table.join(other, "unique_id", "left")
     seasonal = F.col("m") > 1

@@ -190,6 +190,13 @@ def spectrum(spark, sf):
     return ft.spectrum(prepared(spark, sf, "events_6h")).select("unique_id", "k", rounded("magnitude").alias("magnitude"))
 
 
+@query("spectrum_in_pieces", sql=f"WITH {spectrum_sql()} SELECT unique_id, k, {R('magnitude')} AS magnitude FROM sp")
+def spectrum_in_pieces(spark, sf):
+    """The same by two passes over pieces of a series, or by folding with a chirp where its length asks for it."""
+    return ft.spectrum(prepared(spark, sf, "events_6h"), block_steps=16).select(
+        "unique_id", "k", rounded("magnitude").alias("magnitude"))
+
+
 def strength_sql() -> str:
     """CTE `ps`: share of the magnitude in each band."""
     bands = " UNION ALL ".join(f"SELECT {i} AS i, {p} AS period, CAST({lo!r} AS DOUBLE) AS lo, CAST({hi!r} AS DOUBLE) AS hi"
@@ -477,7 +484,7 @@ def gram_features(spark, sf):
 @query("sequential_features")
 def sequential_features(spark, sf):
     """Stationarity, W, entropies and Hurst, with a user function alongside."""
-    return ft.sequential_features(components(spark, sf), {"peak": lambda y: y.max()})
+    return ft.sequential_features(grid.materialize(components(spark, sf)), {"peak": lambda y: y.max()})
 
 
 def orders_features(spark, sf, method: str) -> tuple[DataFrame, DataFrame]:
