@@ -278,37 +278,47 @@ def stationarity(y: np.ndarray) -> int:
         return 1
 
 
-def normal_scores(n: int) -> np.ndarray:
-    """Blom's approximation of the expected normal order statistics."""
-    inverse = NormalDist().inv_cdf
-    lower = np.array([inverse((i - 0.375) / (n + 0.25)) for i in range(1, n // 2 + 1)])
-    return np.concatenate([lower, np.zeros(n % 2), -lower[::-1]])
+_inverse_normal = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
+
+
+def normal_scores(ranks: np.ndarray, n: int) -> np.ndarray:
+    """Blom's approximation of the expected normal order statistics at ranks from 1 to n."""
+    low = np.minimum(ranks, n + 1 - ranks)  # so that the scores are symmetric
+    scores = _inverse_normal((low - 0.375) / (n + 0.25)).astype(float)
+    return np.where(2 * ranks == n + 1, 0.0, np.where(low == ranks, scores, -scores))
+
+
+def shapiro_from_sums(n: int, weighted: float, squares: float, spread: float, ends: tuple[float, float, float, float]) -> float:
+    """Shapiro-Wilk W by Royston (1995) from sums over the ranks; NaN for fewer than 3 points or no spread.
+
+    `weighted` is the sum of scores times values, `squares` that of squared scores, `spread`
+    that of squared deviations, `ends` the two smallest and the two largest values.
+    """
+    if n < 3 or ends[3] - ends[0] <= 0:
+        return math.nan
+    if n == 3:
+        return (ends[3] - ends[0]) ** 2 / 2 / spread
+    top, next_top = normal_scores(np.array([n, n - 1]), n).tolist()
+    u = 1 / math.sqrt(n)
+    last = float(np.polyval((*SHAPIRO_LAST, top / math.sqrt(squares)), u))
+    total = last * (ends[3] - ends[0])
+    weighted, squares, left = weighted - top * (ends[3] - ends[0]), squares - 2 * top ** 2, 1 - 2 * last ** 2
+    if n > 5:
+        following = float(np.polyval((*SHAPIRO_NEXT, next_top / math.sqrt(squares + 2 * top ** 2)), u))
+        total += following * (ends[2] - ends[1])
+        weighted, squares = weighted - next_top * (ends[2] - ends[1]), squares - 2 * next_top ** 2
+        left -= 2 * following ** 2
+    return (total + weighted * math.sqrt(left / squares)) ** 2 / spread
 
 
 def shapiro_w(values: np.ndarray) -> float:
-    """Shapiro-Wilk W by Royston (1995); NaN for fewer than 3 points or no spread."""
+    """The same of values at hand."""
     n = len(values)
-    x = np.sort(values)
-    if n < 3 or x[-1] - x[0] <= 0:
+    if n < 3:
         return math.nan
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        m = normal_scores(n)
-        u = 1 / math.sqrt(n)
-        c = m / math.sqrt(m @ m)
-        last = np.polyval((*SHAPIRO_LAST, c[-1]), u)
-        if n > 5:
-            following = np.polyval((*SHAPIRO_NEXT, c[-2]), u)
-            phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last ** 2 - 2 * following ** 2)
-            a = m / math.sqrt(phi)
-            a[[0, 1, -2, -1]] = -last, -following, following, last
-        else:
-            phi = (m @ m - 2 * m[-1] ** 2) / (1 - 2 * last ** 2)
-            a = m / math.sqrt(phi)
-            a[[0, -1]] = -last, last
-    centred = x - x.mean()
-    return float((a @ x) ** 2 / (centred @ centred))
+    x = np.sort(values) - np.mean(values)
+    scores = normal_scores(np.arange(1, n + 1), n)
+    return shapiro_from_sums(n, float(scores @ x), float(scores @ scores), float(x @ x), (x[0], x[1], x[-2], x[-1]))
 
 
 def hurst(values: np.ndarray) -> float:

@@ -3,8 +3,7 @@
 Sums, lags and block statistics are DataFrame aggregations. Grouped pandas
 functions are left for what is sequential along a series: the decomposition
 (which runs on blocks, see `decompose`), the Fourier transform (in pieces, see
-`spectra`), the unit-root test, the rank-based W and the prefix scan of the
-Hurst exponent.
+`spectra`), the unit-root test and the prefix scan of the Hurst exponent.
 
 Component rows are `(unique_id, block, pos, n, m, y, trend, seasonal, remainder)`
 with `m` the period of the series.
@@ -12,7 +11,7 @@ with `m` the period of the series.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -416,16 +415,69 @@ def gram_features(parts: DataFrame, block_steps: int = grid.BLOCK_STEPS) -> Data
     return summed.mapInPandas(solve, "unique_id string, e_arch_lm double, trend_nonlinearity double")
 
 
+def shapiro_w(rows: DataFrame, value: str = "y", name: str = "shapiro_w", block_steps: int = grid.BLOCK_STEPS,
+              longest: int | None = None) -> DataFrame:
+    """Shapiro-Wilk W of a column of block rows, `(unique_id, name)`; NULL with missing values or without spread.
+
+    The rank of a value is the number of values in the ranges below its own and its place
+    there, so each range adds up its scores by itself and no series meets in one task.
+    """
+    if longest is None:
+        longest = rows.agg(F.max("n")).first()[0] or 0
+    v = F.col(value)
+    good = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    series = rows.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.count(F.when(~good, 1)).alias("bad"))
+    runs = grid.value_runs(rows.where(good), value, block_steps, longest).groupBy("unique_id", "bucket", "value").agg(
+        F.sum("count").alias("count"))
+    runs = grid.materialize(runs)  # two readers
+    below = Window.partitionBy("unique_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = runs.groupBy("unique_id", "bucket").agg(F.sum("count").alias("total")).select(
+        "unique_id", "bucket", F.coalesce(F.sum("total").over(below), F.lit(0)).alias("below"))
+    buckets = buckets.join(series.where("bad = 0").drop("bad"), "unique_id")
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("value")
+        n, first = int(group["n"].iloc[0]), int(group["below"].iloc[0]) + 1
+        values, counts = group["value"].to_numpy() - group["mean"].iloc[0], group["count"].to_numpy()
+        stops = np.cumsum(counts)
+        weighted = squares = 0.0
+        for at in range(0, int(stops[-1]), grid.BLOCK_STEPS):  # one value may fill many ranks
+            places = np.arange(at, min(at + grid.BLOCK_STEPS, int(stops[-1])))
+            scores = numerics.normal_scores(first + places, n)
+            weighted += float(scores @ values[np.searchsorted(stops, places, side="right")])
+            squares += float(scores @ scores)
+        ends = {}
+        for end, rank in (("e1", 1), ("e2", 2), ("e3", n - 1), ("e4", n)):
+            place = rank - first
+            ends[end] = values[np.searchsorted(stops, place, side="right")] if 0 <= place < stops[-1] else np.nan
+        return pd.DataFrame([{"unique_id": group["unique_id"].iloc[0], "n": n, "weighted": weighted, "squares": squares,
+                              "spread": float(counts @ values ** 2), **ends}])
+
+    schema = "unique_id string, n bigint, weighted double, squares double, spread double, e1 double, e2 double, e3 double, e4 double"
+    sums = runs.join(buckets, ["unique_id", "bucket"]).groupBy("unique_id", "bucket").applyInPandas(add, schema)
+    ends = [f"e{i}" for i in range(1, 5)]
+    sums = sums.groupBy("unique_id", "n").agg(
+        *(F.sum(c).alias(c) for c in ("weighted", "squares", "spread")), *(F.max(F.nanvl(F.col(c), F.lit(None))).alias(c) for c in ends))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [numerics.shapiro_from_sums(int(r.n), r.weighted, r.squares, r.spread, (r.e1, r.e2, r.e3, r.e4))
+                     for r in batch.itertuples()]
+            yield pd.DataFrame({"unique_id": batch["unique_id"], name: np.array(found, float)})
+
+    return sums.mapInPandas(solve, f"unique_id string, {name} double").withColumn(name, F.nanvl(F.col(name), F.lit(None)))
+
+
 def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray], float]] | None = None,
                         spec: DataFrame | None = None, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
-    """What needs a whole series in order: entropies, unit root, W, Hurst, and any further
-    Python functions of the prepared values.
+    """What needs a whole series: entropies, W, unit root, Hurst, and any further Python
+    functions of the prepared values.
 
-    The entropies rest on the spectra of the three columns (that of the values may be given);
-    for the others a series goes through one task.
+    The entropies rest on the spectra of the three columns (that of the values may be given),
+    W on ranks; for the others a series goes through one task.
     """
     extra = extra or {}
-    names = ["e_shapiro_w", "trend_hurst", *extra]
+    names = ["trend_hurst", *extra]
 
     def compute(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
@@ -433,7 +485,6 @@ def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray]
         row = {"unique_id": group["unique_id"].iloc[0], "stationarity": numerics.stationarity(y)}
         trend, rest = (group[c].to_numpy(dtype=float) for c in ("trend", "remainder"))
         if np.isfinite(rest).all():
-            row["e_shapiro_w"] = numerics.shapiro_w(rest)
             row["trend_hurst"] = numerics.hurst(trend)
         for name, fn in extra.items():
             row[name] = float(fn(y))
@@ -449,7 +500,8 @@ def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray]
     for name, own in (("x_entropy", spec), ("e_entropy", spectrum(parts, "remainder", block_steps, longest)),
                       ("seasonal_entropy", spectrum(parts.where("m > 1"), "seasonal", block_steps, longest))):
         result = result.join(spectral_entropy(own, name), "unique_id", "left")
-    names = ["x_entropy", "e_entropy", "seasonal_entropy", *names]
+    result = result.join(shapiro_w(parts, "remainder", "e_shapiro_w", block_steps, longest), "unique_id", "left")
+    names = ["x_entropy", "e_entropy", "seasonal_entropy", "e_shapiro_w", *names]
     return result.select("unique_id", "stationarity", *[F.nanvl(F.col(c), F.lit(None)).alias(c) for c in names])
 
 

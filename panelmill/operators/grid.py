@@ -21,12 +21,15 @@ Columns of the dense panel:
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
 
 BLOCK_STEPS = 65_536
+MOST_BUCKETS = 10_000  # ranges of the values of a series
 
 
 def ordered(position: str = "pos") -> WindowSpec:
@@ -336,6 +339,31 @@ def attach(rows: DataFrame, per_series: DataFrame) -> DataFrame:
     return rows.join(keys.join(per_series, "unique_id"), ["unique_id", "block"], "left")
 
 
+def value_runs(df: DataFrame, value: str, size: int, longest: int) -> DataFrame:
+    """The values of each block by range: `(unique_id, block, bucket, value, count)`.
+
+    Buckets ascend with the values and hold about `size` steps of a series, more only where
+    one value occurs more often. `longest` is the number of steps of the longest series.
+    """
+    buckets = min(MOST_BUCKETS, -(-longest // size))
+    runs = df.select("unique_id", "block", F.col(value).alias("value"))
+    if buckets < 2:
+        return runs.groupBy("unique_id", "block", F.lit(0).cast("bigint").alias("bucket"), "value").count()
+    edges = df.groupBy("unique_id").agg(F.percentile_approx(
+        value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), max(10_000, 20 * buckets)).alias("edges"))
+    edges = df.select("unique_id", "block").distinct().join(edges, "unique_id").select(
+        *(F.col(c).alias(c) for c in ("unique_id", "block", "edges")))  # columns of their own, for the cogroup
+
+    def dealt(values: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        value, count = np.unique(values["value"].to_numpy(), return_counts=True)
+        bucket = np.searchsorted(np.unique(own["edges"].iloc[0]), value, side="left")
+        return pd.DataFrame({"unique_id": values["unique_id"].iloc[0], "block": values["block"].iloc[0], "bucket": bucket,
+                             "value": value, "count": count})
+
+    return runs.groupBy("unique_id", "block").cogroup(edges.groupBy("unique_id", "block")).applyInPandas(
+        dealt, "unique_id string, block bigint, bucket bigint, value double, count bigint")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 10_000) -> DataFrame:
     """Exact linearly interpolated quantiles per series of block rows, `(unique_id, q0, q1, ...)`.
 

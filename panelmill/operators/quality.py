@@ -181,7 +181,6 @@ def rolling_stats(df: DataFrame, window: int) -> DataFrame:
 STATS_SCHEMA = ("unique_id string, block bigint, pos bigint, n bigint, ds timestamp, y double, y_filled double, "
                 "fallback double, median double, iqr double")
 QUARTILES = (0.25, 0.5, 0.75)
-MOST_BUCKETS = 10_000
 
 
 def rolling_stats_by_length(df: DataFrame, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
@@ -229,21 +228,7 @@ def _long_windows(rows: DataFrame, size: int, longest: int) -> DataFrame:
     """
     rows = rows.withColumn("block", floor_div(F.col("pos"), size))
     per_series = rows.groupBy("unique_id").agg(F.max("n").alias("n"), F.max("window").alias("window"))
-    buckets = min(MOST_BUCKETS, -(-longest // size))
-    edges = rows.groupBy("unique_id").agg(F.percentile_approx(
-        "y_filled", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), max(10_000, 20 * buckets)).alias("edges"))
-    edges = rows.select("unique_id", "block").distinct().join(edges, "unique_id").select(
-        *(F.col(c).alias(c) for c in ("unique_id", "block", "edges")))  # columns of their own, for the cogroup
-
-    def runs(values: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        value, count = np.unique(values["y_filled"].to_numpy(), return_counts=True)
-        bucket = np.searchsorted(np.unique(own["edges"].iloc[0]), value, side="left")
-        return pd.DataFrame({"unique_id": values["unique_id"].iloc[0], "block": values["block"].iloc[0], "bucket": bucket,
-                             "value": value, "count": count})
-
-    keys = ["unique_id", "block"]
-    values = grid.materialize(rows.select(*keys, "y_filled").groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(
-        runs, "unique_id string, block bigint, bucket bigint, value double, count bigint"))
+    values = grid.materialize(grid.value_runs(rows, "y_filled", size, longest))
 
     def shared(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
         """The values of a range in the shared blocks of each block of positions."""

@@ -6,6 +6,8 @@ centred moving average, the mean of each phase, and the rest.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,6 +250,29 @@ def spectral_entropy(spark, sf):
     return _rounded_all(ft.spectral_entropy(ft.spectrum(prepared(spark, sf, "events_6h"))))
 
 
+def shapiro_sql() -> str:
+    """W of the 6-hour series, with the normal scores of their possible lengths as literals."""
+    inverse = NormalDist().inv_cdf
+    scores = ", ".join(f"({n}, {i}, {inverse((i - 0.375) / (n + 0.25))!r}::DOUBLE)" for n in range(117, 122) for i in range(1, n + 1))
+
+    def poly(coefficients, end):
+        return " + ".join([end, *(f"({c!r}) * power(u, {len(coefficients) - k})" for k, c in enumerate(coefficients))])
+    return f"""{prepared_sql('events_6h')}, sc(n, i, m) AS (VALUES {scores}),
+rk AS (SELECT unique_id, n, y, row_number() OVER (PARTITION BY unique_id ORDER BY y) AS i FROM z),
+ws AS (SELECT rk.*, m, sum(m * m) OVER w AS mm, max(m) OVER w AS top, max(CASE WHEN rk.i = rk.n - 1 THEN m END) OVER w AS second,
+              1 / sqrt(rk.n) AS u FROM rk JOIN sc ON sc.n = rk.n AND sc.i = rk.i WINDOW w AS (PARTITION BY unique_id)),
+wl AS (SELECT *, {poly(numerics.SHAPIRO_LAST, 'top / sqrt(mm)')} AS a1, {poly(numerics.SHAPIRO_NEXT, 'second / sqrt(mm)')} AS a2 FROM ws),
+wa AS (SELECT *, CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2
+              ELSE m / sqrt((mm - 2 * top * top - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a FROM wl)"""
+
+
+for _name, _steps in (("shapiro_w", grid.BLOCK_STEPS), ("shapiro_w_by_ranges", 16)):
+    query(_name, sql=f"""WITH {shapiro_sql()}
+SELECT unique_id, {R('power(sum(a * y), 2) / (var_pop(y) * count(*))')} AS shapiro_w FROM wa GROUP BY 1""")(
+        lambda spark, sf, steps=_steps: _rounded_all(ft.shapiro_w(
+            grid.materialize(ft.prepared(dense(spark, sf, "events_6h", block_steps=steps))), block_steps=steps)))
+
+
 @query("hurst", sql=f"""
 WITH {prepared_sql('events_6h')},
 cs AS (SELECT unique_id, pos + 1 AS t, sum(y) OVER w AS s, avg(y) OVER w AS m, stddev_pop(y) OVER w AS sd FROM z

@@ -210,3 +210,34 @@ def test_all_features(make, spark):
 
 def scaled_with_gaps(y):
     return (y - np.nanmean(y)) / np.nanstd(y, ddof=1)
+
+
+def direct_w(values):
+    """Royston's W with every weight written out."""
+    from statistics import NormalDist
+
+    n, x = len(values), np.sort(values)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    c, u = m / np.sqrt(m @ m), 1 / np.sqrt(n)
+    a1 = np.polyval((*numerics.SHAPIRO_LAST, c[-1]), u)
+    a2 = np.polyval((*numerics.SHAPIRO_NEXT, c[-2]), u)
+    if n > 5:
+        a = m / np.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
+        a[[0, 1, -2, -1]] = -a1, -a2, a2, a1
+    else:
+        a = m / np.sqrt((m @ m - 2 * m[-1] ** 2) / (1 - 2 * a1 ** 2))
+        a[[0, -1]] = -a1, a1
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+@pytest.mark.parametrize("steps", [8, 65_536])
+def test_w_from_ranges_of_values(make, rng, steps):
+    """Ties that fill several ranges, a skewed series, short ones, one without spread and one with a gap."""
+    data = {"noise": rng.normal(size=300), "skew": rng.exponential(size=201) ** 3, "ties": rng.integers(0, 3, 157).astype(float),
+            "four": np.array([1.0, 5.0, 2.0, 2.5]), "five": np.array([3.0, 1.0, 4.0, 1.5, 9.0]), "six": rng.normal(size=6)}
+    rest = {"flat": np.ones(40), "two": np.array([1.0, 2.0]), "gap": np.array([1.0, np.nan, 2.0, 5.0])}
+    df = grid.dense(make(data | rest), "H", block_steps=steps).where("core")
+    got = {r.unique_id: r.shapiro_w for r in ft.shapiro_w(df, block_steps=steps).collect()}
+    for uid, values in data.items():
+        assert got[uid] == pytest.approx(direct_w(values), abs=1e-9)
+    assert all(got.get(uid) is None for uid in rest)
