@@ -130,6 +130,48 @@ def default_horizon(alias: str, term: str = "short", m4: bool = False) -> int:
     return (M4_HORIZON if m4 else HORIZON)[base] * TERM_MULTIPLIER[term]
 
 
+# --- The same for a column of aliases -----------------------------------------
+# An alias that is not recognised gives NULL.
+
+def _looked_up(table: dict, key: Column) -> Column:
+    """The value of a small fixed table for a column of keys, NULL where it has none."""
+    entries = [F.lit(x) for pair in table.items() for x in (pair[0], list(pair[1]) if isinstance(pair[1], list) else pair[1])]
+    return F.try_element_at(F.create_map(*entries), key)
+
+
+def parsed(alias: Column) -> Column:
+    """Struct `(base, n)` of an alias."""
+    plain = F.split(alias, "-")[0]
+    count, name = (F.regexp_extract(plain, r"^(\d*)([A-Za-z]+)$", k) for k in (1, 2))
+    base = _looked_up(ALIASES, name)
+    number = F.when(count == "", F.lit(1)).otherwise(F.try_to_number(count, F.lit("9" * 18))).cast("bigint")
+    return F.when(base.isNotNull(), F.struct(base.alias("base"), number.alias("n")))
+
+
+def season_of(alias: Column) -> Column:
+    freq = parsed(alias)
+    base = _looked_up(BASE_SEASON, freq["base"])
+    return F.when(base % freq["n"] == 0, F.call_function("div", base, freq["n"])).when(base.isNotNull(), F.lit(1)).cast("bigint")
+
+
+def seasons_of(alias: Column) -> Column:
+    freq = parsed(alias)
+    choices = F.coalesce(_looked_up(SEASON_CHOICES, freq["base"]), F.array().cast("array<int>"))
+    whole = F.transform(F.filter(choices, lambda s: s % freq["n"] == 0), lambda s: F.call_function("div", s, freq["n"]))
+    return F.when(freq.isNotNull(), F.concat(whole, F.array(F.lit(1).cast("bigint"))))
+
+
+def seconds_of(alias: Column) -> Column:
+    freq = parsed(alias)
+    fixed = _looked_up({k: v for k, v in SECONDS.items() if k != "W"}, freq["base"])
+    return F.when(freq.isNotNull(), F.coalesce((fixed * freq["n"]).cast("double"), F.lit(0.0)))
+
+
+def horizon_of(alias: Column, term: Column, m4: bool = False) -> Column:
+    base = _looked_up(M4_HORIZON if m4 else HORIZON, parsed(alias)["base"])
+    return (base * _looked_up(TERM_MULTIPLIER, term)).cast("bigint")
+
+
 # --- Columns ---------------------------------------------------------------
 
 def floor_div(value: Column, k: int) -> Column:

@@ -83,6 +83,12 @@ def quantile_to_interval(level: float) -> tuple[str, int]:
     return ("hi" if level > 0.5 else "lo"), width
 
 
+def interval_of(level: Column) -> Column:
+    """The same for a column of levels: struct `(side, width)`."""
+    side = F.when(level == 0.5, "point").when(level > 0.5, "hi").otherwise("lo")
+    return F.struct(side.alias("side"), F.bround((F.greatest(level, 1 - level) - 0.5) * 200).cast("bigint").alias("width"))
+
+
 def explode_quantiles(forecasts: DataFrame, levels: list[float] = LEVELS) -> DataFrame:
     """One row per quantile: `(model, unique_id, window_idx, step, q, y_hat)`."""
     pairs = F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in levels]).alias("q"), F.col("quantiles").alias("y_hat")))

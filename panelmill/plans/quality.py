@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
-from panelmill.operators import cleanup, correlation, grid, panel as shape, quality
+from panelmill.operators import cleanup, correlation, forecast, grid, panel as shape, quality
 from panelmill.plans.panels import FREQ, SQL, dense_sql, filled_sql, panel, read
 from panelmill.plans.registry import R, query, rounded
 
@@ -19,6 +19,89 @@ def filled(spark, sf, name: str) -> DataFrame:
     return grid.fill_forward_back_zero(dense(spark, sf, name)).where("core")
 
 
+# --- Frequencies as columns --------------------------------------------------
+
+_NAMES = [*fq.ALIASES, "x", "H1"]  # the last two are not recognised
+
+
+def _alias_sql() -> str:
+    """CTE `al`: an alias with a multiplier for every order, some with an anchor, and its parts."""
+    names = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
+    bases = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in fq.ALIASES.items()) + "}"
+    return f"""
+a0 AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 61 > 1 THEN CAST(o_orderkey % 61 AS VARCHAR) ELSE '' END AS m,
+              {names}[CAST(o_orderkey % {len(_NAMES)} AS INT) + 1] AS name, o_orderkey % 5 = 0 AS anchored,
+              ['short', 'medium', 'long'][CAST(o_orderkey % 3 AS INT) + 1] AS term FROM orders),
+al AS (SELECT k, m || name || CASE WHEN anchored THEN '-DEC' ELSE '' END AS alias, {bases}[name] AS base,
+              CASE WHEN {bases}[name] IS NOT NULL THEN CASE WHEN m = '' THEN 1 ELSE CAST(m AS BIGINT) END END AS n, term FROM a0)"""
+
+
+def aliases(spark, sf) -> DataFrame:
+    k = F.col("o_orderkey")
+    number = F.when(k % 61 > 1, (k % 61).cast("string")).otherwise("")
+    name = F.get(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES)).cast("int"))
+    term = F.get(F.array(*map(F.lit, ("short", "medium", "long"))), (k % 3).cast("int"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
+        k.alias("k"), F.concat(number, name, F.when(k % 5 == 0, "-DEC").otherwise("")).alias("alias"), term.alias("term"))
+
+
+def _case(table: dict, column: str = "base") -> str:
+    return "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in table.items()) + " END"
+
+
+@query("parse_freq", sql=f"WITH {_alias_sql()} SELECT k, alias, base, n FROM al")
+def parse_freq(spark, sf):
+    parts = fq.parsed(F.col("alias"))
+    return aliases(spark, sf).select("k", "alias", parts["base"].alias("base"), parts["n"].alias("n"))
+
+
+@query("seasonality", sql=f"""
+WITH {_alias_sql()}, b AS (SELECT *, {_case(fq.BASE_SEASON)} AS s, {_case(fq.SEASON_CHOICES)} AS c FROM al)
+SELECT k, CAST(CASE WHEN s % n = 0 THEN s // n WHEN s IS NOT NULL THEN 1 END AS BIGINT) AS season,
+       CASE WHEN base IS NOT NULL THEN array_to_string([x // n FOR x IN coalesce(c, CAST([] AS INT[])) IF x % n = 0] || [1], ',') END AS seasons
+FROM b""")
+def seasonality(spark, sf):
+    """The season of an alias, and all that its multiplier divides."""
+    alias = F.col("alias")
+    return aliases(spark, sf).select("k", fq.season_of(alias).alias("season"),
+                                     F.array_join(fq.seasons_of(alias).cast("array<string>"), ",").alias("seasons"))
+
+
+@query("freq_seconds", sql=f"""
+WITH {_alias_sql()}
+SELECT k, CASE WHEN base IS NOT NULL THEN coalesce(CAST({_case({x: v for x, v in fq.SECONDS.items() if x != 'W'})} * n AS DOUBLE), 0.0) END AS seconds
+FROM al""")
+def freq_seconds(spark, sf):
+    return aliases(spark, sf).select("k", fq.seconds_of(F.col("alias")).alias("seconds"))
+
+
+@query("default_horizon", sql=f"""
+WITH {_alias_sql()}
+SELECT k, CAST({_case(fq.HORIZON)} * {_case(fq.TERM_MULTIPLIER, 'term')} AS BIGINT) AS horizon,
+       CAST({_case(fq.M4_HORIZON)} * {_case(fq.TERM_MULTIPLIER, 'term')} AS BIGINT) AS m4_horizon FROM al""")
+def default_horizon(spark, sf):
+    alias, term = F.col("alias"), F.col("term")
+    return aliases(spark, sf).select("k", fq.horizon_of(alias, term).alias("horizon"), fq.horizon_of(alias, term, True).alias("m4_horizon"))
+
+
+@query("quantile_to_interval", sql="""
+WITH l AS (SELECT l_orderkey, l_linenumber, (1 + (l_orderkey + l_linenumber) % 99) / 100e0 AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN q = 0.5 THEN 'point' WHEN q > 0.5 THEN 'hi' ELSE 'lo' END AS side,
+       CAST(round((greatest(q, 1 - q) - 0.5) * 200) AS BIGINT) AS width FROM l""")
+def quantile_to_interval(spark, sf):
+    """Side and width of the interval that a quantile is the edge of."""
+    level = (1 + (F.col("l_orderkey") + F.col("l_linenumber")) % 99) / 100
+    own = forecast.interval_of(level)
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", own["side"].alias("side"), own["width"].alias("width"))
+
+
+@query("normalize_timestamp_column", sql="SELECT o_orderdate AS timestamp, o_orderkey, o_totalprice FROM orders")
+def normalize_timestamp_column(spark, sf):
+    """The first time column becomes `timestamp` and comes first."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return shape.normalize_timestamp_column(orders)
+
+
 # --- Calendar --------------------------------------------------------------
 
 _CALENDARS = {"events_hourly": "events", "events_6h": "quarters", "supplier_weekly": "weeks", "nation_monthly": "months"}

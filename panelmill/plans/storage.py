@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.operators import features as ft
-from panelmill.operators import grid, leaderboard, metrics, quality, windows
+from panelmill.operators import forecast, grid, leaderboard, metrics, quality, windows
 from panelmill.operators import panel as shape
 from panelmill.plans import forecasting as fc
-from panelmill.plans.panels import FREQ, SQL, dense_sql, panel
+from panelmill.plans.panels import FREQ, SQL, dense_sql, filled_sql, panel
 from panelmill.plans.quality import LONG_SQL, PRIORITIES, dense, orders_wide
 from panelmill.plans.registry import R, query, rounded
 from panelmill.session import work_folder
@@ -382,6 +382,34 @@ def write_read_results(spark, sf):
     return back.select("model", "dataset", "freq", "horizon", "unique_id", "window_idx", rounded("MAE").alias("MAE"))
 
 
+@query("write_read_quantiles", sql=f"""
+WITH {filled_sql('nation_monthly')},{fc.naive_sql('nation_monthly')}
+SELECT 'seasonal_naive' AS model, 'nation_monthly' AS dataset, 'MS' AS freq, 'short' AS horizon, unique_id, window_idx, step, q,
+       round(y_hat, 4) AS y_hat FROM (
+  SELECT unique_id, window_idx, step, unnest({fc.LEVELS}) AS q, point + spread * unnest({fc.Z}) AS y_hat FROM fc)""")
+def write_read_quantiles(spark, sf):
+    """Quantile forecasts written in long form under model, dataset, frequency and horizon, and read back."""
+    folder = work_folder(spark, "quantiles")
+    made = fc.forecasts_of(fc.task_panel(spark, sf, "nation_monthly"), "nation_monthly")
+    results.write_results(forecast.explode_quantiles(made), folder, "nation_monthly", "MS", "short")
+    return results.read_results(spark, folder, "seasonal_naive").select(
+        "model", "dataset", "freq", "horizon", "unique_id", "window_idx", "step", "q", rounded("y_hat", 4).alias("y_hat"))
+
+
+@query("write_config", sql=f"""
+WITH {fc.metrics_sql('supplier_weekly')}
+SELECT 'seasonal_naive' AS model, 'supplier_weekly' AS dataset, 'W-MON' AS freq, 'short' AS horizon,
+       count(DISTINCT unique_id) AS num_series, CAST(1 AS BIGINT) AS num_variates, count(DISTINCT window_idx) AS num_windows,
+       CAST(13 AS BIGINT) AS prediction_length FROM met""")
+def write_config(spark, sf):
+    """The configuration of a result, written as JSON and read back."""
+    folder = work_folder(spark, "config")
+    scored = fc.metrics_of(spark, sf, "supplier_weekly")
+    results.write_config(scored, folder, "supplier_weekly", "W-MON", "short", {"prediction_length": 13})
+    return spark.read.json(folder).select("model", "dataset", "freq", "horizon", "num_series", "num_variates", "num_windows",
+                                          "prediction_length")
+
+
 @query("dataset_level_results", sql=f"""
 WITH {LEVEL_SQL} SELECT model, dataset, freq, horizon, dataset_id, {R('"MASE"')} AS "MASE", {R('"CRPS"')} AS "CRPS",
   {R('"MAE"')} AS "MAE", {R('"MSE"', 0)} AS "MSE" FROM dl""")

@@ -97,3 +97,33 @@ def test_parse_timestamps_and_normalize(spark):
     assert got == [datetime(2020, 1, 13), datetime(2020, 1, 13, 5, 30), datetime(2020, 1, 13), datetime(2020, 1, 13, 7), None]
     with pytest.raises(ValueError):
         shape.normalize_timestamp_column(spark.createDataFrame([(1,)], "k int"))
+
+
+def test_columns_agree_with_the_functions(spark):
+    """Every alias with and without multipliers and anchors; unknown ones are NULL."""
+    from pyspark.sql import functions as F
+
+    aliases = [f"{n}{name}{anchor}" for name in fq.ALIASES for n in ("", "1", "4", "15", "60") for anchor in ("", "-DEC")]
+    odd = ["", "x", "H1", "1.5H", "-DEC", None, "7"]
+    a = F.col("a")
+    rows = spark.createDataFrame([(x,) for x in aliases + odd], "a string").select(
+        "a", fq.parsed(a).alias("p"), fq.season_of(a).alias("s"), fq.seasons_of(a).alias("l"), fq.seconds_of(a).alias("t"),
+        fq.horizon_of(a, F.lit("medium")).alias("h"), fq.horizon_of(a, F.lit("medium"), True).alias("m")).collect()
+    got = {r.a: r for r in rows}
+    for alias in aliases:
+        r, want = got[alias], fq.parse_freq(alias)
+        assert (r.p.base, r.p.n) == (want.base, want.n)
+        assert (r.s, r.l, r.t) == (fq.seasonality(alias), fq.seasonality_list(alias), fq.freq_seconds(alias))
+        assert r.h == fq.default_horizon(alias, "medium")
+        assert r.m == (fq.default_horizon(alias, "medium", True) if want.base in fq.M4_HORIZON else None)
+    assert all(got[x][1:] == (None,) * 6 for x in odd)
+
+
+def test_interval_column(spark):
+    from pyspark.sql import functions as F
+
+    from panelmill.operators import forecast
+
+    levels = [0.1, 0.25, 0.5, 0.75, 0.9, 0.975]
+    got = spark.createDataFrame([(q,) for q in levels], "q double").select("q", forecast.interval_of(F.col("q")).alias("i")).collect()
+    assert [(r.i.side, r.i.width) for r in got] == [forecast.quantile_to_interval(r.q) for r in got]
