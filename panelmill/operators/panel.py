@@ -12,14 +12,20 @@ TIME_LAYOUTS = ("dd.MM.yyyy HH:mm", "dd.MM.yyyy", "MM/dd/yyyy HH:mm")
 WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 
 
-def normalize_timestamp_column(df: DataFrame) -> DataFrame:
-    """Rename the first time column to `timestamp` and move it to the front."""
+def time_column(df: DataFrame) -> str:
+    """The first column named or typed as a time."""
     timed = [c for c, kind in df.dtypes
              if "time" in c.lower() or "date" in c.lower() or kind in ("timestamp", "timestamp_ntz", "date")]
     if not timed:
         raise ValueError("no timestamp column: need 'time' or 'date' in a name, or a datetime type")
-    rest = [F.col(f"`{c}`") for c in df.columns if c != timed[0]]
-    return df.select(F.col(f"`{timed[0]}`").alias("timestamp"), *rest)
+    return timed[0]
+
+
+def normalize_timestamp_column(df: DataFrame) -> DataFrame:
+    """Rename the first time column to `timestamp` and move it to the front."""
+    time = time_column(df)
+    rest = [F.col(f"`{c}`") for c in df.columns if c != time]
+    return df.select(F.col(f"`{time}`").alias("timestamp"), *rest)
 
 
 def parse_timestamps(text: Column) -> Column:

@@ -4,52 +4,73 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Callable
-from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.operators.panel import normalize_timestamp_column, parse_timestamps
+from panelmill.operators.panel import parse_timestamps, time_column
 
 
 def read_wide_csv(spark: SparkSession, path: str, pattern: str = "*.csv",
                   schema: T.StructType | None = None) -> DataFrame:
     """All matching files of a folder, `series_name` = file name without extension.
 
-    Columns go by the header of each file: files with the same header are read together, and
-    a column that a file lacks is NULL in its rows. Without a schema the time column is
-    parsed and all others become DOUBLE, NULL where a value is no number; with one, a column
-    has the type that the schema gives to its name. Headers are found in one pass over the
-    text; only the headers and file names come to the driver.
+    Columns go by the header of each file, and a column that a file lacks is NULL in its rows.
+    Without a schema the time column is parsed and all others become DOUBLE, NULL where a
+    value is no number; with one, a column has the type that the schema gives to its name.
+
+    All files are read in one scan by position. A table of headers by file is found in one pass
+    over the text and joined to the rows by file; only distinct headers come to the driver.
     """
     text = spark.read.option("pathGlobFilter", pattern).text(path)
     first = text.where("_metadata.file_block_start = 0").select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    heads = first.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(
-        F.collect_list("file").alias("files")).orderBy("head").collect()
+    files = first.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    heads = [r.head for r in files.select("head").distinct().orderBy("head").collect()]
     if not heads:
         raise ValueError(f"no file with a header matches {pattern} in {path}")
-    parts = [_with_header(spark, next(csv.reader([row.head])), [unquote(f) for f in row.files], schema) for row in heads]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def _with_header(spark: SparkSession, names: list[str], files: list[str], schema: T.StructType | None) -> DataFrame:
-    """Files that all have this header."""
-    plain = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(plain).csv(files)
+    names = [next(csv.reader([head]), []) for head in heads]
+    width = max(map(len, names))
+    plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = spark.read.option("header", True).option("enforceSchema", True).option("pathGlobFilter", pattern).schema(plain).csv(path)
     stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[^.]*$", "")
-    kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
-    df = df.select("*", F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("series_name"))
-    typed = {n: F.col(f"`{n}`").try_cast(kinds[n]) for n in names if n in kinds}
-    timed = normalize_timestamp_column(df.withColumns(typed) if typed else df)
-    if dict(timed.dtypes)["timestamp"] == "string":
-        timed = timed.withColumn("timestamp", parse_timestamps(F.col("timestamp")))
-    rest = [c for c in timed.columns if c not in ("series_name", "timestamp")]
-    return timed.select(
-        "series_name", F.col("timestamp").cast("timestamp").alias("timestamp"),
-        *[F.col(f"`{c}`") if c in kinds else F.col(f"`{c}`").try_cast("double").alias(c) for c in rest])
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"),
+                       F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("series_name"))
+    if len(heads) > 1:
+        rows = rows.join(files, "file")
+    return _by_header(rows, heads, names, {f.name: f.dataType for f in schema.fields} if schema is not None else {})
+
+
+def _by_header(rows: DataFrame, heads: list[str], names: list[list[str]], kinds: dict[str, T.DataType]) -> DataFrame:
+    """Named columns from the columns `c0`, `c1`, ... of rows whose `head` says what these are."""
+    def picked(places: list[int | None]) -> Column:
+        """The column at the place that each header gives, NULL where it has none."""
+        if len(places) == 1:
+            return F.col(f"c{places[0]}")
+        value = F.when(F.lit(False), F.lit(None).cast("string"))
+        for place in sorted({p for p in places if p is not None}):
+            own = [head for head, p in zip(heads, places) if p == place]
+            value = value.when(F.col("head").isin(own), F.col(f"c{place}"))
+        return value
+
+    # the time column of each header, and its type where the schema gives one
+    empty = rows.sparkSession.createDataFrame
+    times = []
+    for own in names:
+        shape = empty([], T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in own]))
+        times.append(time_column(shape))
+    stamp = F.lit(None).cast("timestamp")
+    for name in dict.fromkeys(times):
+        value = picked([own.index(name) if t == name else None for own, t in zip(names, times)])
+        kind = kinds.get(name, T.StringType())
+        parsed = parse_timestamps(value) if isinstance(kind, T.StringType) else value.try_cast(kind)
+        stamp = F.coalesce(stamp, parsed.cast("timestamp"))
+    columns = []
+    for name in dict.fromkeys(n for own, t in zip(names, times) for n in own if n != t):
+        value = picked([own.index(name) if name in own and name != t else None for own, t in zip(names, times)])
+        columns.append(value.try_cast(kinds.get(name, T.DoubleType())).alias(name))
+    return rows.select("series_name", stamp.alias("timestamp"), *columns)
 
 
 def write_cleaned(df: DataFrame, path: str, dataset: str, freq: str, fmt: str = "parquet") -> None:

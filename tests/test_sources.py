@@ -33,6 +33,24 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert got == [("a", 0, 1.0, 2.0, None), ("b+c", 0, None, 3.0, 4.0), ("b+c", 1, None, None, 5.0), ("d", 0, 7.0, 8.0, None)]
 
 
+def test_time_columns_of_many_headers(spark, tmp_path):
+    """The same column at other places, other time columns, a header without rows, many files of one header; one scan for all."""
+    (tmp_path / "a.csv").write_text("when_date,x\n03.01.2024,1\n")
+    (tmp_path / "b.csv").write_text("y,x,my_time\n2,3,2024-01-05 00:00:00\n,,\n")
+    (tmp_path / "c.csv").write_text("x,time,extra\n")
+    for i in range(30):
+        (tmp_path / f"f{i}.csv").write_text(f"y,x,my_time\n{i},,2024-01-06 00:00:00\n")
+    df = wide.read_wide_csv(spark, str(tmp_path))
+    assert set(df.columns) == {"series_name", "timestamp", "x", "y", "extra"}
+    got = {(r.series_name, r.timestamp and r.timestamp.day): (r.x, r.y, r.extra) for r in df.collect()}
+    assert got == {("a", 3): (1.0, None, None), ("b", 5): (3.0, 2.0, None), ("b", None): (None, None, None)} | {
+        (f"f{i}", 6): (None, float(i), None) for i in range(30)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [c0") == 1
+    (tmp_path / "z.csv").write_text("p,q\n1,2\n")
+    with pytest.raises(ValueError, match="timestamp"):
+        wide.read_wide_csv(spark, str(tmp_path))
+
+
 def test_rewriting_replaces_its_part(spark, tmp_path):
     rows = spark.range(3)
     for dataset in ("p", "q", "p"):
