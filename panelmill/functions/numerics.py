@@ -7,6 +7,8 @@ The functions are called inside grouped tasks; Spark partitions the series.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import islice
 from statistics import NormalDist
 
 import numpy as np
@@ -221,47 +223,97 @@ def magnitudes(y: np.ndarray) -> np.ndarray:
     return size
 
 
-STRETCH = 1 << 16
+def adf_lags(n: int) -> int:
+    """Most lags that the unit-root test tries; negative where a series is too short."""
+    return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3)
 
 
-def adf_pvalue(y: np.ndarray) -> float:
-    """Augmented Dickey-Fuller test with constant and trend, lags chosen by AIC."""
-    n = len(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3)
-    if most < 0 or np.ptp(y) == 0:
-        raise ValueError("too short or constant")
-    dy = np.diff(y)
-
-    def products(lags: int) -> tuple[np.ndarray, int]:
-        """Cross products of level, lagged differences, constant, time and target, summed over stretches."""
-        m = len(dy) - lags
-        total = np.zeros((lags + 4, lags + 4))
-        for at in range(0, m, STRETCH):
-            size = min(STRETCH, m - at)
-            start = lags + at
-            columns = [y[start:start + size]]
-            columns += [dy[start - k:start - k + size] for k in range(1, lags + 1)]
-            columns += [np.ones(size), np.arange(at + 1.0, at + size + 1) / m, dy[start:start + size]]
-            part = np.stack(columns)
-            total += part @ part.T
-        return total, m
-
-    def fitted(total: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, float]:
-        use = [*range(lags + 1), len(total) - 3, len(total) - 2]
-        square, right = total[np.ix_(use, use)], total[use, -1]
-        beta = np.linalg.lstsq(square, right, rcond=None)[0]
-        return square, beta, float(total[-1, -1] - right @ beta)
-
-    total, m = products(most)
-    scores = []
-    for lags in range(most + 1):
-        ssr = max(fitted(total, lags)[2], np.finfo(float).tiny)
-        scores.append(m * (np.log(2 * np.pi) + np.log(ssr / m) + 1) + 2 * (lags + 3))
-    lags = int(np.argmin(scores))
-    total, m = products(lags)
-    square, beta, ssr = fitted(total, lags)
-    variance = max(ssr, 0.0) / (m - len(beta))
-    tau = beta[0] / math.sqrt(variance * np.linalg.inv(square)[0, 0])
+def adf_sums(y: np.ndarray, first: int, core: int, n: int, most: int) -> np.ndarray:
+    """What steps `core` and later add to the sums that `adf_from_sums` needs.
+
+    `y` holds the steps from `first` on, up to `most + 1` of them before `core`. The sums are those of
+    the differences with their lags, of the level with these, of the level, its square and its
+    product with time; then come the first and the last `most + 1` values, 0 where they lie elsewhere.
+    """
+    d, at = np.diff(y), core - first
+    begin = [max(at - 1, k) for k in range(most + 1)]
+    own = [float(d[s:] @ d[s - k:len(d) - k]) if s < len(d) else 0.0 for k, s in enumerate(begin)]
+    level = [float(y[s:-1] @ d[s - k:len(d) - k]) if s < len(d) else 0.0 for k, s in enumerate(begin)]
+    mine, places = y[at:], np.arange(core, first + len(y))
+    ends = np.zeros((2, most + 1))
+    for row, start in zip(ends, (0, n - 1 - most)):
+        use = (places >= start) & (places <= start + most)
+        row[places[use] - start] = mine[use]
+    return np.concatenate([own, level, [mine.sum(), mine @ mine, mine @ places], ends.ravel()])
+
+
+def adf_products(sums: np.ndarray, n: int, most: int, lags: int) -> np.ndarray:
+    """Cross products of constant, time, lagged differences, level and difference over the steps that have `lags` lags.
+
+    Products of two lags are those of their distance without the steps at both ends of the series.
+    """
+    own, level = sums[:most + 1], sums[most + 1:2 * most + 2]
+    total, squares, timed = sums[2 * most + 2:2 * most + 5]
+    head, tail = sums[2 * most + 5:].reshape(2, -1)
+    whole = n - 1
+    m = whole - lags
+    d_head, d_tail = np.diff(head), np.diff(tail)
+    out = np.zeros((lags + 4, lags + 4))
+    place = np.array([lags + 3, *range(2, lags + 2)])  # of the difference and of its lags
+    for gap in range(lags + 1):
+        early = np.concatenate([[0.0], np.cumsum(d_head[gap:lags] * d_head[:lags - gap])])
+        late = np.concatenate([[0.0], np.cumsum((d_tail[gap:] * d_tail[:most - gap])[::-1])])
+        near = np.arange(lags + 1 - gap)
+        i, j = place[near], place[near + gap]
+        out[np.minimum(i, j), np.maximum(i, j)] = own[gap] - early[lags - gap - near] - late[near]
+    for k in range(lags + 1):
+        before, after = head[lags - k], tail[most - k]  # the differences between them add up
+        summed = total - head[:lags - k].sum() - tail[most - k:].sum()
+        out[0, place[k]] = after - before
+        out[1, place[k]] = (m * after - summed) / m
+        out[min(place[k], lags + 2), max(place[k], lags + 2)] = level[k] - head[k:lags] @ d_head[:lags - k]
+    early, last = np.arange(lags), tail[-1]
+    total, squares = total - head[:lags].sum() - last, squares - head[:lags] @ head[:lags] - last ** 2
+    timed = timed - head[:lags] @ early - last * whole - (lags - 1) * total
+    out[0, 0], out[0, 1], out[1, 1] = m, (m + 1) / 2, (m + 1) * (2 * m + 1) / (6 * m)
+    out[0, -2], out[1, -2], out[-2, -2] = total, timed / m, squares
+    return np.triu(out) + np.triu(out, 1).T
+
+
+def _swept(square: np.ndarray, columns: list[int]) -> Iterator[np.ndarray]:
+    """The cross products that are left after one more column is fitted, for each column; one that the others determine is passed over."""
+    left = square.copy()
+    for j in columns:
+        if left[j, j] > 1e-13 * square[j, j]:
+            left = left - np.outer(left[:, j], left[j]) / left[j, j]
+        yield left
+
+
+def adf_from_sums(sums: np.ndarray, n: int, most: int, lags: int | None = None) -> tuple[int, float]:
+    """Lags and t statistic of the augmented Dickey-Fuller test with constant and trend.
+
+    Without `lags` their number is the one with the least AIC over the steps that have `most` lags:
+    the regressions contain one another, so each follows from the one before.
+    """
+    if lags is None:
+        m = n - 1 - most
+        square = adf_products(sums, n, most, most)
+        steps = islice(_swept(square, [0, 1, most + 2, *range(2, most + 2)]), 2, None)
+        left = np.array([max(s[-1, -1], np.finfo(float).tiny) for s in steps])
+        lags = int(np.argmin(m * (np.log(2 * np.pi) + np.log(left / m) + 1) + 2 * (np.arange(most + 1) + 3)))
+    square = adf_products(sums, n, most, lags)
+    *_, left = _swept(square, list(range(lags + 2)))
+    spread, freedom = left[-2, -2], n - 1 - lags - (lags + 3)
+    if not spread > 1e-13 * square[-2, -2] or freedom < 1:
+        raise ValueError("the regression has no solution")
+    slope = left[-2, -1] / spread
+    variance = max(left[-1, -1] - slope * left[-2, -1], 0.0) / freedom
+    if variance == 0:
+        raise ZeroDivisionError
+    return lags, slope / math.sqrt(variance / spread)
+
+
+def adf_probability(tau: float) -> float:
     if tau > ADF_MAX:
         return 1.0
     if tau < ADF_MIN:
@@ -270,11 +322,19 @@ def adf_pvalue(y: np.ndarray) -> float:
     return NormalDist().cdf(sum(c * tau ** i for i, c in enumerate(surface)))
 
 
+def adf_pvalue(y: np.ndarray) -> float:
+    """Augmented Dickey-Fuller test with constant and trend, lags chosen by AIC."""
+    n, most = len(y), adf_lags(len(y))
+    if most < 0 or np.ptp(y) == 0 or not np.isfinite(y).all():
+        raise ValueError("too short, constant or not finite")
+    return adf_probability(adf_from_sums(adf_sums(y, 0, 0, n, most), n, most)[1])
+
+
 def stationarity(y: np.ndarray) -> int:
     """1 where the unit root is rejected at 5 %, or the test cannot run."""
     try:
         return int(adf_pvalue(y) <= 0.05)
-    except (ValueError, np.linalg.LinAlgError, ZeroDivisionError):
+    except (ValueError, ZeroDivisionError):
         return 1
 
 

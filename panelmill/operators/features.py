@@ -3,7 +3,7 @@
 Sums, lags and block statistics are DataFrame aggregations. Grouped pandas
 functions are left for what is sequential along a series: the decomposition
 (which runs on blocks, see `decompose`), the Fourier transform (in pieces, see
-`spectra`), the unit-root test and the prefix scan of the Hurst exponent.
+`spectra`), the products of the unit-root test and the prefix scan of the Hurst exponent.
 
 Component rows are `(unique_id, block, pos, n, m, y, trend, seasonal, remainder)`
 with `m` the period of the series.
@@ -468,13 +468,69 @@ def shapiro_w(rows: DataFrame, value: str = "y", name: str = "shapiro_w", block_
     return sums.mapInPandas(solve, f"unique_id string, {name} double").withColumn(name, F.nanvl(F.col(name), F.lit(None)))
 
 
+def unit_root(rows: DataFrame, value: str = "y", lags: int | None = None, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
+    """Augmented Dickey-Fuller test of block rows, `(unique_id, lags, statistic, p_value, stationarity)`.
+
+    The regression on constant, time, level and lagged differences needs sums of products only.
+    A block with a halo of the most lags adds one number per lag, as a product of two lags is that of
+    their distance but for the ends of the series; the lags are chosen by AIC unless given. A
+    series that is too short, constant, without a solution or not finite has NULL and counts as
+    stationary.
+    """
+    n = F.col("n").cast("double")
+    most = F.least(F.ceil(F.lit(12.0) * F.pow(n / 100, 0.25)), F.floor(n / 2) - 3).cast("bigint")
+    if lags is not None:
+        most = F.when(most >= lags, F.lit(lags)).otherwise(F.lit(-1)).cast("bigint")
+    cut = rows.select("unique_id", "pos", F.col("n").cast("bigint").alias("n"), F.col(value).cast("double").alias("v"), most.alias("most"))
+    reach = F.greatest(F.lit(0), F.col("most") + 1)
+    cut = grid.reblock(cut, "pos", F.greatest(F.lit(block_steps), reach), reach, F.lit(0))
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        values, most = group["v"].to_numpy(dtype=float), int(group["most"].iloc[0])
+        first, size = int(group["pos"].iloc[0]), int(group["n"].iloc[0])
+        core = int(group["pos"].to_numpy()[group["core"].to_numpy()][0]) if group["core"].any() else first + len(values)
+        good = bool(np.isfinite(values).all())
+        sums = numerics.adf_sums(values, first, core, size, most) if good and most >= 0 else np.zeros(1)
+        mine = values[core - first:]
+        lo, hi = (mine.min(), mine.max()) if good and len(mine) else (None, None)
+        return pd.DataFrame({"unique_id": [group["unique_id"].iloc[0]], "n": [size], "most": [most], "good": [good],
+                             "lo": [lo], "hi": [hi], "sums": [sums]})
+
+    partial = cut.groupBy("unique_id", "block").applyInPandas(
+        add, "unique_id string, n bigint, most bigint, good boolean, lo double, hi double, sums array<double>")
+    series, kept = ["unique_id", "n", "most"], [F.min("good").alias("good"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    summed = (
+        partial.select(*series, "good", "lo", "hi", F.posexplode("sums").alias("i", "v"))
+        .groupBy(*series, "i").agg(F.sum("v").alias("v"), *kept)
+        .groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("pairs"), *kept)
+        .select(*series, "good", "lo", "hi", F.col("pairs.v").alias("sums"))
+    )
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples():
+                try:
+                    if row.most < 0 or not row.good or not row.lo < row.hi:
+                        raise ValueError("no test")
+                    used, tau = numerics.adf_from_sums(np.asarray(row.sums, float), row.n, row.most, lags)
+                    p = numerics.adf_probability(tau)
+                    found.append((row.unique_id, used, tau, p, int(p <= 0.05)))
+                except (ValueError, ZeroDivisionError):
+                    found.append((row.unique_id, None, None, None, 1))
+            yield pd.DataFrame(found, columns=["unique_id", "lags", "statistic", "p_value", "stationarity"]).astype(
+                {"lags": "Int64", "statistic": "Float64", "p_value": "Float64"})
+
+    return summed.mapInPandas(solve, "unique_id string, lags bigint, statistic double, p_value double, stationarity bigint")
+
+
 def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray], float]] | None = None,
                         spec: DataFrame | None = None, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
-    """What needs a whole series: entropies, W, unit root, Hurst, and any further Python
-    functions of the prepared values.
+    """Entropies, W, unit root, Hurst, and any further Python functions of the prepared values.
 
     The entropies rest on the spectra of the three columns (that of the values may be given),
-    W on ranks; for the others a series goes through one task.
+    W on ranks, the unit root on sums of blocks; for the others a series goes through one task.
     """
     extra = extra or {}
     names = ["trend_hurst", *extra]
@@ -482,7 +538,7 @@ def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray]
     def compute(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         y = group["y"].to_numpy(dtype=float)
-        row = {"unique_id": group["unique_id"].iloc[0], "stationarity": numerics.stationarity(y)}
+        row = {}
         trend, rest = (group[c].to_numpy(dtype=float) for c in ("trend", "remainder"))
         if np.isfinite(rest).all():
             row["trend_hurst"] = numerics.hurst(trend)
@@ -490,11 +546,11 @@ def sequential_features(parts: DataFrame, extra: dict[str, Callable[[np.ndarray]
             row[name] = float(fn(y))
         out = {c: row.get(c) for c in names}
         out = {c: None if v is None or not np.isfinite(v) else v for c, v in out.items()}
-        return pd.DataFrame([{"unique_id": row["unique_id"], "stationarity": row["stationarity"], **out}]).astype(
-            {c: "float64" for c in names})
+        return pd.DataFrame([{"unique_id": group["unique_id"].iloc[0], **out}]).astype({c: "float64" for c in names})
 
-    schema = "unique_id string, stationarity bigint, " + ", ".join(f"`{c}` double" for c in names)
+    schema = "unique_id string, " + ", ".join(f"`{c}` double" for c in names)
     result = parts.select("unique_id", "pos", "y", "trend", "remainder").groupBy("unique_id").applyInPandas(compute, schema)
+    result = result.join(unit_root(parts, block_steps=block_steps).select("unique_id", "stationarity"), "unique_id", "left")
     longest = parts.agg(F.max("n")).first()[0] or 0
     spec = spectrum(parts, "y", block_steps, longest) if spec is None else spec
     for name, own in (("x_entropy", spec), ("e_entropy", spectrum(parts, "remainder", block_steps, longest)),

@@ -506,6 +506,32 @@ def gram_features(spark, sf):
     return _rounded_all(ft.gram_features(grid.materialize(components(spark, sf))))
 
 
+def unit_root_sql(lags: int) -> str:
+    """CTEs up to `uv`: level and difference without what constant, time and lagged differences explain."""
+    names = ["t", *[f"d{k}" for k in range(1, lags + 1)]]
+    back = ", ".join(f"lag(dy, {k}) OVER (PARTITION BY unique_id ORDER BY pos) AS d{k}" for k in range(1, lags + 1))
+    return ",\n".join([
+        prepared_sql("events_6h"),
+        "df0 AS (SELECT unique_id, pos, y AS lv, lead(y) OVER (PARTITION BY unique_id ORDER BY pos) - y AS dy FROM z)",
+        f"dl AS (SELECT unique_id, CAST(pos AS DOUBLE) / 1000 AS t, lv, dy, pos{', ' + back if back else ''} FROM df0)",
+        f"dr AS (SELECT * FROM dl WHERE pos >= {lags} AND dy IS NOT NULL)",
+        *_fitted_sql("dr", "dy", [*names, "lv"], "u_"),
+        f"us AS (SELECT unique_id, sum(lv * dy) AS ld, sum(lv * lv) AS ll, sum(dy * dy) AS dd, count(*) AS m FROM u_{len(names)} GROUP BY 1)"])
+
+
+for _lags in (0, 4):
+    query(f"unit_root_{_lags}_lags", sql=f"""WITH {unit_root_sql(_lags)}
+SELECT unique_id, CAST({_lags} AS BIGINT) AS lags, {R(f'ld / ll / sqrt((dd - ld * ld / ll) / (m - {_lags + 3}) / ll)')} AS statistic FROM us""")(
+        lambda spark, sf, lags=_lags: _rounded_all(ft.unit_root(ft.prepared(dense(spark, sf, "events_6h", block_steps=32)), lags=lags,
+                                                                block_steps=32).select("unique_id", "lags", "statistic")))
+
+
+@query("unit_root")
+def unit_root(spark, sf):
+    """Statistic, p-value and verdict, with the number of lags chosen by AIC."""
+    return ft.unit_root(prepared(spark, sf, "lineitem_daily"))
+
+
 @query("sequential_features")
 def sequential_features(spark, sf):
     """Stationarity, W, entropies and Hurst, with a user function alongside."""

@@ -54,6 +54,49 @@ def test_tests(rng):
     assert numerics.hurst(y) == pytest.approx(np.polyfit(np.log(t[1:]), np.log(reach[1:] / spread[1:]), 1)[0])
 
 
+def dickey_fuller(y, lags=None):
+    """Lags and t statistic by regressions on the whole design matrix."""
+    n, d = len(y), np.diff(y)
+
+    def fit(k, of):
+        rows = np.arange(of, n - 1)
+        x = np.stack([np.ones(len(rows)), np.arange(1, len(rows) + 1) / len(rows), *[d[rows - j] for j in range(1, of + 1)][:k], y[rows]], 1)
+        beta, *_ = np.linalg.lstsq(x, d[rows], rcond=None)
+        return x, beta, float(((d[rows] - x @ beta) ** 2).sum())
+
+    if lags is None:
+        most = numerics.adf_lags(n)
+        m = n - 1 - most
+        lags = int(np.argmin([m * (np.log(2 * np.pi) + np.log(fit(k, most)[2] / m) + 1) + 2 * (k + 3) for k in range(most + 1)]))
+    x, beta, rest = fit(lags, lags)
+    return lags, beta[-1] / np.sqrt(rest / (len(x) - x.shape[1]) * np.linalg.inv(x.T @ x)[-1, -1])
+
+
+def test_unit_root_in_blocks(make, rng):
+    """Statistic and lags of blocks against regressions on whole series; series without a test."""
+    walk = rng.normal(size=900).cumsum()
+    wave = season(500, 12, rng) + 0.3 * rng.normal(size=500).cumsum()
+    short = rng.normal(size=9)
+    series = {"walk": walk, "wave": wave, "noise": rng.normal(size=130), "short": short, "tiny": [1.0, 3, 2, 5], "flat": np.ones(60)}
+    rows = grid.dense(make(series), "H", 64).persist()
+    for lags in (None, 0, 3):
+        got = {r.unique_id: r for r in ft.unit_root(rows, lags=lags, block_steps=64).collect()}
+        assert set(got) == set(series)
+        for name in ("walk", "wave", "noise"):
+            used, tau = dickey_fuller(np.asarray(series[name]), lags)
+            assert (got[name].lags, got[name].statistic) == (used, pytest.approx(tau, rel=1e-7))
+            assert got[name].p_value == pytest.approx(numerics.adf_probability(tau))
+            assert got[name].stationarity == (numerics.adf_probability(tau) <= 0.05)
+        for name in ("tiny", "flat"):
+            assert (got[name].lags, got[name].statistic, got[name].p_value, got[name].stationarity) == (None, None, None, 1)
+    whole = {r.unique_id: r.statistic for r in ft.unit_root(rows).collect()}
+    for r in ft.unit_root(rows, block_steps=64).collect():
+        assert r.statistic == (whole[r.unique_id] and pytest.approx(whole[r.unique_id], rel=1e-9))
+    assert ft.unit_root(rows.where("false")).count() == 0
+    gaps = rows.withColumn("y", F.when(F.col("pos") != 70, F.col("y")))
+    assert {r.unique_id: r.stationarity for r in ft.unit_root(gaps, block_steps=64).collect()}["walk"] == 1
+
+
 @pytest.fixture(scope="module")
 def prepared(make):
     rng = np.random.default_rng(21)
