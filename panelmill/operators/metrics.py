@@ -63,18 +63,22 @@ def seasonal_error(df: DataFrame, season: int, horizon: int, test_length: int,
 
 
 def evaluate(forecasts: DataFrame, labels: DataFrame, errors: DataFrame,
-             levels: list[float] = LEVELS, models: list[str] | None = None) -> DataFrame:
+             levels: list[float] = LEVELS, models: list[str] | DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """All eight metrics per `(model, unique_id, window_idx)`, and `missing_steps`.
 
     `labels` has `(unique_id, window_idx, step, y)`, `errors` the seasonal error
     per `(unique_id, window_idx)`. Every labelled window has a row: one with steps that a
     model does not forecast counts these and has NULL metrics. Name the `models` to get the
     windows of which one of them forecasts nothing; otherwise only windows that nobody
-    forecasts are added, with a NULL model.
+    forecasts are added, with a NULL model. With further `keys` (a task, say) all three inputs
+    have these columns, and `models` may be a table `(*keys, model)`.
     """
     if 0.5 not in levels:
         raise ValueError("the levels must include 0.5")
-    window = ["unique_id", "window_idx"]
+    if isinstance(models, DataFrame) and not keys:
+        raise ValueError("a table of models needs keys")
+    keys = keys or []
+    window = [*keys, "unique_id", "window_idx"]
     joined = forecasts.join(labels.select(*window, "step", "y"), window + ["step"])
     y, quantiles = F.col("y"), F.col("quantiles")
     median = quantiles[levels.index(0.5)]
@@ -97,9 +101,12 @@ def evaluate(forecasts: DataFrame, labels: DataFrame, errors: DataFrame,
         F.sum("loss").alias("loss"),
     )
     expected = labels.groupBy(*window).agg(F.count(F.lit(1)).alias("steps"))
-    if models:
+    by_model = isinstance(models, DataFrame) or bool(models)
+    if isinstance(models, DataFrame):
+        expected = expected.join(models, keys)
+    elif models:
         expected = expected.withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    sums = expected.join(sums, (["model"] if models else []) + window, "left")
+    sums = expected.join(sums, (["model"] if by_model else []) + window, "left")
     missing = F.col("steps") - F.coalesce("found", F.lit(0))
     scale = F.when(F.col("seasonal_error") > 0, F.col("seasonal_error"))
     values = {

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.operators import features as ft
-from panelmill.operators import forecast, grid, leaderboard, metrics, quality, windows
+from panelmill.operators import forecast, grid, leaderboard, quality, windows
 from panelmill.operators import panel as shape
+from panelmill.operators import tasks as task_plans
 from panelmill.plans import forecasting as fc
 from panelmill.plans.panels import FREQ, SQL, dense_sql, filled_sql, panel
 from panelmill.plans.quality import LONG_SQL, PRIORITIES, dense, orders_wide
@@ -327,22 +330,33 @@ def _season(model: str, task: str) -> int:
     return {"seasonal_naive": m, "naive": 1, "seasonal_naive_long": (2 if m == 12 else 7) * m}[model]
 
 
+def board_tasks(spark) -> DataFrame:
+    """The task table of the board, one row per task and model."""
+    rows = []
+    for task, term in BOARD_TASKS.items():
+        name, m, horizon, test_length, _ = fc.TASKS[task]
+        rows += [(name, term, horizon, test_length, m, model, _season(model, task)) for model in MODELS]
+    return spark.createDataFrame(rows, "dataset string, task string, horizon bigint, test_length bigint, "
+                                       "error_season bigint, model string, season bigint")
+
+
+def board_grid(spark, sf) -> DataFrame:
+    """One dense panel of all datasets of the board."""
+    panels, backs = {}, {}
+    for task in BOARD_TASKS:
+        name, freq = fc.TASKS[task][0], FREQ[fc.TASKS[task][0]]
+        backs[freq] = max(backs.get(freq, 1), *(_season(model, task) for model in MODELS))
+        panels.setdefault(freq, {})[name] = panel(spark, sf, name).withColumn("dataset", F.lit(name))
+    joined = {freq: reduce(DataFrame.unionByName, own.values()) for freq, own in panels.items()}
+    return task_plans.dense(joined, backs)
+
+
 def window_metrics(spark, sf) -> DataFrame:
-    """Per-window metrics of all models and tasks; tasks on one panel share its grid."""
-    out, grids = None, {}
-    for task, horizon in BOARD_TASKS.items():
-        name, m, h, test_length, _ = fc.TASKS[task]
-        if name not in grids:
-            grids[name] = grid.materialize(fc.task_panel(spark, sf, task, back=max(_season(x, task) for x in MODELS)))
-        df = grids[name]
-        forecasts = None
-        for model in MODELS:
-            one = fc.forecasts_of(df, task, _season(model, task), model)
-            forecasts = one if forecasts is None else forecasts.unionByName(one)
-        scored = metrics.evaluate(forecasts, fc.labels_of(df, task), metrics.seasonal_error(df, m, h, test_length))
-        keyed = scored.withColumns({"dataset": F.lit(name), "freq": F.lit(FREQ[name]), "horizon": F.lit(horizon)})
-        out = keyed if out is None else out.unionByName(keyed)
-    return out
+    """Per-window metrics of all models and tasks, which are rows of one table."""
+    scored = task_plans.evaluate(grid.materialize(board_grid(spark, sf)), board_tasks(spark))
+    freqs = {name: FREQ[name] for name in sorted({fc.TASKS[task][0] for task in BOARD_TASKS})}
+    freq = F.create_map(*(F.lit(x) for pair in freqs.items() for x in pair))[F.col("dataset")]
+    return scored.withColumnRenamed("task", "horizon").withColumn("freq", freq)
 
 
 def _window_metrics_sql() -> str:
