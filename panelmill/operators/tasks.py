@@ -22,6 +22,7 @@ from panelmill.operators.metrics import LEVELS
 from panelmill.operators.windows import num_windows_column
 
 SEPARATOR = "\x1f"
+MOST_TASKS = 100_000  # rows of a task table that are broadcast, some 20 MB
 TASK = ["dataset", "task", "horizon", "test_length"]
 
 
@@ -41,6 +42,16 @@ def plain_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("unique_id", F.expr(f"substring(unique_id, instr(unique_id, '{SEPARATOR}') + 1)"))
 
 
+def bounded(tasks: DataFrame) -> DataFrame:
+    """A task table that is local and broadcast if it has at most `MOST_TASKS` rows, as configured ones have.
+
+    Then the panel keeps its blocks when parameters are attached and is not shuffled by dataset;
+    a larger table is joined as Spark sees fit.
+    """
+    rows = tasks.limit(MOST_TASKS + 1).toArrow()
+    return F.broadcast(tasks.sparkSession.createDataFrame(rows, tasks.schema)) if rows.num_rows <= MOST_TASKS else tasks
+
+
 def _div(value: Column, by: Column) -> Column:
     return F.call_function("div", value - F.pmod(value, by), by)
 
@@ -76,7 +87,7 @@ def _lagged(rows: DataFrame, seasons: DataFrame, value: str, position: str) -> D
 
 def labels(df: DataFrame, tasks: DataFrame) -> DataFrame:
     """Labels of all test windows: `(dataset, task, unique_id, window_idx, step, y)`."""
-    rows = df.where("core").select("dataset", "unique_id", "pos", "n", "y").join(tasks.select(*TASK).distinct(), "dataset")
+    rows = df.where("core").select("dataset", "unique_id", "pos", "n", "y").join(bounded(tasks).select(*TASK).distinct(), "dataset")
     offset = F.col("pos") - _start()
     inside = rows.where((_start() >= 0) & (offset >= 0) & (offset < F.col("horizon") * _count()))
     return inside.select("dataset", "task", "unique_id", _div(offset, F.col("horizon")).alias("window_idx"),
@@ -88,7 +99,7 @@ def seasonal_errors(df: DataFrame, tasks: DataFrame, block_steps: int = grid.BLO
 
     The observations are closed up once for all tasks.
     """
-    own = tasks.select(*TASK, F.col("error_season").alias("season")).distinct()
+    own = bounded(tasks).select(*TASK, F.col("error_season").alias("season")).distinct()
     reach = own.groupBy("dataset").agg(F.max("season").cast("bigint").alias("reach"))
     seen = F.col("seen") + F.count("y").over(grid.up_to_here()) - 1
     closed = df.withColumn("closed", seen).where("core AND y IS NOT NULL").select("dataset", "unique_id", "pos", "n", "y", "closed")
@@ -118,7 +129,7 @@ def seasonal_naive(df: DataFrame, tasks: DataFrame, levels: list[float] = LEVELS
     The panel must reach back by the longest season of its frequency. History is filled once, a
     residual is computed once per season, whichever tasks and models use it.
     """
-    models = tasks.select(*TASK, "model", "season").distinct()
+    models = bounded(tasks).select(*TASK, "model", "season").distinct()
     seen_at = F.when(F.col("y").isNotNull(), F.col("pos"))
     history = grid.fill_forward(df.withColumn("seen_at", seen_at), "_f").withColumns({
         "_first": grid.first_ahead("seen_at", "next_pos"),
@@ -161,6 +172,7 @@ def evaluate(df: DataFrame, tasks: DataFrame, forecasts: DataFrame | None = None
     `df` comes from `dense`, and so do the ids of `forecasts`, the seasonal naive ones unless given.
     A model of the table that forecasts nothing in a window has a row with NULL metrics there.
     """
+    tasks = bounded(tasks)
     made = seasonal_naive(df, tasks, levels) if forecasts is None else forecasts
     key = ["dataset", "task"]
     return plain_ids(metrics.evaluate(made, labels(df, tasks), seasonal_errors(df, tasks), levels,

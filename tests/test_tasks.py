@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +72,17 @@ def test_plan_does_not_grow_with_tasks(spark, panels):
     assert size(more) == size(ROWS)
 
 
+def test_rows_stay_in_their_blocks(spark, panels):
+    """Parameters are attached and steps one season earlier found without a shuffle of the panel by dataset or season."""
+    df, table = whole(panels, 4096), spark.createDataFrame(ROWS, SCHEMA)
+    for made in (tasks.seasonal_naive(df, table), tasks.seasonal_errors(df, table), tasks.labels(df, table)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and not [line for line in exchanges if "block#" in line and "season#" in line]
+        by_table = [line for line in plan.splitlines() if re.search(r"Join \[dataset#\d+(, season#\d+L)?\]", line)]
+        assert by_table and all("BroadcastHashJoin" in line and "BuildRight" in line for line in by_table)
+
+
 def test_odd_tasks(spark, panels):
     """A horizon that does not fit is an error; no tasks, no rows; unknown datasets have none."""
     df = whole(panels, 4096)
