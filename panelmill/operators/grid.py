@@ -23,12 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelmill.functions import frequency as fq
 
 BLOCK_STEPS = 65_536
+TASK_STEPS = 1 << 17  # steps of the grid that one task fills
 MOST_BUCKETS = 10_000  # ranges of the values of a series
 
 
@@ -187,7 +188,7 @@ def _block_table(rows: DataFrame, freq: fq.Freq, size: int, back: int, ahead: in
         "prev": previous, "next": following, "seen": count,
         "t_lo": F.greatest("t0", F.col("block") * size - back),
         "t_hi": F.least("t1", F.col("block") * size + (size - 1 + ahead)),
-    })
+    }).select("unique_id", "block", "t_lo", "t_hi", "t0", "n", "off", "seen", "y_mean", "y_std", "prev", "next")
 
 
 def dense(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
@@ -198,11 +199,26 @@ def dense(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
     `core = false`, so that a window of that reach stays inside one block.
     Rows off a series' own grid are left out; of several rows with one timestamp
     the largest value is kept (see `timestamp_report` for both).
+
+    The panel is written once, for the blocks and for the rows. With the blocks the number of
+    steps is known, and with it that of tasks: none fills much more than `TASK_STEPS`.
     """
+    return dense_of_written(materialize(clean_panel(panel)), freq, block_steps, back, ahead)
+
+
+def tasks_for(spark: SparkSession, steps: int) -> int:
+    """How many tasks share the steps of a grid, one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-steps // TASK_STEPS))
+
+
+def dense_of_written(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
+                     back: int = 0, ahead: int = 0) -> DataFrame:
+    """`dense` of a panel that is cheap to read twice."""
     f = fq.parse_freq(freq)
     size = max(block_steps, 2 * (back + ahead))
     rows = _stepped(panel, f, size)
-    blocks = _block_table(rows, f, size, back, ahead)
+    blocks = materialize(_block_table(rows, f, size, back, ahead))
+    steps = blocks.agg(F.sum(F.col("t_hi") - F.col("t_lo") + 1)).first()[0] or 0
 
     none = F.lit(None)
     blocks = blocks.select(
@@ -227,7 +243,7 @@ def dense(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
     at = F.col("t")
     merged = (
         rows.unionByName(blocks)
-        .repartition("unique_id", "block")
+        .repartition(tasks_for(panel.sparkSession, steps), "unique_id", "block")
         .withColumn("t", F.explode_outer("steps"))
         .groupBy("unique_id", "block", "t", "r")
         .agg(*[F.max(c).alias(c) for c in ("y",) + longs + doubles])

@@ -79,3 +79,13 @@ def test_bounds_and_tail(make):
     panel = make({"a": [1.0, 2.0, 3.0, 4.0], "b": [1.0]})
     assert {(r.unique_id, r.n, r.n_raw) for r in grid.series_bounds(panel, "H").collect()} == {("a", 4, 4), ("b", 1, 1)}
     assert sorted(r.y for r in grid.tail(grid.dense(panel, "H"), 2).collect()) == [1.0, 3.0, 4.0]
+
+
+def test_more_steps_are_filled_by_more_tasks(make, monkeypatch):
+    """The memory of a task must not grow with the panel."""
+    panel = make({f"s{i}": [1.0, None, 3.0] * 50 for i in range(20)}, drop_missing=True)
+    few = grid.dense(panel, "H")
+    monkeypatch.setattr(grid, "TASK_STEPS", 100)
+    many = grid.dense(panel, "H")
+    assert many.rdd.getNumPartitions() >= 20 * 149 // 100 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, few.collect()), key=repr)
