@@ -265,6 +265,11 @@ def reblock(df: DataFrame, position: str, size: Column, back: Column, ahead: Col
     `size` may differ between series but must be at least `back + ahead`. The
     result has a new `block` and `core`; each row is repeated at most twice.
     """
+    return rehomed(df, position, size, back, ahead).repartition("unique_id", "block")
+
+
+def rehomed(df: DataFrame, position: str, size: Column, back: Column, ahead: Column) -> DataFrame:
+    """The rows of `reblock` where they are, for readers that deal them out otherwise."""
     spot, block = F.pmod(F.col(position), size), F.col("home")
     return (
         df.withColumn("home", ((F.col(position) - spot) / size).cast("bigint"))
@@ -275,7 +280,6 @@ def reblock(df: DataFrame, position: str, size: Column, back: Column, ahead: Col
         ))))
         .withColumn("core", F.col("block") == block)
         .drop("home")
-        .repartition("unique_id", "block")
     )
 
 

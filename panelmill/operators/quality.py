@@ -186,27 +186,38 @@ QUARTILES = (0.25, 0.5, 0.75)
 def rolling_stats_by_length(df: DataFrame, block_steps: int = grid.BLOCK_STEPS) -> DataFrame:
     """The same with a window of max(20, n // 10) steps for each series.
 
-    Windows of fewer than four blocks go through blocks with half a window on either side.
-    Longer ones never meet in a group, see `_long_windows`. The quantiles are the same.
+    Windows of fewer than four blocks go through blocks with half a window on either side;
+    short series share a group of about `block_steps` rows, so that many are done in one step.
+    Longer windows never meet in a group, see `_long_windows`. The quantiles are the same.
     """
     size = F.greatest(F.lit(20), F.floor(F.col("n") / 10)).cast("bigint")
     rows = _filled_with_scale(df).where("core").withColumn("window", size)
-    longest = rows.agg(F.max("n")).first()[0] or 0
+    longest, steps = rows.agg(F.max("n"), F.count(F.lit(1))).first()
+    longest = longest or 0
     long = F.col("window") >= 4 * block_steps
     window = F.col("window")
-    short = grid.reblock(rows.where(~long), "pos", F.greatest(F.lit(block_steps), window),
+    short = grid.rehomed(rows.where(~long), "pos", F.greatest(F.lit(block_steps), window),
                          F.floor(window / 2).cast("bigint"), F.floor((window - 1) / 2).cast("bigint"))
-    short = short.select("unique_id", "block", "core", "window", "pos", "n", "ds", "y", "y_filled", "fallback")
+    shares = max(rows.sparkSession.sparkContext.defaultParallelism, -(-steps // block_steps))
+    short = short.select(F.pmod(F.xxhash64("unique_id", "block"), F.lit(shares)).alias("share"),
+                         "unique_id", "block", "core", "window", "pos", "n", "ds", "y", "y_filled", "fallback")
 
     def slide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        start, stop = frame_of(np.arange(len(group)), len(group), int(group["window"].iloc[0]))
+        """The blocks of a share end to end: a frame is a range inside its own block."""
+        series, block = pd.factorize(group["unique_id"])[0], group["block"].to_numpy()
+        order = np.lexsort((group["pos"].to_numpy(), block, series))
+        group, series, block = group.iloc[order], series[order], block[order]
+        begins = np.flatnonzero(np.concatenate([[True], (series[1:] != series[:-1]) | (block[1:] != block[:-1])]))
+        length = np.diff(np.concatenate([begins, [len(group)]]))
+        begin, length = np.repeat(begins, length), np.repeat(length, length)
+        start, stop = frame_of(np.arange(len(group)) - begin, length, group["window"].to_numpy())
         core = group["core"].to_numpy()
+        start, stop = (start + begin)[core], (stop + begin)[core]
         select = RangeSelect(group["y_filled"].to_numpy())
-        low, middle, high = (select.quantile(start[core], stop[core], q) for q in QUARTILES)
-        return group[core].drop(columns=["core", "window"]).assign(median=middle, iqr=high - low)
+        low, middle, high = (select.quantile(start, stop, q) for q in QUARTILES)
+        return group[core].drop(columns=["share", "core", "window"]).assign(median=middle, iqr=high - low)
 
-    stats = short.groupBy("unique_id", "block").applyInPandas(slide, STATS_SCHEMA)
+    stats = short.groupBy("share").applyInPandas(slide, STATS_SCHEMA)
     if longest // 10 < 4 * block_steps:
         return stats
     return stats.unionByName(_long_windows(rows.where(long), block_steps, longest))
@@ -379,7 +390,8 @@ def quality_report(panel: DataFrame, freq: str, missing_limit: float = MISSING_L
     column to have the timestamp order checked as well.
 
     `y` may be text, as `to_panel(as_text=True)` gives it: a series with a value that does not
-    read as a number (`n_text` counts them) has the reason `dtype` and no other.
+    read as a number (`n_text` counts them) has the reason `dtype` and no other, and NULL for
+    the white-noise test and the outliers.
 
     `n_duplicates` and `n_off_grid` count the rows that the dense panel leaves out,
     `n_non_finite` the NaN and infinite values that count as missing. With `stop_early`
@@ -410,11 +422,13 @@ def _report(panel: DataFrame, freq: str, missing_limit: float, smallest: int | N
     """The report and the flagged rows it rests on, which are written once with `keep`."""
     need = fq.min_length(freq) if smallest is None else smallest
     number = F.expr("try_cast(y AS double)")
+    panel = grid.materialize(panel)  # four readers
     text = panel.groupBy("unique_id").agg(F.count(F.when(number.isNull(), F.col("y"))).alias("n_text"))
-    if isinstance(panel.schema["y"].dataType, StringType):
+    as_text = isinstance(panel.schema["y"].dataType, StringType)
+    if as_text:
         panel = panel.withColumn("y", number)
     # Six branches read the filled panel, so it is written once.
-    filled = grid.materialize(grid.fill_forward_back_zero(grid.dense(panel, freq, block_steps)).where("core"))
+    filled = grid.materialize(grid.fill_forward_back_zero(grid.dense_of_written(panel, freq, block_steps)).where("core"))
     value = F.col("y").cast("double")
     raw = panel.groupBy("unique_id").agg(
         F.count(F.lit(1)).alias("n_raw"),
@@ -439,6 +453,8 @@ def _report(panel: DataFrame, freq: str, missing_limit: float, smallest: int | N
     if stop_early:
         first = grid.materialize(first)
         rest = _only(filled, first.where((F.size(early) == 0) & ~constant))
+    elif as_text:
+        rest = _only(filled, text.where("n_text = 0"))
     flagged = flag_outliers(rolling_stats_by_length(rest, block_steps))
     if keep:
         flagged = grid.materialize(flagged)
