@@ -17,6 +17,7 @@ from panelmill.llm.registry import query
 from panelmill.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
+TOGETHER = 256  # sequences whose ids a task copies at once
 END_ID = 0
 PIECES = "doc_id long, piece int, length long, ids binary, part int, ordinal long"
 SEQUENCES = "sequence_id long, ids array<int>, doc_ids array<long>, pieces array<int>, lengths array<long>"
@@ -168,6 +169,11 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(sequence[first]), lists(ends, pa.array(ids)), *(lists(starts, rows.column(i)) for i in range(3))],
             names=["sequence_id", "ids", "doc_ids", "pieces", "lengths"])
 
+    def wholes(rows):
+        first = np.flatnonzero(np.diff(rows.column(4).to_numpy(), prepend=-1))[::TOGETHER].tolist()
+        return (whole(rows.slice(a, b - a)) for a, b in zip(first, [*first[1:], rows.num_rows]))
+
+    encoder.cache_clear()
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -177,7 +183,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = batch.column(4).to_numpy()
         open_ = int(np.searchsorted(sequence, sequence[-1]))  # the last sequence may go on in the next batch
         if open_:
-            yield whole(batch.slice(0, open_))
+            yield from wholes(batch.slice(0, open_))
         held = batch.slice(open_)
     if held is not None:
         yield whole(held)
@@ -221,7 +227,8 @@ def write_sequences(docs: DataFrame, folder: str, path: str | None = None, capac
 
 
 def _read(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    encoder.cache_clear()
+    for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
         sequence, ids, docs, pieces, lengths = batch.columns
         n = np.diff(docs.offsets.to_numpy())  # pieces in each sequence
         length, piece = lengths.flatten().to_numpy(), pieces.flatten().to_numpy()

@@ -14,9 +14,14 @@ from itertools import chain
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 600_000  # chunks in a generation
+KEPT = 300_000  # chunks in a generation
+LONGEST = 64  # bytes of a chunk that is kept
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[!-~]+")  # printable ASCII
+_LETTERS = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")  # a-z and the letters of Latin-1, one piece
+_STOP = re.compile(rb"[,.](?=[\x20\n])(?<=[a-z].)")  # a piece of its own after a letter and before white space
+#: Bytes as the vocabulary writes them; read as Latin-1, those that are not printable there are moved up.
+_SHOWN = {b: 256 + 33 + i for i, b in enumerate(range(127, 161))} | {173: 256 + 67}
 
 
 class Encoder:
@@ -31,58 +36,52 @@ class Encoder:
         for token, number in self.whole.get_vocab(with_added_tokens=False).items():
             self.ends[number] = token.endswith("</w>")
         self.chunks: list[dict[bytes, bytes]] = [{}, {}]
-        self.pieces: list[dict[bytes, bytes]] = [{}, {}]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """The ids of a UTF-8 text; none for a null one."""
-        chunks = (text or b"").split()
+        text = text or b""
+        if b"<|" not in text:  # the library lowers all but its special tokens; fewer chunks differ
+            text = _STOP.sub(rb" \g<0>", text.lower())
+        chunks = text.split()
         parts = list(map(self.chunks[0].get, chunks))
         if None in parts:
-            missing = {c for c, p in zip(chunks, parts) if p is None}
-            known = self._learn(missing)
+            known = self._learn({c for c, p in zip(chunks, parts) if p is None})
             parts = [known[c] if p is None else p for c, p in zip(chunks, parts)]
         return np.frombuffer(b"".join(parts), np.uint32)
 
-    @staticmethod
-    def _renew(memory: list[dict[bytes, bytes]]) -> None:
-        if len(memory[0]) > KEPT:
-            memory[1], memory[0] = memory[0], {}
-
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        self._renew(self.chunks)
-        known = {c: p for c in missing if (p := self.chunks[1].get(c)) is not None}
-        plain, other = [], []
+        if len(self.chunks[0]) > KEPT:
+            self.chunks = [{}, self.chunks[0]]
+        before = self.chunks[1]
+        known = {c: before[c] for c in missing if c in before} if before else {}
+        letters, plain, other = [], [], []
         for c in missing:
             if c not in known:
-                (plain if _PLAIN.fullmatch(c) and b"<|" not in c else other).append(c)
-        known |= self._by_pieces(plain)
+                (letters if _LETTERS.fullmatch(c) else plain if _PLAIN.fullmatch(c) and b"<|" not in c else other).append(c)
+        cut = [_PIECES.findall(c.lower()) for c in plain]
+        pieces = {p for p in chain.from_iterable(cut) if p not in known}
+        for p in pieces:
+            if (ids := self.chunks[0].get(p) or before.get(p)) is not None:
+                known[p] = ids
+        known |= self._by_pieces(list({*letters, *(p for p in pieces if p not in known)}))
+        known |= {c: b"".join(map(known.__getitem__, own)) for c, own in zip(plain, cut)}
         known |= self._by_chunk(other)
-        self.chunks[0].update(known)
+        self.chunks[0].update((c, ids) for c, ids in known.items() if len(c) <= LONGEST)
         return known
 
-    def _by_pieces(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Printable ASCII: cut as the tokenizer's pattern does, then merged piece by piece."""
-        cut = [_PIECES.findall(c.lower()) for c in chunks]
-        self._renew(self.pieces)
-        now, before = self.pieces
-        new = []
-        for p in set(chain.from_iterable(cut)):
-            if p not in now:
-                if p in before:
-                    now[p] = before[p]
-                else:
-                    new.append(p)
-        if new:
-            ids = np.array(self.model.encode(b" ".join(new).decode(), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
-                data, at = ids.tobytes(), 0
-                for p, stop in zip(new, (stops * 4).tolist()):
-                    now[p] = data[at:stop]
-                    at = stop
-            else:
-                now.update(self._by_chunk(new))
-        return {c: b"".join(map(now.__getitem__, pieces)) for c, pieces in zip(chunks, cut)}
+    def _by_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Chunks that are one piece of the tokenizer's pattern: merged without its search."""
+        if not pieces:
+            return {}
+        text = b" ".join(pieces).decode()
+        if not text.isascii():
+            text = text.lower().encode().decode("latin-1").translate(_SHOWN)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces):
+            return self._by_chunk(pieces)
+        data, stops = ids.tobytes(), (stops * 4).tolist()
+        return {p: data[a:b] for p, a, b in zip(pieces, [0, *stops], stops)}
 
     def _by_chunk(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Anything else: encoded whole by the library, dealt to the chunks by offsets."""

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -290,6 +291,30 @@ def test_encoder_equals_library(docs):
         assert encode(t.encode()).tolist() == encode.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_remembers_words_without_their_stops():
+    encode = Encoder(vocabulary())
+    long = "x" * 100
+    text = f"Über über. ÜBER, a. a, Été é. <i, {long}. b.. “c, d.\u0338 e,\xa0f."
+    assert encode(text.encode()).tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+    assert {b"a", b".", b","} <= set(encode.chunks[0])
+    assert not {b"a.", b"a,", long.encode()} & set(encode.chunks[0])
+
+
+def test_sequences_are_copied_a_few_at_a_time():
+    n = packing.TOGETHER * 2 + 5
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([3] * n), pa.array([np.arange(i, i + 3, dtype="<u2").tobytes() for i in range(n)]),
+         pa.array(range(n)), pa.array([0] * n)], names=["doc_id", "piece", "length", "ids", "sequence_id", "offset"])
+    filled = list(packing._filled(iter([rows])))
+    assert max(b.num_rows for b in filled) <= packing.TOGETHER
+    whole = pa.Table.from_batches(filled).combine_chunks().to_batches()
+    read = list(packing._read(iter(whole), 2048))
+    assert max(b.num_rows for b in read) <= packing.TOGETHER
+    read = pa.Table.from_batches(read)
+    assert read["doc_id"].to_pylist() == list(range(n)) and read["offset"].to_pylist() == [0] * n
+    assert read["ids"].to_pylist() == [[i, i + 1, i + 2] for i in range(n)]
+
+
 def test_word_coding_round_trip():
     rng = np.random.default_rng(1)
     for k in range(40):
