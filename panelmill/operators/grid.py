@@ -17,6 +17,9 @@ Columns of the dense panel:
     next_pos, next_y   first observation after the block
     seen               observations before the block
     y_mean, y_std      mean and sample deviation of the series
+
+The metadata of `pos` has the number of steps of the panel (`steps`). Spark carries it along, so
+that later shuffles of the steps can be sized by them, not by the bytes they are packed to.
 """
 
 from __future__ import annotations
@@ -211,6 +214,15 @@ def tasks_for(spark: SparkSession, steps: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-steps // TASK_STEPS))
 
 
+def spread(df: DataFrame, position: str, *keys: str) -> DataFrame:
+    """`df` dealt out by `keys`, over as many tasks as the steps of its dense panel ask for.
+
+    Without a position column of a dense panel the number is left to the session.
+    """
+    steps = df.schema[position].metadata.get("steps")
+    return df.repartition(tasks_for(df.sparkSession, steps), *keys) if steps else df.repartition(*keys)
+
+
 def dense_of_written(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
                      back: int = 0, ahead: int = 0) -> DataFrame:
     """`dense` of a panel that is cheap to read twice."""
@@ -250,7 +262,7 @@ def dense_of_written(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS
         .where(F.col("n").isNotNull())
     )
     return merged.select(
-        "unique_id", "block", (at - F.col("t0")).alias("pos"), "n",
+        "unique_id", "block", (at - F.col("t0")).alias("pos", metadata={"steps": steps}), "n",
         fq.unit_time(at * f.stride + F.col("r"), f).alias("ds"), "y",
         (fq.floor_div(at, size) == F.col("block")).alias("core"),
         (F.col("prev_t") - F.col("t0")).alias("prev_pos"), "prev_y",
@@ -265,7 +277,7 @@ def reblock(df: DataFrame, position: str, size: Column, back: Column, ahead: Col
     `size` may differ between series but must be at least `back + ahead`. The
     result has a new `block` and `core`; each row is repeated at most twice.
     """
-    return rehomed(df, position, size, back, ahead).repartition("unique_id", "block")
+    return spread(rehomed(df, position, size, back, ahead), position, "unique_id", "block")
 
 
 def rehomed(df: DataFrame, position: str, size: Column, back: Column, ahead: Column) -> DataFrame:

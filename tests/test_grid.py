@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import grid
+from panelmill.operators import features, grid
 
 NA = None
 
@@ -89,3 +89,19 @@ def test_more_steps_are_filled_by_more_tasks(make, monkeypatch):
     many = grid.dense(panel, "H")
     assert many.rdd.getNumPartitions() >= 20 * 149 // 100 > few.rdd.getNumPartitions()
     assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, few.collect()), key=repr)
+
+
+def test_later_blocks_are_sized_by_the_steps_too(make, monkeypatch):
+    """Blocks with a halo must not be left to as few tasks as the session has."""
+    panel = make({f"s{i}": [1.0, None, 3.0] * 50 for i in range(20)}, drop_missing=True)
+
+    def halo():
+        rows = features.prepared(grid.dense(panel, "H"))
+        return features.with_halo(rows, 2)
+
+    few = halo()
+    monkeypatch.setattr(grid, "TASK_STEPS", 100)
+    many = halo()
+    assert many.rdd.getNumPartitions() >= 20 * 149 // 100 > few.rdd.getNumPartitions()
+    assert features.with_halo(grid.materialize(many), 2).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, few.collect()), key=repr)
