@@ -165,8 +165,8 @@ def block_width(period: Column) -> Column:
 
 def crossing_points(rows: DataFrame, value: str = "y") -> DataFrame:
     """How often the series changes between 'at most the median' and above it."""
-    median = grid.exact_quantiles(rows, value, [0.5]).withColumnRenamed("q0", "median")
-    low = grid.attach(rows, median).withColumn("low", F.col(value) <= F.col("median"))
+    median = grid.exact_quantiles(rows, value, [0.5], written=True).withColumnRenamed("q0", "median")
+    low = grid.attach(rows, median, written=True).withColumn("low", F.col(value) <= F.col("median"))
     halo = with_halo(low.select("unique_id", "block", "pos", "low"), 1)
     changed = halo.withColumn("was", F.lag("low").over(grid.ordered())).where("core")
     return changed.groupBy("unique_id").agg(F.count(F.when(F.col("low") != F.col("was"), 1)).alias("crossing_points"))

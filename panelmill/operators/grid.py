@@ -214,13 +214,16 @@ def tasks_for(spark: SparkSession, steps: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-steps // TASK_STEPS))
 
 
-def spread(df: DataFrame, position: str, *keys: str) -> DataFrame:
-    """`df` dealt out by `keys`, over as many tasks as the steps of its dense panel ask for.
+def spread(df: DataFrame, position: str, for_join: bool = False) -> DataFrame:
+    """`df` dealt out by blocks, over as many tasks as the steps of its dense panel ask for.
 
-    Without a position column of a dense panel the number is left to the session.
+    Without a position column of a dense panel the number is left to the session, and rows that
+    are dealt out `for_join` only stay where they are.
     """
-    steps = df.schema[position].metadata.get("steps")
-    return df.repartition(tasks_for(df.sparkSession, steps), *keys) if steps else df.repartition(*keys)
+    steps, keys = df.schema[position].metadata.get("steps"), ("unique_id", "block")
+    if steps:
+        return df.repartition(tasks_for(df.sparkSession, steps), *keys)
+    return df if for_join else df.repartition(*keys)
 
 
 def dense_of_written(panel: DataFrame, freq: str, block_steps: int = BLOCK_STEPS,
@@ -277,7 +280,7 @@ def reblock(df: DataFrame, position: str, size: Column, back: Column, ahead: Col
     `size` may differ between series but must be at least `back + ahead`. The
     result has a new `block` and `core`; each row is repeated at most twice.
     """
-    return spread(rehomed(df, position, size, back, ahead), position, "unique_id", "block")
+    return spread(rehomed(df, position, size, back, ahead), position)
 
 
 def rehomed(df: DataFrame, position: str, size: Column, back: Column, ahead: Column) -> DataFrame:
@@ -364,10 +367,12 @@ def tail(df: DataFrame, length: int) -> DataFrame:
     return df.where(F.col("pos") >= F.col("n") - length)
 
 
-def attach(rows: DataFrame, per_series: DataFrame) -> DataFrame:
+def attach(rows: DataFrame, per_series: DataFrame, written: bool = False) -> DataFrame:
     """Left join of a per-series table to block rows on `(unique_id, block)`, so a
-    long series stays spread over its blocks."""
+    long series stays spread over its blocks. Rows that are `written` have lost their
+    partitioning; their shuffle is sized by the steps of the panel."""
     keys = rows.select("unique_id", "block").distinct()
+    rows = spread(rows, "pos", for_join=True) if written else rows
     return rows.join(keys.join(per_series, "unique_id"), ["unique_id", "block"], "left")
 
 
@@ -396,11 +401,13 @@ def value_runs(df: DataFrame, value: str, size: int, longest: int) -> DataFrame:
         dealt, "unique_id string, block bigint, bucket bigint, value double, count bigint")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 10_000,
+                    written: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per series of block rows, `(unique_id, q0, q1, ...)`.
 
     A mergeable sketch brackets each quantile; only the distinct values inside a
-    bracket are ordered, so even a very long series never meets in one task.
+    bracket are ordered, so even a very long series never meets in one task. For `written`
+    rows see `attach`; they need their `pos`.
     """
     slack = 2.0 / accuracy
     edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
@@ -419,7 +426,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int
         .when(v <= F.col("edges")[2 * i + 1], F.struct(F.lit(i).alias("i"), v.alias("v")))
         for i in range(len(probs))])
     counted = (
-        attach(df.select("unique_id", "block", F.col(value).alias("v")).where("v IS NOT NULL"), bounds)
+        attach(df.select("unique_id", "block", *["pos"] * written, F.col(value).alias("v")).where("v IS NOT NULL"),
+               bounds, written)
         .select("unique_id", "total", F.explode_outer(F.array_compact(hits)).alias("hit"))
         .groupBy("unique_id", "total", "hit.i", "hit.v").count().where("i IS NOT NULL")
     )

@@ -149,19 +149,20 @@ def ljung_box(df: DataFrame, value: str = "y_filled") -> DataFrame:
 
 # --- Outliers --------------------------------------------------------------
 
-def fallback_scale(filled: DataFrame) -> DataFrame:
+def fallback_scale(filled: DataFrame, written: bool = False) -> DataFrame:
     """Interquartile range of a whole series, or 1.35 deviations where it is zero."""
     rows = filled.where("core")
     spread = rows.groupBy("unique_id").agg((F.stddev_samp("y_filled") * 1.35).alias("wide"))
-    quartiles = grid.exact_quantiles(rows, "y_filled", [0.25, 0.75])
+    quartiles = grid.exact_quantiles(rows, "y_filled", [0.25, 0.75], written=written)
     return quartiles.join(spread, "unique_id").select(
         "unique_id", F.coalesce(F.nullif(F.col("q1") - F.col("q0"), F.lit(0.0)), F.col("wide")).alias("fallback"))
 
 
-def _filled_with_scale(df: DataFrame) -> DataFrame:
-    """Filled rows with the fallback scale; the filled panel has three readers."""
+def _filled_with_scale(df: DataFrame, windows: bool = False) -> DataFrame:
+    """Filled rows with the fallback scale; the filled panel has three readers. For `windows`
+    on the blocks they are dealt out by the steps of the panel."""
     filled = df if "y_filled" in df.columns else grid.materialize(grid.fill_forward_back_zero(df))
-    return grid.attach(filled, fallback_scale(filled))
+    return grid.attach(filled, fallback_scale(filled, windows), windows)
 
 
 def rolling_stats(df: DataFrame, window: int) -> DataFrame:
@@ -173,7 +174,7 @@ def rolling_stats(df: DataFrame, window: int) -> DataFrame:
     frame = grid.ordered().rowsBetween(-(window // 2), (window - 1) // 2)
     quartiles = F.percentile("y_filled", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(frame)
     q = F.col("q")
-    return _filled_with_scale(df).withColumn("q", quartiles).where("core").select(
+    return _filled_with_scale(df, windows=True).withColumn("q", quartiles).where("core").select(
         "unique_id", "block", "pos", "n", "ds", "y", "y_filled", "fallback",
         q[1].alias("median"), (q[2] - q[0]).alias("iqr"))
 
@@ -371,7 +372,7 @@ def clean_outliers(flagged: DataFrame) -> DataFrame:
         F.last("last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.last("first", True).over(whole.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
         (F.sum("hits").over(whole) / F.sum("rows").over(whole)).alias("ratio"))
-    rows = rows.join(edges, ["unique_id", "block"])
+    rows = grid.spread(rows, "pos", for_join=True).join(edges, ["unique_id", "block"])
     value = F.coalesce(
         F.last("good", True).over(grid.up_to_here()), F.col("before"),
         grid.first_ahead("good", "after"))

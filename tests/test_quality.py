@@ -279,3 +279,18 @@ def test_text_series_get_no_costly_checks(spark):
     assert got["t"].checks == ["dtype"] and got["t"].n_text == 60 and got["t"].n == 60 and got["t"].missing_rate == 1.0
     assert got["t"].extreme_ratio is None and got["t"].noise_p is None
     assert got["n"].extreme_ratio is not None and got["n"].n_text == 0
+
+
+def test_written_rows_are_sized_by_the_steps_too(make, monkeypatch):
+    """Rolling quartiles and cleaning must not be left to as few tasks as the session has."""
+    panel = make({f"s{i}": [1.0, 2.0, 3.0, 90.0, None, 3.0] * 25 for i in range(20)}, drop_missing=True)
+
+    def stats():
+        return quality.rolling_stats(grid.dense(panel, "H", back=10, ahead=10), 21)
+
+    few = stats()
+    monkeypatch.setattr(grid, "TASK_STEPS", 100)
+    many = stats()
+    assert many.rdd.getNumPartitions() >= 20 * 150 // 100 > few.rdd.getNumPartitions()
+    cleaned = [quality.clean_outliers(quality.flag_outliers(df)) for df in (few, many)]
+    assert sorted(map(tuple, cleaned[0].collect()), key=repr) == sorted(map(tuple, cleaned[1].collect()), key=repr)
