@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import stored, table
+from panelmill.llm.common import by_bytes, stored, table
 from panelmill.llm.registry import query
-from panelmill.llm.tokens import encoder, vocabulary
+from panelmill.llm.tokens import TOGETHER, encoder, vocabulary
 
 #: Selector -> (ids in the word, bits of each). Selector 15 is a run of zeros.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
@@ -124,9 +124,10 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
         number, start, size, held = number + 1, start + len(ids), 0, []
         return row
 
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            held.append((doc, to_ids(text)))
+    for batch in by_bytes(batches, 1, TOGETHER):
+        ids, bounds = to_ids.texts(batch.column(1))
+        for doc, a, b in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+            held.append((doc, ids[a:b]))
             size += len(held[-1][1]) + 1
             if size >= SHARD:
                 yield flush()

@@ -300,6 +300,17 @@ def test_encoder_remembers_words_without_their_stops():
     assert not {b"a.", b"a,", long.encode()} & set(encode.chunks[0])
 
 
+def test_texts_cut_together_keep_their_own_ids():
+    encode = Encoder(vocabulary())
+    texts = ["gone", "ab", "cd", None, "", "x.", " y. Z", ".", "a, <|endoftext|>Über. B", "<", "|x|> IT'S", " \n", "É", "e", None]
+    for column in (pa.array(texts).slice(1), pa.array(texts, pa.large_string()).slice(1)):
+        ids, bounds = encode.texts(column)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [
+            encode.whole.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    ids, bounds = encode.texts(pa.array([], pa.string()))
+    assert len(ids) == 0 and bounds.tolist() == [0]
+
+
 def test_sequences_are_copied_a_few_at_a_time():
     n = packing.TOGETHER * 2 + 5
     rows = pa.RecordBatch.from_arrays(
