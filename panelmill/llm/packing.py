@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import passing_folder, stored, table
+from panelmill.llm.common import by_bytes, passing_folder, stored, table
 from panelmill.llm.registry import query
-from panelmill.llm.tokens import encoder, vocabulary
+from panelmill.llm.tokens import TOGETHER as TEXTS, encoder, vocabulary
 
 CAPACITY = 2048
 TOGETHER = 256  # sequences whose ids a task copies at once
@@ -28,10 +28,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
 
     part, to_ids, seen = TaskContext.get().partitionId(), encoder(path), Counter()
     kind = np.dtype("<u2" if max(len(to_ids.ends), end + 1) <= 1 << 16 else "<u4")  # wide enough for any id
-    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            data = np.append(to_ids(text), np.uint32(end)).astype(kind)
+    for batch in by_bytes(batches, 1, TEXTS):
+        rows, (ids, bounds) = [], to_ids.texts(batch.column(1))
+        for doc, a, b in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+            data = np.append(ids[a:b], np.uint32(end)).astype(kind)
             for piece, at in enumerate(range(0, len(data), capacity)):
                 own = data[at:at + capacity].tobytes()
                 length = len(own) // kind.itemsize
